@@ -62,6 +62,8 @@ def absorb(spark: SparkSession, stream: DataFrame, checkpoint: str, state_partit
     """
     held = {
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+        # Else each of the state's partitions sets aside some megabytes of disk before it holds a key.
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
         "spark.sql.shuffle.partitions": str(state_partitions or spark.conf.get("spark.sql.shuffle.partitions")),
     }
     before = {k: spark.conf.get(k, None) for k in held}
@@ -91,7 +93,7 @@ def exact_dedup(spark: SparkSession, path: str, checkpoint: str | None = None, i
     table = spark.read.parquet(path)
     stream = arrivals(spark, path, table.schema)
     ledger = cut(absorb(spark, identified(stream, id_col, text_col), checkpoint or fresh_path(spark, "state")), "ledger")
-    rows = identified(table, id_col, text_col)
+    rows = cut(identified(table, id_col, text_col), "digests")
 
     # Groups of two and more, without the keepers themselves: the hits.
     groups = ledger.where("group_size > 1").withColumnRenamed("text_sha256", "digest")
@@ -103,9 +105,10 @@ def exact_dedup(spark: SparkSession, path: str, checkpoint: str | None = None, i
     )
     # The keeper's bytes meet those of its hits on the digest: one row of a digest on one side, so
     # the side with the copies can be split however many there are.
-    keeper = hits.select("digest", "keeper.file", "keeper.row").distinct().join(texts, ["file", "row"])
+    # The texts stream past hashed locators, so they are shuffled once and never sorted.
+    keeper = texts.join(hits.select("digest", "keeper.file", "keeper.row").distinct().hint("shuffle_hash"), ["file", "row"])
     keeper = keeper.select("digest", F.col("bytes").alias("kept_bytes"))
-    hit = hits.select("id", "file", "row", "digest").join(texts, ["file", "row"])
+    hit = texts.join(hits.select("file", "row", "digest").hint("shuffle_hash"), ["file", "row"])
     broken = cut(
         hit.join(keeper, "digest").where(F.col("bytes") != F.col("kept_bytes")).select("file", "row", F.lit(True).alias("differs")),
         "collisions",
