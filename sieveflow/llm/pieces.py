@@ -21,6 +21,8 @@ class Vocabulary:
     unknown: float
     longest: int
     surface: dict[int, bytes] = field(repr=False, default_factory=dict)
+    #: Every prefix of an ordinary piece: its (score, ids) if it is one itself, else None.
+    prefixes: dict[str, tuple[float, tuple[int, ...]] | None] = field(repr=False, default_factory=dict)
 
 
 @lru_cache(maxsize=4)
@@ -42,8 +44,10 @@ def load(path: str = PIECE_FILE) -> Vocabulary:
         raise ValueError(f"{path} has no byte pieces")
     if any(SPACE in p.lstrip(SPACE) for p in ids):
         raise ValueError(f"{path} has pieces with a space after other characters")
+    prefixes: dict = {p[:i]: None for p in ids for i in range(1, len(p))}
+    prefixes |= {p: (scores[p], (i,)) for p, i in ids.items()}
     # A character outside the vocabulary costs ten more than the worst piece, as is usual for unknown pieces.
-    return Vocabulary(ids, scores, tuple(by[i] for i in range(256)), min(scores.values()) - 10, max(map(len, ids)), surface)
+    return Vocabulary(ids, scores, tuple(by[i] for i in range(256)), min(scores.values()) - 10, max(map(len, ids)), surface, prefixes)
 
 
 @lru_cache(maxsize=4)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_dedup, exact_dedup, line_dedup, lm_score, mixing, quality, secret_scan, simhash
+from . import embed_dedup, exact_dedup, line_dedup, lm_score, mixing, quality, secret_scan, sentpiece, simhash
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.embed_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentpiece.encode(_docs(spark, sf_dir))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
@@ -46,7 +50,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_embed_dedup, op3_mixing, op4_line_dedup, op5_exact_dedup, op7_lm_score, op8_simhash, op9_secret_scan, op10_quality)
+    every = (op1_embed_dedup, op2_sentencepiece, op3_mixing, op4_line_dedup, op5_exact_dedup, op7_lm_score, op8_simhash, op9_secret_scan, op10_quality)
     return {f.__name__: f for f in every}
 
 
