@@ -13,7 +13,7 @@ PIECE_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Ordinary pieces (piece -> id, id -> score), the 256 byte pieces, and the longest piece."""
+    """Ordinary pieces (piece -> id, piece -> score), the 256 byte pieces, the score of each of these, and the longest piece."""
 
     ids: dict[str, int]
     scores: dict[str, float]
@@ -31,23 +31,23 @@ def load(path: str = PIECE_FILE) -> Vocabulary:
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    ids, scores, by, surface = {}, {}, {}, {}
+    ids, ranks, by, surface = {}, {}, {}, {}
     for i in range(sp.get_piece_size()):
         piece = sp.id_to_piece(i)
         if sp.is_byte(i):
             by[int(piece[3:5], 16)] = i
             surface[i] = bytes([int(piece[3:5], 16)])
         elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
-            ids[piece], scores[piece] = i, float(sp.get_score(i))
+            ids[piece], ranks[piece] = i, -float(sp.get_score(i))
             surface[i] = piece.replace(SPACE, " ").encode()
     if len(by) != 256:
         raise ValueError(f"{path} has no byte pieces")
     if any(SPACE in p.lstrip(SPACE) for p in ids):
         raise ValueError(f"{path} has pieces with a space after other characters")
+    scores, byte = zipf(ids, ranks)
     prefixes: dict = {p[:i]: None for p in ids for i in range(1, len(p))}
     prefixes |= {p: (scores[p], (i,)) for p, i in ids.items()}
-    # A character outside the vocabulary costs ten more than the worst piece, as is usual for unknown pieces.
-    return Vocabulary(ids, scores, tuple(by[i] for i in range(256)), min(scores.values()) - 10, max(map(len, ids)), surface, prefixes)
+    return Vocabulary(ids, scores, tuple(by[i] for i in range(256)), byte, max(map(len, ids)), surface, prefixes)
 
 
 @lru_cache(maxsize=4)
@@ -55,10 +55,19 @@ def log_weights(path: str = PIECE_FILE) -> tuple[dict[str, float], float, int]:
     """Natural-log weights of pieces as a unigram vocabulary, the weight of a byte, the longest piece.
 
     The file ranks its pieces (its scores are minus the rank), so a piece of rank r weighs
-    1 / (r + 10), Zipf's law, with all 256 bytes after the last rank; weights sum to 1.
+    1 / (r + 10), Zipf's law.
     """
     v = load(path)
-    ranked = sorted(v.ids, key=lambda p: (-v.scores[p], v.ids[p]))
+    return v.scores, v.unknown, v.longest
+
+
+def zipf(ids: dict[str, int], ranks: dict[str, float]) -> tuple[dict[str, float], float]:
+    """Natural logs of 1 / (r + 10) for rank r, normalised; all 256 bytes come after the last rank.
+
+    They are rounded to 2^-20, so that sums of them are exact and don't depend on the order of adding.
+    """
+    ranked = sorted(ids, key=lambda p: (ranks[p], ids[p]))
     raw = [1 / (r + 10) for r in range(len(ranked) + 256)]
     total = math.fsum(raw)
-    return {p: math.log(w / total) for p, w in zip(ranked, raw, strict=False)}, math.log(raw[-1] / total), v.longest
+    log = lambda w: round(math.log(w / total) * 2**20) / 2**20
+    return {p: log(w) for p, w in zip(ranked, raw, strict=False)}, log(raw[-1])

@@ -11,9 +11,10 @@ document's N best are the N best sums of one segmentation per chunk, again by A*
 of the rest is its best: only the chunks with the smallest losses can take part.
 
 Characters outside the vocabulary, and U+2581 itself in a text, are spelled in byte pieces, so that
-decoding gives back every text. The vocabulary is a public file and is not trained; the scores are
-the file's. A file made for merges (its scores are minus the rank of each piece) is read as a unigram
-vocabulary, so the best segmentation need not be the one that merging would give.
+decoding gives back every text. The vocabulary is a public file and is not trained. The file's scores
+are minus the rank of each piece, as it was made for merges; read as a unigram vocabulary, a piece
+weighs the log of its share by Zipf's law, so the best segmentation need not be the one that merging
+would give.
 
 Cases: a null text has null pieces; an empty text has none; repeated rows are encoded each; a null
 doc_id is kept; extra columns are kept in :func:`encode` and never used, whatever their names; an
@@ -63,9 +64,10 @@ def lattice_nbest(chunk: str, v: pieces.Vocabulary, n: int) -> list[Best]:
         if prefixes.get(chunk[i]) is None:
             c = pieces.SPACE if chunk[i] == "\0" else chunk[i]
             spelled = tuple([v.bytes_[b] for b in c.encode("utf-8", "surrogatepass")])
-            into[i + 1].append((i, v.unknown, spelled))
-            if at + v.unknown > forward[i + 1]:
-                forward[i + 1] = at + v.unknown
+            s = v.unknown * len(spelled)
+            into[i + 1].append((i, s, spelled))
+            if at + s > forward[i + 1]:
+                forward[i + 1] = at + s
     found: list[Best] = []
     agenda = [(-forward[size], 0, (), size, 0.0)]
     while agenda and len(found) < n:
