@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_dedup, exact_dedup, line_dedup, lm_score, mixing, quality, secret_scan, sentpiece, simhash
+from . import embed_dedup, exact_dedup, line_dedup, lm_score, mixing, quality, secret_scan, sentpiece, sharding, simhash
+from .common import fresh_path
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +34,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(spark, f"{sf_dir}/documents.parquet")
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(spark, f"{sf_dir}/documents.parquet", fresh_path(spark, "shards"))
+
+
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_score(_docs(spark, sf_dir))
 
@@ -50,7 +55,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_embed_dedup, op2_sentencepiece, op3_mixing, op4_line_dedup, op5_exact_dedup, op7_lm_score, op8_simhash, op9_secret_scan, op10_quality)
+    every = (op1_embed_dedup, op2_sentencepiece, op3_mixing, op4_line_dedup, op5_exact_dedup, op6_sharding, op7_lm_score, op8_simhash, op9_secret_scan, op10_quality)
     return {f.__name__: f for f in every}
 
 
