@@ -100,6 +100,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
 
 
+def repeated(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """``docs`` as the mix takes them: each row as often as its copies say.
+
+    Rows that share an id get the least of their numbers of copies.
+    """
+    copies = mix(docs, id_col, **options).groupBy(F.col("doc_id").alias("mix_id")).agg(F.min("copies").alias("mix_copies"))
+    copies = cut(copies.where("mix_copies > 0"), "copies").hint("shuffle_hash")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    taken = docs.select(row, F.col(id_col).alias("own_id")).join(copies, F.col("own_id").eqNullSafe(F.col("mix_id")))
+    each = taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "mix_copies")))
+    return each.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def rounded(items: str, rate: str, most: float = MOST) -> Column:
     """Copies of each item (minus, doc_id) of a bucket, sorted from the largest: error diffusion."""
     start = F.struct(

@@ -183,6 +183,18 @@ def score(docs: DataFrame, trees: Trees, text_col: str = "text", keep: tuple[str
     return source.mapInArrow(run, f"{kinds}, s double").toDF(*keep, as_col)
 
 
+def accepted(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is at least ``threshold``, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.array([statistics(t.as_py()) for t in b.column(at)], float).reshape(b.num_rows, -1)
+            yield b.filter(pa.array(trees.score(x) >= threshold))
+
+    at = docs.columns.index(text_col)
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     scored = score(docs, train(docs, labels, sample))

@@ -112,3 +112,26 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = nodes.join(linked, "fp", "left").select("fp", "n_equal", F.coalesce("component_id", "rep").alias("component_id"))
     out = fps.join(named, "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_equal")
+
+
+#: Bound of the ids that are broadcast to take rows out; beyond it they meet the rows by a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def _within(ids: DataFrame) -> DataFrame:
+    return ids.hint("broadcast" if ids.count() <= BROADCAST_IDS else "shuffle_hash")
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the document with the least id.
+
+    Rows repeated with an id are one document and one of them stays. Rows without an id can't be told
+    from each other and stay.
+    """
+    found = cut(simhash_components(docs, id_col, text_col, shingle).where(F.col("doc_id").isNotNull()).select("doc_id", "component_id"), "components")
+    gone = cut(found.where("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    again = cut(found.groupBy(F.col("doc_id").alias("again_id")).count().where("count > 1").select("again_id"), "again")
+    stay = docs.join(_within(gone), F.col(id_col) == F.col("gone_id"), "left_anti")
+    repeated = _within(again)
+    once = stay.join(repeated, F.col(id_col) == F.col("again_id"), "left_anti")
+    return once.unionByName(stay.join(repeated, F.col(id_col) == F.col("again_id"), "left_semi").dropDuplicates([id_col]))
