@@ -8,11 +8,13 @@ Shorter lines always stay.
 2. One edit leaves the first or the last q characters of both lines as they are, for any q up to half
    of the shorter. Lines that share neither with any other line, for a q by length, can't have a
    neighbour and go no further. This is exact and takes out nearly all.
-3. What is left emits the hashes of all its variants with one character deleted. Lines of one length
+3. The same with 8 and then 64 blocks, of which one edit leaves all but one: lines go further only if
+   they share all but one block with another line of their length or one more or less.
+4. What is left emits the hashes of all its variants with one character deleted. Lines of one length
    that share a variant at the same place differ in that character alone (a substitution), so the
    earliest of each such group is found by a minimum, without pairs. A variant that equals another
    line is an insertion.
-4. The edit distance of each line to the earliest line found is verified before anything goes.
+5. The edit distance of each line to the earliest line found is verified before anything goes.
 
 Only hashes and places are shuffled up to the end, when each document meets its dropped places.
 
@@ -33,6 +35,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 MIN_CHARS = 20
+#: Blocks of a line in the second look and the third.
+BLOCKS = (8, 64)
 #: Bound of the rows that are broadcast to fetch lines; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -60,6 +64,20 @@ def _halves(line: str) -> Column:
     return F.array_distinct(F.array(*one(n), *one(shorter)))
 
 
+def _share_all_but_one(got: DataFrame, blocks: int) -> DataFrame:
+    """The rows of ``got`` (no, line, n) whose line shares all but one of its blocks with another's."""
+    # The pair's shorter line has m characters; without block i, a beginning and an end are left, which
+    # are those of the longer line too.
+    but_one = F.expr(
+        f"flatten(transform(array(n, n - 1), m -> transform(sequence(0, {blocks - 1}), i -> "
+        f"xxhash64(m, i, left(line, int(m * i div {blocks})), right(line, int(m - m * (i + 1) div {blocks}))))))"
+    )
+    keyed = got.select("no", F.explode(but_one).alias("k"))
+    met = keyed.groupBy("k").agg(F.count("*").alias("times")).where("times > 1").select("k")
+    kept = keyed.join(met, "k", "left_semi").select("no").distinct()
+    return got.join(kept, "no", "left_semi")
+
+
 def near_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(different lines, the digests of those that have an earlier neighbour). See the steps above."""
     spark = lines.sparkSession
@@ -82,6 +100,9 @@ def near_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     got = got.dropDuplicates(["h1", "h2"]).repartitionByRange("first").sortWithinPartitions("first")
     got = cut(got.select(F.monotonically_increasing_id().alias("no"), "h1", "h2", "line", F.length("line").alias("n"), F.xxhash64("line").alias("whole")), "lines")
 
+    for blocks in BLOCKS:
+        got = cut(_share_all_but_one(got, blocks), "close-lines")
+
     gone = F.expr("transform(sequence(1, n), i -> xxhash64(concat(left(line, i - 1), substring(line, i + 1))))")
     variants = got.select("no", "n", F.posexplode(gone).alias("at", "v"))
     groups = variants.groupBy("v", "at", "n").agg(F.min("no").alias("by"), F.max("no").alias("top"), F.count("*").alias("times")).where("times > 1")
