@@ -47,22 +47,30 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def log_marginal(word: str, weights: dict[str, float], byte: float, longest: int) -> float:
-    """ln of the summed weight of all segmentations of a space and ``word`` (forward recursion)."""
+def log_marginal(word: str, weights: dict[str, float | None], byte: float) -> float:
+    """ln of the summed weight of all segmentations of a space and ``word`` (forward recursion).
+
+    ``weights`` holds every prefix of a piece too, with None, so that a search ends where no piece goes on.
+    """
     s = pieces.SPACE + word
     n = len(s)
-    alpha = [0.0] + [-math.inf] * n
+    alpha = [-math.inf] * (n + 1)
+    alpha[0] = 0.0
+    log1p, exp = math.log1p, math.exp
     for i in range(n):
         a = alpha[i]
-        if a == -math.inf:
-            continue
         # Any character can be spelled in bytes, so each position is reached.
-        arcs = [(i + 1, a + byte * len(s[i].encode("utf-8", "surrogatepass")))]
-        for j in range(i + 1, min(n, i + longest) + 1):
-            if (w := weights.get(s[i:j])) is not None:
-                arcs.append((j, a + w))
-        for j, x in arcs:
-            alpha[j] = x if (b := alpha[j]) == -math.inf else _log_add(b, x)
+        x = a + byte * (1 if s[i] < "\x80" else len(s[i].encode("utf-8", "surrogatepass")))
+        b = alpha[i + 1]
+        alpha[i + 1] = x + log1p(exp(b - x)) if x > b else b + log1p(exp(x - b))
+        for j in range(i + 1, n + 1):
+            try:
+                w = weights[s[i:j]]
+            except KeyError:
+                break
+            if w is not None:
+                x, b = a + w, alpha[j]
+                alpha[j] = x + log1p(exp(b - x)) if x > b else b + log1p(exp(x - b))
     return alpha[n]
 
 
@@ -94,41 +102,56 @@ def count_words(docs: DataFrame, text_col: str = "text", train_col: str = "train
     return counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("c_all").alias("c_all"))
 
 
-def expected_pieces(word: str, weights: dict[str, float], byte: float, longest: int) -> tuple[float, list[tuple[str | None, int, float]]]:
-    """ln of the marginal and, for each arc, (piece or None for bytes, bytes, its posterior)."""
+def add_expected(word: str, weights: dict[str, float | None], byte: float, use: dict[str, float]) -> None:
+    """Add to ``use`` how often each piece is expected in the segmentations of a space and ``word``; bytes count under ''.
+
+    ``weights`` and ``byte`` are probabilities, not logs; forward and backward recursion. Each character
+    is scaled by ``_SCALE``, which is the same for all segmentations, so that long words stay in range.
+    """
     s = pieces.SPACE + word
     n = len(s)
+    a, b = [0.0] * (n + 1), [0.0] * (n + 1)
+    a[0] = b[n] = 1.0
     arcs = []
     for i in range(n):
-        size = len(s[i].encode("utf-8", "surrogatepass"))
-        arcs.append((i, i + 1, None, size, byte * size))
-        for j in range(i + 1, min(n, i + longest) + 1):
-            if (w := weights.get(s[i:j])) is not None:
-                arcs.append((i, j, s[i:j], 0, w))
-    if n <= 40:  # far from what a double can't hold
-        a, b = [1.0] + [0.0] * n, [0.0] * n + [1.0]
-        p = [math.exp(x[4]) for x in arcs]
-        for (i, j, *_), w in zip(arcs, p, strict=True):
-            a[j] += a[i] * w
-        for (i, j, *_), w in zip(reversed(arcs), reversed(p), strict=True):
-            b[i] += b[j] * w
-        z = a[n]
-        return math.log(z), [(k, size, a[i] * w * b[j] / z) for (i, j, k, size, _), w in zip(arcs, p, strict=True)]
-    a, b = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
-    for i, j, _, _, w in arcs:
-        a[j] = _log_add(a[j], a[i] + w)
-    for i, j, _, _, w in reversed(arcs):
-        b[i] = _log_add(b[i], b[j] + w)
-    return a[n], [(k, size, math.exp(a[i] + w + b[j] - a[n])) for i, j, k, size, w in arcs]
-
-
-def _log_add(x: float, y: float) -> float:
-    if x < y:
-        x, y = y, x
-    return x if y == -math.inf else x + math.log1p(math.exp(y - x))
-
-
-Weights = tuple[dict[str, float], float, int]
+        at = a[i]
+        size = 1 if s[i] < "\x80" else len(s[i].encode("utf-8", "surrogatepass"))
+        w = byte**size * _SCALE
+        arcs.append((i, i + 1, "", w, size))
+        a[i + 1] += at * w
+        scale = 1.0
+        for j in range(i + 1, n + 1):
+            scale *= _SCALE
+            try:
+                w = weights[k := s[i:j]]
+            except KeyError:
+                break
+            if w is not None:
+                w *= scale
+                arcs.append((i, j, k, w, 1))
+                a[j] += at * w
+    if not 1e-250 < a[n] < 1e250:  # several hundred odd characters: in halves
+        if n > 2:
+            add_expected(word[: n // 2], weights, byte, use), add_expected(word[n // 2 :], weights, byte, use)
+        return
+    b[n] = 1 / a[n]
+    for i, j, k, w, size in reversed(arcs):
+        x = w * b[j]
+        b[i] += x
+        x *= a[i] * size
+        use[k] = use.get(k, 0.0) + x
+
+
+#: About the inverse of the probability of a character.
+_SCALE = 12.0
+
+
+#: Logs of the pieces' weights and of a byte's.
+Weights = tuple[dict[str, float], float]
+
+
+def with_prefixes(weights: dict[str, float]) -> dict[str, float | None]:
+    return {p[:i]: None for p in weights for i in range(1, len(p))} | weights
 
 
 def adapt(words: DataFrame, start: Weights, stays: float = STAYS) -> Weights:
@@ -139,13 +162,12 @@ def adapt(words: DataFrame, start: Weights, stays: float = STAYS) -> Weights:
     sent = spark.sparkContext.broadcast(start)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, byte, longest = sent.value
+        logs, byte = sent.value
+        weights = {k: None if w is None else math.exp(w) for k, w in with_prefixes(logs).items()}
         use: dict[str, float] = {}
         for b in batches:
             for x in b.column(0).to_pylist():
-                for k, size, p in expected_pieces(x.decode("utf-8", "surrogatepass"), weights, byte, longest)[1]:
-                    k, p = ("", p * size) if k is None else (k, p)
-                    use[k] = use.get(k, 0.0) + p
+                add_expected(x.decode("utf-8", "surrogatepass"), weights, math.exp(byte), use)
         yield pa.RecordBatch.from_arrays([pa.array(list(use), pa.string()), pa.array(list(use.values()), pa.float64())], ["piece", "n"])
 
     trained = words.where((F.col("c") > 0) & (F.col("word") != F.lit(END))).select("word")
@@ -154,7 +176,7 @@ def adapt(words: DataFrame, start: Weights, stays: float = STAYS) -> Weights:
     if not (total := math.fsum(n.values())):
         return start
     mixed = lambda k, old, share=1.0: math.log((1 - stays) * n.get(k, 0.0) * share / total + stays * math.exp(old))
-    return {k: mixed(k, w) for k, w in start[0].items()}, mixed("", start[1], 1 / 256), start[2]
+    return {k: mixed(k, w) for k, w in start[0].items()}, mixed("", start[1], 1 / 256)
 
 
 def with_lattice(words: DataFrame, weights: Weights) -> DataFrame:
@@ -162,9 +184,10 @@ def with_lattice(words: DataFrame, weights: Weights) -> DataFrame:
     sent = words.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, byte, longest = sent.value
+        logs, byte = sent.value
+        w = with_prefixes(logs)
         for b in batches:
-            ln = [None if x == END else log_marginal(x.decode("utf-8", "surrogatepass"), w, byte, longest) for x in b.column(0).to_pylist()]
+            ln = [None if x == END else log_marginal(x.decode("utf-8", "surrogatepass"), w, byte) for x in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ln, pa.float64())], ["word", "c", "c_all", "lattice"])
 
     return words.mapInArrow(run, "word binary, c long, c_all long, lattice double")

@@ -51,14 +51,14 @@ def load(path: str = PIECE_FILE) -> Vocabulary:
 
 
 @lru_cache(maxsize=4)
-def log_weights(path: str = PIECE_FILE) -> tuple[dict[str, float], float, int]:
-    """Natural-log weights of pieces as a unigram vocabulary, the weight of a byte, the longest piece.
+def log_weights(path: str = PIECE_FILE) -> tuple[dict[str, float], float]:
+    """Natural-log weights of pieces as a unigram vocabulary, and that of a byte.
 
     The file ranks its pieces (its scores are minus the rank), so a piece of rank r weighs
     1 / (r + 10), Zipf's law.
     """
     v = load(path)
-    return v.scores, v.unknown, v.longest
+    return v.scores, v.unknown
 
 
 def zipf(ids: dict[str, int], ranks: dict[str, float]) -> tuple[dict[str, float], float]:
