@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_dedup, exact_dedup, line_dedup, lm_score, mixing, quality, secret_scan, sentpiece, sharding, simhash
+from . import embed_dedup, exact_dedup, line_dedup, lm_score, mixing, oracles, quality, secret_scan, sentpiece, sharding, simhash
 from .common import fresh_path
 
 
@@ -59,16 +59,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in every}
 
 
-OP5 = r"""
-WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
-SELECT doc_id,
-       min(doc_id) OVER g AS keep_id,
-       CAST(count(*) OVER g AS BIGINT) AS group_size,
-       doc_id = min(doc_id) OVER g AS kept,
-       sha256(body) AS text_sha256
-FROM t WINDOW g AS (PARTITION BY body)
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5}
+    return oracles.oracle_sql()
