@@ -338,29 +338,32 @@ def virtual_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS src, -l_suppkey AS dst FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 1),
+    """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS src, -l_suppkey AS dst FROM lineitem),
     b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r AS (SELECT min(src) AS node FROM e UNION SELECT b.dst FROM r JOIN b ON r.node = b.src)
     SELECT CAST(node AS BIGINT) AS node FROM r WHERE node IS NOT NULL"""
 )
 def callgraph_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _t(spark, sf_dir, "lineitem").where((F.col("l_quantity") == 50) & (F.col("l_linenumber") == 1))
-    e = e.select(F.col("l_partkey").alias("src"), (-F.col("l_suppkey")).alias("dst")).distinct()
+    """What the part of the least key is joined to by parts and suppliers of the same line items."""
+    e = _t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (-F.col("l_suppkey")).alias("dst")).distinct()
     start = e.agg(F.min("src").alias("node")).where("node is not null")
     return graph.reach(graph.undirected(e), start).select("node")
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS src, o_custkey * 7 % 1000 AS dst FROM orders WHERE o_custkey % 5 <> 3),
-    r AS (SELECT DISTINCT CAST(c_custkey AS BIGINT) AS node FROM customer WHERE c_nationkey = 3 AND c_custkey % 11 <> 0
-          UNION SELECT CAST(e.dst AS BIGINT) FROM r JOIN e ON r.node = e.src WHERE e.dst % 11 <> 0)
-    SELECT node FROM r"""
+    """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS src, -l_suppkey AS dst FROM lineitem WHERE l_returnflag = 'R'
+      UNION SELECT DISTINCT -l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'A'),
+    clean AS (SELECT -s_suppkey AS node FROM supplier WHERE s_acctbal < 0),
+    r AS (SELECT p_partkey AS node FROM part WHERE p_size = 1 UNION SELECT e.dst FROM r JOIN e ON r.node = e.src WHERE e.dst NOT IN (SELECT node FROM clean))
+    SELECT CAST(node AS BIGINT) AS node FROM r"""
 )
 def taint_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _t(spark, sf_dir, "orders").where("o_custkey % 5 <> 3").select(F.col("o_custkey").cast("long").alias("src"), (F.col("o_custkey") * 7 % 1000).cast("long").alias("dst")).distinct()
-    c = _t(spark, sf_dir, "customer")
-    start = c.where("c_nationkey = 3").select(F.col("c_custkey").cast("long").alias("node"))
-    every = start.unionByName(o.select(F.col("dst").alias("node"))).unionByName(o.select(F.col("src").alias("node"))).distinct()
-    return graph.reach(o, start, every.where("node % 11 = 0")).select("node")
+    """From parts of size 1 over returned items to suppliers and over accepted ones to parts, past no supplier in debt."""
+    li = _t(spark, sf_dir, "lineitem")
+    part, supplier = F.col("l_partkey").cast("long"), (-F.col("l_suppkey")).cast("long")
+    e = li.where("l_returnflag = 'R'").select(part.alias("src"), supplier.alias("dst")).unionByName(li.where("l_returnflag = 'A'").select(supplier.alias("src"), part.alias("dst"))).distinct()
+    start = _t(spark, sf_dir, "part").where("p_size = 1").select(F.col("p_partkey").cast("long").alias("node"))
+    clean = _t(spark, sf_dir, "supplier").where("s_acctbal < 0").select((-F.col("s_suppkey")).cast("long").alias("node"))
+    return graph.reach(e, start, clean).select("node")
 
 
 @query(
@@ -392,13 +395,15 @@ def cfg_successor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT DISTINCT CAST(ps.l_suppkey AS BIGINT) AS caller, CAST(ps.l_suppkey * 3 % 101 AS BIGINT) AS callee FROM lineitem ps),
-    r AS (SELECT CAST(7 AS BIGINT) AS node UNION SELECT e.caller FROM r JOIN e ON e.callee = r.node) SELECT node FROM r"""
+    """WITH RECURSIVE e AS (SELECT DISTINCT CAST(o_custkey AS BIGINT) AS caller, CAST(-l_suppkey AS BIGINT) AS callee FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+    r AS (SELECT CAST(-s_suppkey AS BIGINT) AS node FROM supplier WHERE s_nationkey = 3 UNION SELECT e.caller FROM r JOIN e ON e.callee = r.node) SELECT node FROM r"""
 )
 def call_return_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.col("l_suppkey").cast("long")
-    e = _t(spark, sf_dir, "lineitem").select(s.alias("src"), (s * 3 % 101).alias("dst")).distinct()
-    return graph.propagate(e, spark.createDataFrame([(7,)], "node long"))
+    """Customers that "call" a supplier of a nation are marked with it."""
+    j = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    e = j.select(F.col("o_custkey").cast("long").alias("src"), (-F.col("l_suppkey")).cast("long").alias("dst")).distinct()
+    seeds = _t(spark, sf_dir, "supplier").where("s_nationkey = 3").select((-F.col("s_suppkey")).cast("long").alias("node"))
+    return graph.propagate(e, seeds)
 
 
 @query(
