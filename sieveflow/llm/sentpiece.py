@@ -5,8 +5,8 @@ text. Forward, Viterbi scores give the best score of every prefix; backward from
 partial segmentations in the order of what they have plus the forward score of what is left, which is
 exact, so the N best come out in order and nothing else is finished.
 
-No piece goes across a space from its left side, nor across a character that only occurs alone, so
-the lattice falls apart into chunks (about a word each). Their N best are sought once and kept, and a
+No piece goes across a space from its left side, across a line's end, or from a letter to punctuation,
+so the lattice falls apart into chunks (a word or punctuation). Their N best are sought once and kept, and a
 document's N best are the N best sums of one segmentation per chunk, again by A*, where the heuristic
 of the rest is its best: only the chunks with the smallest losses can take part.
 
@@ -19,15 +19,17 @@ would give.
 Cases: a null text has null pieces; an empty text has none; repeated rows are encoded each; a null
 doc_id is kept; extra columns are kept in :func:`encode` and never used, whatever their names; an
 empty table gives no rows; texts are encoded whole, in chunks, and no chunk's agenda outgrows its
-arcs times N. Equal scores are ordered by fewer pieces and then by the pieces' ids.
+arcs times N. Of equal scores the search's first comes first, which is the same in every run.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+import string
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,7 @@ from . import pieces
 
 N_BEST = 3
 #: Chunks kept by a worker, in each of two generations.
-_KEPT = 250_000
+_KEPT = 280_000
 
 Best = tuple[float, tuple[int, ...]]
 
@@ -69,37 +71,110 @@ def lattice_nbest(chunk: str, v: pieces.Vocabulary, n: int) -> list[Best]:
             if at + s > forward[i + 1]:
                 forward[i + 1] = at + s
     found: list[Best] = []
-    agenda = [(-forward[size], 0, (), size, 0.0)]
+    # (minus the score of the best completion, where it stands, a number, the score so far, what follows)
+    # Among equals the one nearest to the beginning goes on, or ties in a long run would all be kept open.
+    agenda: list[tuple] = [(-forward[size], size, 0, 0.0, None)]
+    pushed = 0
     while agenda and len(found) < n:
-        _, _, tail, end, have = heapq.heappop(agenda)
+        _, end, _, have, path = heapq.heappop(agenda)
         if end == 0:
-            found.append((have, tail))
+            ids_: list[int] = []
+            while path:
+                own, path = path
+                ids_ += own
+            found.append((have, tuple(ids_)))
             continue
-        for start, s, ids_ in into[end]:
-            whole = ids_ + tail
-            heapq.heappush(agenda, (-(have + s + forward[start]), len(whole), whole, start, have + s))
+        for start, s, own in into[end]:
+            pushed += 1
+            heapq.heappush(agenda, (-(have + s + forward[start]), start, pushed, have + s, (own, path)))
     return found
 
 
+def best_and_loss(chunk: str, v: pieces.Vocabulary) -> tuple[float, tuple[int, ...], float]:
+    """Score and ids of the best segmentation, and what the second best loses against it.
+
+    The second best has an end of the best, then another piece before it, then the best of what is left:
+    the smallest loss among the pieces that end where one of the best path's ends, but for these.
+    """
+    size = len(chunk)
+    prefixes, missing = v.prefixes, _MISSING
+    forward, second = [0.0] + [-1e300] * size, [-1e300] * (size + 1)
+    back: list = [None] * (size + 1)
+    for i in range(size):
+        at = forward[i]
+        get = prefixes.get
+        j = i + 1
+        x = get(chunk[i], missing)
+        if x is missing or x is None:
+            c = pieces.SPACE if chunk[i] == "\0" else chunk[i]
+            spelled = tuple([v.bytes_[b] for b in c.encode("utf-8", "surrogatepass")])
+            t = at + v.unknown * len(spelled)
+            if t > forward[j]:
+                second[j], forward[j], back[j] = forward[j], t, (i, spelled)
+            elif t > second[j]:
+                second[j] = t
+        while x is not missing:
+            if x is not None:
+                t = at + x[0]
+                if t > forward[j]:
+                    second[j] = forward[j]
+                    forward[j] = t
+                    back[j] = (i, x[1])
+                elif t > second[j]:
+                    second[j] = t
+            if j == size:
+                break
+            j += 1
+            x = get(chunk[i:j], missing)
+    parts: list[tuple[int, ...]] = []
+    loss, end = 1e300, size
+    while end:
+        if (d := forward[end] - second[end]) < loss:
+            loss = d
+        end, own = back[end]
+        parts.append(own)
+    ids = tuple([i for own in reversed(parts) for i in own])
+    return forward[size], ids, loss if loss < 1e299 else np.inf
+
+
+_MISSING = object()
+
+
+def cuts(v: pieces.Vocabulary) -> re.Pattern:
+    """What a chunk is: spaces and a run without ASCII punctuation, or spaces, punctuation and such a run.
+
+    No piece has another character before punctuation, but for a few (quotes and the like, found here),
+    after which there is no cut.
+    """
+    marks = set(string.punctuation)
+    joined = {p[i - 1] for p in v.ids for i in range(1, len(p)) if p[i] in marks and p[i - 1] not in marks and p[i - 1] != pieces.SPACE}
+    m = re.escape(string.punctuation)
+    goes_on = f"(?:(?<=[{re.escape(''.join(sorted(joined)))}])[{m}]+[^ \n{m}]*)*" if joined else ""
+    return re.compile(f" *(?:[^ \n{m}]+|[{m}]+[^ \n{m}]*){goes_on}|\n| +")
+
+
 class Encoder:
     """Segments texts with a vocabulary; keeps the chunks that it has met in two generations."""
 
     def __init__(self, path: str, n: int):
         self.v, self.n = pieces.load(path), n
-        multi = [p for p in self.v.ids if len(p) > 1]
-        if any("\n" in p for p in multi):
+        if any("\n" in p for p in self.v.ids if len(p) > 1):
             raise ValueError("a piece goes across lines")
-        self.new: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
-        self.cut = re.compile(r" *[^ \n]+|\n| +")
+        # chunk -> loss of the second best (8 bytes) and the best's ids (4 bytes each), as one small object
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.cut = cuts(self.v)
         self.surface = [self.v.surface.get(i, b"") for i in range(max(self.v.surface) + 1)]
+        self.weight = np.full(len(self.surface), self.v.unknown)
+        self.weight[list(self.v.ids.values())] = [self.v.scores[p] for p in self.v.ids]
 
-    def chunk(self, c: str) -> tuple:
-        """(ids as bytes, score, pieces, loss of the second best, the best segmentations)."""
+    def chunk(self, c: str) -> bytes:
         if (x := self.old.get(c)) is None:
-            best = lattice_nbest(c.replace(pieces.SPACE, "\0").replace(" ", pieces.SPACE), self.v, min(self.n, 2))
-            loss = best[0][0] - best[1][0] if len(best) > 1 else np.inf
-            x = (np.array(best[0][1], np.int32).tobytes(), best[0][0], len(best[0][1]), loss)
+            spaced = c.replace(pieces.SPACE, "\0").replace(" ", pieces.SPACE)
+            _, ids, loss = best_and_loss(spaced, self.v)
+            if not loss:  # equally good ones have an order, which the search keeps
+                ids = lattice_nbest(spaced, self.v, 1)[0][1]
+            x = pack(f"<d{len(ids)}i", loss, *ids)
         if len(self.new) >= _KEPT:
             self.old, self.new = self.new, {}
         self.new[c] = x
@@ -110,23 +185,22 @@ class Encoder:
         if not text:
             return np.zeros(0, np.int32), [(0.0, 0, ())], []
         chunks = self.cut.findall(" " + text)
-        known, get = self.new, self.new.get
-        got = []
-        for c in chunks:
-            x = get(c)
-            if x is None:
-                x = self.chunk(c)
-                if known is not self.new:
-                    known, get = self.new, self.new.get
-            got.append(x)
-        raw, scores, counts, losses = zip(*got, strict=True)
-        ids = np.frombuffer(b"".join(raw), np.int32)
-        return ids, self.combine(chunks, float(sum(scores)), sum(counts), losses), chunks
-
-    def combine(self, chunks: list[str], score: float, count: int, losses: tuple[float, ...]) -> list:
+        got = list(map(self.new.get, chunks))
+        if None in got:
+            got = [x or self.new.get(c) or self.chunk(c) for x, c in zip(got, chunks, strict=True)]
+        raw = np.frombuffer(b"".join(got), np.int32)
+        ends = np.cumsum(np.fromiter(map(len, got), np.int64, len(got)) // 4)
+        heads = np.concatenate([[0], ends[:-1]])
+        losses = np.stack([raw[heads], raw[heads + 1]], axis=1).view(np.float64).ravel()
+        stay = np.ones(len(raw), bool)
+        stay[heads] = stay[heads + 1] = False
+        ids = raw[stay]
+        return ids, self.combine(chunks, float(self.weight[ids].sum()), len(ids), losses), chunks
+
+    def combine(self, chunks: list[str], score: float, count: int, losses: np.ndarray) -> list:
         """A* over the chunks: each of the n - 1 smallest losses may be taken, nothing else can be among the n best."""
         n = self.n
-        least = heapq.nsmallest(n - 1, range(len(losses)), key=losses.__getitem__) if n > 1 else []
+        least = np.argsort(losses, kind="stable")[: n - 1].tolist()
         options = []
         for k in sorted(k for k in least if losses[k] < np.inf):
             best = lattice_nbest(chunks[k].replace(pieces.SPACE, "\0").replace(" ", pieces.SPACE), self.v, n)
