@@ -61,8 +61,13 @@ def hits(t: Tables, rules: RuleSet, aliases: bool = False) -> DataFrame | None:
     parts = [p.withColumn("severity", F.lit(None).cast("string")) for p in parts]
     if found := rules.of(Taint):
         symbols = code.symbols(t.files)
-        paths = graph.taint_paths(code.dfg_nodes(t.files), code.dfg_edges(t.files), symbols)
-        got = taint.taint_hits(taint.taint_captures(t.files, found), symbols, paths)
+        points, edges = code.dfg_nodes(t.files), code.dfg_edges(t.files)
+        paths = graph.taint_paths(points, edges, symbols)
+        # Only PHP sinks are also joined by the names that a symbol leads to.
+        php = any(r.applies("php") for _, r in found)
+        of_php = t.files.where("file_type = 'php'").select("file_path")
+        direct = graph.flows_to_names(*(x.join(of_php, "file_path", "left_semi") for x in (points, edges, symbols))) if php else None
+        got = taint.taint_hits(taint.taint_captures(t.files, found), symbols, paths, direct)
         named = [(i, r) for i, r in found if r.sources and r.sinks]
         if named:
             joined = taint.names_flow(named, graph.call_edges(t.tree, corpus.lines(t.files)))

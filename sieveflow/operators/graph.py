@@ -193,6 +193,34 @@ def taint_paths(dfg_nodes: DataFrame, dfg_edges: DataFrame, symbols: DataFrame)
     return g.mapInPandas(run, "file_path string, path array<long>")
 
 
+def flows_to_names(dfg_nodes: DataFrame, dfg_edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """file_path, sym, var: the names that a symbol's definition leads to, in each file."""
+    n = dfg_nodes.groupBy("file_path").agg(F.collect_list(F.struct("id", "name")).alias("nodes"))
+    e = dfg_edges.where("edge_type = 'flow'").groupBy("file_path").agg(F.collect_list(F.struct("src", "dst")).alias("edges"))
+    s = symbols.where("def is not null").groupBy("file_path").agg(F.collect_list(F.struct("name", "def")).alias("syms"))
+    g = n.join(s, "file_path").join(e, "file_path", "left")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for file, nodes, syms, edges in zip(b.file_path, b.nodes, b.syms, b.edges, strict=True):
+                name = {x["id"]: x["name"] for x in nodes}
+                ahead: dict[int, list[int]] = {}
+                for x in edges if edges is not None else ():
+                    ahead.setdefault(x["src"], []).append(x["dst"])
+                for s in syms:
+                    seen, queue = {s["def"]}, deque([s["def"]])
+                    while queue:
+                        for d in ahead.get(queue.popleft(), ()):
+                            if d not in seen:
+                                seen.add(d)
+                                queue.append(d)
+                    rows += {(file, s["name"].lstrip("$"), name[i].lstrip("$")) for i in seen if i in name}
+            yield pd.DataFrame(rows, columns=["file_path", "sym", "var"])
+
+    return g.mapInPandas(run, "file_path string, sym string, var string")
+
+
 def link_nodes(dfg_nodes: DataFrame, dfg_edges: DataFrame, source: str, target: str) -> DataFrame:
     """``dfg_edges`` with an edge from every node named ``source`` to every one named ``target`` of its file."""
     a = dfg_nodes.where(F.col("name") == source).select("file_path", F.col("id").alias("src"))
