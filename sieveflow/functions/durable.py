@@ -39,3 +39,13 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt over all cores if its scan has fewer tasks than there are cores.
+
+    A small table is often one row group of one file and so one task, whatever is done with its texts.
+    A table that already fills the cores is left alone, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sieveflow.engine import analyze
 from sieveflow.functions import scalar as S
+from sieveflow.functions.durable import spread
 from sieveflow.operators import cache, graph, jsonpath, post, text, tree
 from sieveflow.rules.model import JsonPathEq, JsonPathRegex, Rule, RuleSet, Scan, TextRegex, TextRegexMulti
 from sieveflow.sinks import report
@@ -47,7 +48,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.from_table(_t(spark, sf_dir, "documents"), "doc_id", "text", F.col("lang"), "all rights reserved")
+    return corpus.from_table(spread(_t(spark, sf_dir, "documents"), "doc_id"), "doc_id", "text", F.col("lang"), "all rights reserved")
 
 
 #: The rules that the queries over documents use.
