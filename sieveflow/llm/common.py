@@ -1,52 +1,19 @@
-"""Shared pieces of the training-data operators: durable cuts of lineage, connected components."""
+"""Shared pieces of the training-data operators: words, hold-out rules, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zlib
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sieveflow.functions.durable import cut, fresh_path, shared_dir
+
+__all__ = ["SPACES", "WORDS", "connected_components", "crc_remainder", "cut", "fresh_path", "shared_dir", "text_or_empty"]
+
 #: Characters that separate words in every contract of this subpackage.
 SPACES = r"[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    ``spark.checkpoint.dir`` names it on a cluster. Only where it is unset, as in tests on one
-    machine, a temporary folder is made.
-    """
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="sieveflow-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/sieveflow/{tag}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = fresh_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
@@ -57,10 +24,6 @@ def crc_remainder(doc_id: str | Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def crc_remainder_py(doc_id: object, modulus: int) -> int:
-    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % modulus
-
-
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph: ``node``, ``component`` (its least node).
 

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sieveflow.functions.durable import fresh_path, spread
+
 from . import embed_dedup, exact_dedup, line_dedup, lm_score, mixing, oracles, quality, secret_scan, sentpiece, sharding, simhash
-from .common import fresh_path
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
 
 
 def op1_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
