@@ -114,6 +114,174 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_equal")
 
 
+# Similarity of 0.8 and more: long fingerprints
+
+#: Words of a shingle, bits of a fingerprint, bits of a block and bits that may differ. Two texts of
+#: which 0.8 of all different shingles are common differ in about 78 of 512 bits.
+LONG_SHINGLE, LONG_BITS, LONG_BLOCK, LONG_APART, SIMILAR = 5, 512, 16, 88, 0.8
+#: Rows this near to a bucket's first are its copies beyond doubt and need no other partner there.
+_CLOSE = 60
+#: Members of a bucket beyond which it is dealt over several tasks, its least member in each.
+HOT_BUCKET = 20_000
+_ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
+
+
+def shingle_hashes(text: str | None, shingle: int = LONG_SHINGLE) -> np.ndarray:
+    """Hashes of the different word shingles, A-Z lower-cased; the whole of a shorter text is one."""
+    ws = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not ws:
+        return np.zeros(0, np.uint64)
+    parts = set(map(b" ".join, zip(*(ws[i:] for i in range(shingle)), strict=False))) or {b" ".join(ws)}
+    h = xxhash.xxh64_intdigest
+    return np.fromiter((h(p, SEED) for p in parts), np.uint64, len(parts))
+
+
+def long_fingerprint(text: str | None, shingle: int = LONG_SHINGLE) -> bytes:
+    """SimHash of the different word shingles in eight words of 64 bits."""
+    base = shingle_hashes(text, shingle)
+    if not (n := len(base)):
+        return bytes(LONG_BITS // 8)
+    counts = np.zeros(LONG_BITS, np.int64)
+    for at in range(0, n, 255 * 32):
+        x = base[at : at + 255 * 32, None] * _ODD[None, :]  # wraps
+        x ^= x >> np.uint64(29)
+        x *= _ODD[3]
+        x ^= x >> np.uint64(32)
+        bits = np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1)
+        for k in range(0, len(bits), 255):  # 255 rows at most add up within a byte
+            counts += bits[k : k + 255].sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > n).tobytes()
+
+
+def bucket_links(fp: np.ndarray, bucket: np.ndarray, apart: int = LONG_APART) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of links among rows sorted by ``bucket``; fp as (rows, words) of 64 bits.
+
+    First each row meets its bucket's first row, a few times over with what that leaves, so that a
+    large group of near copies is linked to one of them and makes no pairs. What is left is compared
+    in all pairs of its bucket, by growing offsets.
+    """
+    bits = lambda i, j: np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64)
+    near = lambda i, j: bits(i, j) <= apart
+    left, right, rows = [], [], np.arange(len(fp))
+    for _ in range(3):
+        b = bucket[rows]
+        first = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(rows) else rows
+        size = np.diff(np.r_[first, len(rows)])
+        lead = np.repeat(rows[first], size)
+        away = bits(rows, lead)
+        hit = (rows != lead) & (away <= apart)
+        copies = hit & (away <= _CLOSE)
+        # Only where there are many copies is there a group to thin out.
+        thin = np.repeat(np.add.reduceat(copies, first, dtype=np.int64) > 8, size) if len(rows) else hit
+        if not thin.any():
+            break
+        hit &= thin
+        left.append(lead[hit]), right.append(rows[hit])
+        rows = rows[~(copies & thin) & ~((rows == lead) & thin)]
+    d, i = 1, rows
+    at = np.arange(len(rows))
+    while len(at):
+        at = at[at + d < len(rows)]
+        at = at[bucket[rows[at]] == bucket[rows[at + d]]]
+        i, j = rows[at], rows[at + d]
+        hit = near(i, j)
+        left.append(i[hit]), right.append(j[hit])
+        d += 1
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def similar_pairs(docs: DataFrame, nodes: DataFrame, edges: DataFrame, id_col: str, text_col: str, shingle: int, least: float) -> DataFrame:
+    """The edges whose texts have at least ``least`` of all their different shingles in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_hashes(t.as_py(), shingle).view(np.int64) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
+
+    met = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    met = cut(met.join(nodes.select("node", "rep"), "node").where("rep is not null"), "met")
+    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).cast("string").alias("text")).join(_within(met), "rep")
+    sets = cut(texts.select("node", "text").mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"]), "sets")
+    a = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
+    b = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
+    common = F.size(F.array_intersect("x", "y"))
+    alike = common / F.greatest(F.size("x") + F.size("y") - common, F.lit(1))
+    return edges.join(a, "a").join(b, "b").where(alike >= least).select("a", "b")
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = LONG_SHINGLE, apart: int = LONG_APART, least: float = SIMILAR) -> DataFrame:
+    """doc_id, component_id of documents 0.8 similar or more in their five-word shingles.
+
+    The fingerprint's 32 blocks are the join keys; two texts at 0.8 share one of them with a chance of
+    0.91, at 0.9 of 0.997. Hamming distance is verified in the bucket, and of what is left the share of
+    common shingles, so that no text goes for one that is less similar than ``least``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = pa.array([long_fingerprint(t.as_py(), shingle) for t in b.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), fps], ["doc_id", "fp"])
+
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    kind = source.schema["doc_id"].dataType.simpleString()
+    fps = cut(source.mapInArrow(run, f"doc_id {kind}, fp binary"), "long-fps")
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    nodes = cut(nodes.select(F.monotonically_increasing_id().alias("node"), "fp", "rep"), "long-nodes")
+
+    width = LONG_BLOCK // 8
+    blocks = F.array(*[F.struct(F.lit(i).alias("i"), F.substring("fp", i * width + 1, width).alias("k")) for i in range(LONG_BITS // LONG_BLOCK)])
+    keyed = nodes.select("node", "fp", F.explode(blocks).alias("b")).select("node", "fp", "b.i", "b.k")
+    sizes = keyed.select("i", "k", "node").groupBy("i", "k").agg(F.count("*").alias("n"), F.min("node").alias("least")).where(F.col("n") > HOT_BUCKET)
+    sizes = cut(sizes, "hot-buckets")
+    keyed = keyed.withColumn("salt", F.lit(0).cast("long"))
+    if not sizes.isEmpty():
+        # At most 32 / HOT_BUCKET of a row for each node.
+        hot = sizes.hint("broadcast" if sizes.count() <= 10_000 else "shuffle_hash")
+        deal = F.ceil(F.col("n") / F.lit(float(HOT_BUCKET))).cast("long")
+        every = F.when(F.col("n").isNull(), F.array(F.lit(0).cast("long"))).when(F.col("node") == F.col("least"), F.sequence(F.lit(0).cast("long"), deal - 1))
+        keyed = keyed.drop("salt").join(hot, ["i", "k"], "left").withColumn("salt", F.explode(F.coalesce(every, F.array(F.pmod(F.xxhash64("node"), deal)))))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keyed.select("node", "fp", "i", "k", "salt").repartition(parts, "i", "k", "salt").sortWithinPartitions("i", "k", "salt", "node")
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def found(some: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(some)
+            node = t["node"].to_numpy()
+            fp = np.frombuffer(b"".join(t["fp"].to_pylist()), np.uint64).reshape(len(node), -1)
+            key = np.frombuffer(b"".join(t["k"].to_pylist()), np.uint16).astype(np.int64) + (t["i"].to_numpy().astype(np.int64) << 16) + (t["salt"].to_numpy() << 24)
+            a, b = bucket_links(fp, key, apart)
+            return pa.RecordBatch.from_arrays([pa.array(node[a], pa.int64()), pa.array(node[b], pa.int64())], ["a", "b"])
+
+        # A bucket may go on in the next batch: what is compared ends where a bucket does.
+        for b in batches:
+            if not b.num_rows:
+                continue
+            same = lambda x, y: all(x.column(c)[-1].as_py() == y.column(c)[0].as_py() for c in (2, 3, 4))
+            if held and not same(held[-1], b):
+                yield found(held)
+                held = []
+            last = [b.column(c)[b.num_rows - 1].as_py() for c in (2, 3, 4)]
+            at = b.num_rows
+            while at and [b.column(c)[at - 1].as_py() for c in (2, 3, 4)] == last:
+                at -= 1
+            if at:
+                yield found([*held, b.slice(0, at)])
+                held = []
+            held.append(b.slice(at))
+        if held:
+            yield found(held)
+
+    edges = cut(dealt.mapInArrow(links, "a long, b long").distinct(), "near")
+    edges = similar_pairs(docs, nodes, edges, id_col, text_col, shingle, least)
+    groups = connected_components(edges, "a", "b")
+    lows = groups.join(nodes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("low"))
+    named = nodes.join(groups, "node", "left").join(lows, "component", "left").select("fp", F.coalesce("low", "rep").alias("component_id"))
+    return fps.join(named, "fp").select("doc_id", "component_id")
+
+
 #: Bound of the ids that are broadcast to take rows out; beyond it they meet the rows by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -122,13 +290,13 @@ def _within(ids: DataFrame) -> DataFrame:
     return ids.hint("broadcast" if ids.count() <= BROADCAST_IDS else "shuffle_hash")
 
 
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the document with the least id.
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: of each component of similar documents the one with the least id.
 
     Rows repeated with an id are one document and one of them stays. Rows without an id can't be told
     from each other and stay.
     """
-    found = cut(simhash_components(docs, id_col, text_col, shingle).where(F.col("doc_id").isNotNull()).select("doc_id", "component_id"), "components")
+    found = cut(similar_components(docs, id_col, text_col).where(F.col("doc_id").isNotNull()), "components")
     gone = cut(found.where("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
     again = cut(found.groupBy(F.col("doc_id").alias("again_id")).count().where("count > 1").select("again_id"), "again")
     stay = docs.join(_within(gone), F.col(id_col) == F.col("gone_id"), "left_anti")

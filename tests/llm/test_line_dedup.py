@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from sieveflow.llm import line_dedup as L
 
 from .helpers import LINE, docs, empty
@@ -32,7 +34,9 @@ def brute(table):
     return out
 
 
-def test_against_all_pairs(spark):
+@pytest.mark.parametrize("bound", [L.BROADCAST_ROWS, 0])
+def test_against_all_pairs(spark, monkeypatch, bound):
+    monkeypatch.setattr(L, "BROADCAST_ROWS", bound)
     rng = random.Random(3)
     lines = ["".join(rng.choice("ab ") for _ in range(rng.randint(18, 26))) for _ in range(60)]
 

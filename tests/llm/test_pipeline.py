@@ -9,11 +9,10 @@ from .test_mixing import targets
 
 def test_stages_against_plain_versions(spark, sf):
     """Each stage on its own input; the classifier's is what its operator says, the others are recomputed."""
-    from sieveflow.llm import quality
+    from sieveflow.llm import quality, simhash
     from sieveflow.llm.common import cut
 
     from .helpers import components
-    from .test_simhash import plain
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns = docs.columns
@@ -33,8 +32,12 @@ def test_stages_against_plain_versions(spark, sf):
     got = {r.doc_id: (r.text, r.n_chars) for r in seen[2].collect()}
     assert got == {i: (t, len(t)) for i, t in want.items() if t.strip() or i not in dropped}
 
-    fp = {r.doc_id: plain(r.text) for r in seen[2].collect()}
-    comp = components(sorted(fp), lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 2)
+    fp = {r.doc_id: simhash.long_fingerprint(r.text) for r in seen[2].collect()}
+    blocks = lambda a, b: any(a[k : k + 2] == b[k : k + 2] for k in range(0, 64, 2))
+    apart = lambda a, b: (int.from_bytes(a) ^ int.from_bytes(b)).bit_count()
+    sets = {r.doc_id: set(simhash.shingle_hashes(r.text).tolist()) for r in seen[2].collect()}
+    alike = lambda a, b: sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    comp = components(sorted(fp), lambda a, b: blocks(fp[a], fp[b]) and apart(fp[a], fp[b]) <= simhash.LONG_APART and alike(a, b))
     assert sorted(r.doc_id for r in seen[3].collect()) == sorted(i for i in comp if comp[i] == i)
 
     sizes: dict = {}

@@ -59,6 +59,65 @@ def test_pairs_in_small_and_full_buckets(spark):
         assert components(signed, lambda a, b, p=pairs: (a, b) in p or (b, a) in p) == want
 
 
+def test_long_fingerprints_part_by_similarity():
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+
+    def changed(k):
+        out = list(base)
+        for i in rng.sample(range(400), k):
+            out[i] = f"other{i}"
+        return out
+
+    sets = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    a = int.from_bytes(S.long_fingerprint(" ".join(base)))
+    for k in (1, 4, 6, 60, 120):
+        b = changed(k)
+        similar = len(sets(base) & sets(b)) / len(sets(base) | sets(b))
+        apart = (a ^ int.from_bytes(S.long_fingerprint(" ".join(b)))).bit_count()
+        assert (apart <= S.LONG_APART) == (similar >= 0.8), (similar, apart)
+    assert S.long_fingerprint("A b  c") == S.long_fingerprint("a b c") and S.long_fingerprint(None) == S.long_fingerprint(" \n") == bytes(64)
+
+
+def near_copies(seed=5):
+    """Groups of near copies, a large one among them, and unrelated texts."""
+    rng = random.Random(seed)
+    out = []
+    for g in range(40):
+        base = [f"w{rng.randrange(9000)}" for _ in range(rng.randint(120, 300))]
+        for _ in range(60 if g == 0 else rng.randint(1, 3)):
+            w = list(base)
+            for i in rng.sample(range(len(w)), rng.randint(0, 2)):
+                w[i] = f"x{rng.randrange(9000)}"
+            out.append((len(out), " ".join(w), g))
+    return out
+
+
+def test_groups_of_near_copies(spark, monkeypatch):
+    rows = near_copies()
+    want = {i: min(j for j, _, h in rows if h == g) for i, _, g in rows}
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    for hot in (S.HOT_BUCKET, 20):  # in the second the large group is dealt over several tasks
+        monkeypatch.setattr(S, "HOT_BUCKET", hot)
+        assert {r.doc_id: r.component_id for r in S.similar_components(df).collect()} == want
+
+
+def test_bucket_links_join_what_is_near():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, (12, 8), dtype=np.uint64)
+    rows = np.concatenate([base[k : k + 1].repeat(n, axis=0) for k, n in enumerate((1, 30, 2, 1, 5, 1, 1, 3, 40, 1, 1, 2))])
+    rows[:, 0] ^= rng.integers(0, 256, len(rows), dtype=np.uint64)  # up to eight bits
+    near = lambda i, j: int(np.bitwise_count(rows[i] ^ rows[j]).sum()) <= S.LONG_APART
+    for bucket in (np.zeros(len(rows), np.int64), np.arange(len(rows)) // 17):
+        i, j = S.bucket_links(rows, bucket)
+        assert all(near(a, b) and bucket[a] == bucket[b] for a, b in zip(i, j, strict=True))
+        pairs = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+        nodes = list(range(len(rows)))
+        assert components(nodes, lambda a, b, p=pairs: (a, b) in p) == components(nodes, lambda a, b, k=bucket: near(a, b) and k[a] == k[b])
+
+
 def test_one_of_each_group_stays(spark):
     df = docs(spark)
     got = S.one_of_each_group(df)
@@ -69,3 +128,5 @@ def test_one_of_each_group_stays(spark):
 
 def test_empty(spark):
     assert S.simhash_components(empty(spark)).collect() == []
+    assert S.similar_components(empty(spark)).collect() == []
+    assert S.one_of_each_group(empty(spark)).collect() == []
