@@ -153,11 +153,10 @@ def long_fingerprint(text: str | None, shingle: int = LONG_SHINGLE) -> bytes:
     return np.packbits(2 * counts > n).tobytes()
 
 
-def bucket_links(fp: np.ndarray, bucket: np.ndarray, apart: int = LONG_APART, block: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def bucket_links(fp: np.ndarray, bucket: np.ndarray, apart: int = LONG_APART) -> tuple[np.ndarray, np.ndarray]:
     """Positions of links among rows sorted by ``bucket``; fp as (rows, words) of 64 bits.
 
-    With ``block``, the number of each row's block, a link is told only at the first block that its
-    texts share, so not again in each of the others.
+    A link is told in each bucket that finds it: another that its texts share may have thinned one out.
 
     First each row meets its bucket's first row, a few times over with what that leaves, so that a
     large group of near copies is linked to one of them and makes no pairs. What is left is compared
@@ -191,12 +190,7 @@ def bucket_links(fp: np.ndarray, bucket: np.ndarray, apart: int = LONG_APART, bl
         left.append(i[hit]), right.append(j[hit])
         d += 1
     none = np.zeros(0, np.int64)
-    i, j = np.concatenate([none, *left]), np.concatenate([none, *right])
-    if block is not None and len(i):
-        parts = fp.view(np.uint16)
-        once = (parts[i] == parts[j]).argmax(axis=1) == block[i]
-        i, j = i[once], j[once]
-    return i, j
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
 def similar_pairs(docs: DataFrame, nodes: DataFrame, edges: DataFrame, id_col: str, text_col: str, shingle: int, least: float) -> DataFrame:
@@ -243,7 +237,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sizes = keyed.select("i", "k", "node").groupBy("i", "k").agg(F.count("*").alias("n"), F.min("node").alias("least")).where(F.col("n") > HOT_BUCKET)
     sizes = cut(sizes, "hot-buckets")
     keyed = keyed.withColumn("salt", F.lit(0).cast("long"))
-    if dealt_out := not sizes.isEmpty():
+    if not sizes.isEmpty():
         # At most 32 / HOT_BUCKET of a row for each node.
         hot = sizes.hint("broadcast" if sizes.count() <= 10_000 else "shuffle_hash")
         deal = F.ceil(F.col("n") / F.lit(float(HOT_BUCKET))).cast("long")
@@ -260,8 +254,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             node = t["node"].to_numpy()
             fp = np.frombuffer(b"".join(t["fp"].to_pylist()), np.uint64).reshape(len(node), -1)
             key = np.frombuffer(b"".join(t["k"].to_pylist()), np.uint16).astype(np.int64) + (t["i"].to_numpy().astype(np.int64) << 16) + (t["salt"].to_numpy() << 24)
-            # Two members of a bucket that is dealt out may not have met in it.
-            a, b = bucket_links(fp, key, apart, None if dealt_out else t["i"].to_numpy())
+            a, b = bucket_links(fp, key, apart)
             return pa.RecordBatch.from_arrays([pa.array(node[a], pa.int64()), pa.array(node[b], pa.int64())], ["a", "b"])
 
         # A bucket may go on in the next batch: what is compared ends where a bucket does.

@@ -118,6 +118,36 @@ def test_bucket_links_join_what_is_near():
         assert components(nodes, lambda a, b, p=pairs: (a, b) in p) == components(nodes, lambda a, b, k=bucket: near(a, b) and k[a] == k[b])
 
 
+def chains(seeds):
+    """Groups of more than eight copies with texts near to one of the copies at the rim; ``want`` by all pairs."""
+    out, want = [], {}
+    for seed in seeds:
+        rng = random.Random(seed)
+
+        def changed(words, k, rng=rng):
+            words = list(words)
+            for i in rng.sample(range(len(words)), k):
+                words[i] = f"x{rng.randrange(10**6)}"
+            return words
+
+        base = [f"w{rng.randrange(9000)}" for _ in range(300)]
+        group = [base] + [changed(base, rng.randint(1, 3)) for _ in range(12)]
+        group += [changed(rng.choice(group[1:13]), rng.randint(5, 7)) for _ in range(8)]
+        rng.shuffle(group)
+        sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in group]
+        at = len(out)
+        alike = lambda a, b, sets=sets, at=at: len(sets[a - at] & sets[b - at]) >= 0.8 * len(sets[a - at] | sets[b - at])
+        out += [(at + k, " ".join(w)) for k, w in enumerate(group)]
+        want |= components(list(range(at, len(out))), alike)
+    return out, want
+
+
+def test_chains_met_in_a_later_block(spark):
+    rows, want = chains((1, 57, 66, 74, 80, 89, 119))
+    got = S.similar_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+
+
 def test_one_of_each_group_stays(spark):
     df = docs(spark)
     got = S.one_of_each_group(df)
