@@ -119,10 +119,12 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 #: Words of a shingle, bits of a fingerprint, bits of a block and bits that may differ. Two texts of
 #: which 0.8 of all different shingles are common differ in about 78 of 512 bits.
 LONG_SHINGLE, LONG_BITS, LONG_BLOCK, LONG_APART, SIMILAR = 5, 512, 16, 88, 0.8
-#: Rows this near to a bucket's first are its copies beyond doubt and need no other partner there.
+#: Rows this near to a bucket's first are its copies: where they are many, they are thinned out.
 _CLOSE = 60
 #: Members of a bucket beyond which it is dealt over several tasks, its least member in each.
 HOT_BUCKET = 20_000
+#: Pairs that are compared at a time, to bound memory.
+_PAIRS = 1 << 17
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -160,7 +162,8 @@ def bucket_links(fp: np.ndarray, bucket: np.ndarray, apart: int = LONG_APART) ->
 
     First each row meets its bucket's first row, a few times over with what that leaves, so that a
     large group of near copies is linked to one of them and makes no pairs. What is left is compared
-    in all pairs of its bucket, by growing offsets.
+    with these copies, for a link to the nearest of them, and in all pairs of its bucket, by growing
+    offsets. So the components are those of all near pairs of a bucket.
     """
     bits = lambda i, j: np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64)
     near = lambda i, j: bits(i, j) <= apart
@@ -179,7 +182,19 @@ def bucket_links(fp: np.ndarray, bucket: np.ndarray, apart: int = LONG_APART) ->
             break
         hit &= thin
         left.append(lead[hit]), right.append(rows[hit])
-        rows = rows[~(copies & thin) & ~((rows == lead) & thin)]
+        gone = copies & thin
+        # A row that stays can be near a copy only if it is this near to the first.
+        rim = thin & ~gone & (rows != lead) & (away <= apart + _CLOSE)
+        for k in np.flatnonzero(np.logical_or.reduceat(rim, first)):
+            of = slice(first[k], first[k] + size[k])
+            c, r = rows[of][gone[of]], rows[of][rim[of]]
+            step = max(1, _PAIRS // len(c))
+            for some in (r[at : at + step] for at in range(0, len(r), step)):
+                d = np.bitwise_count(fp[some][:, None] ^ fp[c][None]).sum(axis=2, dtype=np.int64)
+                best = d.argmin(axis=1)
+                hit = d[np.arange(len(some)), best] <= apart
+                left.append(c[best[hit]]), right.append(some[hit])
+        rows = rows[~gone & ~((rows == lead) & thin)]
     d, i = 1, rows
     at = np.arange(len(rows))
     while len(at):

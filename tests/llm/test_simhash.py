@@ -118,6 +118,19 @@ def test_bucket_links_join_what_is_near():
         assert components(nodes, lambda a, b, p=pairs: (a, b) in p) == components(nodes, lambda a, b, k=bucket: near(a, b) and k[a] == k[b])
 
 
+def test_bucket_links_join_what_is_near_a_copy_only():
+    import numpy as np
+
+    first = np.zeros(64, np.uint8)
+    flipped = lambda fp, a, n: fp ^ np.packbits((np.arange(512) >= a) & (np.arange(512) < a + n))
+    copies = [flipped(first, 20 * k, 50) for k in range(12)]
+    rows = np.stack([first, *copies, flipped(copies[3], 400, 80), flipped(first, 300, 200)]).view(np.uint64)
+    i, j = S.bucket_links(rows, np.zeros(len(rows), np.int64))
+    pairs = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+    comp = components(list(range(len(rows))), lambda a, b: (a, b) in pairs)
+    assert comp == {k: 0 for k in range(14)} | {14: 14}
+
+
 def chains(seeds):
     """Groups of more than eight copies with texts near to one of the copies at the rim; ``want`` by all pairs."""
     out, want = [], {}
