@@ -140,7 +140,10 @@ def shingle_hashes(text: str | None, shingle: int = LONG_SHINGLE) -> np.ndarray:
 
 def long_fingerprint(text: str | None, shingle: int = LONG_SHINGLE) -> bytes:
     """SimHash of the different word shingles in eight words of 64 bits."""
-    base = shingle_hashes(text, shingle)
+    return _long_fingerprint(shingle_hashes(text, shingle))
+
+
+def _long_fingerprint(base: np.ndarray) -> bytes:
     if not (n := len(base)):
         return bytes(LONG_BITS // 8)
     counts = np.zeros(LONG_BITS, np.int64)
@@ -208,18 +211,10 @@ def bucket_links(fp: np.ndarray, bucket: np.ndarray, apart: int = LONG_APART) ->
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def similar_pairs(docs: DataFrame, nodes: DataFrame, edges: DataFrame, id_col: str, text_col: str, shingle: int, least: float) -> DataFrame:
-    """The edges whose texts have at least ``least`` of all their different shingles in common."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_hashes(t.as_py(), shingle).view(np.int64) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
-
-    met = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-    met = cut(met.join(nodes.select("node", "rep"), "node").where("rep is not null"), "met")
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).cast("string").alias("text")).join(_within(met), "rep")
-    sets = cut(texts.select("node", "text").mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"]), "sets")
+def similar_pairs(fps: DataFrame, edges: DataFrame, least: float) -> DataFrame:
+    """The edges (a, b) whose texts have at least ``least`` of all their different shingles in common."""
+    met = cut(edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct(), "met")
+    sets = cut(fps.select(F.col("row").alias("node"), "hashes").join(_within(met), "node"), "sets")
     a = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
     b = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
@@ -227,24 +222,125 @@ def similar_pairs(docs: DataFrame, nodes: DataFrame, edges: DataFrame, id_col: s
     return edges.join(a, "a").join(b, "b").where(alike >= least).select("a", "b")
 
 
+def _whole(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows, sorted by ``key`` (a long), in tables that end where a value of it does."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = b.column(key).to_numpy()
+        if held and held[-1].column(key)[-1].as_py() != k[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        at = int(np.searchsorted(k, k[-1]))
+        if at:
+            yield pa.Table.from_batches([*held, b.slice(0, at)])
+            held = []
+        held.append(b.slice(at))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def crossing_pairs(token: np.ndarray, comp: np.ndarray, size: np.ndarray, place: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of pairs of one token and different components that can reach ``least``; rows sorted by token, comp.
+
+    A pair's first common token is at ``place`` in both, so at most what follows there is common.
+    """
+    share = least / (1 + least)
+
+    def can(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        hit = np.minimum(size[i] - place[i], size[j] - place[j]) >= share * (size[i] + size[j]) - 1e-6
+        return i[hit], j[hit]
+
+    # The rows of one component in a token are a run, compared with all that comes after it in the token.
+    new = np.r_[True, (token[1:] != token[:-1]) | (comp[1:] != comp[:-1])]
+    start = np.flatnonzero(new)
+    end = np.r_[start[1:], len(token)]
+    ends = np.searchsorted(token, token, side="right")
+    last = end[np.cumsum(new) - 1]
+    many = ends - last
+    at = np.flatnonzero(many)
+    while len(at):
+        upto = max(1, int(np.searchsorted(np.cumsum(many[at]), _PAIRS, side="right")))
+        some, at = at[:upto], at[upto:]
+        if upto == 1:
+            i = int(some[0])
+            for lo in range(int(last[i]), int(ends[i]), _PAIRS):
+                j = np.arange(lo, min(lo + _PAIRS, int(ends[i])))
+                yield can(np.full(len(j), i), j)
+            continue
+        n = many[some]
+        i = np.repeat(some, n)
+        yield can(i, np.repeat(last[some] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(len(i)))
+
+
+def rest_pairs(fps: DataFrame, comps: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that may have ``least`` of their shingles in common: all such pairs.
+
+    A prefix join on shingles. With one order of all shingles, two texts of sizes m and n that have the
+    share in common meet among the first m - ceil(least * m) + 1 of one and the same of the other.
+    Shingles that only one component has can't be common and come first in the order, then the rarer
+    ones, so texts that are mostly their own are through with those; what meets has to be able to
+    reach the share by its places.
+    """
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = fps.select(F.col("row").alias("node"), "hashes").join(_within(comps), "node")
+    dealt = sets.select("node", "comp", F.explode("hashes").alias("token")).repartition(parts, "token").sortWithinPartitions("token")
+
+    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole(batches, "token"):
+            token, comp = t["token"].to_numpy(), t["comp"].to_numpy()
+            first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            n = np.diff(np.r_[first, len(token)])
+            keep = np.repeat(np.minimum.reduceat(comp, first) != np.maximum.reduceat(comp, first), n)
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(t["node"].to_numpy()[keep]), pa.array(token[keep]), pa.array(np.repeat(n, n)[keep])], ["node", "token", "times"])
+
+    shared = dealt.mapInArrow(common, "node long, token long, times long")
+    listed = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("l"))
+    sized = cut(listed, "shared-shingles").join(sets.select("node", "comp", F.size("hashes").alias("n")), "node")
+    needed, own = F.ceil(F.col("n") * F.lit(least) - 1e-6).cast("int"), F.col("n") - F.size("l")
+    sized = sized.where(F.size("l") >= needed).withColumn("own", own).withColumn("ahead", F.col("n") - needed + 1 - own)
+    places = sized.select("node", "comp", "n", "own", F.posexplode(F.slice("l", F.lit(1), F.col("ahead"))).alias("pos", "s"))
+    places = cut(places.select("node", "comp", "n", (F.col("own") + F.col("pos")).alias("place"), F.col("s.token").alias("token")), "prefixes")
+    met = places.repartition(parts, "token").sortWithinPartitions("token", "comp")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole(batches, "token"):
+            node = t["node"].to_numpy()
+            size, place = t["n"].to_numpy().astype(np.int64), t["place"].to_numpy().astype(np.int64)
+            for i, j in crossing_pairs(t["token"].to_numpy(), t["comp"].to_numpy(), size, place, least):
+                if len(i):
+                    both = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+    return cut(met.mapInArrow(pairs, "a long, b long").distinct(), "rest-pairs")
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = LONG_SHINGLE, apart: int = LONG_APART, least: float = SIMILAR) -> DataFrame:
     """doc_id, component_id of documents 0.8 similar or more in their five-word shingles.
 
     The fingerprint's 32 blocks are the join keys; two texts at 0.8 share one of them with a chance of
     0.91, at 0.9 of 0.997. Hamming distance is verified in the bucket, and of what is left the share of
     common shingles, so that no text goes for one that is less similar than ``least``.
+
+    The blocks find nearly all groups, at a low cost, but no block need be shared. So a join on shingles
+    finds all similar pairs of texts that are in different components by then, and none is missed.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = pa.array([long_fingerprint(t.as_py(), shingle) for t in b.column(1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), fps], ["doc_id", "fp"])
+            sets = [shingle_hashes(t.as_py(), shingle) for t in b.column(1)]
+            fps = pa.array([_long_fingerprint(s) for s in sets], pa.binary())
+            hashes = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), fps, hashes], ["doc_id", "fp", "hashes"])
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    fps = cut(source.mapInArrow(run, f"doc_id {kind}, fp binary"), "long-fps")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    nodes = cut(nodes.select(F.monotonically_increasing_id().alias("node"), "fp", "rep"), "long-nodes")
+    made = source.mapInArrow(run, f"doc_id {kind}, fp binary, hashes array<long>")
+    fps = cut(made.withColumn("row", F.monotonically_increasing_id()), "long-fps")
+    # A node is the first of the rows with its fingerprint; its shingles are that row's.
+    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("row").alias("node")), "long-nodes")
 
     width = LONG_BLOCK // 8
     blocks = F.array(*[F.struct(F.lit(i).alias("i"), F.substring("fp", i * width + 1, width).alias("k")) for i in range(LONG_BITS // LONG_BLOCK)])
@@ -292,11 +388,15 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield found(held)
 
     edges = cut(dealt.mapInArrow(links, "a long, b long").distinct(), "near")
-    edges = similar_pairs(docs, nodes, edges, id_col, text_col, shingle, least)
+    edges = cut(similar_pairs(fps, edges, least), "similar")
     groups = connected_components(edges, "a", "b")
+    comps = cut(nodes.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("comp")), "comps")
+    rest = cut(similar_pairs(fps, rest_pairs(fps, comps, least), least), "rest")
+    if not rest.isEmpty():
+        groups = connected_components(edges.unionByName(rest), "a", "b")
     lows = groups.join(nodes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("low"))
     named = nodes.join(groups, "node", "left").join(lows, "component", "left").select("fp", F.coalesce("low", "rep").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "component_id")
+    return fps.select("doc_id", "fp").join(named, "fp").select("doc_id", "component_id")
 
 
 #: Bound of the ids that are broadcast to take rows out; beyond it they meet the rows by a shuffle.

@@ -161,6 +161,12 @@ def test_chains_met_in_a_later_block(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == want
 
 
+def test_components_are_those_of_all_similar_pairs(spark):
+    rows, want = chains(range(30))
+    got = S.similar_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+
+
 def test_one_of_each_group_stays(spark):
     df = docs(spark)
     got = S.one_of_each_group(df)
