@@ -121,7 +121,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 LONG_SHINGLE, LONG_BITS, LONG_BLOCK, LONG_APART, SIMILAR = 5, 512, 16, 88, 0.8
 #: Rows this near to a bucket's first are its copies: where they are many, they are thinned out.
 _CLOSE = 60
-#: Members of a bucket beyond which it is dealt over several tasks, its least member in each.
+#: Members of a bucket beyond which it is dealt over several tasks, its least member in each. Pairs that
+#: are parted by that and not joined otherwise are left to ``rest_pairs``.
 HOT_BUCKET = 20_000
 #: Pairs that are compared at a time, to bound memory.
 _PAIRS = 1 << 17

@@ -167,6 +167,13 @@ def test_components_are_those_of_all_similar_pairs(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == want
 
 
+def test_hot_buckets_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(S, "HOT_BUCKET", 3)
+    rows, want = chains(range(40, 50))
+    got = S.similar_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+
+
 def test_one_of_each_group_stays(spark):
     df = docs(spark)
     got = S.one_of_each_group(df)
