@@ -174,6 +174,19 @@ def test_hot_buckets_lose_nothing(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got.collect()} == want
 
 
+def test_texts_of_one_id_and_of_none(spark):
+    words = lambda tag, n=200: [f"{tag}{i}" for i in range(n)]
+    ends = lambda w, k: " ".join(w[:-k] + [f"z{i}" for i in range(k)])
+    rows = []
+    for g in range(12):  # one id with two texts, each with a copy of its own
+        a, b = words(f"a{g}_"), words(f"b{g}_")
+        rows += [(10 * g, " ".join(a)), (10 * g, " ".join(b)), (10 * g + 1, ends(a, 3)), (10 * g + 2, ends(b, 3))]
+    m = words("m")  # a text without an id between two that are not similar
+    rows += [(None, " ".join(m)), (501, ends(m, 18)), (502, " ".join(f"y{i}" for i in range(18)) + " " + " ".join(m[18:]))]
+    got = {(r.doc_id, r.component_id) for r in S.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(10 * g + k, 10 * g) for g in range(12) for k in range(3)} | {(None, 501), (501, 501), (502, 501)}
+
+
 def test_one_of_each_group_stays(spark):
     df = docs(spark)
     got = S.one_of_each_group(df)
