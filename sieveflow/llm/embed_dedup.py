@@ -6,8 +6,10 @@ then by key, lexicographically, by range partitioning, so a label with a third o
 over many tasks. Within the order each vector is compared with its next ``WINDOW`` neighbours in
 double precision; pairs at or above the threshold are links. Where a window's last links reach its
 edge, it grows until a window's width of neighbours goes by without a link, so a dense group is not
-cut off: the width bounds the search and not the result. What the border between two partitions
-parts is compared apart, from the last and first rows of both. The links of all passes are united.
+cut off: the width bounds the search and not the result. Rows whose window reaches over the end of
+their partition go on in the next, and in the ones after it, as far as their window grows, so the
+links are those of the order as a whole, however many partitions it has. The links of all passes are
+united.
 
 Copies (equal vectors of one label) are one class from the start: they are sorted and compared once,
 and count by their number. A pair is missed only if all passes keep it apart; see the README for the
@@ -28,6 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import connected_components, cut
 
@@ -35,6 +38,8 @@ THRESHOLD = 0.98
 PASSES, HASHES, WINDOW, SEED = 16, 48, 32, 20240731
 #: Sorted rows that are compared at a time beyond the window, to bound memory.
 _ROWS = 1 << 14
+#: Rows of a following partition, and rows that go on into it, that are compared at a time.
+_AHEAD, _ONWARD = 512, 2048
 
 
 def usable(v: Column, label: Column) -> Column:
@@ -51,11 +56,13 @@ def keys(x: np.ndarray, p: int, hashes: int = HASHES, seed: int = SEED) -> np.nd
     return bits @ (1 << np.arange(hashes - 1, -1, -1, dtype=np.int64))
 
 
-def window_links(x: np.ndarray, group: np.ndarray, threshold: float = THRESHOLD, window: int = WINDOW, sides: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j), i < j, of links in sorted rows: unit vectors ``x``, comparable within equal ``group``.
+def window_links(x: np.ndarray, group: np.ndarray, threshold: float = THRESHOLD, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j), i < j, of links in sorted rows: unit vectors ``x``, comparable within equal ``group``."""
+    return _grown_links(x, group, threshold, window)[:2]
 
-    With ``sides``, only rows of different sides are compared.
-    """
+
+def _grown_links(x: np.ndarray, group: np.ndarray, threshold: float, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The links, and the offset up to which each row looks."""
     n, left, right = len(x), [], []
     until = np.full(n, window)  # the offset up to which each row still looks
     active = np.arange(n)
@@ -67,8 +74,6 @@ def window_links(x: np.ndarray, group: np.ndarray, threshold: float = THRESHOLD,
             i = active[at : at + _ROWS]
             j = i + d
             same = group[i] == group[j]
-            if sides is not None:
-                same &= sides[i] != sides[j]
             i, j = i[same], j[same]
             hit = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
             i, j = i[hit], j[hit]
@@ -79,7 +84,34 @@ def window_links(x: np.ndarray, group: np.ndarray, threshold: float = THRESHOLD,
             ahead = np.minimum(active + d, n - 1)
             active = active[group[active] == group[ahead]]
     empty = np.zeros(0, np.int64)
-    return np.concatenate([empty, *left]), np.concatenate([empty, *right])
+    return np.concatenate([empty, *left]), np.concatenate([empty, *right]), until
+
+
+def onward_links(x: np.ndarray, reach: np.ndarray, y: np.ndarray, start: int, threshold: float = THRESHOLD, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links (i, j) of rows ``x`` with the rows ``y`` that follow at places ``start`` and on.
+
+    Each row looks up to the place ``reach``, and a window's width beyond each link. The third result
+    is the reach after that.
+    """
+    left, right, reach = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], reach.copy()
+    for lo in range(0, len(y), _AHEAD):
+        active = np.flatnonzero(reach >= start + lo)
+        if not len(active):
+            break
+        for some in (active[k : k + _ONWARD] for k in range(0, len(active), _ONWARD)):
+            r, q = np.nonzero(x[some] @ y[lo : lo + _AHEAD].T >= threshold)
+            if not len(r):
+                continue
+            place = q + (start + lo)
+            first = np.r_[True, r[1:] != r[:-1]]
+            # A link farther than a window from the one before is out of reach, and so is all after it.
+            far = place > np.where(first, reach[some[r]], np.r_[0, place[:-1]] + window)
+            fars = np.cumsum(far)
+            ok = fars == (fars - far)[first][np.cumsum(first) - 1]
+            i, at = some[r[ok]], place[ok]
+            left.append(i), right.append(at - start)
+            np.maximum.at(reach, i, at + window)
+    return np.concatenate(left), np.concatenate(right), reach
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -122,63 +154,97 @@ def pass_links(cls: DataFrame, passes: list[int], threshold: float = THRESHOLD,
     n = int(cls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
 
+    # Rows of ``step``, by kind: links a, b; the first rows of each partition; rows that look on over a
+    # partition's end, up to place ``at`` of partition ``part`` and from its place ``size`` on; the
+    # places of all rows, without vectors.
+    LINK, HEAD, OPEN, PLACE = range(4)
+    kept = ["pass", "label", "dim", "cls", "vec"]
+    out_names = ["kind", "a", "b", "part", "at", "size", *kept]
+    kinds = f"kind int, a long, b long, part int, at long, size long, pass int, label {label}, dim int, cls long, vec {vec}"
+
+    def told(a: np.ndarray, b: np.ndarray, like: pa.Table) -> pa.RecordBatch:
+        # Within a task, passes may find a link twice.
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        none = [pa.nulls(len(both), t) for t in (pa.int32(), pa.int64(), pa.int64(), *(like[c].type for c in kept))]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(both), LINK), pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1]), *none], out_names)
+
+    def some_rows(kind: int, t: pa.Table, part: int, at: np.ndarray, size: int, vectors: bool = True) -> Iterator[pa.RecordBatch]:
+        full = lambda v, k: pa.array(np.full(t.num_rows, v), k)
+        none = pa.nulls(t.num_rows, pa.int64())
+        cols = [t[c] if c != "vec" or vectors else pa.nulls(t.num_rows, t[c].type) for c in kept]
+        yield from pa.table([full(kind, pa.int32()), none, none, full(part, pa.int32()), pa.array(at, pa.int64()), full(size, pa.int64()), *cols], out_names).to_batches(_ROWS)
+
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A task holds its range of the order: the input's share, as range partitions are even.
         table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
         if table is None or not table.num_rows:
             return
-        part = TaskContext.get().partitionId()
-        yield from out_links(table, None, part)
-        size = table.num_rows
-        edge = np.unique(np.concatenate([np.arange(min(window, size)), np.arange(max(0, size - window), size)]))
-        t = table.take(pa.array(edge)).combine_chunks().to_batches()[0]
-        none = pa.nulls(len(edge), pa.int64())
-        at = pa.array(edge, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, pa.array(np.full(len(edge), part), pa.int32()), at, pa.array(np.full(len(edge), size), pa.int64()), *t.columns], out_names)
-
-    out_names = ["a", "b", "part", "at", "size", *names]
-    kinds = f"a long, b long, part int, at long, size long, pass int, label {label}, dim int, key long, cls long, vec {vec}"
-
-    def out_links(table: pa.Table, sides: np.ndarray | None, part: int) -> Iterator[pa.RecordBatch]:
+        part, size = TaskContext.get().partitionId(), table.num_rows
         dims, ids = table["dim"].to_numpy(), table["cls"].to_numpy()
         labels = table["label"].combine_chunks().dictionary_encode().indices.to_numpy()
         group = (table["pass"].to_numpy().astype(np.int64) << 32) + labels
         for dim in np.unique(dims):
             k = np.flatnonzero(dims == dim)
             x = _unit(_matrix(table["vec"].take(pa.array(k))))
-            i, j = window_links(x, group[k], threshold, window, None if sides is None else sides[k])
-            a, b = ids[k[i]], ids[k[j]]
-            # Within a task, passes may find a link twice.
-            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            none = [pa.nulls(len(both), f.type) for f in table.schema]
-            rest = [pa.array(np.full(len(both), part), pa.int32()), pa.nulls(len(both), pa.int64()), pa.nulls(len(both), pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), *rest, *none], out_names)
+            i, j, until = _grown_links(x, group[k], threshold, window)
+            yield told(ids[k[i]], ids[k[j]], table)
+            if dim == dims[-1]:
+                # The group of the last row may go on in the next partition.
+                reach = np.arange(len(k)) + until - len(k)
+                on = np.flatnonzero((group[k] == group[-1]) & (reach >= 0))
+                yield from some_rows(OPEN, table.take(pa.array(k[on])), part, reach[on], 0)
+        yield from some_rows(HEAD, table.slice(0, window), part, np.arange(min(window, size)), size)
+        yield from some_rows(PLACE, table, part, np.arange(size), size, vectors=False)
 
     step = cut(rows.mapInArrow(found, kinds), "pass")
-    edges = step.where(F.col("a").isNull())
-    # Border p lies between partition p and the next that has rows.
-    parts = sorted(r[0] for r in edges.select("part").distinct().collect())  # a number for each partition
-    after = {p: q for p, q in zip(parts, parts[1:], strict=False)}
-    before = {q: p for p, q in after.items()}
-    links = step.where(F.col("a").isNotNull()).select("a", "b")
+    links = step.where(F.col("kind") == LINK).select("a", "b")
+    parts = sorted(r[0] for r in step.where(F.col("kind") == HEAD).select("part").distinct().collect())  # a number for each partition
+    after = dict(zip(parts, parts[1:], strict=False))
     if not after:
         return links.distinct()
     spark = cls.sparkSession
-    border = spark.createDataFrame(
-        [(p, p, True) for p in after] + [(q, p, False) for q, p in before.items()], "part int, border int, is_left boolean"
-    )
-    near = F.when(F.col("is_left"), F.col("at") >= F.col("size") - window).otherwise(F.col("at") < window)
-    halves = edges.join(F.broadcast(border), "part").where(near)  # two rows for each partition
 
     def across(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in order])
-        sides = table["is_left"].to_numpy(zero_copy_only=False)
-        got = [t.select(["a", "b"]) for t in out_links(table.select(names), sides, 0)]
-        return pa.Table.from_batches(got, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-
-    # A group holds 2 * WINDOW rows at most.
-    crossing = halves.groupBy("border").applyInArrow(across, "a long, b long")
-    return links.unionByName(crossing).distinct()
+        # A group holds rows of one partition, and rows of one group of vectors that go on into it.
+        kind = table["kind"].to_numpy()
+        c, q = table.filter(pa.array(kind == OPEN)), table.filter(pa.array(kind != OPEN)).sort_by("at")
+        got: list[pa.RecordBatch] = []
+        if c.num_rows and q.num_rows:
+            both = pa.concat_tables([c.select(kept), q.select(kept)])
+            codes = both["label"].combine_chunks().dictionary_encode().indices.to_numpy()
+            same = (codes == codes[0]) & (both["pass"].to_numpy() == both["pass"][0].as_py()) & (both["dim"].to_numpy() == both["dim"][0].as_py())
+            same = same[c.num_rows :]
+            part, size, end = q["part"][0].as_py(), q["size"][0].as_py(), q["at"][-1].as_py() + 1
+            goes_on, q = bool(same.all()), q.filter(pa.array(same))
+            y, at = (_unit(_matrix(q["vec"])), q["at"].to_numpy()) if q.num_rows else (None, None)
+            starts = c["size"].to_numpy()
+            for start in np.unique(starts) if q.num_rows else []:
+                t = c.filter(pa.array(starts == start))
+                from_start = at >= start
+                i, j, reach = onward_links(_unit(_matrix(t["vec"])), t["at"].to_numpy(), y[from_start], int(start), threshold, window)
+                got.append(told(t["cls"].to_numpy()[i], q["cls"].to_numpy()[from_start][j], t))
+                if goes_on and end < size:
+                    on = np.flatnonzero(reach >= end)
+                    got += some_rows(OPEN, t.take(pa.array(on)), part, reach[on], end)
+                elif goes_on and part in after:
+                    on = np.flatnonzero(reach >= size)
+                    got += some_rows(OPEN, t.take(pa.array(on)), after[part], reach[on] - size, 0)
+        return pa.Table.from_batches(got, schema) if got else schema.empty_table()
+
+    schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("part", pa.int32()), ("at", pa.int64()), ("size", pa.int64()), *to_arrow_schema(step.select(*kept).schema)])
+    following = spark.createDataFrame(list(after.items()), "part int, following int")
+    carried = step.where(F.col("kind") == OPEN).join(F.broadcast(following), "part").withColumn("part", F.col("following")).select(*out_names)
+    ahead = step.where(F.col("kind") == HEAD)
+    # First the first rows of each partition; beyond them, whole partitions of the few where windows go on.
+    for _ in range(len(parts) + 1):
+        crossed = cut(carried.unionByName(ahead).groupBy("part").applyInArrow(across, kinds), "crossing")
+        links = links.unionByName(crossed.where(F.col("kind") == LINK).select("a", "b"))
+        carried = crossed.where(F.col("kind") == OPEN)
+        to = [r[0] for r in carried.select("part").distinct().collect()]
+        if not to:
+            break
+        ahead = step.where((F.col("kind") == PLACE) & F.col("part").isin(to)).drop("vec").join(cls.select("cls", "vec"), "cls").select(*out_names)
+    return links.distinct()
 
 
 def embed_dedup(vectors: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, hashes: int = HASHES, window: int = WINDOW,

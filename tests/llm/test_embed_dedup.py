@@ -59,3 +59,19 @@ def test_windows_grow_along_dense_groups():
     assert len(i) == 100 * 99 // 2
     i, j = E.window_links(x, np.arange(100) // 50, window=4)
     assert len(i) == 2 * (50 * 49 // 2)
+
+
+def test_windows_grow_over_any_number_of_partitions(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((500, 16))
+    x[100:400] = x[100] + rng.standard_normal((300, 16)) * 0.01
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x.astype(np.float32))]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "48")
+        cls = E.classes(spark.createDataFrame(rows, SCHEMA))
+        low = {r.cls: r.low for r in cls.collect()}
+        found = {tuple(sorted((low[r.a], low[r.b]))) for r in E.pass_links(cls, [0, 1], window=8).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found == {(i, j) for i in range(100, 400) for j in range(i + 1, 400)}
