@@ -24,6 +24,7 @@ from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -126,6 +127,8 @@ _CLOSE = 60
 HOT_BUCKET = 20_000
 #: Pairs that are compared at a time, to bound memory.
 _PAIRS = 1 << 17
+#: Shingles of a bucket that are grouped at a time, likewise.
+_TOKENS = 1 << 22
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -286,18 +289,54 @@ def rest_pairs(fps: DataFrame, comps: DataFrame, least: float) -> DataFrame:
     """
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sets = fps.select(F.col("row").alias("node"), "hashes").join(_within(comps), "node")
-    dealt = sets.select("node", "comp", F.explode("hashes").alias("token")).repartition(parts, "token").sortWithinPartitions("token")
+
+    # Shingles go packed, by bucket and 32 further bits of their hash. Different ones that agree in both
+    # count as one here, which only lets more pairs meet: these are verified by the whole hashes.
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            node, comp = b.column("node").to_numpy(), b.column("comp").to_numpy()
+            h = b.column("hashes").flatten().to_numpy().view(np.uint64)
+            of = np.repeat(np.arange(len(node)), pc.list_value_length(b.column("hashes")).to_numpy())
+            bucket = ((h >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            bucket, of, h = bucket[order], of[order], h[order].astype(np.uint32)
+            first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else bucket
+            rows = []
+            for lo, hi in zip(first, np.r_[first[1:], len(bucket)], strict=True):
+                who, times = np.unique(of[lo:hi], return_counts=True)
+                ids = np.diff(node[who], prepend=0)  # small numbers but for the first, so they compress
+                rows.append((int(bucket[lo]), h[lo:hi].tobytes(), ids.tobytes(), (node[who] - comp[who]).tobytes(), times.astype(np.uint32).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary() if k else pa.int64()) for k in range(5)], ["bucket", "tokens", "ids", "comps", "counts"])
 
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole(batches, "token"):
-            token, comp = t["token"].to_numpy(), t["comp"].to_numpy()
-            first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-            n = np.diff(np.r_[first, len(token)])
-            keep = np.repeat(np.minimum.reduceat(comp, first) != np.maximum.reduceat(comp, first), n)
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(t["node"].to_numpy()[keep]), pa.array(token[keep]), pa.array(np.repeat(n, n)[keep])], ["node", "token", "times"])
-
-    shared = dealt.mapInArrow(common, "node long, token long, times long")
+        for t in _whole(batches, "bucket"):
+            buckets = t["bucket"].to_numpy()
+            for bucket in np.unique(buckets):
+                got = [r.values() for r in t.filter(pa.array(buckets == bucket)).drop_columns(["bucket"]).to_pylist()]
+                all_tokens = np.concatenate([np.frombuffer(x, np.uint32) for x, *_ in got])
+                slices = len(all_tokens) // _TOKENS + 1  # to bound memory
+                for k in range(slices):
+                    tokens, nodes, comps = [], [], []
+                    for x, ids, less, times in got:
+                        x, node, n = np.frombuffer(x, np.uint32), np.cumsum(np.frombuffer(ids, np.int64)), np.frombuffer(times, np.uint32)
+                        comp, here = node - np.frombuffer(less, np.int64), x % slices == k
+                        tokens.append(x[here]), nodes.append(np.repeat(node, n)[here]), comps.append(np.repeat(comp, n)[here])
+                    token, node, comp = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(comps)
+                    if not len(token):
+                        continue
+                    order = np.argsort(token)
+                    token, node, comp = token[order], node[order], comp[order]
+                    first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+                    n = np.diff(np.r_[first, len(token)])
+                    keep = np.repeat(np.minimum.reduceat(comp, first) != np.maximum.reduceat(comp, first), n)
+                    if keep.any():
+                        named = (bucket << 32) + token[keep].astype(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(named), pa.array(np.repeat(n, n)[keep])], ["node", "token", "times"])
+
+    dealt = sets.select("node", "comp", "hashes").mapInArrow(packed, "bucket long, tokens binary, ids binary, comps binary, counts binary")
+    shared = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(common, "node long, token long, times long")
     listed = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("l"))
     sized = cut(listed, "shared-shingles").join(sets.select("node", "comp", F.size("hashes").alias("n")), "node")
     needed, own = F.ceil(F.col("n") * F.lit(least) - 1e-6).cast("int"), F.col("n") - F.size("l")
