@@ -226,6 +226,13 @@ def similar_pairs(fps: DataFrame, edges: DataFrame, least: float) -> DataFrame:
     return edges.join(a, "a").join(b, "b").where(alike >= least).select("a", "b")
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, as shingles take many times the memory of their text."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def _whole(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """The rows, sorted by ``key`` (a long), in tables that end where a value of it does."""
     held: list[pa.RecordBatch] = []
@@ -293,9 +300,7 @@ def rest_pairs(fps: DataFrame, comps: DataFrame, least: float) -> DataFrame:
     # Shingles go packed, by bucket and 32 further bits of their hash. Different ones that agree in both
     # count as one here, which only lets more pairs meet: these are verified by the whole hashes.
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in _sliced(batches):
             node, comp = b.column("node").to_numpy(), b.column("comp").to_numpy()
             h = b.column("hashes").flatten().to_numpy().view(np.uint64)
             of = np.repeat(np.arange(len(node)), pc.list_value_length(b.column("hashes")).to_numpy())
@@ -369,7 +374,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _sliced(batches):
             sets = [shingle_hashes(t.as_py(), shingle) for t in b.column(1)]
             fps = pa.array([_long_fingerprint(s) for s in sets], pa.binary())
             hashes = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
