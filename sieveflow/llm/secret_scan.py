@@ -3,7 +3,10 @@
 Every version of every path is content-addressed by the SHA-256 of its text. A ledger table holds
 the findings of each scanned (blob, rule version) pair; only pairs that it lacks are scanned, once
 each however many paths or versions share the blob, and appended. Findings are then joined back to
-all paths. The scan itself is made of SQL functions: ``split`` and ``regexp_extract_all`` on the same
+all paths. Only paths and digests are shuffled for that: what is to be scanned is found by a
+broadcast of the few rows that are (where the ledger knows most blobs) or of the few that aren't
+(where most are new); only where neither is few do texts meet them by a shuffle. Two writers may
+append the same pair; their entries are equal, and one is read. The scan itself is made of SQL functions: ``split`` and ``regexp_extract_all`` on the same
 pattern alternate gaps and matches, whose lengths (in code points) add up to the offsets.
 
 Cases: a null text is the empty blob; repeated rows and copies share a blob; a null doc_id is a path
@@ -15,13 +18,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, text_or_empty
+from sieveflow.functions.durable import exists
 
-#: Characters of the value of an assignment.
-_VALUE = "[A-Za-z0-9+/_.=-]+"
+from .common import cut, fresh_path, text_or_empty
+
+#: Bound of the rows (a path and a digest) that are broadcast to pick the texts to scan.
+BROADCAST_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -89,36 +94,47 @@ def scan(texts: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RUL
     return out.withColumns({"base": base, "spans": every}).drop(*[f"_{k}" for k in each])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+LEDGER = "blob string, rule_version string, base array<struct<start:int,kind_order:int,end:int,kind:string>>, spans array<struct<start:int,kind_order:int,end:int,kind:string>>"
 
 
-LEDGER = "blob string, rule_version string, base array<struct<start:int,kind_order:int,end:int,kind:string>>, spans array<struct<start:int,kind_order:int,end:int,kind:string>>"
+def unscanned(versions: DataFrame, digests: DataFrame, unseen: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of ``versions`` (path, blob, text) to scan: those of ``unseen`` (path, blob), out of all ``digests``."""
+    same = lambda other: versions.path.eqNullSafe(other["at"]) & (versions.blob == other["of"])
+    new = unseen.select(F.col("path").alias("at"), F.col("blob").alias("of"))
+    if new.limit(bound + 1).count() <= bound:
+        return versions.join(F.broadcast(new), same(new), "left_semi")  # at most ``bound`` rows
+    rest = digests.distinct().join(new, digests.path.eqNullSafe(new["at"]) & (digests.blob == new["of"]), "left_anti")
+    rest = cut(rest.select(F.col("path").alias("at"), F.col("blob").alias("of")), "scanned")
+    if rest.limit(bound + 1).count() <= bound:
+        return versions.join(F.broadcast(rest), same(rest), "left_anti")  # at most ``bound`` rows
+    # The path is in the key, so that the copies of one blob spread over all tasks.
+    return versions.join(new.hint("shuffle_hash"), same(new), "left_semi")
 
 
 def secret_scan(versions: DataFrame, ledger: str | None = None, path_col: str = "doc_id", text_col: str = "text",
-                rules: tuple[Rule, ...] = RULES, rule_version: str = VERSION) -> DataFrame:
+                rules: tuple[Rule, ...] = RULES, rule_version: str = VERSION, bound: int = BROADCAST_ROWS) -> DataFrame:
     """path, blob, base, spans of each version; the ledger gains what it lacked."""
     spark = versions.sparkSession
     ledger = ledger or fresh_path(spark, "ledger")
     v = versions.select(F.col(path_col).alias("path"), text_or_empty(text_col).alias("text"))
     v = v.withColumn("blob", F.sha2(F.col("text").cast("binary"), 256))
-    known = spark.read.schema(LEDGER).parquet(ledger) if _exists(spark, ledger) else spark.createDataFrame([], LEDGER)
+    known = spark.read.schema(LEDGER).parquet(ledger) if exists(spark, ledger) else spark.createDataFrame([], LEDGER)
     known = known.where(F.col("rule_version") == rule_version)
 
-    # One row to stand for each blob that is new; only path and digest are shuffled to find it.
-    one = v.groupBy("blob").agg(F.min(F.struct(F.col("path").isNull().alias("none"), "path")).alias("first"))
+    # One row to stand for each blob that is new.
+    digests = cut(v.select("path", "blob"), "digests")
+    one = digests.groupBy("blob").agg(F.min(F.struct(F.col("path").isNull().alias("none"), "path")).alias("first"))
     unseen = one.join(known.select("blob"), "blob", "left_anti").select("blob", F.col("first.path").alias("path"))
-    # The path is in the key, so that the copies of one blob spread over all tasks.
-    todo = v.join(unseen.hint("shuffle_hash"), (v.path.eqNullSafe(unseen.path)) & (v.blob == unseen.blob), "left_semi")
-    scanned = scan(todo, "text", rules).select("blob", F.lit(rule_version).alias("rule_version"), "base", "spans")
-    # Rows repeated with path and all leave one entry.
-    scanned.groupBy("blob", "rule_version").agg(F.first("base").alias("base"), F.first("spans").alias("spans")).write.mode("append").parquet(ledger)
-
-    found = spark.read.schema(LEDGER).parquet(ledger).where((F.col("rule_version") == rule_version) & (F.size("spans") > 0))
+    unseen = cut(unseen, "unseen")
+    entry = lambda df: df.groupBy("blob").agg(F.first("base").alias("base"), F.first("spans").alias("spans"))
+    if not unseen.isEmpty():
+        scanned = scan(unscanned(v, digests, unseen, bound), "text", rules).select("blob", "base", "spans")
+        # Rows repeated with path and all leave one entry.
+        entry(scanned).select("blob", F.lit(rule_version).alias("rule_version"), "base", "spans").write.mode("append").parquet(ledger)
+    found = spark.read.schema(LEDGER).parquet(ledger) if exists(spark, ledger) else known
+    found = entry(found.where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)))
     none = F.array().cast("array<struct<start:int,kind_order:int,end:int,kind:string>>")
-    back = v.select("path", "blob").join(found.select("blob", "base", "spans"), "blob", "left")
+    back = digests.join(found, "blob", "left")
     return back.select("path", "blob", F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"))
 
 

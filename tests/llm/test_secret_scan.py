@@ -74,5 +74,26 @@ def test_only_unseen_blobs_are_scanned(spark):
     assert spark.read.parquet(ledger).groupBy("rule_version").agg(F.count("*").alias("n")).where("rule_version = '2'").first().n == 1
 
 
+def test_two_writers_of_one_blob_make_no_more_rows(spark):
+    ledger = fresh_path(spark, "ledger")
+    two = spark.createDataFrame([(1, "token=abcdef"), (2, "token=abcdef"), (3, "x")], "doc_id long, text string")
+    X.secret_scan(two, ledger).collect()
+    spark.read.parquet(ledger).write.parquet(copy := fresh_path(spark, "copy"))
+    spark.read.parquet(copy).write.mode("append").parquet(ledger)  # as another writer's
+    got = X.digest(X.secret_scan(two, ledger)).collect()
+    assert sorted((r.doc_id, r.n_assign) for r in got) == [(1, 1), (2, 1), (3, 0)]
+
+
+def test_any_way_to_pick_the_new_texts_gives_the_same(spark):
+    seen = [X.digest(X.secret_scan(docs(spark), bound=b)).collect() for b in (0, 2, 10, 10**6)]
+    assert len({tuple(sorted(map(str, s))) for s in seen}) == 1
+    ledger = fresh_path(spark, "ledger")
+    X.secret_scan(docs(spark).where("doc_id < 9"), ledger).collect()
+    assert sorted(map(str, X.digest(X.secret_scan(docs(spark), ledger)).collect())) == sorted(map(str, seen[0]))
+    n = spark.read.parquet(ledger).count()
+    assert sorted(map(str, X.digest(X.secret_scan(docs(spark), ledger)).collect())) == sorted(map(str, seen[0]))
+    assert spark.read.parquet(ledger).count() == n
+
+
 def test_empty(spark):
     assert X.digest(X.secret_scan(empty(spark))).collect() == []
