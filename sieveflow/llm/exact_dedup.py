@@ -7,7 +7,7 @@ lives in RocksDB, so it is bounded by disk and not by memory, and its checkpoint
 folder, so a lost executor reloads its share. The ledger is read back with the state reader.
 
 Rows that hit a digest held by another row are then compared byte by byte with the keeper's text,
-which their locators lead to; a hit whose bytes differ (a collision) keeps itself.
+which their locators lead to; hits whose bytes differ (a collision) are grouped by their bytes.
 
 Cases: a null text counts as empty, and all empty texts are equal; equal ids (repeated rows) are
 told apart by the locator; a null id sorts after all others; other columns are ignored, whatever
@@ -16,12 +16,16 @@ their names; an empty table gives no rows. Texts of any length are hashed whole.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import SPACES, cut, fresh_path, text_or_empty
 
+#: Bound of the locators that are broadcast to fetch texts; beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -29,10 +33,14 @@ def normalised(text: str | Column = "text") -> Column:
     return F.regexp_replace(text_or_empty(text), SPACES, " ")
 
 
-def identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sha256(text: Column) -> Column:
+    return F.sha2(text, 256)
+
+
+def identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """digest, id, locator of each row of a file-backed table (a batch or a stream)."""
     return df.select(
-        F.sha2(normalised(text_col), 256).alias("text_sha256"),
+        digest(normalised(text_col)).alias("text_sha256"),
         F.col(id_col).alias("id"),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.row_index").alias("row"),
@@ -88,38 +96,48 @@ def absorb(spark: SparkSession, stream: DataFrame, checkpoint: str, state_partit
     )
 
 
-def exact_dedup(spark: SparkSession, path: str, checkpoint: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(spark: SparkSession, path: str, checkpoint: str | None = None, id_col: str = "doc_id", text_col: str = "text", bound: int = BROADCAST_ROWS,
+                digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """One row for each row under ``path``: doc_id, keep_id, group_size, kept, text_sha256."""
     table = spark.read.parquet(path)
     stream = arrivals(spark, path, table.schema)
-    ledger = cut(absorb(spark, identified(stream, id_col, text_col), checkpoint or fresh_path(spark, "state")), "ledger")
-    rows = cut(identified(table, id_col, text_col), "digests")
+    ledger = cut(absorb(spark, identified(stream, id_col, text_col, digest), checkpoint or fresh_path(spark, "state")), "ledger")
+    rows = cut(identified(table, id_col, text_col, digest), "digests")
 
     # Groups of two and more, without the keepers themselves: the hits.
     groups = ledger.where("group_size > 1").withColumnRenamed("text_sha256", "digest")
     hits = rows.join(groups, rows.text_sha256 == groups.digest).where(who() != F.col("keeper"))
     hits = cut(hits.select("id", "file", "row", "digest", "keeper"), "hits")
+    # The texts of hits and their keepers are fetched in one pass over the table, which is not shuffled
+    # for that while they are few.
+    keepers = hits.select("digest", "keeper.id", "keeper.file", "keeper.row", F.lit(True).alias("keeps")).distinct()
+    wanted = cut(hits.select("digest", "id", "file", "row", F.lit(False).alias("keeps")).unionByName(keepers), "wanted")
+    wanted = wanted.hint("broadcast" if wanted.limit(bound + 1).count() <= bound else "shuffle_hash")  # at most ``bound`` rows
     texts = table.select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"),
         normalised(text_col).alias("bytes"),
     )
+    got = cut(texts.join(wanted, ["file", "row"]), "hit-texts")
     # The keeper's bytes meet those of its hits on the digest: one row of a digest on one side, so
     # the side with the copies can be split however many there are.
-    # The texts stream past hashed locators, so they are shuffled once and never sorted.
-    keeper = texts.join(hits.select("digest", "keeper.file", "keeper.row").distinct().hint("shuffle_hash"), ["file", "row"])
-    keeper = keeper.select("digest", F.col("bytes").alias("kept_bytes"))
-    hit = texts.join(hits.select("file", "row", "digest").hint("shuffle_hash"), ["file", "row"])
-    broken = cut(
-        hit.join(keeper, "digest").where(F.col("bytes") != F.col("kept_bytes")).select("file", "row", F.lit(True).alias("differs")),
-        "collisions",
-    )
-
-    joined = rows.join(ledger, "text_sha256", "left").join(broken, ["file", "row"], "left")
-    alone = F.coalesce("differs", F.lit(False))
+    keeper = got.where("keeps").select("digest", F.col("bytes").alias("kept_bytes"))
+    differs = got.where("not keeps").join(keeper, "digest").where(F.col("bytes") != F.col("kept_bytes"))
+    broken = cut(differs.select("digest", "id", "file", "row", "bytes"), "collisions")
+    if not broken.isEmpty():
+        # Of no effect but for a collision of digests: what differs from its keeper leaves the group.
+        own = broken.groupBy("digest", "bytes").agg(F.min(who()).alias("own_keeper"), F.count("*").alias("own_size"))
+        moved = broken.join(own, ["digest", "bytes"]).select("file", "row", "own_keeper", "own_size")
+        lost = broken.groupBy(F.col("digest").alias("text_sha256")).agg(F.count("*").alias("lost"))
+        ledger = ledger.join(lost, "text_sha256", "left").withColumn("group_size", F.col("group_size") - F.coalesce("lost", F.lit(0))).drop("lost")
+        rows = rows.join(moved, ["file", "row"], "left")
+    else:
+        rows = rows.withColumns({"own_keeper": F.lit(None).cast(ledger.schema["keeper"].dataType), "own_size": F.lit(None).cast("long")})
+    joined = rows.join(ledger, "text_sha256", "left")
+    keeper = F.coalesce("own_keeper", "keeper")
     return joined.select(
         F.col("id").alias("doc_id"),
-        F.when(alone, F.col("id")).otherwise(F.col("keeper.id")).alias("keep_id"),
-        F.when(alone, F.lit(1)).otherwise(F.col("group_size")).cast("long").alias("group_size"),
-        (alone | (who() == F.col("keeper"))).alias("kept"),
+        keeper.getField("id").alias("keep_id"),
+        F.coalesce("own_size", "group_size").cast("long").alias("group_size"),
+        (who() == keeper).alias("kept"),
         "text_sha256",
     )

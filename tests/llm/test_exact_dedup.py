@@ -36,3 +36,23 @@ def test_state_goes_on_where_it_was(spark):
     spark.createDataFrame([(3, "a b"), (9, "a\tb")], schema).coalesce(1).write.mode("append").parquet(path)
     again = {r.keeper.id: r.group_size for r in X.absorb(spark, stream(), state).collect()}
     assert again == {3: 3, 6: 1}
+
+
+def test_texts_that_collide_are_told_apart_by_their_bytes(spark):
+    from pyspark.sql import functions as F
+
+    path = fresh_path(spark, "in")
+    texts = ["ab", "cd", "cd", "a b", "ab", "e", None, "cd", "xyz"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2).write.parquet(path)
+    for bound in (0, 1000):
+        got = X.exact_dedup(spark, path, bound=bound, digest=lambda t: F.length(t).cast("string")).collect()
+        groups = normalised_groups(list(enumerate(texts)))
+        want = sorted((i, min(ids), len(ids), i == min(ids)) for ids in groups.values() for i in ids)
+        assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == want
+
+
+def test_the_bound_changes_nothing(spark):
+    path = fresh_path(spark, "in")
+    docs(spark).write.parquet(path)
+    key = lambda rs: sorted(map(str, rs))
+    assert key(X.exact_dedup(spark, path, bound=0).collect()) == key(X.exact_dedup(spark, path).collect())
