@@ -8,8 +8,9 @@ level, with numpy indexing. All documents are scored, whole.
 
 Cases: a null or blank text has all-zero statistics and a score like any other; without labels the
 score is 0.5, and with labels of one class it is near that class; a null label is ignored, repeated
-labels of a document are averaged; a null doc_id is scored; other columns are ignored, whatever their
-names; an empty table gives no rows.
+labels of a document are averaged; of several texts with one labelled id one is learned
+from, the same in every run; a null doc_id is scored; other columns are ignored, whatever their names;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -158,7 +159,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, te
     found = docs.select("doc_id", F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "doc_id")
     kind = docs.schema["doc_id"].dataType.simpleString()
     stats = found.select("doc_id", "quality", "text").mapInArrow(run, f"doc_id {kind}, quality double, stats array<double>")
-    return stats.dropDuplicates(["doc_id"])
+    # Of different texts with one id the one of the least statistics stands for it, in every run.
+    return stats.groupBy("doc_id").agg(F.min("stats").alias("stats"), F.first("quality").alias("quality"))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col: str = "text") -> Trees:

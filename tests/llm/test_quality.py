@@ -64,3 +64,57 @@ def test_accepted_keeps_columns(spark):
     trees = Q.train(df, spark.createDataFrame([(0, 1, 0), (8, 1, 0)], LABELS))
     out = Q.accepted(df, trees, 0.5)
     assert out.schema == df.schema and out.count() == len(rows())
+
+
+def plain_statistics(text):
+    """A few of the statistics, said in another way."""
+    import math
+    import re
+    import string
+
+    raw = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    if not words:
+        return {n: 0.0 for n in Q.FEATURES}
+    lines = [x for x in raw.split(b"\n") if re.search(rb"[^\x20\x09-\x0D]", x)]
+    letters = max(1, len(re.findall(rb"[A-Za-z]", raw)))
+    share = lambda k, n: k / n if n else 1.0
+    return {
+        "n_bytes": len(raw), "n_words": len(words), "word_bytes": sum(map(len, words)) / len(words), "distinct_words": len(set(words)) / len(words),
+        "top_word": max(words.count(w) for w in set(words)) / len(words), "same_as_last": sum(a == b for a, b in zip(words, words[1:])) / len(words),
+        "upper": len(re.findall(rb"[A-Z]", raw)) / letters, "digits": len(re.findall(rb"[0-9]", raw)) / len(raw),
+        "marks": sum(chr(c) in string.punctuation for c in raw) / len(raw), "bangs": raw.count(b"!") / len(raw), "pipes": raw.count(b"|") / len(raw),
+        "no_ascii": sum(c > 127 for c in raw) / len(raw), "spaces": len(re.findall(rb"[\x20\x09-\x0D]", raw)) / len(raw), "n_lines": len(lines),
+        "repeated_lines": 1 - len(set(lines)) / len(lines), "short_words": sum(len(w) <= 3 for w in words) / len(words),
+        "long_words": sum(len(w) >= 12 for w in words) / len(words), "distinct_pairs": share(len(set(zip(words, words[1:]))), len(words) - 1),
+        "entropy": -sum(raw.count(c) / len(raw) * math.log2(raw.count(c) / len(raw)) for c in set(raw)),
+    }
+
+
+def test_statistics_against_a_plain_version():
+    for _, text, *_ in rows():
+        got = dict(zip(Q.FEATURES, Q.statistics(text[:4000] if text else text), strict=True))
+        for k, v in plain_statistics(text[:4000] if text else text).items():
+            assert np.isclose(got[k], v), k
+
+
+def test_the_best_split_against_all_splits():
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 12, (300, 4)).astype(float)
+    y = (x[:, 1] + rng.standard_normal(300) > 6.5).astype(float)
+    t = Q.fit(x, y, trees=1, depth=1)
+    p = (y.sum() + 0.5) / (len(y) + 1)
+    g, h = p - y, np.full(len(y), p * (1 - p))
+    side = lambda m: g[m].sum() ** 2 / (h[m].sum() + Q.PENALTY)
+    gains = {(f, v): side(x[:, f] <= v) + side(x[:, f] > v) for f in range(4) for v in np.unique(x[:, f])[:-1]}
+    (f, v), _ = max(gains.items(), key=lambda kv: kv[1])
+    right = x[:, t.feature[0, 0]] > t.threshold[0, 0]
+    assert t.feature[0, 0] == f and (right == (x[:, f] > v)).all()
+    assert np.allclose(t.leaf[0], [-Q.RATE * g[m].sum() / (h[m].sum() + Q.PENALTY) for m in (~right, right)])
+
+
+def test_texts_that_share_an_id_are_learned_from_alike_in_any_order(spark):
+    table = [(1, "one text of some words"), (1, "another text! with other words"), (2, "good words"), (3, "bad bad bad")]
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, 0, 0)], LABELS)
+    seen = {str(sorted(map(str, Q.labelled_sample(spark.createDataFrame(t, "doc_id long, text string"), labels).collect()))) for t in (table, table[::-1])}
+    assert len(seen) == 1
