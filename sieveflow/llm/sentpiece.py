@@ -6,8 +6,9 @@ partial segmentations in the order of what they have plus the forward score of w
 exact, so the N best come out in order and nothing else is finished.
 
 No piece goes across a space from its left side, across a line's end, or from a letter to punctuation,
-so the lattice falls apart into chunks (a word or punctuation). Their N best are sought once and kept, and a
-document's N best are the N best sums of one segmentation per chunk, again by A*, where the heuristic
+so the lattice falls apart into chunks (a word or punctuation); a long chunk (a script without spaces, encoded
+bytes) is cut further where no piece of the vocabulary that is in it goes across. What a chunk's best is, is sought
+once and kept, in a bounded number of bytes. A document's N best are the N best sums of one segmentation per chunk, again by A*, where the heuristic
 of the rest is its best: only the chunks with the smallest losses can take part.
 
 Characters outside the vocabulary, and U+2581 itself in a text, are spelled in byte pieces, so that
@@ -27,6 +28,7 @@ from __future__ import annotations
 import heapq
 import re
 import string
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from struct import pack
@@ -39,8 +41,12 @@ from pyspark.sql import functions as F
 from . import pieces
 
 N_BEST = 3
-#: Chunks kept by a worker, in each of two generations.
-_KEPT = 280_000
+#: Bytes of the chunks that a worker keeps, about, in each of two generations.
+_KEPT_BYTES = 40 << 20
+#: Characters of the longest chunk that is kept; a longer one is first cut where no piece goes across.
+_LONG = 128
+#: Bytes that a kept chunk takes beside its characters and ids.
+_ENTRY = 150
 
 Best = tuple[float, tuple[int, ...]]
 
@@ -49,8 +55,12 @@ def lattice_nbest(chunk: str, v: pieces.Vocabulary, n: int) -> list[Best]:
     """The n best (score, ids) of the segmentations of ``chunk``, spaces as U+2581 (\\x00: that character itself)."""
     size = len(chunk)
     prefixes = v.prefixes
-    forward = [0.0] + [-1e300] * size
-    into: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(size + 1)]
+    forward = array("d", [0.0]) + array("d", [-1e300]) * size
+
+    def spelled(c: str) -> tuple[float, tuple[int, ...]]:
+        ids = tuple([v.bytes_[b] for b in (pieces.SPACE if c == "\0" else c).encode("utf-8", "surrogatepass")])
+        return v.unknown * len(ids), ids
+
     for i in range(size):
         at = forward[i]
         for j in range(i + 1, size + 1):
@@ -58,18 +68,10 @@ def lattice_nbest(chunk: str, v: pieces.Vocabulary, n: int) -> list[Best]:
                 x = prefixes[chunk[i:j]]
             except KeyError:  # no piece begins like this
                 break
-            if x is not None:
-                s, ids = x
-                into[j].append((i, s, ids))
-                if at + s > forward[j]:
-                    forward[j] = at + s
-        if prefixes.get(chunk[i]) is None:
-            c = pieces.SPACE if chunk[i] == "\0" else chunk[i]
-            spelled = tuple([v.bytes_[b] for b in c.encode("utf-8", "surrogatepass")])
-            s = v.unknown * len(spelled)
-            into[i + 1].append((i, s, spelled))
-            if at + s > forward[i + 1]:
-                forward[i + 1] = at + s
+            if x is not None and at + x[0] > forward[j]:
+                forward[j] = at + x[0]
+        if prefixes.get(chunk[i]) is None and (t := at + spelled(chunk[i])[0]) > forward[i + 1]:
+            forward[i + 1] = t
     found: list[Best] = []
     # (minus the score of the best completion, where it stands, a number, the score so far, what follows)
     # Among equals the one nearest to the beginning goes on, or ties in a long run would all be kept open.
@@ -84,7 +86,13 @@ def lattice_nbest(chunk: str, v: pieces.Vocabulary, n: int) -> list[Best]:
                 ids_ += own
             found.append((have, tuple(ids_)))
             continue
-        for start, s, own in into[end]:
+        # The pieces that end here are looked up again, so that a long chunk's arcs are never all held.
+        for start in range(max(0, end - v.longest), end):
+            if (x := prefixes.get(chunk[start:end])) is None:
+                if start < end - 1:
+                    continue
+                x = spelled(chunk[start])
+            s, own = x
             pushed += 1
             heapq.heappush(agenda, (-(have + s + forward[start]), start, pushed, have + s, (own, path)))
     return found
@@ -163,6 +171,7 @@ class Encoder:
         # chunk -> loss of the second best (8 bytes) and the best's ids (4 bytes each), as one small object
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.bytes = 0
         self.cut = cuts(self.v)
         self.surface = [self.v.surface.get(i, b"") for i in range(max(self.v.surface) + 1)]
         self.weight = np.full(len(self.surface), self.v.unknown)
@@ -175,16 +184,39 @@ class Encoder:
             if not loss:  # equally good ones have an order, which the search keeps
                 ids = lattice_nbest(spaced, self.v, 1)[0][1]
             x = pack(f"<d{len(ids)}i", loss, *ids)
-        if len(self.new) >= _KEPT:
-            self.old, self.new = self.new, {}
+        if len(c) > _LONG:
+            return x
+        self.bytes += _ENTRY + len(c) + len(x)
+        if self.bytes > _KEPT_BYTES:
+            self.old, self.new, self.bytes = self.new, {}, 0
         self.new[c] = x
         return x
 
+    def apart(self, chunk: str) -> list[str]:
+        """The chunk in parts of some length at least, cut where no piece goes across: their lattices make up its own."""
+        spaced = chunk.replace(pieces.SPACE, "\0").replace(" ", pieces.SPACE)
+        prefixes, size = self.v.prefixes, len(chunk)
+        out, begin, reach = [], 0, 0
+        for i in range(size):
+            if i >= reach and i - begin >= _LONG // 4:
+                out.append(chunk[begin:i])
+                begin = i
+            for j in range(i + 1, min(size, i + self.v.longest) + 1):
+                try:
+                    x = prefixes[spaced[i:j]]
+                except KeyError:
+                    break
+                if x is not None and j > reach:
+                    reach = j
+        return [*out, chunk[begin:]]
+
     def encode(self, text: str) -> tuple[np.ndarray, list[tuple[float, int, tuple[tuple[int, int], ...]]], list[str]]:
         """(best ids, the n best as (score, pieces, choices other than the best: (chunk, rank)), chunks)."""
         if not text:
             return np.zeros(0, np.int32), [(0.0, 0, ())], []
         chunks = self.cut.findall(" " + text)
+        if max(map(len, chunks)) > _LONG:
+            chunks = [p for c in chunks for p in (self.apart(c) if len(c) > _LONG else (c,))]
         got = list(map(self.new.get, chunks))
         if None in got:
             got = [x or self.new.get(c) or self.chunk(c) for x, c in zip(got, chunks, strict=True)]

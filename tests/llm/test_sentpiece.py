@@ -75,8 +75,38 @@ def test_empty(spark):
 
 
 def test_generations_of_kept_chunks(monkeypatch):
-    monkeypatch.setattr(S, "_KEPT", 3)
+    monkeypatch.setattr(S, "_KEPT_BYTES", 600)
     e = S.Encoder(pieces.PIECE_FILE, 2)
     text = "one two three four five one two three one"
     ids, _, _ = e.encode(text)
     assert e.decode(ids) == text and len(e.new) <= 3
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("abeht=日本A9", min_size=30, max_size=60))
+def test_long_chunks_are_cut_where_no_piece_goes_across(text):
+    import unittest.mock as mock
+
+    with mock.patch.object(S, "_LONG", 8):
+        e = S.Encoder(pieces.PIECE_FILE, 3)
+        ids, best, chunks = e.encode(text)
+    assert "".join(chunks) == " " + text and e.decode(ids) == text
+    want = S.lattice_nbest(spaced(" " + text), V, 3)
+    assert [round(s, 9) for s, *_ in best] == [round(s, 9) for s, _ in want]
+    for _, n, choices in best:
+        own = e.spell(chunks, choices)
+        assert len(own) == n and e.decode(own) == text
+
+
+def test_long_runs_without_spaces_take_little_memory():
+    import tracemalloc
+
+    e = S.Encoder(pieces.PIECE_FILE, 3)
+    tracemalloc.start()
+    for text in ("日本語の文書" * 20_000, "QmFzZTY0" * 15_000, "a" * 50_000):
+        ids, best, _ = e.encode(text)
+        assert e.decode(ids) == text and 1 <= len(best) <= 3
+    assert tracemalloc.get_traced_memory()[1] < 150 << 20
+    tracemalloc.stop()
+    kept = sum(S._ENTRY + len(c) + len(x) for c, x in e.new.items())
+    assert kept <= S._KEPT_BYTES and max(map(len, e.new)) <= S._LONG
