@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveflow.functions.durable import cut, fresh_path, shared_dir
 
-__all__ = ["SPACES", "WORDS", "connected_components", "crc_remainder", "cut", "fresh_path", "shared_dir", "text_or_empty"]
+__all__ = ["SPACES", "WORDS", "connected_components", "crc_remainder", "cut", "free_name", "fresh_path", "shared_dir", "text_or_empty"]
 
 #: Characters that separate words in every contract of this subpackage.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -18,6 +20,14 @@ def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """``name``, with as many underscores at its end as it takes to be none of ``taken`` (whatever their case)."""
+    taken = {t.lower() for t in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_remainder(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

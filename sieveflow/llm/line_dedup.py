@@ -10,19 +10,23 @@ Shorter lines always stay.
    neighbour and go no further. This is exact and takes out nearly all.
 3. The same with 8 and then 64 blocks, of which one edit leaves all but one: lines go further only if
    they share all but one block with another line of their length or one more or less.
-4. What is left emits the hashes of all its variants with one character deleted. Lines of one length
-   that share a variant at the same place differ in that character alone (a substitution), so the
-   earliest of each such group is found by a minimum, without pairs. A variant that equals another
-   line is an insertion.
-5. The edit distance of each line to the earliest line found is verified before anything goes.
+4. What is left emits the hashes of all its variants with one character deleted. A line is cut into
+   blocks, and a variant's hash is made of those of what is before its block, of the block without the
+   character, and of what is after; the outer ones are chained from block to block, so a variant costs
+   a block and not a line. Lines of one length that share a variant at the same place differ in that
+   character alone (a substitution), so the earliest of each such group is found by a minimum, without
+   pairs. A line is an insertion away from another if the other, hashed as if a character lacked in one
+   of its blocks, equals a variant. Variants have 128 bits, so a minimum isn't that of a collision.
+5. Each line and the earliest line found are compared character by character before anything goes.
 
 Only hashes and places are shuffled up to the end, when each document meets its dropped places.
 
 Cases: a null text stays null and an empty one empty; a document all of whose lines go has an empty
 text; rows repeated with id and text share their decisions; of rows with one id and different texts
 the lesser hash comes first; a null id comes last; other columns stay as they are, whatever their
-names; an empty table gives no rows. Lines are compared whole, at a cost that grows with the square
-of the length for lines that have a neighbour.
+names (the numbers of lines take the next free name, see :func:`line_dedup`); an empty table gives no
+rows. Lines are compared whole, at a cost that grows with the length to the power of 4 / 3 for lines
+that have a neighbour.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_name
 
 MIN_CHARS = 20
 #: Blocks of a line in the second look and the third.
@@ -78,6 +82,47 @@ def _share_all_but_one(got: DataFrame, blocks: int) -> DataFrame:
     return got.join(kept, "no", "left_semi")
 
 
+def _block(n: str) -> str:
+    """Characters of a block of a line of ``n``, in SQL: the third root, four times, and 64 at least."""
+    return f"greatest(64, cast(4 * cbrt({n}) as int))"
+
+
+def _chains(blocks: str, seed: int) -> str:
+    """SQL: the hashes of what is before each block of an array and, at its end, of the whole."""
+    return f"aggregate({blocks}, array(xxhash64({seed})), (a, b) -> concat(a, array(xxhash64(element_at(a, -1), {seed}, b))))"
+
+
+def _keyed_blocks(got: DataFrame, n: str, tail: str) -> DataFrame:
+    """``got`` with, for the block length of a line of ``n`` characters: k (that length), here (the blocks of the
+    line), and four chains: what is before each block, and after it, in two hashes each.
+
+    ``tail`` is SQL for the line from the second block on, as blocks that follow are cut from it.
+    """
+    cutting = "regexp_extract_all({}, concat('(?s).{{1,', cast(k as string), '}}'), 0)"
+    out = got.withColumn("k", F.expr(_block(n))).withColumn("here", F.expr(cutting.format("line")))
+    out = out.withColumn("rest", F.expr("reverse(" + cutting.format(tail) + ")"))
+    return out.withColumns({f"{c}{i}": F.expr(_chains(a, i)) for c, a in (("b", "here"), ("a", "rest")) for i in (1, 2)})
+
+
+def variants_of(got: DataFrame) -> DataFrame:
+    """no, n, at, v, w: 128 bits of each variant of a line (no, line, n) with the character ``at`` (from 0) deleted."""
+    cut_up = _keyed_blocks(got, "n", "substring(line, k + 1)")
+    each = cut_up.select("no", "n", "k", F.size("here").alias("m"), "b1", "b2", "a1", "a2", F.posexplode("here").alias("j", "block"))
+    key = lambda i: f"xxhash64(b{i}[j], {i}, concat(left(block, c - 1), substring(block, c + 1)), a{i}[m - 1 - j])"
+    inner = F.expr(f"transform(sequence(1, length(block)), c -> named_struct('at', j * k + c - 1, 'v', {key(1)}, 'w', {key(2)}))")
+    return each.select("no", "n", F.inline(inner))
+
+
+def lacking_one(got: DataFrame) -> DataFrame:
+    """other, m, v, w: each line of m characters as the variant that a line of m + 1 has in any of its blocks."""
+    cut_up = _keyed_blocks(got, "n + 1", "substring(line, k)")
+    # The blocks of the longer line: the last may have but the character that lacks here.
+    blocks = "cast(ceil((n + 1) / k) as int)"
+    key = lambda i: f"xxhash64(b{i}[j], {i}, left(coalesce(get(here, j), ''), k - 1), a{i}[{blocks} - 1 - j])"
+    inner = F.expr(f"transform(sequence(0, {blocks} - 1), j -> named_struct('v', {key(1)}, 'w', {key(2)}))")
+    return cut_up.select(F.col("no").alias("other"), F.col("n").alias("m"), F.inline(inner))
+
+
 def near_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(different lines, the digests of those that have an earlier neighbour). See the steps above."""
     spark = lines.sparkSession
@@ -98,29 +143,33 @@ def near_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     got = lines.join(places.hint("broadcast" if small else "shuffle_hash"), at).select("h1", "h2", "first", "line")
     # A number in the order of the corpus, so that least means earliest. Repeated rows fetch a line twice.
     got = got.dropDuplicates(["h1", "h2"]).repartitionByRange("first").sortWithinPartitions("first")
-    got = cut(got.select(F.monotonically_increasing_id().alias("no"), "h1", "h2", "line", F.length("line").alias("n"), F.xxhash64("line").alias("whole")), "lines")
+    got = cut(got.select(F.monotonically_increasing_id().alias("no"), "h1", "h2", "line", F.length("line").alias("n")), "lines")
 
     for blocks in BLOCKS:
         got = cut(_share_all_but_one(got, blocks), "close-lines")
 
-    gone = F.expr("transform(sequence(1, n), i -> xxhash64(concat(left(line, i - 1), substring(line, i + 1))))")
-    variants = got.select("no", "n", F.posexplode(gone).alias("at", "v"))
-    groups = variants.groupBy("v", "at", "n").agg(F.min("no").alias("by"), F.max("no").alias("top"), F.count("*").alias("times")).where("times > 1")
+    variants = variants_of(got)
+    groups = variants.groupBy("v", "w", "at", "n").agg(F.min("no").alias("by"), F.max("no").alias("top"), F.count("*").alias("times")).where("times > 1")
     groups = cut(groups, "variants")
-    two = groups.where("times = 2").select(F.col("top").alias("no"), "by")
-    keys = groups.where("times > 2").select("v", "at", "n", "by")
-    many = variants.join(keys, ["v", "at", "n"]).where("no > by").select("no", "by")
-    whole = got.select(F.col("whole").alias("v"), F.col("no").alias("other"), F.col("n").alias("m"))
-    inserted = variants.select("no", "n", "v").join(whole, "v").where("m = n - 1")
-    inserted = inserted.select(F.greatest("no", "other").alias("no"), F.least("no", "other").alias("by"))
-    found = two.unionByName(many).unionByName(inserted).groupBy("no").agg(F.min("by").alias("by"))
+    two = groups.where("times = 2").select(F.col("top").alias("no"), "by", "at", "n")
+    keys = groups.where("times > 2").select("v", "w", "at", "n", "by")
+    many = variants.join(keys, ["v", "w", "at", "n"]).where("no > by").select("no", "by", "at", "n")
+    inserted = variants.join(lacking_one(got), ["v", "w"]).where("m = n - 1")
+    inserted = inserted.select(F.greatest("no", "other").alias("no"), F.least("no", "other").alias("by"), "at", "n")
+    found = two.unionByName(many).unionByName(inserted).groupBy("no").agg(F.min(F.struct("by", "at", "n")).alias("found")).select("no", "found.*")
     a, b = got.select("no", "h1", "h2", "line"), got.select(F.col("no").alias("by"), F.col("line").alias("earlier"))
-    sure = found.join(a, "no").join(b, "by").where(F.levenshtein("line", "earlier", 1).between(0, 1))
+    # Both without the character in which they differ, or the longer without the one that the other lacks.
+    less = lambda c: F.expr(f"if(length({c}) = n, concat(left({c}, at), substring({c}, at + 2)), {c})")
+    sure = found.join(a, "no").join(b, "by").where(less("line") == less("earlier"))
     return different, cut(sure.select("h1", "h2", F.lit(True).alias("near")), "near-lines")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
-    """``docs`` with the text of the lines that stay, and the numbers of lines and of dropped lines."""
+    """``docs`` with the text of the lines that stay, and the numbers of lines and of dropped lines.
+
+    Where ``docs`` has a column ``n_lines`` or ``n_dropped`` it stays, and the number's name gets underscores at its end.
+    """
+    n_lines, n_dropped = free_name(n_lines, docs.columns), free_name(n_dropped, [*docs.columns, free_name(n_lines, docs.columns)])
     lines = _lines(docs, id_col, text_col)
     different, near = near_lines(lines)
     bad = different.join(near, ["h1", "h2"], "left").where((F.col("times") > 1) | F.col("near"))

@@ -71,3 +71,40 @@ def test_long_lines(spark):
     a = "lorem ipsum dolor " * 300
     got = L.line_dedup(spark.createDataFrame([(1, a), (2, a[:2000] + "X" + a[2000:]), (3, a[:-1] + "Y"), (4, a[:1000] + a[1003:])], "doc_id long, text string")).collect()
     assert {r.doc_id: r.n_dropped for r in got} == {1: 0, 2: 1, 3: 1, 4: 0}
+
+
+def test_long_lines_against_all_pairs(spark):
+    rng = random.Random(5)
+    made = lambda n: "".join(rng.choice("abcdefgh 日💡") for _ in range(n))
+    lines = [made(n) for n in (63, 64, 65, 127, 128, 129, 192, 500, 1025)]
+
+    def edited(s, k):
+        return rng.choice([s[:k] + s[k + 1 :], s[:k] + "X" + s[k:], s[:k] + "Y" + s[k + 1 :]])
+
+    table = [(0, "\n".join(lines))]
+    for line in lines:
+        for k in {0, 1, len(line) - 1, len(line) // 2, *(c + d for c in range(64, len(line), 64) for d in (-1, 0, 1) if c + d < len(line))}:
+            table.append((len(table), edited(line, k) + "\n" + made(30) + "\n" + edited(edited(line, k), max(0, k - 9))))
+    table.append((len(table), "\n".join(x + "Z" for x in lines)))
+    got = L.line_dedup(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == brute(table)
+
+
+def test_very_long_lines_take_little_time(spark):
+    import time
+
+    a = "".join(random.Random(1).choices("abcdefgh ", k=200_000))
+    start = time.time()
+    got = L.line_dedup(spark.createDataFrame([(1, a), (2, a[:150_000] + "X" + a[150_000:]), (3, a[:-1] + "Y"), (4, a[:1000] + a[1003:])], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_dropped for r in got} == {1: 0, 2: 1, 3: 1, 4: 0}
+    assert time.time() - start < 60
+
+
+def test_columns_named_like_the_numbers(spark):
+    from pyspark.sql import functions as F
+
+    df = docs(spark).withColumns({c: F.lit(c) for c in ("n_lines", "N_DROPPED", "near", "first", "gid")})
+    out = L.line_dedup(df)
+    assert out.columns == [*df.columns, "n_lines_", "n_dropped_"]
+    assert {(r.n_lines, r.N_DROPPED) for r in out.collect()} == {("n_lines", "N_DROPPED")}
+    assert out.where("n_dropped_ > 0").count() >= 3
