@@ -456,12 +456,16 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The rows of ``docs`` that stay: of each component of similar documents the one with the least id.
 
     Rows repeated with an id are one document and one of them stays. Rows without an id can't be told
-    from each other and stay.
+    from each other and stay. Texts without words are one group. Other columns are kept, whatever their
+    names; an empty table gives no rows.
     """
     found = cut(similar_components(docs, id_col, text_col).where(F.col("doc_id").isNotNull()), "components")
-    gone = cut(found.where("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    again = cut(found.groupBy(F.col("doc_id").alias("again_id")).count().where("count > 1").select("again_id"), "again")
-    stay = docs.join(_within(gone), F.col(id_col) == F.col("gone_id"), "left_anti")
+    gone = cut(found.where("doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    again = cut(found.groupBy(F.col("doc_id").alias("again")).count().where("count > 1").select("again"), "again")
+    # The row in a struct, so that no name in it can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("own"))
+    stay = rows.join(_within(gone), F.col("own") == F.col("gone"), "left_anti")
     repeated = _within(again)
-    once = stay.join(repeated, F.col(id_col) == F.col("again_id"), "left_anti")
-    return once.unionByName(stay.join(repeated, F.col(id_col) == F.col("again_id"), "left_semi").dropDuplicates([id_col]))
+    once = stay.join(repeated, F.col("own") == F.col("again"), "left_anti")
+    one = stay.join(repeated, F.col("own") == F.col("again"), "left_semi").dropDuplicates(["own"])
+    return once.unionByName(one).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -32,12 +32,9 @@ def test_stages_against_plain_versions(spark, sf):
     got = {r.doc_id: (r.text, r.n_chars) for r in seen[2].collect()}
     assert got == {i: (t, len(t)) for i, t in want.items() if t.strip() or i not in dropped}
 
-    fp = {r.doc_id: simhash.long_fingerprint(r.text) for r in seen[2].collect()}
-    blocks = lambda a, b: any(a[k : k + 2] == b[k : k + 2] for k in range(0, 64, 2))
-    apart = lambda a, b: (int.from_bytes(a) ^ int.from_bytes(b)).bit_count()
     sets = {r.doc_id: set(simhash.shingle_hashes(r.text).tolist()) for r in seen[2].collect()}
     alike = lambda a, b: sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
-    comp = components(sorted(fp), lambda a, b: blocks(fp[a], fp[b]) and apart(fp[a], fp[b]) <= simhash.LONG_APART and alike(a, b))
+    comp = components(sorted(sets), alike)
     assert sorted(r.doc_id for r in seen[3].collect()) == sorted(i for i in comp if comp[i] == i)
 
     sizes: dict = {}
@@ -58,3 +55,38 @@ def test_stages_against_plain_versions(spark, sf):
 
 def test_run(spark, sf):
     assert P.run(spark, sf).count() > 0
+
+
+def test_cases_of_all_stages(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and columns with the names that operators use inside, through every stage."""
+    from pyspark.sql import functions as F
+
+    from sieveflow.llm.common import cut
+
+    from .helpers import LONG, docs, empty
+
+    inside = ("_lines", "_dropped", "n_lines", "gone_id", "again_id", "mix_id", "copies", "row", "own", "comp", "node", "fp", "hashes", "stats", "s", "t", "rate", "times", "bucket", "lam", "line", "first")
+    table = docs(spark).withColumns({c: F.lit(c) for c in inside})
+    labels = spark.createDataFrame([(0, 1, 0), (6, 0, 0), (8, 1, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for start in (table, empty(spark).withColumns({c: F.lit(c) for c in inside})):
+        for k, (name, stage) in enumerate(P.STAGES):
+            now = cut(stage(spark, start, str(tmp_path)), name)  # each stage on all rows
+            got = now.collect()
+            if start is not table:
+                assert got == []
+                continue
+            if k < len(P.STAGES) - 1:
+                assert now.columns == table.columns
+                assert all(r[c] == c for r in got for c in inside)
+            ids = [r.doc_id for r in got]
+            if name == "line_dedup":
+                assert {3, 4, 99, None} >= {r.doc_id for r in got if not r.text} >= {3, 4, 99}
+            if name == "simhash_near_dedup":
+                assert ids.count(None) == 1 and ids.count(0) == 1 and 1 not in ids and 7 not in ids and 6 in ids
+                assert len({3, 4, 5, 99} & set(ids)) == 1 and next(r for r in got if r.doc_id == 6).text == LONG
+            if name == "mixing":
+                assert ids.count(3) == 1 and ids.count(4) == 1
+            if name == "sentencepiece":
+                assert len(got) == table.count() and all(r.round_trip for r in got if r.ids is not None)
+                assert {r.doc_id for r in got if r.ids is None} == {3, 99} and {r.n_pieces for r in got if r.doc_id == 4} == {0}
