@@ -3,6 +3,13 @@
 Each stage takes the documents that its predecessor kept and returns documents with the same columns;
 the last returns their pieces. Stages don't look back, so each can be written to Parquet and read
 again, which is what ``run`` does in the shared folder.
+
+Cases, for all stages: an empty table gives no rows; columns beside doc_id, text, source and n_chars are
+kept up to the mix, whatever their names, and are never looked at. Null and empty texts are scored by
+the classifier like any other (and mostly rejected), are left alone by line dedup, are one group for the
+near copies, cost the mix nothing (it takes them once), and have null or no pieces. Rows without an id
+are scored and mixed each by its text, come last in line dedup's order, and all stay in the near copies'
+stage. Rows repeated with an id and a text share their decisions; one of them stays as a near copy.
 """
 
 from __future__ import annotations
@@ -11,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveflow.llm import line_dedup, mixing, quality, sentpiece, simhash
-from sieveflow.llm.common import cut
+from sieveflow.llm.common import cut, free_name
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,11 +29,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines within one edit of an earlier line go; so do documents of which nothing but blanks is left by that."""
-    out = line_dedup.line_dedup(docs, n_lines="_lines", n_dropped="_dropped")
-    out = out.where((F.col("_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    lines, dropped = (free_name(c, docs.columns) for c in ("_lines", "_dropped"))
+    out = line_dedup.line_dedup(docs, n_lines=lines, n_dropped=dropped)
+    out = out.where((F.col(dropped) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
