@@ -1,16 +1,19 @@
 """Sharding by size-tiered compaction under a versioned manifest.
 
-Arrivals are appended as small immutable Parquet shards. Compaction sorts the shards below target
-size into tiers (each ``RATIO`` times the last) and merges runs of similarly sized ones into files of
-about ``target`` bytes; a row is rewritten about once per tier. A table's state is its newest
-manifest, a JSON file that lists all shards. A version is committed by one rename that fails where the
-version exists, so of two writers one wins and the other starts again from the new version (a merge
-whose inputs are gone by then is dropped). Readers hold to the version that they opened; ``vacuum``
-deletes only files that the last versions don't name. A job that dies leaves files that no manifest
-names, and nothing else.
-
-Merging reads the files of a run in one task and writes one file; nothing is shuffled, and a task
-holds a row group at a time. Row counts in and out are compared before a merge is committed.
+Arrivals are appended as small immutable Parquet shards. Compaction sorts the shards below a quarter of
+the target size into tiers (each ``RATIO`` times the last) and merges the similarly sized ones of a tier
+into files of about the target; a row is rewritten about once per tier. Shards from a quarter of the
+target up are done, so the target is a range. A tier is merged by one job, whatever the number of its
+files: its scan packs files of similar size into partitions of at most the target, and each partition is
+written as one file. Nothing is shuffled for that, and a task holds a row group at a time.
+
+A table's state is its newest manifest, a small JSON file that names lists of shards. A list is a Parquet
+table with a row for each shard, written and read by Spark, so the driver holds no row for each shard but
+the paths of files that it is about to read. A version is committed by one rename that fails where the
+version exists, so of two writers one wins and the other starts again from the new version (a merge whose
+inputs are gone by then is dropped). Readers hold to the version that they opened; ``vacuum`` deletes only
+files that the last versions don't name. A job that dies leaves files that no manifest names, and nothing
+else. Row counts in and out are compared before a merge is committed.
 
 Cases: nulls, repeated rows, empty and very long texts are kept as they are; columns may differ
 between arrivals by name (what lacks is null) but not in type; an arrival without rows commits
@@ -22,30 +25,28 @@ from __future__ import annotations
 import json
 import math
 import uuid
-from collections import defaultdict
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 TARGET = 64 << 20
-#: Sizes of adjacent tiers; the fewest shards that are merged; runs that one job merges; shards are at most this many rows on arrival.
-RATIO, FEWEST, RUNS_A_JOB, ARRIVAL_ROWS = 4, 2, 64, 4096
-
-
-@dataclass(frozen=True)
-class Shard:
-    path: str
-    bytes: int
-    rows: int
+#: Sizes of adjacent tiers; the fewest shards that are merged; rows of a shard on arrival, at most.
+RATIO, FEWEST, ARRIVAL_ROWS = 4, 2, 4096
+#: Files that one job merges, at most (their paths are on the driver); lists of a manifest beyond which they are joined.
+FILES_A_JOB, LISTS = 100_000, 16
+#: A row of a list: the path below the root, bytes and rows of a shard.
+SHARD = "path string, bytes long, rows long"
 
 
 @dataclass(frozen=True)
 class Manifest:
     version: int
     schema: str | None
-    shards: tuple[Shard, ...]
+    lists: tuple[str, ...]
 
     @property
     def struct(self) -> StructType:
@@ -56,29 +57,10 @@ class Conflict(RuntimeError):
     """Another writer committed first, and what this one would replace is gone."""
 
 
-def tier(size: int, target: int = TARGET, ratio: int = RATIO) -> int:
-    """0 for at least the target, else the number of ratios below it."""
-    return max(0, math.ceil(math.log(target / max(size, 1), ratio) - 1e-9))
-
-
-def runs(shards: tuple[Shard, ...] | list[Shard], target: int = TARGET, ratio: int = RATIO, fewest: int = FEWEST) -> list[list[Shard]]:
-    """Groups of shards of one tier whose sizes add up to about the target, smallest tiers first."""
-    tiers: dict[int, list[Shard]] = defaultdict(list)
-    for s in shards:
-        if s.bytes < target / ratio:  # a larger one is near enough to the target
-            tiers[tier(s.bytes, target, ratio)].append(s)
-    found = []
-    for _, members in sorted(tiers.items(), reverse=True):
-        run: list[Shard] = []
-        total = 0
-        for s in sorted(members, key=lambda s: s.path):
-            if run and total + s.bytes > target:
-                found.append(run)
-                run, total = [], 0
-            run.append(s)
-            total += s.bytes
-        found.append(run)
-    return [r for r in found if len(r) >= fewest]
+def tier(size: str | Column = "bytes", target: int = TARGET, ratio: int = RATIO) -> Column:
+    """Number of ratios below the target; null for shards that are near enough to it."""
+    b = F.greatest(F.col(size) if isinstance(size, str) else size, F.lit(1))
+    return F.when(b < target / ratio, F.ceil(F.log(F.lit(float(target)) / b) / math.log(ratio) - 1e-9).cast("int"))
 
 
 class ShardStore:
@@ -95,16 +77,15 @@ class ShardStore:
     def _fs(self):
         return self._path(self.root).getFileSystem(self._conf)
 
-    def _list(self, folder: str) -> list[tuple[str, int]]:
+    def _names(self, folder: str) -> list[str]:
         p = self._path(folder)
         fs = self._fs()
-        return sorted((str(x.getPath()), x.getLen()) for x in fs.listStatus(p)) if fs.exists(p) else []
+        return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
 
     # Versions
 
     def versions(self) -> list[int]:
-        names = [p.rpartition("/")[2] for p, _ in self._list(f"{self.root}/_manifests")]
-        return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
+        return sorted(int(n[1:-5]) for n in self._names(f"{self.root}/_manifests") if n.startswith("v") and n.endswith(".json"))
 
     def manifest(self, version: int | None = None) -> Manifest:
         every = self.versions()
@@ -113,26 +94,41 @@ class ShardStore:
         version = every[-1] if version is None else version
         stream = self._fs().open(self._path(f"{self.root}/_manifests/v{version:012d}.json"))
         try:
-            text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            d = json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
-        d = json.loads(text)
-        return Manifest(d["version"], d["schema"], tuple(Shard(**s) for s in d["shards"]))
-
-    def commit(self, add: list[Shard], drop: list[Shard] = (), schema: StructType | None = None, tries: int = 20) -> Manifest:
-        """The next version: without ``drop``, with ``add``. One rename decides which writer has it."""
+        return Manifest(d["version"], d["schema"], tuple(d["lists"]))
+
+    def listed(self, m: Manifest | tuple[str, ...]) -> DataFrame:
+        """path, bytes, rows: a row for each shard of a manifest or of some lists."""
+        lists = m.lists if isinstance(m, Manifest) else m
+        if not lists:
+            return self.spark.createDataFrame([], SHARD)
+        return self.spark.read.schema(SHARD).parquet(*[f"{self.root}/_lists/{x}" for x in lists])
+
+    def _write_list(self, shards: DataFrame) -> str:
+        name = uuid.uuid4().hex
+        shards.select("path", "bytes", "rows").write.parquet(f"{self.root}/_lists/{name}")
+        return name
+
+    def commit(self, add: str, replaces: str | None = None, schema: StructType | None = None, tries: int = 20) -> Manifest:
+        """The next version: without the shards of the list ``replaces``, with those of ``add``. One rename decides which writer has it."""
         for _ in range(tries):
             now = self.manifest()
-            gone = {s.path for s in drop}
-            if gone - {s.path for s in now.shards}:
-                raise Conflict("a shard to be replaced is no longer in the table")
-            kept = [s for s in now.shards if s.path not in gone]
+            lists = now.lists
+            if replaces:
+                held, gone = self.listed(now), self.listed((replaces,)).select("path")
+                if not gone.join(held, "path", "left_anti").isEmpty():
+                    raise Conflict("a shard to be replaced is no longer in the table")
+                lists = (self._write_list(held.join(gone, "path", "left_anti")),)
+            elif len(lists) >= LISTS:
+                lists = (self._write_list(self.listed(now)),)
             fields = {f.name: f for f in now.struct}
             for f in schema or ():
                 if f.name in fields and fields[f.name].dataType != f.dataType:
                     raise ValueError(f"column {f.name} is {fields[f.name].dataType.simpleString()}, not {f.dataType.simpleString()}")
                 fields.setdefault(f.name, f)
-            new = Manifest(now.version + 1, StructType(list(fields.values())).json(), tuple(sorted([*kept, *add], key=lambda s: s.path)))
+            new = Manifest(now.version + 1, StructType(list(fields.values())).json(), (*lists, add))
             if self._publish(new):
                 return new
         raise Conflict(f"no version could be committed in {tries} tries")
@@ -142,7 +138,7 @@ class ShardStore:
         temp = self._path(f"{self.root}/_manifests/.{uuid.uuid4().hex}.tmp")
         out = fs.create(temp, True)
         try:
-            out.write(bytearray(json.dumps({"version": m.version, "schema": m.schema, "shards": [asdict(s) for s in m.shards]}).encode()))
+            out.write(bytearray(json.dumps(asdict(m)).encode()))
         finally:
             out.close()
         hadoop = self._jvm.org.apache.hadoop.fs
@@ -160,75 +156,91 @@ class ShardStore:
 
     # Rows
 
-    def _written(self, folder: str) -> list[Shard]:
-        sizes = {p: n for p, n in self._list(folder) if p.endswith(".parquet")}
-        if not sizes:
-            return []
-        # A row for each file written.
-        counts = self.spark.read.parquet(folder).groupBy(F.col("_metadata.file_name").alias("f")).agg(F.count("*").alias("n")).collect()
-        by_name = {p.rpartition("/")[2]: p for p in sizes}
-        return [Shard(by_name[r["f"]], sizes[by_name[r["f"]]], r["n"]) for r in counts]
+    def _written(self, folder: str) -> str:
+        """The list of the shards in ``data/folder``: their rows are read from the files' ends, no column is."""
+        files = self.spark.read.parquet(f"{self.root}/data/{folder}").select(F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_size").alias("b"))
+        counted = files.groupBy("f", "b").agg(F.count("*").alias("rows"))
+        return self._write_list(counted.select(F.concat(F.lit(f"data/{folder}/"), "f").alias("path"), F.col("b").alias("bytes"), "rows"))
 
     def append(self, df: DataFrame, max_rows: int = ARRIVAL_ROWS) -> Manifest:
-        folder = f"{self.root}/data/{uuid.uuid4().hex}"
-        df.write.option("maxRecordsPerFile", max_rows).parquet(folder)
-        shards = [s for s in self._written(folder) if s.rows]
-        return self.commit(shards, schema=df.schema) if shards else self.manifest()
-
-    def _write_apart(self, merged: DataFrame, folder: str) -> None:
-        """Write a union with a file for each of its members, which Spark would else lay on each other."""
-        key = "spark.sql.unionOutputPartitioning"
-        before = self.spark.conf.get(key, "true")
-        self.spark.conf.set(key, "false")
+        folder = uuid.uuid4().hex
+        df.write.option("maxRecordsPerFile", max_rows).parquet(f"{self.root}/data/{folder}")
+        new = self._written(folder)
+        return self.manifest() if self.listed((new,)).isEmpty() else self.commit(new, schema=df.schema)
+
+    @contextmanager
+    def _packed(self) -> Iterator[None]:
+        """Scans lay whole files of falling size together, up to the target in a partition."""
+        conf = self.spark.conf
+        wanted = {"maxPartitionBytes": str(self.target), "openCostInBytes": "0", "minPartitionNum": "1"}
+        wanted = {f"spark.sql.files.{k}": v for k, v in wanted.items()}
+        before = {k: conf.get(k, None) for k in wanted}
         try:
-            merged.write.parquet(folder)
+            for k, v in wanted.items():
+                conf.set(k, v)
+            yield
         finally:
-            self.spark.conf.set(key, before)
+            for k, v in before.items():
+                conf.set(k, v) if v is not None else conf.unset(k)
+
+    def _next_run(self, m: Manifest) -> DataFrame | None:
+        """The shards of the smallest tier that has enough to merge, ``FILES_A_JOB`` at most."""
+        tiered = self.listed(m).withColumn("tier", tier("bytes", self.target)).where("tier is not null")
+        # At most a row for each tier.
+        ready = [r["tier"] for r in tiered.groupBy("tier").count().where(F.col("count") >= FEWEST).collect()]
+        return tiered.where(F.col("tier") == max(ready)).orderBy("bytes", "path").limit(FILES_A_JOB) if ready else None
 
     def compact(self) -> Manifest:
         """Merge until no tier has a run."""
         while True:
             now = self.manifest()
-            todo = runs(now.shards, self.target)
-            if not todo:
+            run = self._next_run(now)
+            if run is None:
                 return now
-            for at in range(0, len(todo), RUNS_A_JOB):
-                some = todo[at : at + RUNS_A_JOB]
-                merged = None
-                for run in some:
-                    one = self.spark.read.schema(now.struct).parquet(*[s.path for s in run]).coalesce(1)
-                    merged = one if merged is None else merged.unionAll(one)
-                folder = f"{self.root}/data/{uuid.uuid4().hex}"
-                self._write_apart(merged, folder)
-                out, old = self._written(folder), [s for r in some for s in r]
-                if sum(s.rows for s in out) != sum(s.rows for s in old):
-                    raise RuntimeError("a merge changed the number of rows")
-                try:
-                    self.commit(out, old)
-                except Conflict:
-                    self._fs().delete(self._path(folder), True)
+            old = self._write_list(run)
+            paths = [f"{self.root}/{r['path']}" for r in self.listed((old,)).select("path").collect()]
+            folder = uuid.uuid4().hex
+            with self._packed():
+                self.spark.read.schema(now.struct).parquet(*paths).write.parquet(f"{self.root}/data/{folder}")
+            new = self._written(folder)
+            total = lambda x: self.listed((x,)).agg(F.sum("rows")).first()[0]
+            if total(new) != total(old):
+                raise RuntimeError("a merge changed the number of rows")
+            try:
+                self.commit(new, old)
+            except Conflict:
+                self._fs().delete(self._path(f"{self.root}/data/{folder}"), True)
 
     def vacuum(self, keep: int = 1) -> int:
         """Delete data files that none of the last ``keep`` versions names; returns their number."""
-        every = self.versions()[-keep:]
-        named = {s.path for v in every for s in self.manifest(v).shards}
-        gone = [p for folder, _ in self._list(f"{self.root}/data") for p, _ in self._list(folder) if p not in named and p.endswith(".parquet")]
-        fs = self._fs()
-        for p in gone:
-            fs.delete(self._path(p), False)
-        return len(gone)
+        kept = [self.manifest(v) for v in self.versions()[-keep:]]
+        fs, gone = self._fs(), 0
+        named = self.listed(tuple({x for m in kept for x in m.lists})).select("path").distinct()
+        folder = F.element_at(F.split("path", "/"), 2)
+        # A row for each folder, as many as there were jobs.
+        live = {r[0] for r in named.select(folder).distinct().collect()}
+        for name in self._names(f"{self.root}/data"):
+            files = [f for f in self._names(f"{self.root}/data/{name}") if f.endswith(".parquet")]
+            if name not in live:
+                fs.delete(self._path(f"{self.root}/data/{name}"), True)
+                gone += len(files)
+                continue
+            own = {r[0].rpartition("/")[2] for r in named.where(folder == name).collect()}
+            for f in set(files) - own:
+                gone += fs.delete(self._path(f"{self.root}/data/{name}/{f}"), False)
+        for name in set(self._names(f"{self.root}/_lists")) - {x for v in self.versions() for x in self.manifest(v).lists}:
+            fs.delete(self._path(f"{self.root}/_lists/{name}"), True)
+        return gone
 
     def read(self, version: int | None = None) -> DataFrame:
         m = self.manifest(version)
-        if not m.shards:
-            return self.spark.createDataFrame([], m.struct)
-        return self.spark.read.schema(m.struct).parquet(*[s.path for s in m.shards])
+        paths = [f"{self.root}/{r['path']}" for r in self.listed(m).select("path").collect()]
+        return self.spark.read.schema(m.struct).parquet(*paths) if paths else self.spark.createDataFrame([], m.struct)
 
     def shards(self, version: int | None = None) -> DataFrame:
-        """shard (a number by path), path, file_name, bytes, rows: a row for each shard."""
-        m = self.manifest(version)
-        rows = [(i, s.path, s.path.rpartition("/")[2], s.bytes, s.rows) for i, s in enumerate(m.shards)]
-        return self.spark.createDataFrame(rows, "shard int, path string, file_name string, shard_bytes long, shard_rows long")
+        """shard (its file's name), path, shard_bytes, shard_rows: a row for each shard."""
+        m = self.listed(self.manifest(version))
+        return m.select(F.substring_index("path", "/", -1).alias("shard"), "path", F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_rows"))
 
 
 def shard_documents(spark: SparkSession, path: str, root: str, arrivals: int = 4, target: int = TARGET) -> DataFrame:
@@ -242,8 +254,8 @@ def shard_documents(spark: SparkSession, path: str, root: str, arrivals: int = 4
         store.append(spark.read.schema(table.schema).parquet(*files[at : at + step]))
     m = store.compact()
     store.vacuum()
-    if not m.shards:
-        return spark.createDataFrame([], "doc_id long, shard int, shard_rows long, shard_bytes long, version long, text_sha256 string")
-    rows = store.read(m.version).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), F.col("_metadata.file_name").alias("file_name"))
-    found = rows.join(store.shards(m.version), "file_name")
+    if not m.lists:
+        return spark.createDataFrame([], "doc_id long, shard string, shard_rows long, shard_bytes long, version long, text_sha256 string")
+    rows = store.read(m.version).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), F.col("_metadata.file_name").alias("shard"))
+    found = rows.join(store.shards(m.version), "shard")
     return found.select("doc_id", "shard", "shard_rows", "shard_bytes", F.lit(m.version).cast("long").alias("version"), "text_sha256")
