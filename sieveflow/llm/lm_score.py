@@ -2,13 +2,17 @@
 
 A word is a lattice: every way to cut it into pieces of an existing unigram vocabulary is a path, and
 the forward recursion in log space sums all of them, so the result is the marginal probability and
-not that of one segmentation. The vocabulary is never changed; its weights are the file's, moved
-towards the expected use of each piece in the training words by ``ROUNDS`` of expectation
-maximisation. What else is learned from the training documents are arcs over whole words: a word
-with count c in N training tokens has such an arc of weight (c - D) / N, and the mass that the
-discount D frees, D * V / N, enters the pieces (absolute discounting; D from the numbers of words
-seen once and twice). The document's end is a token like a word. A document's probability is the
-product over its words, whose lattices meet only at spaces, so its score is the sum of their log10s.
+not that of one segmentation. The vocabulary and its scores are never changed; the public files with
+pieces that are here are made for merges and rank their pieces, so a piece's score is that of its rank by
+Zipf's law, log(1 / (rank + 10)), normalised (see :mod:`pieces`). ``lattice_score`` is the document's
+log10 probability under these pieces alone.
+
+What is learned from the training documents are further arcs over whole words: a word with count c in N
+training tokens has one of weight (c - D) / N, and the mass that the discount D frees, D * V / N, enters
+the pieces (absolute discounting; D from the numbers of words seen once and twice). ``score`` is the
+log10 probability of this lattice. The document's end is a token like a word (the pieces alone don't
+spell it). A document's probability is the product over its words, whose lattices meet only at spaces,
+so its scores are sums of their log10s.
 
 Counts are of all documents. Each distinct word's lattice is run once. The ``HEAVY`` most frequent
 words (a fixed bound) are broadcast and scored where the document is; the other words of a document
@@ -37,8 +41,6 @@ from .common import crc_remainder, cut
 HEAVY = 100_000
 #: Distinct words that a task counts before it passes them on.
 _FLUSH = 200_000
-#: Rounds of expectation maximisation of the pieces' weights, and what stays of the file's weights.
-ROUNDS, STAYS = 1, 1e-3
 END = b"\n"  # no word holds white space
 
 
@@ -102,50 +104,6 @@ def count_words(docs: DataFrame, text_col: str = "text", train_col: str = "train
     return counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("c_all").alias("c_all"))
 
 
-def add_expected(word: str, weights: dict[str, float | None], byte: float, use: dict[str, float]) -> None:
-    """Add to ``use`` how often each piece is expected in the segmentations of a space and ``word``; bytes count under ''.
-
-    ``weights`` and ``byte`` are probabilities, not logs; forward and backward recursion. Each character
-    is scaled by ``_SCALE``, which is the same for all segmentations, so that long words stay in range.
-    """
-    s = pieces.SPACE + word
-    n = len(s)
-    a, b = [0.0] * (n + 1), [0.0] * (n + 1)
-    a[0] = b[n] = 1.0
-    arcs = []
-    for i in range(n):
-        at = a[i]
-        size = 1 if s[i] < "\x80" else len(s[i].encode("utf-8", "surrogatepass"))
-        w = byte**size * _SCALE
-        arcs.append((i, i + 1, "", w, size))
-        a[i + 1] += at * w
-        scale = 1.0
-        for j in range(i + 1, n + 1):
-            scale *= _SCALE
-            try:
-                w = weights[k := s[i:j]]
-            except KeyError:
-                break
-            if w is not None:
-                w *= scale
-                arcs.append((i, j, k, w, 1))
-                a[j] += at * w
-    if not 1e-250 < a[n] < 1e250:  # several hundred odd characters: in halves
-        if n > 2:
-            add_expected(word[: n // 2], weights, byte, use), add_expected(word[n // 2 :], weights, byte, use)
-        return
-    b[n] = 1 / a[n]
-    for i, j, k, w, size in reversed(arcs):
-        x = w * b[j]
-        b[i] += x
-        x *= a[i] * size
-        use[k] = use.get(k, 0.0) + x
-
-
-#: About the inverse of the probability of a character.
-_SCALE = 12.0
-
-
 #: Logs of the pieces' weights and of a byte's.
 Weights = tuple[dict[str, float], float]
 
@@ -154,31 +112,6 @@ def with_prefixes(weights: dict[str, float]) -> dict[str, float | None]:
     return {p[:i]: None for p in weights for i in range(1, len(p))} | weights
 
 
-def adapt(words: DataFrame, start: Weights, stays: float = STAYS) -> Weights:
-    """One round: weights in proportion to the expected use of the pieces in the training words, each
-    different word counting once, as the pieces are for words that are rare. At most a row for each
-    piece of the vocabulary comes to the driver."""
-    spark = words.sparkSession
-    sent = spark.sparkContext.broadcast(start)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs, byte = sent.value
-        weights = {k: None if w is None else math.exp(w) for k, w in with_prefixes(logs).items()}
-        use: dict[str, float] = {}
-        for b in batches:
-            for x in b.column(0).to_pylist():
-                add_expected(x.decode("utf-8", "surrogatepass"), weights, math.exp(byte), use)
-        yield pa.RecordBatch.from_arrays([pa.array(list(use), pa.string()), pa.array(list(use.values()), pa.float64())], ["piece", "n"])
-
-    trained = words.where((F.col("c") > 0) & (F.col("word") != F.lit(END))).select("word")
-    use = trained.mapInArrow(run, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n")).orderBy("piece").toArrow().to_pydict()
-    n = dict(zip(use["piece"], use["n"], strict=True))
-    if not (total := math.fsum(n.values())):
-        return start
-    mixed = lambda k, old, share=1.0: math.log((1 - stays) * n.get(k, 0.0) * share / total + stays * math.exp(old))
-    return {k: mixed(k, w) for k, w in start[0].items()}, mixed("", start[1], 1 / 256)
-
-
 def with_lattice(words: DataFrame, weights: Weights) -> DataFrame:
     """``words`` (word, c, c_all) with lattice, the ln of its marginal; the end has no pieces."""
     sent = words.sparkSession.sparkContext.broadcast(weights)
@@ -193,13 +126,9 @@ def with_lattice(words: DataFrame, weights: Weights) -> DataFrame:
     return words.mapInArrow(run, "word binary, c long, c_all long, lattice double")
 
 
-def word_scores(docs: DataFrame, text_col: str = "text", train_col: str = "train", piece_file: str = pieces.PIECE_FILE, rounds: int = ROUNDS) -> DataFrame:
-    """word, known, base, score (log10 of a token), c_all, train_tokens: a row for each word of any document."""
-    counted = cut(count_words(docs, text_col, train_col), "counts")
-    weights = pieces.log_weights(piece_file)
-    for _ in range(rounds):
-        weights = adapt(counted, weights)
-    words = cut(with_lattice(counted, weights), "words")
+def word_scores(docs: DataFrame, text_col: str = "text", train_col: str = "train", piece_file: str = pieces.PIECE_FILE) -> DataFrame:
+    """word, known, base, score, lattice (log10 of a token), c, c_all, train_tokens: a row for each word of any document."""
+    words = cut(with_lattice(count_words(docs, text_col, train_col), pieces.log_weights(piece_file)), "words")
     # Token and type counts: one row.
     n, v, n1, n2 = words.agg(
         F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))
@@ -212,26 +141,33 @@ def word_scores(docs: DataFrame, text_col: str = "text", train_col: str = "train
     b = F.coalesce(F.col("lattice"), F.when(F.col("c") == 0, F.lit(0.0))) + F.lit(math.log(freed))
     both = F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
     ln = F.when(a.isNull(), b).when(b.isNull(), a).otherwise(both)
-    return words.select("word", (F.col("c") > 0).alias("known"), base.alias("base"), (ln / math.log(10)).alias("score"), "c_all", F.lit(n).cast("long").alias("train_tokens"))
+    return words.select("word", (F.col("c") > 0).alias("known"), base.alias("base"), (ln / math.log(10)).alias("score"),
+                        (F.coalesce("lattice", F.lit(0.0)) / math.log(10)).alias("lattice"), "c", "c_all", F.lit(n).cast("long").alias("train_tokens"))
+
+
+#: Sums over a document's tokens, by their columns in the table of words.
+SUMS = {"known": "n_known", "base": "base_score", "score": "score", "lattice": "lattice_score"}
 
 
 def score_documents(docs: DataFrame, table: DataFrame, text_col: str = "text", heavy: int = HEAVY) -> DataFrame:
-    """doc_id, train, n_tokens, n_known, base_score, score of each row of ``docs`` (doc_id, text, train)."""
+    """doc_id, train, n_tokens, n_known, base_score, score, lattice_score of each row of ``docs`` (doc_id, text, train)."""
     spark = docs.sparkSession
-    top = table.orderBy(F.desc("c_all"), "word").limit(heavy).select("word", F.col("known").cast("long"), "base", "score").toArrow().to_pydict()
+    table = table.withColumn("known", F.col("known").cast("double"))
+    top = table.orderBy(F.desc("c_all"), "word").limit(heavy).select("word", *SUMS).toArrow().to_pydict()
     known = spark.sparkContext.broadcast({bytes(w): x for w, *x in zip(*top.values(), strict=True)})
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = pa.schema([("row", pa.int64()), ("word", pa.binary()), ("times", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+    names = ["row", "word", "times", "n_tokens", *SUMS, "doc_id", "train"]
+    types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), *[pa.float64()] * len(SUMS), None, pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores, row = known.value, TaskContext.get().partitionId() << 40
         for b in batches:
-            cols: list[list] = [[] for _ in range(9)]
+            cols: list[list] = [[] for _ in names]
             for doc_id, text, train in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 ws = tokens(text)
                 found = Counter(ws)
                 found[END] = 1
-                n = base = score = 0.0
+                n = base = score = lattice = 0.0
                 for w, times in found.items():
                     if (x := scores.get(w)) is None:
                         cols[0].append(row), cols[1].append(w), cols[2].append(times)
@@ -241,29 +177,28 @@ def score_documents(docs: DataFrame, table: DataFrame, text_col: str = "text", h
                         n += times * x[0]
                         base += times * x[1]
                         score += times * x[2]
-                for c, x in zip(cols, (row, None, None, len(ws) + 1, int(n), base, score, doc_id, train), strict=True):
+                        lattice += times * x[3]
+                for c, x in zip(cols, (row, None, None, len(ws) + 1, n, base, score, lattice, doc_id, train), strict=True):
                     c.append(x)
                 row += 1
-            arrays = [pa.array(c, f.type) for c, f in zip(cols, schema, strict=False)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(cols[7], b.column(0).type), pa.array(cols[8], pa.bool_())], [*schema.names, "doc_id", "train"])
+            kinds = [b.column(0).type if t is None else t for t in types]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
     rows = docs.select("doc_id", F.col(text_col).cast("string").alias("text"), "train")
-    parts = cut(rows.mapInArrow(run, f"row long, word binary, times long, n_tokens long, n_known long, base double, score double, doc_id {kind}, train boolean"), "parts")
-    rest = parts.where(F.col("word").isNotNull()).select("row", "word", "times")
-    rest = rest.join(table.select("word", F.col("known").cast("long").alias("known"), "base", "score"), "word")
-    times = F.col("times")
-    rest = rest.select("row", (times * F.col("known")).alias("n_known"), (times * F.col("base")).alias("base"), (times * F.col("score")).alias("score"))
-    rest = rest.groupBy("row").agg(*[F.sum(c).alias(f"more_{c}") for c in ("n_known", "base", "score")])
+    sums = ", ".join(f"{c} double" for c in SUMS)
+    parts = cut(rows.mapInArrow(run, f"row long, word binary, times long, n_tokens long, {sums}, doc_id {kind}, train boolean"), "parts")
+    rest = parts.where(F.col("word").isNotNull()).select("row", "word", "times").join(table.select("word", *SUMS), "word")
+    rest = rest.groupBy("row").agg(*[F.sum(F.col("times") * F.col(c)).alias(f"more_{c}") for c in SUMS])
     whole = parts.where(F.col("word").isNull()).drop("word", "times").join(rest, "row", "left")
-    plus = lambda c: F.col(c) + F.coalesce(F.col(f"more_{c}"), F.lit(0))
-    return whole.select("doc_id", "train", "n_tokens", plus("n_known").alias("n_known"), plus("base").alias("base_score"), plus("score").alias("score"))
+    plus = {new: F.col(c) + F.coalesce(F.col(f"more_{c}"), F.lit(0)) for c, new in SUMS.items()}
+    return whole.select("doc_id", "train", "n_tokens", *[(x.cast("long") if c == "n_known" else x).alias(c) for c, x in plus.items()])
 
 
 def lm_score(docs: DataFrame, piece_file: str = pieces.PIECE_FILE, heavy: int = HEAVY) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score."""
     d = docs.select("doc_id", "text", (crc_remainder("doc_id", 5) != 1).alias("train"))
     table = cut(word_scores(d, piece_file=piece_file), "word-scores")
     total = table.select("train_tokens").limit(1)
     n = (first := total.first()) and first[0] or 0
     scored = score_documents(d, table, heavy=heavy)
-    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", "lattice_score")
