@@ -127,8 +127,9 @@ _CLOSE = 60
 HOT_BUCKET = 20_000
 #: Pairs that are compared at a time, to bound memory.
 _PAIRS = 1 << 17
-#: Shingles of a bucket that are grouped at a time, likewise.
-_TOKENS = 1 << 22
+#: Shingles of a bucket that are grouped at a time, likewise, and buckets of shingles for each partition of a shuffle,
+#: as what a task gets of the packed shingles is held in memory.
+_TOKENS, _FINER = 1 << 18, 4
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -295,6 +296,7 @@ def rest_pairs(fps: DataFrame, comps: DataFrame, least: float) -> DataFrame:
     reach the share by its places.
     """
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    finer = parts * _FINER
     sets = fps.select(F.col("row").alias("node"), "hashes").join(_within(comps), "node")
 
     # Shingles go packed, by bucket and 32 further bits of their hash. Different ones that agree in both
@@ -304,7 +306,7 @@ def rest_pairs(fps: DataFrame, comps: DataFrame, least: float) -> DataFrame:
             node, comp = b.column("node").to_numpy(), b.column("comp").to_numpy()
             h = b.column("hashes").flatten().to_numpy().view(np.uint64)
             of = np.repeat(np.arange(len(node)), pc.list_value_length(b.column("hashes")).to_numpy())
-            bucket = ((h >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+            bucket = ((h >> np.uint64(32)) % np.uint64(finer)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             bucket, of, h = bucket[order], of[order], h[order].astype(np.uint32)
             first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else bucket
@@ -318,16 +320,17 @@ def rest_pairs(fps: DataFrame, comps: DataFrame, least: float) -> DataFrame:
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole(batches, "bucket"):
             buckets = t["bucket"].to_numpy()
-            for bucket in np.unique(buckets):
-                got = [r.values() for r in t.filter(pa.array(buckets == bucket)).drop_columns(["bucket"]).to_pylist()]
-                all_tokens = np.concatenate([np.frombuffer(x, np.uint32) for x, *_ in got])
-                slices = len(all_tokens) // _TOKENS + 1  # to bound memory
+            first = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]])
+            for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(buckets)], strict=True):
+                bucket, got = int(buckets[lo]), t.slice(lo, hi - lo).drop_columns(["bucket"])
+                slices = pc.sum(pc.binary_length(got["tokens"])).as_py() // (4 * _TOKENS) + 1  # to bound memory
                 for k in range(slices):
                     tokens, nodes, comps = [], [], []
-                    for x, ids, less, times in got:
-                        x, node, n = np.frombuffer(x, np.uint32), np.cumsum(np.frombuffer(ids, np.int64)), np.frombuffer(times, np.uint32)
-                        comp, here = node - np.frombuffer(less, np.int64), x % slices == k
-                        tokens.append(x[here]), nodes.append(np.repeat(node, n)[here]), comps.append(np.repeat(comp, n)[here])
+                    for x, ids, less, times in zip(*(c for c in got.columns), strict=True):
+                        x, ids, less, times = (np.frombuffer(c.as_buffer(), d) for c, d in ((x, np.uint32), (ids, np.int64), (less, np.int64), (times, np.uint32)))
+                        node = np.cumsum(ids)
+                        comp, here = node - less, x % slices == k
+                        tokens.append(x[here]), nodes.append(np.repeat(node, times)[here]), comps.append(np.repeat(comp, times)[here])
                     token, node, comp = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(comps)
                     if not len(token):
                         continue
@@ -341,7 +344,7 @@ def rest_pairs(fps: DataFrame, comps: DataFrame, least: float) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(named), pa.array(np.repeat(n, n)[keep])], ["node", "token", "times"])
 
     dealt = sets.select("node", "comp", "hashes").mapInArrow(packed, "bucket long, tokens binary, ids binary, comps binary, counts binary")
-    shared = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(common, "node long, token long, times long")
+    shared = dealt.repartition(finer, "bucket").sortWithinPartitions("bucket").mapInArrow(common, "node long, token long, times long")
     listed = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("l"))
     sized = cut(listed, "shared-shingles").join(sets.select("node", "comp", F.size("hashes").alias("n")), "node")
     needed, own = F.ceil(F.col("n") * F.lit(least) - 1e-6).cast("int"), F.col("n") - F.size("l")
