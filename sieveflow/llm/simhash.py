@@ -166,8 +166,6 @@ def _long_fingerprint(base: np.ndarray) -> bytes:
 def bucket_links(fp: np.ndarray, bucket: np.ndarray, apart: int = LONG_APART) -> tuple[np.ndarray, np.ndarray]:
     """Positions of links among rows sorted by ``bucket``; fp as (rows, words) of 64 bits.
 
-    A link is told in each bucket that finds it: another that its texts share may have thinned one out.
-
     First each row meets its bucket's first row, a few times over with what that leaves, so that a
     large group of near copies is linked to one of them and makes no pairs. What is left is compared
     with these copies, for a link to the nearest of them, and in all pairs of its bucket, by growing
@@ -414,6 +412,14 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             fp = np.frombuffer(b"".join(t["fp"].to_pylist()), np.uint64).reshape(len(node), -1)
             key = np.frombuffer(b"".join(t["k"].to_pylist()), np.uint16).astype(np.int64) + (t["i"].to_numpy().astype(np.int64) << 16) + (t["salt"].to_numpy() << 24)
             a, b = bucket_links(fp, key, apart)
+            # A link is told once, in the first block that its texts share. Where that bucket was thinned it may
+            # not be found there; then the join on shingles finds it, or a chain of others stands for it.
+            block = t["i"].to_numpy()
+            parts = fp.view(np.uint16)
+            some = [slice(k, k + _PAIRS) for k in range(0, len(a), _PAIRS)]
+            first = [(parts[a[k]] == parts[b[k]]).argmax(axis=1) == block[a[k]] for k in some]
+            told = np.concatenate([np.zeros(0, bool), *first])
+            a, b = a[told], b[told]
             return pa.RecordBatch.from_arrays([pa.array(node[a], pa.int64()), pa.array(node[b], pa.int64())], ["a", "b"])
 
         # A bucket may go on in the next batch: what is compared ends where a bucket does.
