@@ -38,6 +38,8 @@ TARGET = 64 << 20
 RATIO, FEWEST, ARRIVAL_ROWS = 4, 2, 4096
 #: Files that one job merges, at most (their paths are on the driver); lists of a manifest beyond which they are joined.
 FILES_A_JOB, LISTS = 100_000, 16
+#: Files of a list.
+LIST_FILES = 2
 #: A row of a list: the path below the root, bytes and rows of a shard.
 SHARD = "path string, bytes long, rows long"
 
@@ -108,7 +110,8 @@ class ShardStore:
 
     def _write_list(self, shards: DataFrame) -> str:
         name = uuid.uuid4().hex
-        shards.select("path", "bytes", "rows").write.parquet(f"{self.root}/_lists/{name}")
+        # A list is small, some 100 bytes for each shard of 64 MB, so it isn't dealt over all partitions.
+        shards.select("path", "bytes", "rows").coalesce(LIST_FILES).write.parquet(f"{self.root}/_lists/{name}")
         return name
 
     def commit(self, add: str, replaces: str | None = None, schema: StructType | None = None, tries: int = 20) -> Manifest:
@@ -117,8 +120,9 @@ class ShardStore:
             now = self.manifest()
             lists = now.lists
             if replaces:
-                held, gone = self.listed(now), self.listed((replaces,)).select("path")
-                if not gone.join(held, "path", "left_anti").isEmpty():
+                # What a job replaces are ``FILES_A_JOB`` rows at most.
+                held, gone = self.listed(now), F.broadcast(self.listed((replaces,)).select("path"))
+                if held.join(gone, "path", "left_semi").count() < gone.count():
                     raise Conflict("a shard to be replaced is no longer in the table")
                 lists = (self._write_list(held.join(gone, "path", "left_anti")),)
             elif len(lists) >= LISTS:
@@ -187,7 +191,7 @@ class ShardStore:
         """The shards of the smallest tier that has enough to merge, ``FILES_A_JOB`` at most."""
         tiered = self.listed(m).withColumn("tier", tier("bytes", self.target)).where("tier is not null")
         # At most a row for each tier.
-        ready = [r["tier"] for r in tiered.groupBy("tier").count().where(F.col("count") >= FEWEST).collect()]
+        ready = [r["tier"] for r in tiered.coalesce(1).groupBy("tier").count().where(F.col("count") >= FEWEST).collect()]
         return tiered.where(F.col("tier") == max(ready)).orderBy("bytes", "path").limit(FILES_A_JOB) if ready else None
 
     def compact(self) -> Manifest:
@@ -257,5 +261,7 @@ def shard_documents(spark: SparkSession, path: str, root: str, arrivals: int = 4
     if not m.lists:
         return spark.createDataFrame([], "doc_id long, shard string, shard_rows long, shard_bytes long, version long, text_sha256 string")
     rows = store.read(m.version).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), F.col("_metadata.file_name").alias("shard"))
-    found = rows.join(store.shards(m.version), "shard")
+    shards = store.shards(m.version)
+    few = shards.limit(FILES_A_JOB + 1).count() <= FILES_A_JOB
+    found = rows.join(F.broadcast(shards) if few else shards, "shard")
     return found.select("doc_id", "shard", "shard_rows", "shard_bytes", F.lit(m.version).cast("long").alias("version"), "text_sha256")
