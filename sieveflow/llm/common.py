@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sieveflow.functions.durable import cut, fresh_path, shared_dir
 
-__all__ = ["SPACES", "WORDS", "connected_components", "crc_remainder", "cut", "free_name", "fresh_path", "shared_dir", "text_or_empty"]
+__all__ = ["SPACES", "WORDS", "connected_components", "crc_remainder", "cut", "free_name", "fresh_path", "shared_dir", "small_batches", "text_or_empty"]
 
 #: Characters that separate words in every contract of this subpackage.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -20,6 +20,21 @@ def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+#: Rows and bytes of the batches that go to Python workers, where the session doesn't say otherwise.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on sends texts to Python in small batches: a default batch of 10,000 takes many
+    times its bytes on both sides. What the session has set itself stays."""
+    conf = df.sparkSession.conf
+    own = conf.getAll
+    for k, v in BATCHES.items():
+        if k not in own:
+            conf.set(k, v)
+    return df
+
+
 def free_name(name: str, taken: Iterable[str]) -> str:
     """``name``, with as many underscores at its end as it takes to be none of ``taken`` (whatever their case)."""
     taken = {t.lower() for t in taken}

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pieces
-from .common import crc_remainder, cut
+from .common import crc_remainder, cut, small_batches
 
 #: Words that are broadcast with their scores: some megabytes, whatever the corpus.
 HEAVY = 100_000
@@ -99,7 +99,7 @@ def count_words(docs: DataFrame, text_col: str = "text", train_col: str = "train
                     yield out()
         yield out()
 
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(train_col))
+    rows = small_batches(docs).select(F.col(text_col).cast("string").alias("text"), F.col(train_col))
     counted = rows.mapInArrow(run, "word binary, c long, c_all long")
     return counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("c_all").alias("c_all"))
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder
+from .common import crc_remainder, small_batches
 
 #: Bound of the sample of labelled rows that the trees learn from.
 SAMPLE = 20_000
@@ -156,7 +156,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, te
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), stats], ["doc_id", "quality", "stats"])
 
     # Broadcast: ``sample`` ids at most.
-    found = docs.select("doc_id", F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "doc_id")
+    found = small_batches(docs).select("doc_id", F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "doc_id")
     kind = docs.schema["doc_id"].dataType.simpleString()
     stats = found.select("doc_id", "quality", "text").mapInArrow(run, f"doc_id {kind}, quality double, stats array<double>")
     # Of different texts with one id the one of the least statistics stands for it, in every run.
@@ -180,7 +180,7 @@ def score(docs: DataFrame, trees: Trees, text_col: str = "text", keep: tuple[str
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(trees.score(x), pa.float64())], [*names, "s"])
 
     names = [f"c{i}" for i in range(len(keep))]
-    source = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(text_col).cast("string").alias("t"))
+    source = small_batches(docs).select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(text_col).cast("string").alias("t"))
     kinds = ", ".join(f"{n} {source.schema[n].dataType.simpleString()}" for n in names)
     return source.mapInArrow(run, f"{kinds}, s double").toDF(*keep, as_col)
 
@@ -194,7 +194,7 @@ def accepted(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD, text_c
             yield b.filter(pa.array(trees.score(x) >= threshold))
 
     at = docs.columns.index(text_col)
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:

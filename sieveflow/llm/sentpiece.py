@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pieces
+from .common import small_batches
 
 N_BEST = 3
 #: Bytes of the chunks that a worker keeps, about, in each of two generations.
@@ -304,7 +305,7 @@ def encode(docs: DataFrame, text_col: str = "text", n: int = N_BEST, piece_file:
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists, *rest], [*names, *OUT.names])
 
     names = [f"c{i}" for i in range(len(keep))]
-    source = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(keep, names, strict=True)], F.col(text_col).cast("string").alias("t"))
+    source = small_batches(docs).select(*[F.col(f"`{c}`").alias(x) for c, x in zip(keep, names, strict=True)], F.col(text_col).cast("string").alias("t"))
     kinds = "".join(f"{x} {source.schema[x].dataType.simpleString()}, " for x in names)
     return source.mapInArrow(run, kinds + DDL).toDF(*keep, *OUT.names)
 
