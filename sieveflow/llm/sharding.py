@@ -204,12 +204,18 @@ class ShardStore:
             old = self._write_list(run)
             paths = [f"{self.root}/{r['path']}" for r in self.listed((old,)).select("path").collect()]
             folder = uuid.uuid4().hex
+            total = lambda x: tuple(self.listed((x,)).agg(F.sum("rows"), F.count("*"), F.sum("bytes")).first())
+            rows, files, size = total(old)
+            # Where a session holds its scans to smaller partitions, these are put together, to half the target or more.
+            most = max(1, math.ceil(2 * size / self.target))
             with self._packed():
-                self.spark.read.schema(now.struct).parquet(*paths).write.parquet(f"{self.root}/data/{folder}")
+                self.spark.read.schema(now.struct).parquet(*paths).coalesce(most).write.parquet(f"{self.root}/data/{folder}")
             new = self._written(folder)
-            total = lambda x: self.listed((x,)).agg(F.sum("rows")).first()[0]
-            if total(new) != total(old):
+            rows_after, files_after, _ = total(new)
+            if rows_after != rows:
                 raise RuntimeError("a merge changed the number of rows")
+            if files_after >= files:
+                raise RuntimeError(f"a merge of {files} files gave {files_after}")
             try:
                 self.commit(new, old)
             except Conflict:

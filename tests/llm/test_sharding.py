@@ -108,3 +108,22 @@ def test_documents(spark):
     none = fresh_path(spark, "in")
     empty(spark).write.parquet(none)
     assert H.shard_documents(spark, none, fresh_path(spark, "shards")).collect() == []
+
+
+def test_sessions_with_small_scans_end(spark, monkeypatch):
+    from contextlib import contextmanager
+
+    @contextmanager
+    def held(self):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        try:
+            yield
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+    monkeypatch.setattr(H.ShardStore, "_packed", held)
+    store = H.ShardStore(spark, fresh_path(spark, "shards"), target=1 << 20)
+    for part in docs(spark).repartition(4).randomSplit([1.0, 1.0], 1):
+        store.append(part, max_rows=2)
+    store.compact()
+    assert len(listed(store)) == 1 and key(store.read()) == key(docs(spark))
