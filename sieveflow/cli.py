@@ -8,13 +8,14 @@ import os
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from sieveflow import debug, engine
 from sieveflow.operators import post
 from sieveflow.rules.load import load_rule_dirs, load_rules, verify
 from sieveflow.schemas import parse_severity
 from sieveflow.sinks import report
-from sieveflow.sources import corpus
+from sieveflow.sources import code, corpus
 
 
 def positive(text: str) -> int:
@@ -40,6 +41,9 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--write-baseline")
     s.add_argument("--cache-dir")
     s.add_argument("--metrics")
+    s.add_argument("--errors", metavar="FILE", help="write files that couldn't be parsed, and rules that failed or took too long over a file")
+    s.add_argument("--no-aliases", action="store_true", help="look for calls under their own names only")
+    s.add_argument("--dump-taints", metavar="FILE", help="write what functions return or take that is tainted")
     s.add_argument("--apply-fixes", metavar="FOLDER", help="write fixed copies there")
     v = sub.add_parser("verify")
     v.add_argument("path")
@@ -64,7 +68,8 @@ def scan(a: argparse.Namespace, spark: SparkSession) -> int:
         spark, root, [x for x in a.exclude.split(",") if x], not a.no_default_exclude, ignore_texts(root), a.max_file_size, a.suppress_comment
     )
     baseline = post.read_baseline(spark, a.baseline) if a.baseline else None
-    found = engine.analyze(files, engine.prune(files, rules), baseline=baseline, cache=a.cache_dir).cache()
+    failed: list = []
+    found = engine.analyze(files, engine.prune(files, rules), baseline=baseline, cache=a.cache_dir, aliases=not a.no_aliases, failed=failed if a.errors else None).cache()
     print(report.report(found, a.format, {"files": files.count(), "rules": len(rules.rules)} if a.format == "text" else None))
     if a.write_baseline:
         with open(a.write_baseline, "w", encoding="utf-8") as f:
@@ -72,6 +77,15 @@ def scan(a: argparse.Namespace, spark: SparkSession) -> int:
     if a.metrics:
         row = engine.metrics(found, files)
         print(json.dumps(row.first().asDict()), file=sys.stderr) if a.metrics == "-" else report.write_metrics(row, a.metrics)
+    if a.errors:
+        bad = files.where(F.col("parse_status") != "ok").select(F.lit(None).cast("string").alias("rule_id"), F.col("file_path").alias("file"), F.col("parse_status").alias("error"))
+        told = engine.rule_errors(failed, engine.prune(files, rules))
+        with open(a.errors, "w", encoding="utf-8") as f:
+            json.dump([r.asDict() for r in (bad if told is None else bad.unionByName(told)).orderBy("file", "rule_id").collect()], f, indent=2)
+    if a.dump_taints:
+        marked = code.dfg_nodes(files).where("kind in ('Param', 'Return')").groupBy("name").agg(F.max(F.col("kind") == "Return").alias("tainted_return"))
+        with open(a.dump_taints, "w", encoding="utf-8") as f:
+            f.write(report.taint_dump(marked))
     if a.apply_fixes:
         post.apply_fixes(files, found).write.mode("overwrite").parquet(a.apply_fixes)
     return int(bool(a.fail_on) and post.fails_on(found, parse_severity(a.fail_on)))

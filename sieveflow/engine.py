@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveflow.functions.durable import cut
 from sieveflow.operators import cache as C
 from sieveflow.operators import graph, jsonpath, policy, post, taint, text, tree
 from sieveflow.rules.model import AstPattern, AstQuery, JsonPathEq, JsonPathRegex, Policy, RuleSet, Taint, TextRegex, TextRegexMulti
@@ -36,20 +37,32 @@ class Tables:
     @property
     def tree(self) -> DataFrame:
         if self._tree is None:
-            self._tree = tree.with_type(code.ast_nodes(self.files), self.files)
+            # Each part of each pattern looks at it: the files are parsed for it once.
+            self._tree = cut(tree.with_type(code.ast_nodes(self.files), self.files), "tree")
         return self._tree
 
 
-def hits(t: Tables, rules: RuleSet, aliases: bool = False) -> DataFrame | None:
-    """All matches (ord, file, line, column, excerpt, severity); None without rules."""
+def hits(t: Tables, rules: RuleSet, aliases: bool = True, failed: list[DataFrame] | None = None) -> DataFrame | None:
+    """All matches (ord, file, line, column, excerpt, severity); None without rules.
+
+    Rules that fail or take too long over a file are skipped for it. A list ``failed`` gets tables
+    (ord, file, error) of those; what can fail is then run at once.
+    """
     parts: list[DataFrame] = []
+
+    def sound(rows: DataFrame) -> DataFrame:
+        if failed is not None:
+            rows = cut(rows, "matched")
+            failed.append(rows.where("error is not null").select("ord", "file", "error"))
+        return rows.where("error is null").drop("error")
+
     if found := rules.of(TextRegex):
         plain = text.line_hits(t.files, found)
         parts.append(plain)
         if aliases and any(r.matcher.call for _, r in found):
             parts.append(text.alias_hits(t.files, found, plain, text.import_aliases(t.nodes)))
     if found := rules.of(TextRegexMulti):
-        parts.append(text.occurrence_hits(t.files, found))
+        parts.append(sound(text.occurrence_rows(t.files, found)))
     if found := rules.of(JsonPathEq) + rules.of(JsonPathRegex):
         parts.append(jsonpath.path_hits(t.typed_nodes, found))
     if found := rules.of(AstQuery):
@@ -57,17 +70,17 @@ def hits(t: Tables, rules: RuleSet, aliases: bool = False) -> DataFrame | None:
     if found := rules.of(AstPattern):
         parts.append(tree.pattern_hits(t.tree, found))
     if found := rules.of(Policy):
-        parts.append(policy.policy_hits(t.files, t.nodes, found))
+        parts.append(sound(policy.policy_hits(t.files, t.nodes, found)))
     parts = [p.withColumn("severity", F.lit(None).cast("string")) for p in parts]
     if found := rules.of(Taint):
-        symbols = code.symbols(t.files)
+        symbols = cut(code.symbols(t.files), "symbols")  # joined several times
         points, edges = code.dfg_nodes(t.files), code.dfg_edges(t.files)
         paths = graph.taint_paths(points, edges, symbols)
         # Only PHP sinks are also joined by the names that a symbol leads to.
         php = any(r.applies("php") for _, r in found)
         of_php = t.files.where("file_type = 'php'").select("file_path")
         direct = graph.flows_to_names(*(x.join(of_php, "file_path", "left_semi") for x in (points, edges, symbols))) if php else None
-        got = taint.taint_hits(taint.taint_captures(t.files, found), symbols, paths, direct)
+        got = taint.taint_hits(sound(taint.taint_captures(t.files, found)), symbols, paths, direct)
         named = [(i, r) for i, r in found if r.sources and r.sinks]
         if named:
             joined = taint.names_flow(named, graph.call_edges(t.tree, corpus.lines(t.files)))
@@ -76,9 +89,9 @@ def hits(t: Tables, rules: RuleSet, aliases: bool = False) -> DataFrame | None:
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 
-def raw_findings(files: DataFrame, rules: RuleSet, aliases: bool = False) -> DataFrame:
+def raw_findings(files: DataFrame, rules: RuleSet, aliases: bool = True, failed: list[DataFrame] | None = None) -> DataFrame:
     """Findings before any filter, with duplicates."""
-    got = hits(Tables(files), rules, aliases)
+    got = hits(Tables(files), rules, aliases, failed)
     if got is None:
         return files.sparkSession.createDataFrame([], FINDINGS + ", ord int")
     return post.findings_of(got, rules)
@@ -91,12 +104,12 @@ def prune(files: DataFrame, rules: RuleSet) -> RuleSet:
 
 
 def analyze(files: DataFrame, rules: RuleSet, *, baseline: DataFrame | None = None, suppress: bool = True, cache: str | None = None,
-            aliases: bool = False, plugin_findings: DataFrame | None = None) -> DataFrame:
-    """Deduplicated findings of the rules in the files, not in the baseline and not suppressed.
+            aliases: bool = True, plugin_findings: DataFrame | None = None, failed: list[DataFrame] | None = None) -> DataFrame:
+    """Deduplicated findings of the rules in the files, not in the baseline and not suppressed. ``failed``: see :func:`hits`.
 
     With ``cache``, a folder, only files whose content it doesn't know under these rules are analysed.
     """
-    raw = raw_findings(files, rules, aliases) if cache is None else C.cached(files, rules, cache, lambda f: raw_findings(f, rules, aliases))
+    raw = raw_findings(files, rules, aliases, failed) if cache is None else C.cached(files, rules, cache, lambda f: raw_findings(f, rules, aliases, failed))
     out = raw if baseline is None else post.without_baseline(raw, baseline)
     out = post.without_suppressed(out, files) if suppress else out
     out = post.dedup(out)
@@ -110,6 +123,25 @@ def scan(spark: SparkSession, path: str, rules: RuleSet, *, patterns: tuple[str,
     return analyze(files, prune(files, rules), **options)
 
 
+def rule_errors(failed: list[DataFrame], rules: RuleSet) -> DataFrame | None:
+    """rule_id, file, error of what :func:`hits` has told; None if nothing in the plan could fail."""
+    if not failed:
+        return None
+    table = rules.frame(failed[0].sparkSession).select("ord", F.col("id").alias("rule_id"))
+    return reduce(DataFrame.unionByName, failed).join(F.broadcast(table), "ord").select("rule_id", "file", "error")  # a row for each rule
+
+
+def rule_times(files: DataFrame, rules: RuleSet, aliases: bool = True) -> DataFrame:
+    """rule_id, findings, seconds: each rule's plan run on its own."""
+    import time
+
+    rows = []
+    for r in rules.rules:
+        began = time.monotonic()
+        rows.append((r.id, raw_findings(files, RuleSet([r]), aliases).count(), time.monotonic() - began))
+    return files.sparkSession.createDataFrame(rows, "rule_id string, findings long, seconds double")
+
+
 def metrics(findings: DataFrame, files: DataFrame) -> DataFrame:
     """One row: files, findings, matched_rules, files_with_findings."""
     n = files.agg(F.count("*").alias("files"))

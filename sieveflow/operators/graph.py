@@ -6,6 +6,7 @@ walked by frontier joins, one round a step, each round cut to the shared folder.
 
 from __future__ import annotations
 
+import itertools
 from collections import deque
 from collections.abc import Iterator
 
@@ -15,27 +16,81 @@ from pyspark.sql import functions as F
 
 from sieveflow.functions.durable import cut
 
-MAX_ROUNDS = 200
+#: Rounds after which what a walk has seen is written as one table.
+ROUNDS_A_CUT = 16
 
 
 # Corpus-wide
 
 
-def reach(edges: DataFrame, start: DataFrame, blocked: DataFrame | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """node, depth of all nodes reached from ``start`` (node) over edges (src, dst), start included; nodes in ``blocked`` are never entered."""
-    frontier = start.select("node").distinct()
+def reach(edges: DataFrame, start: DataFrame, blocked: DataFrame | None = None, key: tuple[str, ...] = ()) -> DataFrame:
+    """node, depth of all nodes reached from ``start`` (node) over edges (src, dst), start included; nodes in ``blocked`` are never entered.
+
+    With columns ``key`` in ``start``, a walk for each of their values, all in the same rounds.
+    """
+    at = [*key, "node"]
+    frontier = start.select(*at).distinct()
     if blocked is not None:
         frontier = frontier.join(blocked.select("node"), "node", "left_anti")
         edges = edges.join(blocked.select(F.col("node").alias("dst")), "dst", "left_anti")
-    seen = cut(frontier.withColumn("depth", F.lit(0)), "reach")
-    frontier, links = seen, edges.select("src", "dst").distinct()
-    for depth in range(1, max_rounds + 1):
-        ahead = frontier.join(links, frontier.node == links.src).select(F.col("dst").alias("node")).distinct()
-        frontier = cut(ahead.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)), "reach")
+    links = cut(edges.select("src", "dst").distinct(), "links")  # made once, not in each round
+    seen = cut(frontier.select(*at, F.lit(0).alias("depth")), "reach")
+    frontier = seen
+    for depth in itertools.count(1):
+        ahead = frontier.join(links, frontier.node == links.src).select(*key, F.col("dst").alias("node")).distinct()
+        frontier = cut(ahead.join(seen, at, "left_anti").select(*at, F.lit(depth).alias("depth")), "reach")
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)
-    raise RuntimeError(f"not done after {max_rounds} rounds")
+        if depth % ROUNDS_A_CUT == 0:
+            seen = cut(seen, "reach")
+
+
+def _peeled(edges: DataFrame) -> DataFrame:
+    """Without the edges of nodes that nothing leads to or that lead nowhere, over and over."""
+    n = edges.count()
+    while n:
+        less = edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        less = cut(less.select("src", "dst"), "cycles")
+        if (now := less.count()) == n:
+            break
+        edges, n = less, now
+    return edges
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """node, component (its least node) of the nodes on cycles: strongly connected components of two nodes or more, or with a loop.
+
+    Each round labels every node with the least node that leads to it. A node with its own label is the
+    least of its component, and what leads back to it under the same label is the rest. Components found are
+    taken out, and the next round goes on with what is left, until no cycle is.
+    """
+    rest = _peeled(cut(edges.where("src is not null and dst is not null").select("src", "dst").distinct(), "cycles"))
+    found = None
+    while not rest.isEmpty():
+        nodes = rest.select(F.col("src").alias("node")).unionByName(rest.select(F.col("dst").alias("node"))).distinct()
+        label = cut(nodes.select("node", F.col("node").alias("least")), "labels")
+        while True:
+            ahead = rest.join(label, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("to")).agg(F.min("least").alias("more"))
+            new = cut(label.join(ahead, F.col("node") == F.col("to"), "left").select("node", F.least("least", "more").alias("least")), "labels")
+            done = new.join(label, ["node", "least"], "left_anti").isEmpty()
+            label = new
+            if done:
+                break
+        a, b = label.select(F.col("node").alias("src"), F.col("least").alias("ls")), label.select(F.col("node").alias("dst"), F.col("least").alias("ld"))
+        inner = rest.join(a, "src").join(b, "dst").where("ls = ld")
+        roots = label.where("node = least").select("node")
+        back = reach(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")), roots).select("node")
+        got = cut(back.join(label, "node").select("node", F.col("least").alias("component")), "strong")
+        found = got if found is None else found.unionByName(got)
+        gone = got.select("node")
+        rest = rest.join(gone, rest.src == gone.node, "left_anti").join(gone, F.col("dst") == gone.node, "left_anti")
+        rest = _peeled(cut(rest.select("src", "dst"), "cycles"))
+    if found is None:
+        return edges.limit(0).select(F.col("src").alias("node"), F.col("src").alias("component"))
+    big = found.groupBy("component").count().where("count > 1").select("component")
+    loops = edges.where("src = dst").select(F.col("src").alias("node")).distinct()
+    return found.join(big, "component", "left_semi").unionByName(found.join(big, "component", "left_anti").join(loops, "node", "left_semi"), allowMissingColumns=False).select("node", "component")
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -105,15 +160,7 @@ def call_graph_analysis(edges: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     t = names.join(out, "name", "left").join(into, "name", "left").select("name", F.coalesce("calls", none).alias("calls"), F.coalesce("called_by", none).alias("called_by"))
     depth = reach(e, t.where("size(called_by) = 0").select(F.col("name").alias("node"))).select(F.col("node").alias("name"), "depth")
-    # A name is in a cycle if it can neither be peeled off as a leaf nor as an entry.
-    rest = e
-    for _ in range(MAX_ROUNDS):
-        less = rest.join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        less = cut(less.select("src", "dst"), "cycles")
-        if less.count() == rest.count():
-            break
-        rest = less
-    cyclic = rest.select(F.col("src").alias("name"), F.lit(True).alias("c")).distinct()
+    cyclic = strong_components(e).select(F.col("node").alias("name"), F.lit(True).alias("c"))
     t = t.join(depth, "name", "left").join(cyclic, "name", "left")
     return t.select("name", "calls", "called_by", (F.size("called_by") == 0).alias("entry"), (F.size("calls") == 0).alias("leaf"), "depth", F.coalesce("c", F.lit(False)).alias("in_cycle"))
 

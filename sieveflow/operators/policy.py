@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sieveflow.rules.model import Rule
 
-from .text import HITS, applies
+from .text import ERROR, HITS, applies
 
 #: name -> function of a file's input (dict) to a result.
 FUNCTIONS: dict[str, Callable[[dict], object]] = {}
@@ -52,12 +52,12 @@ def denials(result: object) -> list[tuple[str, int, int]]:
 
 
 def policy_hits(files: DataFrame, nodes: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
-    """A hit for each denial; the excerpt is its message. A policy that fails denies nothing."""
+    """A hit for each denial; the excerpt is its message. A policy that fails over a file has a row with an error there."""
     out = None
     for i, r in ((i, r) for i, r in rules if r.matcher.name in TABLES):
         own = nodes.join(files.where(applies(r)).select("file_path"), "file_path", "left_semi")
         hits = TABLES[r.matcher.name](own).select(
-            F.lit(i).alias("ord"), F.col("file_path").alias("file"), F.col("line").cast("int").alias("line"), F.col("column").cast("int").alias("column"), F.col("message").alias("excerpt")
+            F.lit(i).alias("ord"), F.col("file_path").alias("file"), F.col("line").cast("int").alias("line"), F.col("column").cast("int").alias("column"), F.col("message").alias("excerpt"), F.lit(None).cast("string").alias("error")
         )
         out = hits if out is None else out.unionByName(hits)
     plain = [(i, r, FUNCTIONS[r.matcher.name]) for i, r in rules if r.matcher.name in FUNCTIONS]
@@ -76,12 +76,11 @@ def policy_hits(files: DataFrame, nodes: DataFrame, rules: list[tuple[int, Rule]
                     for i, r, f in plain:
                         if r.applies(kind):
                             try:
-                                got = denials(f(given))
-                            except Exception:  # noqa: BLE001  a policy's failure is its own
-                                got = []
-                            rows += [(i, file, line, column, text) for text, line, column in got]
-                yield pd.DataFrame(rows, columns=["ord", "file", "line", "column", "excerpt"])
+                                rows += [(i, file, line, column, text, None) for text, line, column in denials(f(given))]
+                            except Exception as e:  # noqa: BLE001  a policy's failure is its own, and is told
+                                rows.append((i, file, 0, 0, None, f"{type(e).__name__}: {e}"))
+                yield pd.DataFrame(rows, columns=["ord", "file", "line", "column", "excerpt", "error"])
 
-        hits = inputs.mapInPandas(run, HITS)
+        hits = inputs.mapInPandas(run, HITS + ERROR)
         out = hits if out is None else out.unionByName(hits)
     return out

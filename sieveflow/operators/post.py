@@ -60,7 +60,10 @@ def fails_on(findings: DataFrame, threshold: str, strict_empty: bool = True) ->
 
 
 def read_baseline(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(BASELINE).option("multiLine", True).json(path)
+    """(id, file, line) of a file or folder of JSON: a finding in each line, or arrays of findings."""
+    first = spark.read.text(path).where(F.trim("value") != "").first()
+    as_array = first is not None and first[0].lstrip().startswith("[")
+    return spark.read.schema(BASELINE).option("multiLine", as_array).json(path)
 
 
 def write_baseline(findings: DataFrame, path: str) -> None:
@@ -87,31 +90,35 @@ def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def apply_fixes(files: DataFrame, findings: DataFrame) -> DataFrame:
-    """A copy of the sources (file_path, fixed, applied) with each finding's fix in place of its excerpt.
+    """A copy of the sources (file_path, fixed, applied, skipped) with each finding's fix in place of its excerpt.
 
     Fixes of a file are applied from the last place to the first, so that places stay valid; one whose
-    excerpt isn't where it should be, or which overlaps an applied one, is left out. ``...`` in a fix is
+    excerpt isn't where it should be, or which overlaps an applied one, is left out and counted as skipped. ``...`` in a fix is
     what the excerpt holds between its first and last parenthesis.
     """
     todo = findings.where(F.col("fix").isNotNull()).groupBy("file").agg(F.collect_list(F.struct("line", "column", "excerpt", "fix")).alias("fixes"))
 
-    @F.pandas_udf("fixed string, applied int")
+    @F.pandas_udf("fixed string, applied int, skipped int")
     def fixed(source, fixes):
         import pandas as pd
 
-        return pd.DataFrame([fix_source(s, f) for s, f in zip(source, fixes, strict=True)], columns=["fixed", "applied"])
+        return pd.DataFrame([fix_source(s, f) for s, f in zip(source, fixes, strict=True)], columns=["fixed", "applied", "skipped"])
 
     j = files.select("file_path", "source").join(todo, files.file_path == todo.file)
-    return j.select("file_path", fixed("source", "fixes").alias("x")).select("file_path", "x.fixed", "x.applied")
+    return j.select("file_path", fixed("source", "fixes").alias("x")).select("file_path", "x.fixed", "x.applied", "x.skipped")
 
 
-def fix_source(source: str, fixes: list[dict]) -> tuple[str, int]:
-    starts = [0]
-    for line in source.split("\n"):
+def fix_source(source: str, fixes: list[dict]) -> tuple[str, int, int]:
+    """The fixed text, and the numbers of applied and of skipped fixes. Columns count bytes."""
+    starts, lines = [0], source.split("\n")
+    for line in lines:
         starts.append(starts[-1] + len(line) + 1)
     end, applied = len(source) + 1, 0
     for f in sorted(fixes, key=lambda f: (f["line"], f["column"]), reverse=True):
-        at = starts[f["line"] - 1] + f["column"] - 1 if 0 < f["line"] < len(starts) else -1
+        at = -1
+        if 0 < f["line"] < len(starts):
+            before = lines[f["line"] - 1].encode("utf-8", "surrogatepass")[: f["column"] - 1]
+            at = starts[f["line"] - 1] + len(before.decode("utf-8", "surrogatepass" if before.isascii() else "ignore"))
         old = f["excerpt"]
         if at < 0 or not old or at + len(old) > end or source[at : at + len(old)] != old:
             continue
@@ -120,4 +127,4 @@ def fix_source(source: str, fixes: list[dict]) -> tuple[str, int]:
             new = new.replace("...", old[old.index("(") + 1 : old.rindex(")")])
         source = source[:at] + new + source[at + len(old) :]
         end, applied = at, applied + 1
-    return source, applied
+    return source, applied, len(fixes) - applied

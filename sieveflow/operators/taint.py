@@ -16,14 +16,14 @@ from pyspark.sql import functions as F
 from sieveflow.rules.model import Rule, Taint, TaintPattern
 from sieveflow.sources.code import SUPERGLOBALS
 
-from .text import enclosing_block, find_all, place, spans, whole_lines, within
+from .text import ERROR, Clock, enclosing_block, find_all, place, spans, whole_lines, within
 
 ROLES = ("sources", "sanitizers", "reclass", "sinks")
 CAUGHT = "ord int, file string, file_type string, role string, sym string, line int, `column` int, excerpt string, text string"
 _LHS = re.compile(r"(\$?[A-Za-z_]\w*)\s*(?::\s*[A-Za-z_]\w*)?\s*=\s*[^=]*\Z")
 
 
-def caught(p: TaintPattern, text: str, role: str, language: str) -> list[tuple[str, int, int]]:
+def caught(p: TaintPattern, text: str, role: str, language: str, clock: Clock | None = None) -> list[tuple[str, int, int]]:
     """(symbol, start, end) of what a pattern marks.
 
     A symbol is the focus group's text; or the left side of the assignment before the match; or the
@@ -32,18 +32,19 @@ def caught(p: TaintPattern, text: str, role: str, language: str) -> list[tuple[s
     """
     import regex
 
-    inside = spans(p.inside, text) if p.inside else []
+    clock = clock or Clock()
+    inside = spans(p.inside, text, clock) if p.inside else []
     if p.inside and not inside and role in ("sources", "sinks"):
         return []
-    barred = spans(p.not_inside, text) if p.not_inside else []
+    barred = spans(p.not_inside, text, clock) if p.not_inside else []
     found: list[tuple[str, int, int]] = []
     for k, s in enumerate(p.allow):
         group = p.focus[k] if k < len(p.focus) else 0
-        for at, m in find_all(s, text):
+        for at, m in find_all(s, text, clock):
             a, b = at + m.start(), at + m.end()
-            if p.deny and regex.search(p.deny.regex, text[a:b]) or inside and not within((a, b), inside) or within((a, b), barred):
+            if p.deny and regex.search(p.deny.regex, text[a:b], timeout=clock.left()) or inside and not within((a, b), inside) or within((a, b), barred):
                 continue
-            if p.not_inside and (block := enclosing_block(text, a)) and any(regex.search(x.regex, block) for x in p.not_inside):
+            if p.not_inside and (block := enclosing_block(text, a)) and any(regex.search(x.regex, block, timeout=clock.left()) for x in p.not_inside):
                 continue
             if role == "sinks":
                 found.append(("", a, b))
@@ -60,12 +61,12 @@ def caught(p: TaintPattern, text: str, role: str, language: str) -> list[tuple[s
     # Context patterns with a focus mark their own symbols.
     for k, s in enumerate(p.inside if role != "sinks" else ()):
         if group := p.inside_focus[k] if k < len(p.inside_focus) else 0:
-            found += [(m[group].strip().lstrip("$"), at + m.start(group), at + m.end(group)) for at, m in find_all(s, text) if m[group]]
+            found += [(m[group].strip().lstrip("$"), at + m.start(group), at + m.end(group)) for at, m in find_all(s, text, clock) if m[group]]
     return found
 
 
-def taint_captures(files: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
-    """All that the patterns of taint rules mark, in one pass over the sources."""
+def taint_captures(files: DataFrame, rules: list[tuple[int, Rule]], seconds: float | None = None) -> DataFrame:
+    """All that the patterns of taint rules mark, in one pass over the sources; a row with an error where a rule took too long over a file."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -73,13 +74,18 @@ def taint_captures(files: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame
             for file, kind, text in zip(b.file_path, b.file_type, b.source, strict=True):
                 for i, r in rules:
                     if text and r.applies(kind):
-                        for role in ROLES:
-                            for p in getattr(r.matcher, role):
-                                for sym, s, e in caught(p, text, role, kind):
-                                    rows.append((i, file, kind, role, sym, *place(text, s), whole_lines(text, s, e), text[s:e]))
-            yield pd.DataFrame(rows, columns=["ord", "file", "file_type", "role", "sym", "line", "column", "excerpt", "text"])
+                        own, clock = [], Clock(seconds)
+                        try:
+                            for role in ROLES:
+                                for p in getattr(r.matcher, role):
+                                    for sym, s, e in caught(p, text, role, kind, clock):
+                                        own.append((i, file, kind, role, sym, *place(text, s), whole_lines(text, s, e), text[s:e], None))
+                        except TimeoutError as e:
+                            own = [(i, file, kind, None, None, 0, 0, None, None, f"timeout: {e}")]
+                        rows += own
+            yield pd.DataFrame(rows, columns=["ord", "file", "file_type", "role", "sym", "line", "column", "excerpt", "text", "error"])
 
-    return files.select("file_path", "file_type", "source").mapInPandas(run, CAUGHT).distinct()
+    return files.select("file_path", "file_type", "source").mapInPandas(run, CAUGHT + ERROR).distinct()
 
 
 def taint_hits(captures: DataFrame, symbols: DataFrame, paths: DataFrame, direct: DataFrame | None = None) -> DataFrame:
@@ -124,15 +130,17 @@ def taint_hits(captures: DataFrame, symbols: DataFrame, paths: DataFrame, direct
 
 def names_flow(rules: list[tuple[int, Rule]], call_edges: DataFrame) -> dict[int, bool]:
     """For rules with named sources and sinks: whether the call graph joins them."""
-    from .graph import has_flow
+    from .graph import reach, undirected
 
+    named = [(i, r) for i, r in rules if r.sources and r.sinks]
+    if not named:
+        return {}
     spark = call_edges.sparkSession
-    found = {}
-    for i, r in rules:
-        if r.sources and r.sinks:
-            frame = lambda names: spark.createDataFrame([(n,) for n in names], "node string")
-            found[i] = has_flow(call_edges, frame(r.sources), frame(r.sinks))
-    return found
+    frame = lambda of: spark.createDataFrame([(i, n) for i, r in named for n in of(r)], "ord int, node string")
+    # One walk for all rules.
+    reached = reach(undirected(call_edges), frame(lambda r: r.sources), key=("ord",))
+    joined = {r[0] for r in reached.join(frame(lambda r: r.sinks), ["ord", "node"], "left_semi").select("ord").distinct().collect()}
+    return {i: i in joined for i, _ in named}
 
 
 def is_taint(rule: Rule) -> bool:

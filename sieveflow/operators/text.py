@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,6 +17,21 @@ from sieveflow.sources.corpus import lines
 HITS = "ord int, file string, line int, `column` int, excerpt string"
 #: Matches of one regex in one line, at most: a guard against expressions that match everywhere.
 LINE_MATCHES = 1000
+#: Seconds that one rule may take over one file; beyond them the rule is skipped for the file, and that is told.
+TIME_LIMIT = 5.0
+ERROR = ", error string"
+
+
+class Clock:
+    """What is left of a rule's time over a file; an expression that runs out of it raises TimeoutError."""
+
+    def __init__(self, seconds: float | None = None):
+        self.end = time.monotonic() + (TIME_LIMIT if seconds is None else seconds)
+
+    def left(self) -> float:
+        if (left := self.end - time.monotonic()) <= 0:
+            raise TimeoutError("the time limit of a rule over a file")
+        return left
 
 
 def applies(rule: Rule, file_type: str | Column = "file_type") -> Column:
@@ -52,7 +68,7 @@ def alias_hits(files: DataFrame, rules: list[tuple[int, Rule]], found: DataFrame
     rest = F.substring(F.col("call"), F.length("module") + 1, F.length("call"))
     quoted = lambda c: F.regexp_replace(c, r"([\\.^$|?*+()\[\]{}])", r"\\$1")
     other = aliases.join(F.broadcast(calls), begins).select(
-        "file_path", "ord", F.expr("replace(regex, regexp_replace(call, '[.]', '\\\\\\\\.'), '')").alias("_r"), "regex", "call",
+        "file_path", "ord", "regex", "call",
         F.concat(F.col("alias"), rest).alias("name"),
     ).where("name != call")
     rx = F.replace(F.col("regex"), quoted(F.col("call")), quoted(F.col("name")))
@@ -64,17 +80,17 @@ def alias_hits(files: DataFrame, rules: list[tuple[int, Rule]], found: DataFrame
 # Occurrences
 
 
-def find_all(scan: Scan, text: str, timeout: float | None = 5.0) -> Iterator:
+def find_all(scan: Scan, text: str, clock: Clock | None = None) -> Iterator:
     """Matches in order; line scans see one line at a time (with its end) and stop at ``LINE_MATCHES`` in each."""
     import regex
 
-    rx = regex.compile(scan.regex)
+    rx, clock = regex.compile(scan.regex), clock or Clock()
     if scan.unit == "source":
-        yield from ((0, m) for m in rx.finditer(text, timeout=timeout) if m.end() > m.start())
+        yield from ((0, m) for m in rx.finditer(text, timeout=clock.left()) if m.end() > m.start())
         return
     at = 0
     for line in text.splitlines(keepends=True) if "\r" not in text else _unix_lines(text):
-        for n, m in enumerate(rx.finditer(line, timeout=timeout)):
+        for n, m in enumerate(rx.finditer(line, timeout=clock.left())):
             if n >= LINE_MATCHES:
                 break
             if m.end() > m.start():
@@ -87,8 +103,8 @@ def _unix_lines(text: str) -> list[str]:
     return [p + "\n" for p in parts[:-1]] + ([parts[-1]] if parts[-1] else [])
 
 
-def spans(scans: tuple[Scan, ...], text: str) -> list[tuple[int, int]]:
-    return sorted({(at + m.start(), at + m.end()) for s in scans for at, m in find_all(s, text)})
+def spans(scans: tuple[Scan, ...], text: str, clock: Clock | None = None) -> list[tuple[int, int]]:
+    return sorted({(at + m.start(), at + m.end()) for s in scans for at, m in find_all(s, text, clock)})
 
 
 def enclosing_block(text: str, at: int) -> str:
@@ -132,20 +148,21 @@ def within(span: tuple[int, int], ranges: list[tuple[int, int]]) -> bool:
     return any(a <= span[0] and span[1] <= b for a, b in ranges)
 
 
-def occurrences(m: TextRegexMulti, text: str) -> list[tuple[int, int]]:
+def occurrences(m: TextRegexMulti, text: str, clock: Clock | None = None) -> list[tuple[int, int]]:
     """Spans of the matcher's occurrences in a text."""
     import regex
 
-    inside = spans(m.inside, text) if m.inside else []
+    clock = clock or Clock()
+    inside = spans(m.inside, text, clock) if m.inside else []
     if m.inside and not inside:
         return []
-    barred = spans(m.not_inside, text) if m.not_inside else []
+    barred = spans(m.not_inside, text, clock) if m.not_inside else []
     deny = regex.compile(m.deny.regex) if m.deny else None
     found = []
-    for a, b in spans(m.allow, text):
-        if deny and deny.search(text[a:b]) or m.inside and not within((a, b), inside) or within((a, b), barred):
+    for a, b in spans(m.allow, text, clock):
+        if deny and deny.search(text[a:b], timeout=clock.left()) or m.inside and not within((a, b), inside) or within((a, b), barred):
             continue
-        if m.not_inside and (block := enclosing_block(text, a)) and any(regex.search(s.regex, block) for s in m.not_inside):
+        if m.not_inside and (block := enclosing_block(text, a)) and any(regex.search(s.regex, block, timeout=clock.left()) for s in m.not_inside):
             continue
         found.append((a, b))
     return found
@@ -153,6 +170,11 @@ def occurrences(m: TextRegexMulti, text: str) -> list[tuple[int, int]]:
 
 def occurrence_hits(files: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
     """Findings of :class:`TextRegexMulti` rules: the place of each occurrence and its whole lines."""
+    return occurrence_rows(files, rules).where("error is null").drop("error")
+
+
+def occurrence_rows(files: DataFrame, rules: list[tuple[int, Rule]], seconds: float | None = None) -> DataFrame:
+    """Hits, and a row with an error for each rule and file that took too long."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -160,10 +182,13 @@ def occurrence_hits(files: DataFrame, rules: list[tuple[int, Rule]]) -> DataFram
             for file, kind, text in zip(b.file_path, b.file_type, b.source, strict=True):
                 for i, r in rules:
                     if text and r.applies(kind):
-                        rows += [(i, file, *place(text, s), whole_lines(text, s, e)) for s, e in occurrences(r.matcher, text)]
-            yield pd.DataFrame(rows, columns=["ord", "file", "line", "column", "excerpt"])
+                        try:
+                            rows += [(i, file, *place(text, s), whole_lines(text, s, e), None) for s, e in occurrences(r.matcher, text, Clock(seconds))]
+                        except TimeoutError as e:
+                            rows.append((i, file, 0, 0, None, f"timeout: {e}"))
+            yield pd.DataFrame(rows, columns=["ord", "file", "line", "column", "excerpt", "error"])
 
-    return files.select("file_path", "file_type", "source").mapInPandas(run, HITS)
+    return files.select("file_path", "file_type", "source").mapInPandas(run, HITS + ERROR)
 
 
 # Ranges as tables

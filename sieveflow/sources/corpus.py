@@ -101,7 +101,20 @@ def files_of(df: DataFrame, comment: str | None = SUPPRESS_COMMENT) -> DataFrame
     """The files table from file_path, file_type, source (and size, if it is there)."""
     size = F.col("size") if "size" in df.columns else F.octet_length("source").cast("long")
     marks = suppressed_lines("source", comment) if comment else F.array().cast("array<int>")
-    return df.select("file_path", "file_type", "source", size.alias("size"), marks.alias("suppressed"), F.lit("ok").alias("parse_status"))
+    return df.select("file_path", "file_type", "source", size.alias("size"), marks.alias("suppressed"), parse_status("file_type", "source").alias("parse_status"))
+
+
+def parse_status(file_type: str, source: str) -> Column:
+    """``ok``, or what a strict parser says of a file. Plans that don't ask for it don't parse for it."""
+    from .readers import status_of
+
+    @F.pandas_udf("string")
+    def status(kinds, sources):
+        import pandas as pd
+
+        return pd.Series([status_of(k, s) for k, s in zip(kinds, sources, strict=True)], dtype=object)
+
+    return status(file_type, source)
 
 
 def from_table(df: DataFrame, id_col: str, text_col: str, file_type: str | Column = "generic", comment: str | None = SUPPRESS_COMMENT) -> DataFrame:
@@ -116,7 +129,7 @@ def load_corpus(spark: SparkSession, path: str, patterns: Sequence[str] = (), de
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     clean = F.regexp_replace("path", "^file:/*", "/")
     kept = found.where((F.col("length") <= max_size) & ~is_excluded(clean, excludes(patterns, default_excludes, ignore_texts)))
-    text = F.decode("content", "utf-8")
+    text = F.try_validate_utf8(F.col("content").cast("string"))  # null, and an error in parse_status, for other bytes
     return files_of(kept.select(clean.alias("file_path"), detect_type(clean).alias("file_type"), text.alias("source"), F.col("length").alias("size")), comment)
 
 

@@ -20,7 +20,7 @@ def file_stream(spark: SparkSession, path: str, comment: str = corpus.SUPPRESS_C
         .option("maxFilesPerTrigger", files_a_batch).load(path)
     )
     clean = F.regexp_replace("path", "^file:/*", "/")
-    text = F.decode("content", "utf-8")
+    text = F.try_validate_utf8(F.col("content").cast("string"))
     return corpus.files_of(got.select(clean.alias("file_path"), corpus.detect_type(clean).alias("file_type"), text.alias("source"), F.col("length").alias("size")), comment)
 
 

@@ -128,7 +128,9 @@ def test_baseline_suppression_dedup_cache(spark, tmp_path):
 
 
 def test_fixes(spark):
-    assert post.fix_source("a = f(x)\nb = f(y)\n", [{"line": 1, "column": 5, "excerpt": "f(x)", "fix": "g(...)"}, {"line": 2, "column": 5, "excerpt": "f(y)", "fix": "h"}, {"line": 1, "column": 1, "excerpt": "zz", "fix": "q"}]) == ("a = g(x)\nb = h\n", 2)
+    assert post.fix_source("a = f(x)\nb = f(y)\n", [{"line": 1, "column": 5, "excerpt": "f(x)", "fix": "g(...)"}, {"line": 2, "column": 5, "excerpt": "f(y)", "fix": "h"}, {"line": 1, "column": 1, "excerpt": "zz", "fix": "q"}]) == ("a = g(x)\nb = h\n", 2, 1)
+    # Columns count bytes.
+    assert post.fix_source("é日 = f(x)", [{"line": 1, "column": 9, "excerpt": "f(x)", "fix": "g"}]) == ("é日 = g", 1, 0)
     files = corpus.from_strings(spark, {"a": "foo(1)"})
     got = post.apply_fixes(files, engine.analyze(files, RuleSet([Rule("a", TextRegex("foo"), fix="bar(...)")])))
     assert got.first().fixed == "bar(1)"
@@ -174,3 +176,82 @@ def test_spans_frame(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
     got = sorted((r.id, r.start, r.end) for r in text.spans_frame(df, "id", "t", "[0-9]{2,}").collect())
     assert got == [(i, m.start(), m.end()) for i, t in enumerate(texts) for m in re.finditer("[0-9]{2,}", t)]
+
+
+def test_baselines_hold_many_findings(spark, tmp_path):
+    import json
+
+    files = corpus.from_strings(spark, {"x": "foo\n" * 10})
+    found = engine.analyze(files, RuleSet([Rule("a", TextRegex("foo"))]))
+    post.write_baseline(found.coalesce(1), str(tmp_path / "lines"))
+    (tmp_path / "array").write_text(json.dumps([r.asDict() for r in found.select("id", "file", "line").collect()], indent=2))
+    for name in ("lines", "array"):
+        known = post.read_baseline(spark, str(tmp_path / name))
+        assert known.count() == 10 and post.without_baseline(found, known).isEmpty()
+
+
+def test_cycles_against_brute_force(spark):
+    calls = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "d"), ("s", "s"), ("s", "t")], "src string, dst string")
+    got = {r.name: r.in_cycle for r in graph.call_graph_analysis(calls).collect()}
+    assert got == {"a": True, "b": True, "c": False, "d": True, "e": True, "s": True, "t": False}
+    rng = random.Random(4)
+    edges = {(rng.randrange(24), rng.randrange(24)) for _ in range(34)}
+    ahead = {n: {b for a, b in edges if a == n} for n in range(24)}
+
+    def reached(n):
+        seen, todo = set(), list(ahead[n])
+        while todo:
+            if (x := todo.pop()) not in seen:
+                seen.add(x)
+                todo += ahead[x]
+        return seen
+
+    want = {n: min(m for m in reached(n) if n in reached(m)) for n in range(24) if n in reached(n)}
+    assert {r.node: r.component for r in graph.strong_components(spark.createDataFrame(sorted(edges), "src long, dst long")).collect()} == want
+
+
+def test_long_chains_are_walked_to_their_end(spark):
+    chain = spark.range(40).selectExpr("id as src", "id + 1 as dst")
+    assert graph.reach(chain, spark.range(1).selectExpr("id as node")).agg(F.max("depth"), F.count("*")).first()[:] == (40, 41)
+    start = spark.createDataFrame([(1, 30), (2, 38)], "k int, node long")
+    assert {(r.k, r.node) for r in graph.reach(chain, start, key=("k",)).collect()} == {(1, n) for n in range(30, 41)} | {(2, n) for n in range(38, 41)}
+
+
+def test_rules_that_take_too_long_or_fail_are_told(spark, monkeypatch):
+    files = corpus.from_strings(spark, {"slow": "x" * 4000, "fast": "xxy"})
+    slow = (0, Rule("slow", TextRegexMulti((Scan("(x+x+)+y", "source"),))))
+    rows = text.occurrence_rows(files, [slow, (1, Rule("ok", TextRegexMulti((Scan("xx"),))))], seconds=0.3).collect()
+    assert {(r.ord, r.file) for r in rows if r.error} == {(0, "slow")} and {(r.ord, r.file) for r in rows if not r.error} == {(0, "fast"), (1, "slow"), (1, "fast")}
+
+    def breaks(f):
+        if f["file_path"] == "fast":
+            raise ValueError("broken")
+        return ["no"]
+
+    policy.register("breaks", breaks)
+    failed, rules = [], RuleSet([Rule("p", Policy("breaks"))])
+    assert [r.file for r in engine.analyze(files, rules, failed=failed).collect()] == ["slow"]
+    assert [(r.rule_id, r.file, r.error) for r in engine.rule_errors(failed, rules).collect()] == [("p", "fast", "ValueError: broken")]
+
+
+def test_files_tell_whether_they_parse(spark, tmp_path):
+    (tmp_path / "a.py").write_text("def")
+    (tmp_path / "b.json").write_text("{")
+    (tmp_path / "c.json").write_text("{}")
+    (tmp_path / "d.txt").write_bytes(b"\xff\xfe")
+    got = {r.file_path.rsplit("/", 1)[-1]: r.parse_status for r in corpus.load_corpus(spark, str(tmp_path)).collect()}
+    assert got == {"a.py": "error: SyntaxError", "b.json": "error: JSONDecodeError", "c.json": "ok", "d.txt": "error: UnicodeError"}
+    # Plans that don't ask for it don't parse for it.
+    assert "ArrowEvalPython" not in corpus.lines(corpus.load_corpus(spark, str(tmp_path)))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_parse_for_all_tree_patterns(spark):
+    files = corpus.from_strings(spark, {"a.py": "def foo(x):\n    eval(x)\n"})
+    rules = RuleSet([Rule(f"p{k}", AstPattern("Call", "FunctionDefinition", (MetaVariable("Call", "eval"),))) for k in range(5)])
+    assert "MapInPandas" not in engine.raw_findings(files, rules)._jdf.queryExecution().executedPlan().toString()
+    assert engine.analyze(files, rules).count() == 5
+
+
+def test_rule_times(spark):
+    files = corpus.from_strings(spark, {"x": "foo\nfoo"})
+    assert [(r.rule_id, r.findings) for r in engine.rule_times(files, RuleSet([Rule("a", TextRegex("foo")), Rule("b", TextRegex("z"))])).collect()] == [("a", 2), ("b", 0)]
