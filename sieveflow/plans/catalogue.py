@@ -99,14 +99,6 @@ def text_regex_multirule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return post.dedup(_findings(spark, sf_dir)).select("id", "rule_id", "severity", "file", "line", "column", "excerpt")
 
 
-@query(
-    rf"""WITH {LINES}, m AS (SELECT file, line, regexp_extract(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[a-z]{{2,}}') AS found FROM lines)
-    SELECT file, line, found FROM m WHERE found <> '' AND NOT regexp_matches(found, '@mail2\.')"""
-)
-def text_regex_deny(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = corpus.lines(_docs(spark, sf_dir)).withColumn("found", F.regexp_extract("text", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[a-z]{2,}", 0))
-    return rows.where((F.col("found") != "") & ~F.col("found").rlike(r"@mail2\.")).select(F.col("file_path").alias("file"), "line", "found")
-
 
 @query(
     r"""WITH p AS (SELECT doc_id, string_split_regex(text, '[0-9]{2,}') AS g, regexp_extract_all(text, '[0-9]{2,}') AS m FROM documents WHERE regexp_matches(text, '[0-9]{2,}')),
@@ -119,20 +111,6 @@ def match_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("id", F.col("start").cast("long").alias("start"), (F.col("end") - F.col("start")).cast("long").alias("size"))
 
 
-@query(
-    r"""WITH s AS (SELECT page_id, strpos(html, '<script') AS a, html FROM pages), r AS (SELECT page_id, a - 1 AS rs, a - 1 + strpos(substr(html, a), '</script>') + 8 AS re, html FROM s WHERE a > 0),
-    f AS (SELECT page_id, rs, re, regexp_extract(substr(html, rs + 1, re - rs), 'function|var |console') AS hit FROM r WHERE re > rs + 8)
-    SELECT page_id, CAST(rs AS BIGINT) AS range_start, CAST(re AS BIGINT) AS range_end, hit FROM f WHERE hit <> ''"""
-)
-def inside_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _t(spark, sf_dir, "pages").withColumn("a", F.instr("html", "<script")).where("a > 0")
-    size = F.instr(F.substring("html", F.col("a"), F.length("html")), "</script>")
-    p = p.withColumn("size", size).where("size > 0")
-    inner = F.substring("html", F.col("a"), F.col("size") + 8)
-    p = p.withColumn("hit", F.regexp_extract(inner, "function|var |console", 0)).where("hit != ''")
-    start = (F.col("a") - 1).cast("long")
-    return p.select("page_id", start.alias("range_start"), (start + F.col("size") + 8).cast("long").alias("range_end"), "hit")
-
 
 @query(
     r"""WITH d AS (SELECT doc_id, regexp_extract_all(text, '[0-9]{2,}') AS m, string_split_regex(text, '[0-9]{2,}') AS g FROM documents WHERE regexp_matches(text, '[0-9]{2,}')),
@@ -172,13 +150,6 @@ def line_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.line_offsets(corpus.lines(_docs(spark, sf_dir))).select(F.col("file_path").alias("file"), "line", F.col("byte_start").cast("long").alias("byte_start"))
 
 
-@query()
-def occurrences_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = TextRegexMulti((Scan("[0-9]{2,}", "source"),), Scan("^0"), (Scan("token = .[0-9a-f]{40}", "source"),), (Scan("$^", "source"),))
-    rules = RuleSet([Rule("doc.digits", m)])
-    found = analyze(_docs(spark, sf_dir), rules, suppress=False)
-    return found.select("id", "rule_id", "file", "line", "column", "excerpt")
-
 
 # Post-processing
 
@@ -234,33 +205,6 @@ def sarif_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.sarif_rows(_findings(spark, sf_dir)).groupBy("level").agg(F.count("*").alias("n"))
 
 
-@query()
-def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.json_frame(post.dedup(_findings(spark, sf_dir)))
-
-
-@query(
-    rf"""WITH {LINES}, f AS (SELECT file, line, text, regexp_extract(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[a-z]{{2,}}') AS old FROM lines)
-    SELECT file, line, substr(text, 1, strpos(text, old) - 1) || '<address>' || substr(text, strpos(text, old) + length(old)) AS fixed FROM f WHERE old <> ''"""
-)
-def fix_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = corpus.lines(_docs(spark, sf_dir)).withColumn("old", F.regexp_extract("text", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[a-z]{2,}", 0)).where("old != ''")
-    at = F.position(F.col("old"), F.col("text"))
-    fixed = F.concat(F.substring("text", F.lit(1), at - 1), F.lit("<address>"), F.substring("text", at + F.length("old"), F.length("text")))
-    return rows.select(F.col("file_path").alias("file"), "line", fixed.alias("fixed"))
-
-
-@query(
-    """WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS file, 0 AS k, sha256('doc:' || sha256(text)) AS id FROM documents),
-    c AS (SELECT conv_id || '-' || turn AS file, 1 AS k, sha256('doc:' || sha256(text)) AS id FROM conversations)
-    SELECT id, file, k FROM (SELECT * FROM d UNION ALL SELECT * FROM c) QUALIFY row_number() OVER (PARTITION BY id ORDER BY k, file) = 1"""
-)
-def plugin_union_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.sha2(F.concat(F.lit("doc:"), F.sha2("text", 256)), 256).alias("id")
-    d = _t(spark, sf_dir, "documents").select(key, F.col("doc_id").cast("string").alias("file"), F.lit(0).alias("k"))
-    c = _t(spark, sf_dir, "conversations").select(key, F.concat_ws("-", "conv_id", "turn").alias("file"), F.lit(1).alias("k"))
-    return post.dedup(d.unionByName(c), ("k", "file"))
-
 
 # Nodes
 
@@ -320,15 +264,6 @@ def exclude_last_match_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "pages").select("page_id", corpus.is_excluded("url", corpus.excludes([*digits, "!**/*7"], default=False)).alias("excluded"))
 
 
-@query(
-    f"""WITH r(id, language) AS (VALUES ('doc.license', 'generic'), ('doc.email', 'en'), ('doc.email', 'fr'), ('doc.ipv4', 'generic'), ('doc.token', 'generic'), ('doc.shout', 'en'), ('doc.cobol', 'cobol'))
-    SELECT DISTINCT id FROM r WHERE language = 'generic' OR language IN (SELECT lang FROM documents)"""
-)
-def language_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = (RULES + RuleSet([Rule("doc.cobol", TextRegex("x"), languages=("cobol",))])).frame(spark).select("id", F.explode("languages").alias("language"))
-    types = _docs(spark, sf_dir).select(F.col("file_type").alias("language")).distinct().unionByName(spark.createDataFrame([("generic",)], "language string"))
-    return rules.join(types, "language", "left_semi").select("id").distinct()
-
 
 @query("SELECT page_id, '/virtual/' || string_split(url, '/')[-1] || '-' || substr(sha256(url), 1, 12) AS path FROM pages")
 def virtual_path(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -387,13 +322,6 @@ def ancestor_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.within(leaf, F.broadcast(top)).select("customer")  # regions are few
 
 
-@query(
-    """SELECT * FROM (SELECT conv_id, turn AS src, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS dst FROM conversations) WHERE dst IS NOT NULL"""
-)
-def cfg_successor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _t(spark, sf_dir, "conversations").withColumn("dst", F.lead("turn").over(W.partitionBy("conv_id").orderBy("turn")))
-    return t.where("dst is not null").select("conv_id", F.col("turn").alias("src"), "dst")
-
 
 @query(
     """WITH RECURSIVE e AS (SELECT DISTINCT CAST(o_custkey AS BIGINT) AS caller, CAST(-l_suppkey AS BIGINT) AS callee FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
@@ -451,10 +379,6 @@ def cache_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark(known, True).unionByName(mark(new, False))
 
 
-@query("SELECT event_type, count(*) AS n, CAST(round(sum(value), 4) AS DOUBLE) AS total FROM events GROUP BY 1")
-def metrics_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-
 
 @query("SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -467,3 +391,7 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def analyze_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole plan: prune, match, suppress, deduplicate."""
     return analyze(_docs(spark, sf_dir), RULES).select("id", "rule_id", "severity", "file", "line", "column")
+
+
+# The queries over files that are made from tables register themselves.
+from . import made  # noqa: E402, F401
