@@ -11,6 +11,7 @@ import ast
 import hashlib
 import json
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -64,6 +65,18 @@ class Program:
         if src is not None and src != dst:
             self.edges.add((src, dst, kind))
 
+    def join(self, name: str, states: list[Symbol], arms: int, line: int, column: int, merge: bool = True) -> Symbol:
+        """A name after a branching, of its states in those arms that know it: clean only if it is in all arms."""
+        clean = len(states) == arms and all(x.sanitized for x in states)
+        defs = list(dict.fromkeys(x.defined for x in states if x.defined is not None))
+        now = defs[0] if defs else None
+        if merge and len(defs) > 1:
+            now = self.point(name, "Assign", line, column, clean)
+            for d in defs:
+                self.edge(d, now)
+                self.edges.add((now, d, "merge"))
+        return Symbol(name, clean, now, states[0].alias_of if len({x.alias_of for x in states}) == 1 else None)
+
 
 # Python
 
@@ -281,16 +294,7 @@ class Python:
             after.append(self.p.symbols)
         merged: dict[str, Symbol] = {}
         for name in dict.fromkeys(n for a in after for n in a):
-            states = [a[name] for a in after if name in a]
-            clean = len(states) == len(after) and all(x.sanitized for x in states)
-            defs = list(dict.fromkeys(x.defined for x in states if x.defined is not None))
-            now = defs[0] if defs else None
-            if merge and len(defs) > 1:
-                now = self.p.point(name, "Assign", s.lineno, s.col_offset + 1, clean)
-                for d in defs:
-                    self.p.edge(d, now)
-                    self.p.edges.add((now, d, "merge"))
-            merged[name] = Symbol(name, clean, now, states[0].alias_of if len({x.alias_of for x in states}) == 1 else None)
+            merged[name] = self.p.join(name, [a[name] for a in after if name in a], len(after), s.lineno, s.col_offset + 1, merge)
         self.p.symbols = merged
         del at
 
@@ -397,9 +401,7 @@ class Words:
             self.dataflow()
 
     def at(self, offset: int) -> tuple[int, int]:
-        import bisect
-
-        line = bisect.bisect_right(self.starts, offset)
+        line = bisect_right(self.starts, offset)
         return line, len(self.source[self.starts[line - 1] : offset].encode("utf-8", "surrogatepass")) + 1
 
     def calls(self) -> None:
@@ -443,7 +445,9 @@ class Words:
 
     def assignments(self) -> None:
         self.set: list[tuple[str, int, int, str]] = []
-        for m in ASSIGN.finditer(self.bare):
+        # Labels are no names with a type.
+        text = self.bare if self.lang == "rust" else re.sub(r"\bdefault\s*:|\bcase\b[^:;{}\n]*:(?!:)", lambda m: " " * len(m[0]), self.bare)
+        for m in ASSIGN.finditer(text):
             self.set.append((m[1].replace("->", "."), m.start(1), m.end(), self.source[m.start(2) : m.end(2)]))
             self.p.node(f"assign.{m[1].lstrip('$')}", self.source[m.start(2) : m.end(2)].strip(), *self.at(m.start(1)))
 
@@ -487,37 +491,157 @@ class Words:
         rx = r"\$\w+" if self.lang == "php" else rf"(?<![\w.$]){_NAME}(?!\s*[(!\w])"
         return [n for n in dict.fromkeys(re.findall(rx, bare)) if n not in KEYWORDS]
 
+    def pairs(self) -> dict[int, int]:
+        """Where each bracket is closed."""
+        ends, stack = {}, []
+        for m in re.finditer(r"[(){}]", self.bare):
+            if m[0] in "({":
+                stack.append(m.start())
+            elif stack:
+                ends[stack.pop()] = m.start()
+        return ends
+
+    def branchings(self) -> list[tuple[int, int, list[tuple[int, int]], bool]]:
+        """Start, end, arms and whether one of the arms is always taken: chains of if, switch, Rust's match."""
+        ends, bare, found, chained = self.pairs(), self.bare, [], set()
+        blank = re.compile(r"\s*")
+
+        def head(at: int) -> int | None:
+            """Where the body begins that follows a condition."""
+            if self.lang != "rust":
+                at = blank.match(bare, at).end()
+                return blank.match(bare, ends[at] + 1).end() if at in ends else None
+            m = re.compile(r"[({]").search(bare, at)
+            while m and m[0] == "(" and m.start() in ends:
+                m = re.compile(r"[({;]").search(bare, ends[m.start()] + 1)
+            return m.start() if m and m[0] == "{" else None
+
+        def tail(at: int) -> int:
+            """Where a body ends: its brace, or its semicolon."""
+            if at in ends and bare[at] == "{":
+                return ends[at] + 1
+            m = re.compile(r"[({;}]").search(bare, at)
+            while m and m[0] in "({" and m.start() in ends:
+                m = re.compile(r"[({;}]").search(bare, ends[m.start()] + 1)
+            return m.end() if m else len(bare)
+
+        for m in re.finditer(r"\bif\b", bare):
+            if m.start() in chained or (body := head(m.end())) is None:
+                continue
+            end = tail(body)
+            arms, always = [(body, end)], False
+            while more := re.compile(r"\s*\belse(\s*if\b)?").match(bare, end):
+                if more[1]:
+                    chained.add(more.end() - 2)
+                    if (body := head(more.end())) is None:
+                        break
+                else:
+                    body = blank.match(bare, more.end()).end()
+                end = tail(body)
+                arms.append((more.end(), end))
+                if always := not more[1]:
+                    break
+            found.append((m.start(), end, arms, always))
+        for m in re.finditer(r"\bmatch\b" if self.lang == "rust" else r"\bswitch\b", bare):
+            if (body := head(m.end())) is None or body not in ends or bare[body] != "{":
+                continue
+            marks, at = [], body + 1
+            rx = re.compile(r"[({]|=>" if self.lang == "rust" else r"[({]|\b(?:case|default)\b")
+            while (k := rx.search(bare, at, ends[body])) is not None:
+                if k[0] in "({":
+                    at = ends.get(k.start(), k.start()) + 1
+                    continue
+                marks.append(k)
+                at = k.end()
+            if marks:
+                stops = [k.start() for k in marks[1:]] + [ends[body]]
+                arms = [(k.end(), stop) for k, stop in zip(marks, stops, strict=True)]
+                if self.lang != "rust":  # labels without statements belong to the next
+                    arms = [a for a in arms[:-1] if not re.fullmatch(r"[^;(){}=]*:\s*", bare[a[0] : a[1]])] + arms[-1:]
+                found.append((body, ends[body] + 1, arms, self.lang == "rust" or any(k[0] == "default" for k in marks)))
+        return sorted(found, key=lambda g: (g[0], -g[1]))
+
     def dataflow(self) -> None:
-        """Assignments and calls in the order of the text."""
+        """Assignments and calls in the order of the text. Each arm of a branching begins with the state before it; a name that an
+        arm sets is clean after only if it is in all arms, of which no arm is one where none is always taken. Branchings more
+        than a hundred deep are read straight on."""
         cat, s = self.catalog, self.p.symbols
+        starts = sorted(range(len(self.found)), key=lambda k: self.found[k][1])
+        order = [self.found[k][1] for k in starts]
         is_ = lambda role, name: C.has(cat, self.lang, role, re.sub("::(?!println)", ".", name))
-        calls_in = lambda a, b: [f for f in self.found if a <= f[1] < b]
-        for start, kind, item in sorted([(x[1], 0, x) for x in self.set] + [(x[1], 1, x) for x in self.found], key=lambda x: (x[0], x[1])):
-            line, column = self.at(start)
-            if kind == 0:
-                name, _, end, value = item
-                own = calls_in(start, end)
-                clean = any(is_("sanitizer", c[0]) for c in own)
-                ids = self.names(value)
-                source = any(is_("source", c[0]) for c in own) or self.lang == "php" and any(v.lstrip("$") in SUPERGLOBALS for v in ids)
-                known = [s[x] for x in ids if x in s]
-                before = [x.defined for x in known]
-                clean = clean or not ids and not own and not source or bool(known) and not source and all(x.sanitized for x in known)
-                i = self.p.point(name, "Def" if self.lang != "javascript" or name not in s else "Assign", line, column, clean)
-                plain = re.fullmatch(rf"&?\s*\$?{_NAME}", value.strip())
-                s[name] = Symbol(name, clean, i, value.strip().lstrip("& ") if plain and value.strip().lstrip("& ") in s else None)
-                if not clean or plain:
-                    for b in before:
-                        self.p.edge(b, i)
-            else:
-                name, _, _, args = item
-                if is_("sink", name) or self.lang == "javascript" or name == "echo":
-                    for x in self.names(args):
-                        if x in s:
-                            i = self.p.point(x, "Use", line, column, s[x].sanitized)
-                            self.p.edge(s[x].defined, i)
-                if name in self.functions:
-                    self.p.edges.add((stable_id(self.p.path, 0, 0, ""), stable_id(self.p.path, 0, 0, name), "call"))
+        calls_in = lambda a, b: [self.found[k] for k in starts[bisect_left(order, a) : bisect_left(order, b)]]
+        events = sorted([(x[1], 1, x) for x in self.set] + [(x[1], 2, x) for x in self.found] + [(g[0], 0, g) for g in self.branchings()], key=lambda x: (x[0], x[1]))
+        places = [e[0] for e in events]
+        changed: list[dict[str, Symbol | None]] = []  # by open arm: names set there, as they were before
+        branches = 0
+
+        def put(symbol: Symbol) -> None:
+            if changed:
+                changed[-1].setdefault(symbol.name, s.get(symbol.name))
+            s[symbol.name] = symbol
+
+        def run(lo: int, hi: int, branch: int | None) -> None:
+            nonlocal branches
+            k = bisect_left(places, lo)
+            while k < len(events) and places[k] < hi:
+                start, kind, item = events[k]
+                k += 1
+                if kind == 1:
+                    self.set_name(item, put, is_, calls_in, branch)
+                elif kind == 2:
+                    self.call(item, is_, branch)
+                elif len(changed) < 100:
+                    _, end, arms, always = item
+                    run_until = bisect_left(places, arms[0][0])
+                    for _, other, x in events[k:run_until]:  # the condition
+                        if other:
+                            self.set_name(x, put, is_, calls_in, branch) if other == 1 else self.call(x, is_, branch)
+                    after = []
+                    for a, b in arms:
+                        branches += 1
+                        changed.append({})
+                        run(a, b, branches)
+                        before = changed.pop()
+                        after.append({name: s[name] for name in before})
+                        for name, old in before.items():
+                            if old is None:
+                                del s[name]
+                            else:
+                                s[name] = old
+                    if not always:
+                        after.append({})
+                    for name in dict.fromkeys(n for x in after for n in x):
+                        states = [x for x in (y.get(name) or s.get(name) for y in after) if x]
+                        put(self.p.join(name, states, len(after), *self.at(start)))
+                    k = max(k, bisect_left(places, max(end, arms[-1][1])))
+
+        run(0, len(self.source) + 1, None)
+
+    def set_name(self, item: tuple, put, is_, calls_in, branch: int | None) -> None:
+        s, (name, start, end, value) = self.p.symbols, item
+        own = calls_in(start, end)
+        clean = any(is_("sanitizer", c[0]) for c in own)
+        ids = self.names(value)
+        source = any(is_("source", c[0]) for c in own) or self.lang == "php" and any(v.lstrip("$") in SUPERGLOBALS for v in ids)
+        known = [s[x] for x in ids if x in s]
+        before = [x.defined for x in known]
+        clean = clean or not ids and not own and not source or bool(known) and not source and all(x.sanitized for x in known)
+        i = self.p.point(name, "Def" if self.lang != "javascript" or name not in s else "Assign", *self.at(start), clean, branch)
+        plain = re.fullmatch(rf"&?\s*\$?{_NAME}", value.strip())
+        put(Symbol(name, clean, i, value.strip().lstrip("& ") if plain and value.strip().lstrip("& ") in s else None))
+        if not clean or plain:
+            for b in before:
+                self.p.edge(b, i)
+
+    def call(self, item: tuple, is_, branch: int | None) -> None:
+        s, (name, start, _, args) = self.p.symbols, item
+        if is_("sink", name) or self.lang == "javascript" or name == "echo":
+            for x in self.names(args):
+                if x in s:
+                    i = self.p.point(x, "Use", *self.at(start), s[x].sanitized, branch)
+                    self.p.edge(s[x].defined, i)
+        if name in self.functions:
+            self.p.edges.add((stable_id(self.p.path, 0, 0, ""), stable_id(self.p.path, 0, 0, name), "call"))
 
 
 def parse(path: str, language: str, source: str, catalog: dict | None = None) -> Program:

@@ -83,6 +83,44 @@ def test_words_of_languages():
     assert not {"call.eval"} & words("javascript", "// eval(x)\n'eval(x)'")
 
 
+def test_branches_of_word_languages():
+    """A sanitiser in one arm does not clean a name; one in every arm does."""
+    cat = {lang: {"source": {"source"}, "sink": {"sink"}, "sanitizer": {"clean"}} for lang in ("rust", "java", "php", "javascript")}
+
+    def state(language, body):
+        p = code.parse("f", language, body, cat)
+        name = "$d" if language == "php" else "d"
+        uses = [x[2] for x in p.flow.values() if x[0] == name and x[1] == "Use"]
+        return p.symbols[name].sanitized, uses[-1:], sum(e[2] == "merge" for e in p.edges)
+
+    for language, wrap, let, v in (
+        ("rust", "fn f() {{ {} }}", "let mut ", "d"), ("java", "class A {{ void f() {{ {} }} }}", "String ", "d"),
+        ("php", "<?php {}", "", "$d"), ("javascript", "function f() {{ {} }}", "let ", "d"),
+    ):
+        test = "if c" if language == "rust" else "if (c)"
+        begin = f"{let}{v} = source();\n"
+        one = wrap.format(f"{begin}{test} {{\n {v} = clean({v});\n}}\nsink({v});")
+        half = wrap.format(f"{begin}{test} {{\n {v} = clean({v});\n}} else {{\n {v} = source();\n}}\nsink({v});")
+        both = wrap.format(f"{begin}{test} {{\n {v} = clean({v});\n}} else {test} {{\n {v} = clean({v});\n}} else {{\n {v} = clean({v});\n}}\nsink({v});")
+        chain = wrap.format(f"{begin}{test} {{\n {v} = clean({v});\n}} else {test} {{\n {v} = clean({v});\n}}\nsink({v});")
+        assert state(language, one) == (False, [False], 2), language
+        assert state(language, half) == (False, [False], 2), language
+        assert state(language, both) == (True, [True], 3), language
+        assert state(language, chain) == (False, [False], 3), language
+    switch = "class A {{ void f() {{ String d = source(); switch (k) {{ case 1: case 2: d = clean(d); break; {} }} sink(d); }} }}"
+    assert state("java", switch.format("default: d = clean(d);")) == (True, [True], 2)
+    assert state("java", switch.format(""))[:2] == (False, [False])
+    assert state("java", switch.format("default:"))[:2] == (False, [False])
+    match = "fn f() {{ let mut d = source(); match k {{ 1 => {{ d = clean(d); }} _ => {{ {} }} }} sink(d); }}"
+    assert state("rust", match.format("d = clean(d);")) == (True, [True], 2)
+    assert state("rust", match.format(""))[:2] == (False, [False])
+    deep = "function f() { let d = source(); " + "if (a) { " * 300 + "d = clean(d); " + "} " * 300 + "sink(d); }"
+    assert state("javascript", deep)[:2] == (False, [False])
+    for broken in ("if (", "if (c) {", "else {", "switch (k) {", "switch (k) { case", "} if ) {", "match k { =>", "if"):
+        for language in cat:
+            code.parse("f", language, broken, cat)
+
+
 def test_python_tree(spark):
     t = code.ast_nodes(corpus.from_strings(spark, {"a.py": "def foo(x):\n    eval(x)\n"})).collect()
     call = next(r for r in t if r.kind == "Call")
