@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sieveflow.functions.durable import fresh_path, spread
 
-from . import embed_dedup, exact_dedup, line_dedup, lm_score, mixing, oracles, quality, secret_scan, sentpiece, sharding, simhash
+from . import embed_dedup, exact_dedup, line_dedup, lm_score, mixing, oracles, periodic_runs, quality, secret_scan, sentpiece, sharding, simhash, source_audit, token_counts
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,8 +55,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.source_audit(_docs(spark, sf_dir))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_docs(spark, sf_dir))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.periodic_runs(_docs(spark, sf_dir), periodic_runs.planted, digests=True))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_embed_dedup, op2_sentencepiece, op3_mixing, op4_line_dedup, op5_exact_dedup, op6_sharding, op7_lm_score, op8_simhash, op9_secret_scan, op10_quality)
+    every = (
+        op1_embed_dedup, op2_sentencepiece, op3_mixing, op4_line_dedup, op5_exact_dedup, op6_sharding, op7_lm_score, op8_simhash, op9_secret_scan, op10_quality,
+        op11_source_audit, op12_token_counts, op13_periodic_runs,
+    )
     return {f.__name__: f for f in every}
 
 
