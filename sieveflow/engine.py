@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 from functools import reduce
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from sieveflow.functions.durable import cut
 from sieveflow.operators import cache as C
 from sieveflow.operators import graph, jsonpath, policy, post, taint, text, tree
-from sieveflow.rules.model import AstPattern, AstQuery, JsonPathEq, JsonPathRegex, Policy, RuleSet, Taint, TextRegex, TextRegexMulti
+from sieveflow.rules.model import AstPattern, AstQuery, JsonPathEq, JsonPathRegex, Policy, Rule, RuleSet, Taint, TextRegex, TextRegexMulti
 from sieveflow.schemas import FINDINGS
 from sieveflow.sources import code, corpus, readers
 
@@ -42,18 +43,22 @@ class Tables:
         return self._tree
 
 
-def hits(t: Tables, rules: RuleSet, aliases: bool = True, failed: list[DataFrame] | None = None) -> DataFrame | None:
+def hits(t: Tables, rules: RuleSet, aliases: bool = True, failed: list[DataFrame] | None = None, time_limit: float | None = None,
+         gate: bool = True) -> DataFrame | None:
     """All matches (ord, file, line, column, excerpt, severity); None without rules.
 
-    Rules that fail or take too long over a file are skipped for it. A list ``failed`` gets tables
-    (ord, file, error) of those; what can fail is then run at once.
+    Taint rules with named sources and sinks hold only if the call graph of these files joins the names; with
+    ``gate`` False that is left to the caller (:func:`gated`).
+
+    Rules that fail or take more than ``time_limit`` seconds over a file are skipped for it. A list ``failed``
+    gets tables (ord, file, error) of those; without one, a warning tells how many there are. What can fail is
+    run at once for that.
     """
     parts: list[DataFrame] = []
 
     def sound(rows: DataFrame) -> DataFrame:
-        if failed is not None:
-            rows = cut(rows, "matched")
-            failed.append(rows.where("error is not null").select("ord", "file", "error"))
+        rows = cut(rows, "matched")
+        tell(rows.where("error is not null").select("ord", "file", "error"), rules, failed)
         return rows.where("error is null").drop("error")
 
     if found := rules.of(TextRegex):
@@ -62,7 +67,7 @@ def hits(t: Tables, rules: RuleSet, aliases: bool = True, failed: list[DataFrame
         if aliases and any(r.matcher.call for _, r in found):
             parts.append(text.alias_hits(t.files, found, plain, text.import_aliases(t.nodes)))
     if found := rules.of(TextRegexMulti):
-        parts.append(sound(text.occurrence_rows(t.files, found)))
+        parts.append(sound(text.occurrence_rows(t.files, found, time_limit)))
     if found := rules.of(JsonPathEq) + rules.of(JsonPathRegex):
         parts.append(jsonpath.path_hits(t.typed_nodes, found))
     if found := rules.of(AstQuery):
@@ -80,18 +85,41 @@ def hits(t: Tables, rules: RuleSet, aliases: bool = True, failed: list[DataFrame
         php = any(r.applies("php") for _, r in found)
         of_php = t.files.where("file_type = 'php'").select("file_path")
         direct = graph.flows_to_names(*(x.join(of_php, "file_path", "left_semi") for x in (points, edges, symbols))) if php else None
-        got = taint.taint_hits(sound(taint.taint_captures(t.files, found)), symbols, paths, direct)
-        named = [(i, r) for i, r in found if r.sources and r.sinks]
-        if named:
-            joined = taint.names_flow(named, graph.call_edges(t.tree, corpus.lines(t.files)))
-            got = got.where(~F.col("ord").isin([i for i, ok in joined.items() if not ok] or [-1]))
+        got = taint.taint_hits(sound(taint.taint_captures(t.files, found, time_limit)), symbols, paths, direct)
+        if gate and named(rules):
+            got = gated(got, rules, graph.call_edges(t.tree, corpus.lines(t.files)))
         parts.append(got)
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 
-def raw_findings(files: DataFrame, rules: RuleSet, aliases: bool = True, failed: list[DataFrame] | None = None) -> DataFrame:
+def tell(bad: DataFrame, rules: RuleSet, failed: list[DataFrame] | None) -> None:
+    """Adds a table (ord, file, error) to ``failed``; without a list, warns of its number and the first of it."""
+    if failed is not None:
+        failed.append(bad)
+    elif n := bad.count():
+        some = ", ".join(f"{rules.rules[r.ord].id} in {r.file} ({r.error})" for r in bad.limit(3).collect())
+        warnings.warn(f"{n} times a rule was skipped for a file: {some}", RuntimeWarning, stacklevel=3)
+
+
+def named(rules: RuleSet) -> list[tuple[int, Rule]]:
+    """Taint rules that name their sources and sinks."""
+    return [(i, r) for i, r in rules.of(Taint) if r.sources and r.sinks]
+
+
+def gated(rows: DataFrame, rules: RuleSet, call_edges: DataFrame) -> DataFrame:
+    """``rows`` (with ord) without those of rules whose named sources and sinks no chain of calls joins."""
+    joined = taint.names_flow(named(rules), call_edges)
+    return rows.where(~F.col("ord").isin([i for i, ok in joined.items() if not ok] or [-1]))
+
+
+def file_calls(files: DataFrame) -> DataFrame:
+    """file, src, dst: the calls of each file on its own, to be kept with its findings."""
+    return graph.file_call_edges(Tables(files).tree, corpus.lines(files)).withColumnRenamed("file_path", "file")
+
+
+def raw_findings(files: DataFrame, rules: RuleSet, aliases: bool = True, failed: list[DataFrame] | None = None, time_limit: float | None = None, gate: bool = True) -> DataFrame:
     """Findings before any filter, with duplicates."""
-    got = hits(Tables(files), rules, aliases, failed)
+    got = hits(Tables(files), rules, aliases, failed, time_limit, gate)
     if got is None:
         return files.sparkSession.createDataFrame([], FINDINGS + ", ord int")
     return post.findings_of(got, rules)
@@ -104,12 +132,19 @@ def prune(files: DataFrame, rules: RuleSet) -> RuleSet:
 
 
 def analyze(files: DataFrame, rules: RuleSet, *, baseline: DataFrame | None = None, suppress: bool = True, cache: str | None = None,
-            aliases: bool = True, plugin_findings: DataFrame | None = None, failed: list[DataFrame] | None = None) -> DataFrame:
-    """Deduplicated findings of the rules in the files, not in the baseline and not suppressed. ``failed``: see :func:`hits`.
+            aliases: bool = True, plugin_findings: DataFrame | None = None, failed: list[DataFrame] | None = None, time_limit: float | None = None) -> DataFrame:
+    """Deduplicated findings of the rules in the files, not in the baseline and not suppressed. ``failed`` and ``time_limit``: see :func:`hits`.
 
-    With ``cache``, a folder, only files whose content it doesn't know under these rules are analysed.
+    With ``cache``, a folder, only files whose content it doesn't know under these rules are analysed. Where a rule
+    failed or took too long over a file, that file isn't kept, so it is tried again.
     """
-    raw = raw_findings(files, rules, aliases, failed) if cache is None else C.cached(files, rules, cache, lambda f: raw_findings(f, rules, aliases, failed))
+    if cache is None:
+        raw = raw_findings(files, rules, aliases, failed, time_limit)
+    else:
+        raw = C.cached(files, rules, cache, lambda f, bad: raw_findings(f, rules, aliases, bad, time_limit, gate=False), file_calls if named(rules) else None)
+        for bad in raw.failed:
+            tell(bad, rules, failed)
+        raw = gated(raw.findings, rules, raw.calls) if raw.calls is not None else raw.findings
     out = raw if baseline is None else post.without_baseline(raw, baseline)
     out = post.without_suppressed(out, files) if suppress else out
     out = post.dedup(out)

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveflow.functions.durable import exists
+from sieveflow.functions.durable import cut, exists
 from sieveflow.rules.model import RuleSet
 from sieveflow.schemas import FINDINGS
 
 ENTRIES = "file string, file_hash string, rules_hash string"
+CALLS = "file string, src string, dst string, file_hash string, rules_hash string"
 STORED = FINDINGS + ", ord int, file_hash string, rules_hash string"
 
 
@@ -26,11 +28,22 @@ def split(files: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     return files.join(k, on, "left_semi"), files.join(k, on, "left_anti")
 
 
-def cached(files: DataFrame, rules: RuleSet, path: str, analyse: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Findings of all files: stored ones, and those of new files, which are stored.
+@dataclass
+class Cached:
+    """Findings of all files; tables (ord, file, error) of what failed in this run; calls (src, dst) of all files, if they were asked for."""
 
-    The table of entries tells a file without findings from one never seen. Both tables are appended to
-    and read under the rules' fingerprint, so a change of rules leaves old rows unread.
+    findings: DataFrame
+    failed: list[DataFrame]
+    calls: DataFrame | None = None
+
+
+def cached(files: DataFrame, rules: RuleSet, path: str, analyse: Callable[[DataFrame, list], DataFrame], calls_of: Callable[[DataFrame], DataFrame] | None = None) -> Cached:
+    """Stored findings, and those of new files, which are stored.
+
+    The table of entries tells a file without findings from one never seen. All tables are appended to
+    and read under the rules' fingerprint, so a change of rules leaves old rows unread. ``analyse`` gets new files and
+    a list for what fails; files where something did get no entry and no stored rows, only their findings of this run.
+    ``calls_of`` gives (file, src, dst), kept likewise, so that a call graph is of all files and not of the new ones.
     """
     spark = files.sparkSession
     rules_hash = rules.fingerprint()
@@ -38,14 +51,33 @@ def cached(files: DataFrame, rules: RuleSet, path: str, analyse: Callable[[DataF
         spark.read.schema(schema).parquet(f"{path}/{name}") if exists(spark, f"{path}/{name}") else spark.createDataFrame([], schema)
     ).where(F.col("rules_hash") == rules_hash)
     hashed = with_hash(files)
+    now = hashed.select(F.col("file_path").alias("file"), "file_hash")
     _, new = split(hashed, read("entries", ENTRIES))
+    new = cut(new, "new-files")  # what is stored below must be what was analysed
+    failed: list[DataFrame] = []
+    found = cut(analyse(new.drop("file_hash"), failed), "found")
     marks = new.select(F.col("file_path").alias("file"), "file_hash", F.lit(rules_hash).alias("rules_hash"))
-    found = analyse(new.drop("file_hash")).join(new.select(F.col("file_path").alias("file"), "file_hash"), "file").withColumn("rules_hash", F.lit(rules_hash))
-    names = [f.strip().split()[0].strip("`") for f in STORED.split(",")]
-    found.select(*names).write.mode("append").parquet(f"{path}/findings")
-    marks.write.mode("append").parquet(f"{path}/entries")
-    now = hashed.select(F.col("file_path").alias("file"), "file_hash")
-    return read("findings", STORED).join(now, ["file", "file_hash"], "left_semi").drop("file_hash", "rules_hash")
+    bad = None
+    for f in failed:
+        bad = f.select("file") if bad is None else bad.unionByName(f.select("file"))
+    good = marks if bad is None else cut(marks.join(bad, "file", "left_anti"), "good")
+
+    def store(rows: DataFrame, name: str, schema: str) -> None:
+        names = [f.strip().split()[0].strip("`") for f in schema.split(",")]
+        rows.select(*names).write.mode("append").parquet(f"{path}/{name}")
+
+    store(found.join(good, "file"), "findings", STORED)
+    calls = cut(calls_of(new.drop("file_hash")), "calls") if calls_of else None
+    if calls is not None:
+        store(calls.join(good, "file"), "calls", CALLS)
+    store(good, "entries", ENTRIES)  # last: a run that breaks off stores nothing that counts
+    kept = lambda name, schema: read(name, schema).join(now, ["file", "file_hash"], "left_semi").distinct().drop("file_hash", "rules_hash")
+    out = kept("findings", STORED).join(read("entries", ENTRIES).select("file").distinct(), "file", "left_semi")
+    graph = kept("calls", CALLS) if calls is not None else None
+    if bad is not None:
+        out = out.unionByName(found.join(bad.distinct(), "file", "left_semi").select(out.columns))
+        graph = graph.unionByName(calls.join(bad.distinct(), "file", "left_semi").select(graph.columns)) if graph is not None else None
+    return Cached(out, failed, graph.select("src", "dst").distinct() if graph is not None else None)
 
 
 def forget_missing(spark, path: str, files: DataFrame, rules: RuleSet) -> DataFrame:

@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 
 from sieveflow.functions.durable import cut
 
+from .components import strong_components, weak_components
+
+__all__ = ["strong_components", "weak_components"]
+
 #: Rounds after which what a walk has seen is written as one table.
 ROUNDS_A_CUT = 16
 
@@ -46,53 +50,6 @@ def reach(edges: DataFrame, start: DataFrame, blocked: DataFrame | None = None,
             seen = cut(seen, "reach")
 
 
-def _peeled(edges: DataFrame) -> DataFrame:
-    """Without the edges of nodes that nothing leads to or that lead nowhere, over and over."""
-    n = edges.count()
-    while n:
-        less = edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        less = cut(less.select("src", "dst"), "cycles")
-        if (now := less.count()) == n:
-            break
-        edges, n = less, now
-    return edges
-
-
-def strong_components(edges: DataFrame) -> DataFrame:
-    """node, component (its least node) of the nodes on cycles: strongly connected components of two nodes or more, or with a loop.
-
-    Each round labels every node with the least node that leads to it. A node with its own label is the
-    least of its component, and what leads back to it under the same label is the rest. Components found are
-    taken out, and the next round goes on with what is left, until no cycle is.
-    """
-    rest = _peeled(cut(edges.where("src is not null and dst is not null").select("src", "dst").distinct(), "cycles"))
-    found = None
-    while not rest.isEmpty():
-        nodes = rest.select(F.col("src").alias("node")).unionByName(rest.select(F.col("dst").alias("node"))).distinct()
-        label = cut(nodes.select("node", F.col("node").alias("least")), "labels")
-        while True:
-            ahead = rest.join(label, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("to")).agg(F.min("least").alias("more"))
-            new = cut(label.join(ahead, F.col("node") == F.col("to"), "left").select("node", F.least("least", "more").alias("least")), "labels")
-            done = new.join(label, ["node", "least"], "left_anti").isEmpty()
-            label = new
-            if done:
-                break
-        a, b = label.select(F.col("node").alias("src"), F.col("least").alias("ls")), label.select(F.col("node").alias("dst"), F.col("least").alias("ld"))
-        inner = rest.join(a, "src").join(b, "dst").where("ls = ld")
-        roots = label.where("node = least").select("node")
-        back = reach(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")), roots).select("node")
-        got = cut(back.join(label, "node").select("node", F.col("least").alias("component")), "strong")
-        found = got if found is None else found.unionByName(got)
-        gone = got.select("node")
-        rest = rest.join(gone, rest.src == gone.node, "left_anti").join(gone, F.col("dst") == gone.node, "left_anti")
-        rest = _peeled(cut(rest.select("src", "dst"), "cycles"))
-    if found is None:
-        return edges.limit(0).select(F.col("src").alias("node"), F.col("src").alias("component"))
-    big = found.groupBy("component").count().where("count > 1").select("component")
-    loops = edges.where("src = dst").select(F.col("src").alias("node")).distinct()
-    return found.join(big, "component", "left_semi").unionByName(found.join(big, "component", "left_anti").join(loops, "node", "left_semi"), allowMissingColumns=False).select("node", "component")
-
-
 def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
@@ -140,7 +97,12 @@ def branch_merge(states: DataFrame, branches: DataFrame, keys: list[str], name:
 
 
 def call_edges(ast_nodes: DataFrame, lines: DataFrame) -> DataFrame:
-    """src, dst names: each call under its nearest enclosing function, the callee read from the call's line after its first ``=``."""
+    """src, dst names of all calls of the corpus; see :func:`file_call_edges`."""
+    return file_call_edges(ast_nodes, lines).select("src", "dst").distinct()
+
+
+def file_call_edges(ast_nodes: DataFrame, lines: DataFrame) -> DataFrame:
+    """file_path, src, dst: each call under its nearest enclosing function, the callee read from the call's line after its first ``=``."""
     fn = ast_nodes.where(F.col("kind").contains("Function")).select(F.col("file_path").alias("ff"), F.col("lo").alias("flo"), F.col("hi").alias("fhi"), F.col("value").alias("src"))
     calls = ast_nodes.where(F.col("kind").isin("Call", "CallExpression")).select("file_path", "lo", "hi", "line")
     over = calls.join(fn, (F.col("file_path") == F.col("ff")) & (F.col("flo") < F.col("lo")) & (F.col("fhi") >= F.col("hi")))
@@ -148,7 +110,7 @@ def call_edges(ast_nodes: DataFrame, lines: DataFrame) -> DataFrame:
     text = F.regexp_replace("text", r"^[^=]*=(?!=)", "")
     j = near.join(lines.select("file_path", "line", "text"), ["file_path", "line"])
     callee = F.regexp_extract(text, r"([A-Za-z_][\w.:]*)\s*\(", 1)
-    return j.select("src", callee.alias("dst")).where("src is not null and dst != ''").distinct()
+    return j.select("file_path", "src", callee.alias("dst")).where("src is not null and dst != ''").distinct()
 
 
 def call_graph_analysis(edges: DataFrame) -> DataFrame:

@@ -16,47 +16,45 @@ from pyspark.sql import functions as F
 from sieveflow.rules.model import Rule, Taint, TaintPattern
 from sieveflow.sources.code import SUPERGLOBALS
 
-from .text import ERROR, Clock, enclosing_block, find_all, place, spans, whole_lines, within
+from .layout import Layout, Ranges
+from .text import ERROR, Clock, find_all, not_in_context, spans
 
 ROLES = ("sources", "sanitizers", "reclass", "sinks")
 CAUGHT = "ord int, file string, file_type string, role string, sym string, line int, `column` int, excerpt string, text string"
 _LHS = re.compile(r"(\$?[A-Za-z_]\w*)\s*(?::\s*[A-Za-z_]\w*)?\s*=\s*[^=]*\Z")
 
 
-def caught(p: TaintPattern, text: str, role: str, language: str, clock: Clock | None = None) -> list[tuple[str, int, int]]:
+def caught(p: TaintPattern, text: str | Layout, role: str, language: str, clock: Clock | None = None) -> list[tuple[str, int, int]]:
     """(symbol, start, end) of what a pattern marks.
 
     A symbol is the focus group's text; or the left side of the assignment before the match; or the
     variables in the match; or in PHP the superglobals of its line. A source or sink whose ``inside`` is
     not in the file marks nothing; a sanitiser's is only looked at where it is.
     """
-    import regex
-
-    clock = clock or Clock()
-    inside = spans(p.inside, text, clock) if p.inside else []
-    if p.inside and not inside and role in ("sources", "sinks"):
+    layout, clock = text if isinstance(text, Layout) else Layout(text), clock or Clock()
+    text = layout.text
+    inside = Ranges(spans(p.inside, text, clock))
+    if p.inside and not inside.starts and role in ("sources", "sinks"):
         return []
-    barred = spans(p.not_inside, text, clock) if p.not_inside else []
+    out = not_in_context(p, layout, clock)
     found: list[tuple[str, int, int]] = []
     for k, s in enumerate(p.allow):
         group = p.focus[k] if k < len(p.focus) else 0
         for at, m in find_all(s, text, clock):
             a, b = at + m.start(), at + m.end()
-            if p.deny and regex.search(p.deny.regex, text[a:b], timeout=clock.left()) or inside and not within((a, b), inside) or within((a, b), barred):
-                continue
-            if p.not_inside and (block := enclosing_block(text, a)) and any(regex.search(x.regex, block, timeout=clock.left()) for x in p.not_inside):
+            if inside.starts and not inside.hold((a, b)) or out(a, b):
                 continue
             if role == "sinks":
                 found.append(("", a, b))
                 continue
             if group and m[group]:
                 names = [m[group].strip()]
-            elif left := _LHS.search(text[text.rfind("\n", 0, a) + 1 : a]):
+            elif left := _LHS.search(layout.line_before(a)):
                 names = [left[1]]
             else:
                 names = re.findall(r"\$\w+", text[a:b])
                 if not names and language == "php":
-                    names = [f"${g}" for g in SUPERGLOBALS if f"${g}" in whole_lines(text, a, b)]
+                    names = [f"${g}" for g in SUPERGLOBALS if f"${g}" in layout.whole_lines(a, b)]
             found += [(n.lstrip("$"), a, b) for n in names]
     # Context patterns with a focus mark their own symbols.
     for k, s in enumerate(p.inside if role != "sinks" else ()):
@@ -72,14 +70,15 @@ def taint_captures(files: DataFrame, rules: list[tuple[int, Rule]], seconds: flo
         for b in batches:
             rows = []
             for file, kind, text in zip(b.file_path, b.file_type, b.source, strict=True):
+                layout = Layout(text or "")
                 for i, r in rules:
                     if text and r.applies(kind):
                         own, clock = [], Clock(seconds)
                         try:
                             for role in ROLES:
                                 for p in getattr(r.matcher, role):
-                                    for sym, s, e in caught(p, text, role, kind, clock):
-                                        own.append((i, file, kind, role, sym, *place(text, s), whole_lines(text, s, e), text[s:e], None))
+                                    for sym, s, e in caught(p, layout, role, kind, clock):
+                                        own.append((i, file, kind, role, sym, *layout.place(s), layout.whole_lines(s, e), text[s:e], None))
                         except TimeoutError as e:
                             own = [(i, file, kind, None, None, 0, 0, None, None, f"timeout: {e}")]
                         rows += own

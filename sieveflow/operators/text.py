@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveflow.functions.scalar import end_of_text
-from sieveflow.rules.model import Rule, Scan, TextRegexMulti
+from sieveflow.rules.model import Rule, Scan, TaintPattern, TextRegexMulti
 from sieveflow.sources.corpus import lines
 
+from .layout import Layout, Ranges
+
 #: What a matcher gives: the rule's position, the file, the place and the excerpt.
 HITS = "ord int, file string, line int, `column` int, excerpt string"
 #: Matches of one regex in one line, at most: a guard against expressions that match everywhere.
@@ -107,65 +109,30 @@ def spans(scans: tuple[Scan, ...], text: str, clock: Clock | None = None) -> lis
     return sorted({(at + m.start(), at + m.end()) for s in scans for at, m in find_all(s, text, clock)})
 
 
-def enclosing_block(text: str, at: int) -> str:
-    """The ``{...}`` around a place, from the start of the line that opens it; '' if there is none.
-
-    Braces count wherever they are, in strings and comments too.
-    """
-    depth, i = 0, at - 1
-    while i >= 0:
-        if text[i] == "}":
-            depth += 1
-        elif text[i] == "{":
-            if depth == 0:
-                break
-            depth -= 1
-        i -= 1
-    if i < 0:
-        return ""
-    depth, j = 0, i
-    while j < len(text):
-        depth += (text[j] == "{") - (text[j] == "}")
-        j += 1
-        if depth == 0:
-            break
-    return text[text.rfind("\n", 0, i) + 1 : j]
-
-
-def place(text: str, at: int) -> tuple[int, int]:
-    """1-based line, 1-based byte column."""
-    start = text.rfind("\n", 0, at) + 1
-    return text.count("\n", 0, at) + 1, len(text[start:at].encode("utf-8", "surrogatepass")) + 1
-
+def not_in_context(m: TextRegexMulti | TaintPattern, layout: Layout, clock: Clock) -> Callable[[int, int], bool]:
+    """A test of spans: denied, within a barred range, or in a block that holds what bars it."""
+    import regex
 
-def whole_lines(text: str, start: int, end: int) -> str:
-    first = text.rfind("\n", 0, start) + 1
-    last = text.find("\n", max(start, end - 1))
-    return text[first : last if last >= 0 else len(text)].rstrip("\r\n")
+    barred = Ranges(spans(m.not_inside, layout.text, clock))
+    deny = regex.compile(m.deny.regex) if m.deny else None
+    in_block = [regex.compile(s.regex) for s in m.not_inside]
 
+    def test(a: int, b: int) -> bool:
+        return bool(
+            deny and deny.search(layout.text[a:b], timeout=clock.left()) or barred.hold((a, b)) or any(layout.block_matches(a, x, clock.left) for x in in_block)
+        )
 
-def within(span: tuple[int, int], ranges: list[tuple[int, int]]) -> bool:
-    return any(a <= span[0] and span[1] <= b for a, b in ranges)
+    return test
 
 
-def occurrences(m: TextRegexMulti, text: str, clock: Clock | None = None) -> list[tuple[int, int]]:
+def occurrences(m: TextRegexMulti, text: str | Layout, clock: Clock | None = None) -> list[tuple[int, int]]:
     """Spans of the matcher's occurrences in a text."""
-    import regex
-
-    clock = clock or Clock()
-    inside = spans(m.inside, text, clock) if m.inside else []
-    if m.inside and not inside:
+    layout, clock = text if isinstance(text, Layout) else Layout(text), clock or Clock()
+    inside = Ranges(spans(m.inside, layout.text, clock))
+    if m.inside and not inside.starts:
         return []
-    barred = spans(m.not_inside, text, clock) if m.not_inside else []
-    deny = regex.compile(m.deny.regex) if m.deny else None
-    found = []
-    for a, b in spans(m.allow, text, clock):
-        if deny and deny.search(text[a:b], timeout=clock.left()) or m.inside and not within((a, b), inside) or within((a, b), barred):
-            continue
-        if m.not_inside and (block := enclosing_block(text, a)) and any(regex.search(s.regex, block, timeout=clock.left()) for s in m.not_inside):
-            continue
-        found.append((a, b))
-    return found
+    out = not_in_context(m, layout, clock)
+    return [(a, b) for a, b in spans(m.allow, layout.text, clock) if not (m.inside and not inside.hold((a, b)) or out(a, b))]
 
 
 def occurrence_hits(files: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
@@ -180,10 +147,11 @@ def occurrence_rows(files: DataFrame, rules: list[tuple[int, Rule]], seconds: fl
         for b in batches:
             rows = []
             for file, kind, text in zip(b.file_path, b.file_type, b.source, strict=True):
+                layout = Layout(text or "")
                 for i, r in rules:
                     if text and r.applies(kind):
                         try:
-                            rows += [(i, file, *place(text, s), whole_lines(text, s, e), None) for s, e in occurrences(r.matcher, text, Clock(seconds))]
+                            rows += [(i, file, *layout.place(s), layout.whole_lines(s, e), None) for s, e in occurrences(r.matcher, layout, Clock(seconds))]
                         except TimeoutError as e:
                             rows.append((i, file, 0, 0, None, f"timeout: {e}"))
             yield pd.DataFrame(rows, columns=["ord", "file", "line", "column", "excerpt", "error"])

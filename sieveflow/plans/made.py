@@ -149,11 +149,29 @@ def inside_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(_files(spark, sf_dir, "f{k}.txt", "safe {\n hit{k}\n}\n", "open {\n hit{k}\n}\n"), Rule("b", TextRegexMulti((Scan("hit[0-9]+"),), None, (), (Scan("safe"),))))
 
 
-@query(f"WITH {_K} SELECT 'l' AS rule_id, 'f' || k || '.txt' AS file, 1 AS line, CAST(i AS INTEGER) AS \"column\" FROM (SELECT k FROM k WHERE k <= 20), generate_series(1, 1000) AS g(i)")
+_S = "k AS (SELECT CAST(s_suppkey AS BIGINT) AS k FROM supplier)"
+
+
+def _supplier_files(spark: SparkSession, sf_dir: str, name: str, source: Column) -> DataFrame:
+    rows = spread(_t(spark, sf_dir, "supplier"), "s_suppkey").select(F.col("s_suppkey").cast("long").alias("k")).select(_text(name).alias("file_path"), source.alias("source"))
+    return corpus.files_of(rows.withColumn("file_type", corpus.detect_type("file_path")))
+
+
+@query(f"WITH {_S} SELECT 'l' AS rule_id, 'f' || k || '.txt' AS file, 1 AS line, CAST(i AS INTEGER) AS \"column\" FROM k, generate_series(1, 1000) AS g(i)")
 def line_match_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A line of 1200 matches: the first thousand count."""
-    files = _files(spark, sf_dir, "f{k}.txt", "x" * 1200).where(F.regexp_extract("file_path", r"\d+", 0).cast("long") <= 20)
-    return _found(files, Rule("l", TextRegexMulti((Scan("x"),))))
+    return _found(_supplier_files(spark, sf_dir, "f{k}.txt", F.repeat(F.lit("x"), F.lit(1200))), Rule("l", TextRegexMulti((Scan("x"),))))
+
+
+@query(f"""WITH {_S}, l AS (SELECT k, i, (i * 7 + k) % 5 AS c FROM k, generate_series(0, 1999) AS g(i))
+    SELECT 'm' AS rule_id, 'f' || k || '.txt' AS file, CAST(i + 2 AS INTEGER) AS line, CAST(7 + length(CAST(i AS VARCHAR)) AS INTEGER) AS "column" FROM l WHERE c > 1""")
+def many_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two thousand matches a file in a block each, all within an outer one; two fifths are in blocks that hold what bars them, as a range or as a word."""
+    kind = "(i * 7 + k) % 5"
+    line = f"concat('b', cast(i as string), ' {{', if({kind} = 0, 'skip', 'use'), '(hit', cast(i as string), if({kind} = 1, ') safe }}\n', ') }}\n'))"
+    body = F.concat(F.lit("all {\n"), F.array_join(F.expr(f"transform(sequence(0, 1999), i -> {line})"), ""), F.lit("}\n"))
+    m = TextRegexMulti((Scan("[(]hit[0-9]+"),), None, (Scan(r"(use|skip)\([^)]*\)"),), (Scan(r"skip\([^)]*\)"), Scan("safe")))
+    return _found(_supplier_files(spark, sf_dir, "f{k}.txt", body), Rule("m", m))
 
 
 @query(f"WITH {_K} SELECT 'q' AS rule_id, 'f' || k || '.py' AS file, 2 AS line, 5 AS \"column\" FROM k WHERE k % 3 = 0")

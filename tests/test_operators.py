@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sieveflow.operators.layout import Layout
 from sieveflow.operators import graph, policy, post, text, tree
 from sieveflow.rules.model import AstPattern, AstQuery, JsonPathEq, JsonPathRegex, MetaVariable, Policy, Rule, RuleSet, Scan, Taint, TaintPattern, TextRegex, TextRegexMulti
 from sieveflow import engine
@@ -28,7 +29,7 @@ def test_context(spark):
     assert found(spark, {"f": "é foo fooo\n"}, Rule("c", plain)) == [("c", "f", 1, 4)]
     block = TextRegexMulti((Scan("hit"),), None, (), (Scan("safe"),))
     assert found(spark, {"f": "safe {\n hit }\nf {\n hit }"}, Rule("c", block)) == [("c", "f", 4, 2)]
-    assert text.enclosing_block("a {\n b { c } d", 12) == "a {\n b { c } d"
+    assert Layout("a {\n b { c } d").enclosing_block(12) == "a {\n b { c } d"
     source = TextRegexMulti((Scan(r"a\s+b", "source"),))
     assert found(spark, {"f": "x a\nb"}, Rule("c", source)) == [("c", "f", 1, 3)]
 
