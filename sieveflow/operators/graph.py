@@ -50,6 +50,34 @@ def reach(edges: DataFrame, start: DataFrame, blocked: DataFrame | None = None,
             seen = cut(seen, "reach")
 
 
+def grow(seen: DataFrame, links: DataFrame, new: DataFrame, key: tuple[str, ...] = ()) -> DataFrame:
+    """``seen`` (key, node), all that was reached so far, with what edges ``new`` (src, dst) add to it; ``links`` are all edges, the new ones too.
+
+    The walk begins at the ends of new edges that leave what is seen, so it costs what it adds.
+    """
+    at = [*key, "node"]
+    links = cut(links.select("src", "dst").distinct(), "links")
+    parts, ahead = [seen.select(*at)], cut(new.select("src", "dst").distinct(), "links")
+    frontier = seen
+    while True:
+        found = frontier.join(ahead, frontier.node == ahead.src).select(*key, F.col("dst").alias("node")).distinct()
+        for p in parts:
+            found = found.join(p, at, "left_anti")
+        frontier = cut(found, "reach")
+        if frontier.isEmpty():
+            out = parts[0]
+            for p in parts[1:]:
+                out = out.unionByName(p)
+            return out
+        parts.append(frontier)
+        ahead = links
+        if len(parts) > ROUNDS_A_CUT:
+            every = parts[0]
+            for p in parts[1:]:
+                every = every.unionByName(p)
+            parts = [cut(every, "reach")]
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 

@@ -10,7 +10,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveflow.rules.model import Rule, Taint, TaintPattern
@@ -127,6 +127,12 @@ def taint_hits(captures: DataFrame, symbols: DataFrame, paths: DataFrame, direct
     return j.groupBy("ord", "file", "line", "column", "excerpt").agg(severity.alias("severity"))
 
 
+def named_ends(rules: list[tuple[int, Rule]], spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """(ord, node) of the named sources, and of the named sinks."""
+    frame = lambda of: spark.createDataFrame([(i, n) for i, r in rules for n in of(r)], "ord int, node string")
+    return frame(lambda r: r.sources), frame(lambda r: r.sinks)
+
+
 def names_flow(rules: list[tuple[int, Rule]], call_edges: DataFrame) -> dict[int, bool]:
     """For rules with named sources and sinks: whether the call graph joins them."""
     from .graph import reach, undirected
@@ -134,11 +140,10 @@ def names_flow(rules: list[tuple[int, Rule]], call_edges: DataFrame) -> dict[int
     named = [(i, r) for i, r in rules if r.sources and r.sinks]
     if not named:
         return {}
-    spark = call_edges.sparkSession
-    frame = lambda of: spark.createDataFrame([(i, n) for i, r in named for n in of(r)], "ord int, node string")
+    sources, sinks = named_ends(named, call_edges.sparkSession)
     # One walk for all rules.
-    reached = reach(undirected(call_edges), frame(lambda r: r.sources), key=("ord",))
-    joined = {r[0] for r in reached.join(frame(lambda r: r.sinks), ["ord", "node"], "left_semi").select("ord").distinct().collect()}
+    reached = reach(undirected(call_edges), sources, key=("ord",))
+    joined = {r[0] for r in reached.join(sinks, ["ord", "node"], "left_semi").select("ord").distinct().collect()}
     return {i: i in joined for i, _ in named}
 
 
