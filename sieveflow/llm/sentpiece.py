@@ -35,7 +35,7 @@ from struct import pack
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import pieces
@@ -162,6 +162,10 @@ def cuts(v: pieces.Vocabulary) -> re.Pattern:
     return re.compile(f" *(?:[^ \n{m}]+|[{m}]+[^ \n{m}]*){goes_on}|\n| +")
 
 
+#: Place among the best ids, how many of them give way, and what comes there.
+Edit = tuple[int, int, tuple[int, ...]]
+
+
 class Encoder:
     """Segments texts with a vocabulary; keeps the chunks that it has met in two generations."""
 
@@ -211,10 +215,10 @@ class Encoder:
                     reach = j
         return [*out, chunk[begin:]]
 
-    def encode(self, text: str) -> tuple[np.ndarray, list[tuple[float, int, tuple[tuple[int, int], ...]]], list[str]]:
-        """(best ids, the n best as (score, pieces, choices other than the best: (chunk, rank)), chunks)."""
+    def encode(self, text: str) -> tuple[np.ndarray, list[tuple[float, int, tuple[Edit, ...]]]]:
+        """(best ids, the n best as (score, pieces, edits of the best ids))."""
         if not text:
-            return np.zeros(0, np.int32), [(0.0, 0, ())], []
+            return np.zeros(0, np.int32), [(0.0, 0, ())]
         chunks = self.cut.findall(" " + text)
         if max(map(len, chunks)) > _LONG:
             chunks = [p for c in chunks for p in (self.apart(c) if len(c) > _LONG else (c,))]
@@ -228,16 +232,18 @@ class Encoder:
         stay = np.ones(len(raw), bool)
         stay[heads] = stay[heads + 1] = False
         ids = raw[stay]
-        return ids, self.combine(chunks, float(self.weight[ids].sum()), len(ids), losses), chunks
+        # A chunk's ids without its two numbers in front.
+        return ids, self.combine(chunks, float(self.weight[ids].sum()), len(ids), losses, heads - 2 * np.arange(len(heads)), ends - heads - 2)
 
-    def combine(self, chunks: list[str], score: float, count: int, losses: np.ndarray) -> list:
+    def combine(self, chunks: list[str], score: float, count: int, losses: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> list:
         """A* over the chunks: each of the n - 1 smallest losses may be taken, nothing else can be among the n best."""
         n = self.n
         least = np.argsort(losses, kind="stable")[: n - 1].tolist()
         options = []
         for k in sorted(k for k in least if losses[k] < np.inf):
             best = lattice_nbest(chunks[k].replace(pieces.SPACE, "\0").replace(" ", pieces.SPACE), self.v, n)
-            options.append((k, [(best[0][0] - s, len(p) - len(best[0][1])) for s, p in best]))
+            edit = (int(starts[k]), int(lengths[k]))
+            options.append([(best[0][0] - s, len(p) - edit[1], (*edit, tuple(p))) for s, p in best])
         agenda: list[tuple] = [(0.0, count, (), 0)]
         out = []
         while agenda and len(out) < n:
@@ -245,17 +251,8 @@ class Encoder:
             if at == len(options):
                 out.append((score - loss, pcs, taken))
                 continue
-            k, ranks = options[at]
-            for r, (more, extra) in enumerate(ranks):
-                heapq.heappush(agenda, (loss + more, pcs + extra, taken + ((k, r),) if r else taken, at + 1))
-        return out
-
-    def spell(self, chunks: list[str], choices: tuple[tuple[int, int], ...]) -> list[int]:
-        """The ids of one of the n best."""
-        rank = dict(choices)
-        out: list[int] = []
-        for k, c in enumerate(chunks):
-            out += lattice_nbest(c.replace(pieces.SPACE, "\0").replace(" ", pieces.SPACE), self.v, rank.get(k, 0) + 1)[-1][1]
+            for r, (more, extra, edit) in enumerate(options[at]):
+                heapq.heappush(agenda, (loss + more, pcs + extra if r else pcs, (*taken, edit) if r else taken, at + 1))
         return out
 
     def decode(self, ids: np.ndarray | list[int]) -> str:
@@ -274,14 +271,14 @@ def encoder(path: str, n: int) -> Encoder:
 #: Columns that :func:`encode` adds.
 OUT = pa.schema([
     ("ids", pa.list_(pa.int32())), ("n_pieces", pa.int32()), ("scores", pa.list_(pa.float64())), ("nbest_pieces", pa.list_(pa.int32())),
-    ("nbest_choices", pa.list_(pa.string())), ("round_trip", pa.bool_()),
+    ("nbest_edits", pa.list_(pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ids", pa.list_(pa.int32()))])))), ("round_trip", pa.bool_()),
 ])
-DDL = "ids array<int>, n_pieces int, scores array<double>, nbest_pieces array<int>, nbest_choices array<string>, round_trip boolean"
+DDL = "ids array<int>, n_pieces int, scores array<double>, nbest_pieces array<int>, nbest_edits array<array<struct<start:int,length:int,ids:array<int>>>>, round_trip boolean"
 
 
 def encode(docs: DataFrame, text_col: str = "text", n: int = N_BEST, piece_file: str = pieces.PIECE_FILE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep``, and ids (the best), n_pieces, scores and pieces of the n best, their choices
-    (``chunk:rank`` where a chunk isn't its best), and whether decoding gives the text back."""
+    """Columns ``keep``, and ids (the best), n_pieces, scores and pieces of the n best, their edits (from the best
+    ids to theirs: at ``start``, ``length`` ids give way to others; see :func:`nbest_ids`), and whether decoding gives the text back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(piece_file, n)
@@ -292,10 +289,10 @@ def encode(docs: DataFrame, text_col: str = "text", n: int = N_BEST, piece_file:
                     if t is None:
                         ids.append(None), rows.append((None, None, None, None, None))
                         continue
-                    i, best, _ = e.encode(t)
+                    i, best = e.encode(t)
                     ids.append(i)
-                    choices = [",".join(f"{k}:{r}" for k, r in x[2]) for x in best]
-                    rows.append((len(i), [x[0] for x in best], [x[1] for x in best], choices, e.decode(i) == t))
+                    edits = [[dict(zip(("start", "length", "ids"), x, strict=True)) for x in b[2]] for b in best]
+                    rows.append((len(i), [x[0] for x in best], [x[1] for x in best], edits, e.decode(i) == t))
                 ends = np.cumsum([0] + [0 if x is None else len(x) for x in ids], dtype=np.int64)
                 values = np.concatenate([np.zeros(0, np.int32), *(x for x in ids if x is not None)])
                 lists = pa.ListArray.from_arrays(
@@ -310,6 +307,12 @@ def encode(docs: DataFrame, text_col: str = "text", n: int = N_BEST, piece_file:
     return source.mapInArrow(run, kinds + DDL).toDF(*keep, *OUT.names)
 
 
+def nbest_ids(ids: str = "ids", edits: str = "nbest_edits") -> Column:
+    """The ids of all n segmentations of :func:`encode`: the best ones with each one's edits, from the last to the first."""
+    apply = "aggregate(reverse(e), {ids}, (x, d) -> concat(slice(x, 1, d.start), d.ids, slice(x, d.start + d.length + 1, greatest(size(x) - d.start - d.length, 0))))"
+    return F.expr(f"transform({edits}, e -> {apply.format(ids=ids)})")
+
+
 def decode(encoded: DataFrame, ids_col: str = "ids", piece_file: str = pieces.PIECE_FILE, as_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` and the text of ``ids_col``; null ids give null."""
 

@@ -48,14 +48,35 @@ def test_nbest_is_that_of_all_segmentations(text):
 @given(st.text("abehtin, .!’”é日▁\n", max_size=12))
 def test_chunks_give_the_nbest_of_the_whole_lattice(text):
     e = S.Encoder(pieces.PIECE_FILE, 3)
-    ids, best, chunks = e.encode(text)
+    ids, best = e.encode(text)
     assert e.decode(ids) == text
     if text:
         want = S.lattice_nbest(spaced(" " + text), V, 3)
         assert [s for s, *_ in best] == [s for s, _ in want]
-        for _, n, choices in best:
-            own = e.spell(chunks, choices)
-            assert len(own) == n and e.decode(own) == text
+        check_edits(e, ids, best, text)
+
+
+def check_edits(e, ids, best, text):
+    """Each segmentation spells the text, weighs what its score says, and differs from the others."""
+    every = []
+    for score, n, edits in best:
+        own = ids.tolist()
+        for start, length, new in reversed(edits):
+            own[start : start + length] = new
+        assert len(own) == n and e.decode(own) == text and abs(float(e.weight[own].sum()) - score) < 1e-6
+        every.append(tuple(own))
+    assert len(set(every)) == len(every)
+
+
+def test_ids_of_all_segmentations(spark):
+    df = S.encode(docs(spark)).withColumn("every", S.nbest_ids())
+    e = S.Encoder(pieces.PIECE_FILE, 3)
+    texts = {repr(r.text) for r in docs(spark).collect()}
+    for r in df.collect():
+        if r.ids is not None:
+            assert r.every[0] == r.ids and [len(x) for x in r.every] == r.nbest_pieces and len(set(map(tuple, r.every))) == len(r.every)
+            assert {repr(e.decode(x)) for x in r.every} <= texts and len({e.decode(x) for x in r.every}) == 1
+            assert all(abs(float(e.weight[x].sum()) - s) < 1e-6 * max(1, -s) for x, s in zip(r.every, r.scores, strict=True) if x)
 
 
 def test_documents_round_trip(spark):
@@ -78,7 +99,7 @@ def test_generations_of_kept_chunks(monkeypatch):
     monkeypatch.setattr(S, "_KEPT_BYTES", 600)
     e = S.Encoder(pieces.PIECE_FILE, 2)
     text = "one two three four five one two three one"
-    ids, _, _ = e.encode(text)
+    ids, _ = e.encode(text)
     assert e.decode(ids) == text and len(e.new) <= 3
 
 
@@ -89,13 +110,11 @@ def test_long_chunks_are_cut_where_no_piece_goes_across(text):
 
     with mock.patch.object(S, "_LONG", 8):
         e = S.Encoder(pieces.PIECE_FILE, 3)
-        ids, best, chunks = e.encode(text)
-    assert "".join(chunks) == " " + text and e.decode(ids) == text
+        ids, best = e.encode(text)
+    assert e.decode(ids) == text
     want = S.lattice_nbest(spaced(" " + text), V, 3)
     assert [round(s, 9) for s, *_ in best] == [round(s, 9) for s, _ in want]
-    for _, n, choices in best:
-        own = e.spell(chunks, choices)
-        assert len(own) == n and e.decode(own) == text
+    check_edits(e, ids, best, text)
 
 
 def test_long_runs_without_spaces_take_little_memory():
@@ -104,7 +123,7 @@ def test_long_runs_without_spaces_take_little_memory():
     e = S.Encoder(pieces.PIECE_FILE, 3)
     tracemalloc.start()
     for text in ("日本語の文書" * 20_000, "QmFzZTY0" * 15_000, "a" * 50_000):
-        ids, best, _ = e.encode(text)
+        ids, best = e.encode(text)
         assert e.decode(ids) == text and 1 <= len(best) <= 3
     assert tracemalloc.get_traced_memory()[1] < 150 << 20
     tracemalloc.stop()
