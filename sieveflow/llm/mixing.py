@@ -15,7 +15,8 @@ that reruns agree to the last bit whatever the order of adding.
 
 The rates become whole copies by error diffusion in buckets of documents of one source: largest first,
 each document takes the floor or the ceiling of its rate, whichever brings the bucket's running total
-nearer to its share. A bucket holds about ``BUCKET`` documents whatever the size of the source, so a
+nearer to its share. Rows repeated with id, source and text are one item of the bucket; as many of them take one
+copy more as bring the total nearest. A bucket holds about ``BUCKET`` documents whatever the size of the source, so a
 source with a third of all rows is spread over many tasks, and a bucket misses its share by about half
 of its shortest document.
 
@@ -25,8 +26,8 @@ meet the documents by a broadcast only up to a bound, else by a salted join.
 
 Cases: a null text has size 0; a document of size 0 is taken once, at no cost; a null source is a source of
 its own, after all others; a source without words has target 0 and takes nothing; rows repeated with
-id, source and text are documents of their own that get the same number of copies; an empty table gives
-no rows; other columns are ignored by :func:`mix` and kept by :func:`repeated`, whatever their names.
+id, source and text are documents of their own, some of which may get one copy more than the others (which is
+told by their number alone); an empty table gives no rows; other columns are ignored by :func:`mix` and kept by :func:`repeated`, whatever their names.
 Reruns agree, as nothing is drawn at random.
 """
 
@@ -155,6 +156,12 @@ def lambdas(counts: DataFrame, targets: DataFrame, most: float = MOST, steps: in
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
     """A row for each row of ``docs``: doc_id, source, text_hash, size, source_size, target, rate, copies, taken."""
+    return _each(mixed_items(docs, id_col, text_col, source_col, weights, share, most))
+
+
+def mixed_items(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+                weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
+    """A row for each different (doc_id, source, text_hash): its columns in :func:`mix`, times (its rows), copies of each, and more (how many of them get one more)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("text_hash"), words(text_col).alias("size"))
     # Repeated rows are one item that is there several times.
     items = cut(rows.groupBy(*rows.columns).agg(F.count("*").alias("times")), "sizes")
@@ -176,36 +183,68 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     first = joined.groupBy("source", "bucket").agg(F.array_sort(F.collect_list(item)).alias("items"), *[F.first(c).alias(c) for c in of_source])
     kind = rows.schema["doc_id"].dataType.simpleString()
     got = first.select("source", *of_source, F.inline(rounded("items", kind, most)))
-    each = got.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
-    return each.select("doc_id", "source", "text_hash", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return got
+
+
+def _each(items: DataFrame) -> DataFrame:
+    """A row for each of an item's rows: the first ``more`` of them with one copy more."""
+    each = items.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    copies = F.col("copies") + (F.col("time") <= F.col("more")).cast("long")
+    return each.select("doc_id", "source", "text_hash", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as its copies say."""
-    mixed = mix(docs, id_col, text_col, source_col, **options).select("doc_id", "source", "text_hash", "copies")
-    copies = cut(mixed.where("copies > 0").distinct(), "copies").hint("shuffle_hash")
+    items = mixed_items(docs, id_col, text_col, source_col, **options)
+    items = cut(items.where("copies > 0 or more > 0").select("doc_id", "source", "text_hash", "copies", "more"), "copies").hint("shuffle_hash")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     own = docs.select(row, F.col(id_col).alias("own_id"), F.col(source_col).alias("own_source"), F.xxhash64(text_col).alias("own_hash"))
     same = F.col("own_id").eqNullSafe(F.col("doc_id")) & F.col("own_source").eqNullSafe(F.col("source")) & (F.col("own_hash") == F.col("text_hash"))
-    each = own.join(copies, same).select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return each.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    each = own.join(items, same)
+    plain = each.select("row", "copies")
+    if not items.where("more > 0").isEmpty():
+        plain = each.where("more = 0").select("row", "copies").unionByName(_some_more(each.where("more > 0")))
+    out = plain.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+def _some_more(rows: DataFrame) -> DataFrame:
+    """row, copies: of an item's rows as many as ``more`` says get one copy more. They are counted in their partitions, so no task sees all rows of one item."""
+    key = ["doc_id", "source", "text_hash"]
+    placed = cut(rows.select("row", *key, "copies", "more", F.spark_partition_id().alias("part")), "repeats")
+    # One row for each item and partition.
+    counts = placed.groupBy(*key, "part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy(*key).orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*[F.col(c).alias(f"c_{c}") for c in key], F.col("part").alias("c_part"), before.alias("before"))
+    on = F.col("part") == F.col("c_part")
+    for c in key:
+        on &= F.col(c).eqNullSafe(F.col(f"c_{c}"))
+    number = F.row_number().over(W.partitionBy(*key, "part").orderBy(F.lit(1)))
+    numbered = placed.withColumn("number", number).join(counts, on)
+    return numbered.select("row", (F.col("copies") + (F.col("before") + F.col("number") <= F.col("more")).cast("long")).alias("copies"))
 
 
 def rounded(items: str, id_type: str = "bigint", most: float = MOST) -> Column:
     """Copies of each item (minus, doc_id, text_hash, times, rate) of a bucket, sorted from the largest: error diffusion."""
     start = F.struct(
         F.lit(0.0).alias("want"), F.lit(0.0).alias("have"),
-        F.array().cast(f"array<struct<doc_id:{id_type},text_hash:bigint,size:bigint,times:bigint,rate:double,copies:bigint>>").alias("out"),
+        F.array().cast(f"array<struct<doc_id:{id_type},text_hash:bigint,size:bigint,times:bigint,rate:double,copies:bigint,more:bigint>>").alias("out"),
     )
 
     def step(acc: Column, x: Column) -> Column:
-        size = -x["minus"]
-        whole = size * x["times"]
-        want = acc["want"] + x["rate"] * whole
-        low = F.floor(x["rate"])
-        more = (want - acc["have"] - low * whole) * 2 > whole
-        copies = F.least(low + F.when(more & (x["rate"] > low), 1).otherwise(0), F.lit(int(most))).cast("bigint")
-        got = F.struct(x["doc_id"].alias("doc_id"), x["text_hash"].alias("text_hash"), size.alias("size"), x["times"].alias("times"), x["rate"].alias("rate"), copies.alias("copies"))
-        return F.struct(want.alias("want"), (acc["have"] + copies * whole).alias("have"), F.concat(acc["out"], F.array(got)).alias("out"))
+        size, times = -x["minus"], x["times"]
+        want = acc["want"] + x["rate"] * size * times
+        low = F.floor(x["rate"]).cast("bigint")
+        # All rows take ``low``; those that take one more bring the total to within half a document of what is wanted.
+        lacking = F.when(size > 0, F.ceil((want - acc["have"] - low * size * times) / size - 0.5)).otherwise(0).cast("bigint")
+        high = F.when((x["rate"] > low) & (low < int(most)), times).otherwise(0)
+        more = F.greatest(F.lit(0), F.least(lacking, high)).cast("bigint")
+        whole = more == times
+        got = F.struct(
+            x["doc_id"].alias("doc_id"), x["text_hash"].alias("text_hash"), size.alias("size"), times.alias("times"), x["rate"].alias("rate"),
+            (low + whole.cast("bigint")).alias("copies"), F.when(whole, 0).otherwise(more).cast("bigint").alias("more"),
+        )
+        have = acc["have"] + (low * times + more) * size
+        return F.struct(want.alias("want"), have.cast("double").alias("have"), F.concat(acc["out"], F.array(got)).alias("out"))
 
     return F.aggregate(F.col(items), start, step, lambda acc: acc["out"])

@@ -122,6 +122,36 @@ def test_newton_reaches_the_dual_optimum(spark):
         assert math.isclose(words, dict(goals)[r.source], rel_tol=1e-6), r
 
 
+def taken_by_source(got):
+    size, taken, target = defaultdict(int), defaultdict(int), {}
+    for r in got:
+        size[r.source] += r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert r.taken <= 2 * r.size and math.floor(r.rate) <= r.copies <= math.ceil(r.rate)
+    want = targets(dict(size))
+    assert all(math.isclose(target[s], want[s], rel_tol=1e-9, abs_tol=1e-6) for s in size)
+    return taken, target
+
+
+def test_heavy_repeats_meet_their_target(spark):
+    """A third of a source's rows are one row, with an id and without: as many of them as it takes get one copy more."""
+    long, short = "w " * 100, "v " * 10
+    table = [(1, long, "b")] * 1000 + [(10 + i, short + f"x{i}", "b") for i in range(100)] + [(2000 + i, "u " * 50, "a") for i in range(900)]
+    table += [(None, "t " * 70, "c")] * 700 + [(None, "s " * 9, "c")] * 3 + [(5000 + i % 7, "r " * (i % 7), "c") for i in range(500)]
+    df = spark.createDataFrame(table, "doc_id long, text string, source string").repartition(5)
+    got = M.mix(df).collect()
+    assert len(got) == len(table)
+    taken, target = taken_by_source(got)
+    assert all(abs(taken[s] - target[s]) <= 100 for s in taken), (dict(taken), target)
+    assert len({r.copies for r in got if r.doc_id == 1}) == 2
+    # The rows that come out are those copies.
+    out = M.repeated(df).groupBy("source").agg(F.sum(F.regexp_count("text", F.lit(M.WORDS))).alias("n")).collect()
+    assert {r.source: r.n for r in out} == dict(taken)
+    per_row = M.repeated(df.withColumn("own", F.monotonically_increasing_id())).groupBy("doc_id", "own").count().collect()
+    assert {r["count"] for r in per_row if r.doc_id == 1} <= {1, 2}
+
+
 def test_repeated_documents(spark):
     df = docs(spark).where("doc_id is not null").dropDuplicates(["doc_id"])
     copies = {r.doc_id: r.copies for r in M.mix(df).collect()}
@@ -134,6 +164,6 @@ def test_rows_without_ids_are_taken_each_by_its_text(spark):
     table = [(None, "w " * k, "a") for k in range(1, 40)] + [(1, "v " * 500, "b")]
     df = spark.createDataFrame(table, "doc_id long, text string, source string")
     copies = {r.text_hash: r.copies for r in M.mix(df).collect()}
-    out = M.repeated(df.withColumn("copies", F.lit(1)).withColumn("text_hash", F.lit(2)).withColumn("size", F.lit(3)))
-    assert out.columns == ["doc_id", "text", "source", "copies", "text_hash", "size"]
+    out = M.repeated(df.withColumn("more", F.lit(0)).withColumn("copies", F.lit(1)).withColumn("text_hash", F.lit(2)).withColumn("size", F.lit(3)))
+    assert out.columns == ["doc_id", "text", "source", "more", "copies", "text_hash", "size"]
     assert out.count() == sum(copies.values()) and len(set(copies.values())) > 1
