@@ -36,6 +36,8 @@ from pyspark.sql.types import StructType
 TARGET = 64 << 20
 #: Sizes of adjacent tiers; the fewest shards that are merged; rows of a shard on arrival, at most.
 RATIO, FEWEST, ARRIVAL_ROWS = 4, 2, 4096
+#: Neighbouring rows of a file that arrive together.
+ARRIVAL_BLOCK = 64
 #: Files that one job merges, at most (their paths are on the driver); lists of a manifest beyond which they are joined.
 FILES_A_JOB, LISTS = 100_000, 16
 #: Files of a list.
@@ -70,6 +72,8 @@ class ShardStore:
         self.spark, self.root, self.target = spark, root.rstrip("/"), target
         self._jvm = spark._jvm
         self._conf = spark._jsc.hadoopConfiguration()
+        #: What this writer's merges did so far.
+        self.merges = self.rows_merged = 0
 
     # Files
 
@@ -191,7 +195,7 @@ class ShardStore:
         """The shards of the smallest tier that has enough to merge, ``FILES_A_JOB`` at most."""
         tiered = self.listed(m).withColumn("tier", tier("bytes", self.target)).where("tier is not null")
         # At most a row for each tier.
-        ready = [r["tier"] for r in tiered.coalesce(1).groupBy("tier").count().where(F.col("count") >= FEWEST).collect()]
+        ready = [r["tier"] for r in tiered.groupBy("tier").count().where(F.col("count") >= FEWEST).collect()]
         return tiered.where(F.col("tier") == max(ready)).orderBy("bytes", "path").limit(FILES_A_JOB) if ready else None
 
     def compact(self) -> Manifest:
@@ -218,6 +222,7 @@ class ShardStore:
                 raise RuntimeError(f"a merge of {files} files gave {files_after}")
             try:
                 self.commit(new, old)
+                self.merges, self.rows_merged = self.merges + 1, self.rows_merged + rows
             except Conflict:
                 self._fs().delete(self._path(f"{self.root}/data/{folder}"), True)
 
@@ -253,21 +258,39 @@ class ShardStore:
         return m.select(F.substring_index("path", "/", -1).alias("shard"), "path", F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_rows"))
 
 
-def shard_documents(spark: SparkSession, path: str, root: str, arrivals: int = 4, target: int = TARGET) -> DataFrame:
-    """Append the files under ``path`` in some arrivals, compact, and tell where each row is:
-    doc_id, shard, shard_rows, shard_bytes, version, text_sha256 (of the text read back)."""
-    table = spark.read.parquet(path)
+def arrivals_of(table: DataFrame, arrivals: int) -> Iterator[DataFrame]:
+    """A table's rows as they might arrive: some of its files at a time, or of fewer files some of the rows of each."""
     files = sorted(table.inputFiles())
+    if len(files) >= arrivals:
+        step = math.ceil(len(files) / arrivals)
+        for at in range(0, len(files), step):
+            yield table.sparkSession.read.schema(table.schema).parquet(*files[at : at + step])
+    else:
+        # A row's place in its file, in blocks, so that neighbours arrive together.
+        block = F.floor(F.col("_metadata.row_index") / ARRIVAL_BLOCK)
+        for k in range(arrivals):
+            yield table.where(F.pmod(block, F.lit(arrivals)) == k)
+
+
+def shard_documents(spark: SparkSession, path: str, root: str, arrivals: int = 8, target: int = TARGET) -> DataFrame:
+    """Append the table under ``path`` in some arrivals, compact after each, and tell where each row is:
+    doc_id, shard, shard_rows, shard_bytes, version, merges, rows_merged, text_sha256 (of the text read back)."""
+    table = spark.read.parquet(path)
     store = ShardStore(spark, root, target)
-    step = max(1, math.ceil(len(files) / arrivals))
-    for at in range(0, len(files), step):
-        store.append(spark.read.schema(table.schema).parquet(*files[at : at + step]))
-    m = store.compact()
-    store.vacuum()
+    for part in arrivals_of(table, arrivals):
+        store.append(part)
+        store.compact()
+        store.vacuum()
+    m = store.manifest()
     if not m.lists:
-        return spark.createDataFrame([], "doc_id long, shard string, shard_rows long, shard_bytes long, version long, text_sha256 string")
+        none = F.lit(None)
+        return table.limit(0).select(
+            "doc_id", none.cast("string").alias("shard"), *[none.cast("long").alias(c) for c in ("shard_rows", "shard_bytes", "version", "merges", "rows_merged")],
+            none.cast("string").alias("text_sha256"),
+        )
     rows = store.read(m.version).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), F.col("_metadata.file_name").alias("shard"))
     shards = store.shards(m.version)
     few = shards.limit(FILES_A_JOB + 1).count() <= FILES_A_JOB
     found = rows.join(F.broadcast(shards) if few else shards, "shard")
-    return found.select("doc_id", "shard", "shard_rows", "shard_bytes", F.lit(m.version).cast("long").alias("version"), "text_sha256")
+    counted = [F.lit(n).cast("long").alias(c) for n, c in ((m.version, "version"), (store.merges, "merges"), (store.rows_merged, "rows_merged"))]
+    return found.select("doc_id", "shard", "shard_rows", "shard_bytes", *counted, "text_sha256")

@@ -110,6 +110,34 @@ def test_documents(spark):
     assert H.shard_documents(spark, none, fresh_path(spark, "shards")).collect() == []
 
 
+def test_the_query_merges_what_arrives(spark, sf):
+    """A table of one file comes in several arrivals, whose shards are merged tier by tier."""
+    from sieveflow.llm import queries as Q
+
+    got = Q.op6_sharding(spark, sf).select("doc_id", "shard", "version", "merges", "rows_merged").collect()
+    source = spark.read.parquet(f"{sf}/documents.parquet")
+    assert len(source.inputFiles()) == 1 and sorted(r.doc_id for r in got) == sorted(r.doc_id for r in source.collect())
+    first = got[0]
+    assert first.merges > 1 and first.version >= 4 + first.merges and first.rows_merged >= 0.5 * len(got)
+    assert len({r.shard for r in got}) < 8
+
+
+def test_arrivals_deal_each_row_once(spark):
+    path = fresh_path(spark, "in")
+    spark.range(1000).coalesce(2).write.parquet(path)
+    table = spark.read.parquet(path)
+    for n in (1, 2, 3, 8):
+        parts = [sorted(r.id for r in p.collect()) for p in H.arrivals_of(table, n)]
+        assert len(parts) == n and sorted(sum(parts, [])) == list(range(1000))
+
+
+def test_an_empty_table_keeps_its_types(spark):
+    path = fresh_path(spark, "in")
+    spark.createDataFrame([], "doc_id string, text string").write.parquet(path)
+    got = H.shard_documents(spark, path, fresh_path(spark, "shards"))
+    assert got.schema["doc_id"].dataType.simpleString() == "string" and got.collect() == []
+
+
 def test_sessions_with_small_scans_end(spark, monkeypatch):
     from contextlib import contextmanager
 
