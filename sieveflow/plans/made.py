@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sieveflow import debug, engine, plugins
 from sieveflow.functions import scalar as S
 from sieveflow.functions.durable import fresh_path, spread
-from sieveflow.operators import graph, policy, post, text, tree
+from sieveflow.operators import calls, graph, policy, post, text, tree
 from sieveflow.rules import load
 from sieveflow.rules.model import AstPattern, AstQuery, MetaVariable, Policy, Rule, RuleSet, Scan, Taint, TaintPattern, TextRegex, TextRegexMulti
 from sieveflow.sinks import report
@@ -459,6 +459,49 @@ def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.call_edges(code.ast_nodes(f), corpus.lines(f))
 
 
+_ARGS = (
+    ("py", "def a{k}(x, y):\n    return g(y, [x, 1])\n\ndef b{k}(p, q):\n    r = a{k}(p, h({k}, q))\n    return r\n"),
+    ("js", "function a{k}(x, y) {\n  return g(y, [x, 1]);\n}\nfunction b{k}(p, q) {\n  const r = a{k}(p, h({k}, q));\n  return r;\n}\n"),
+    ("php", "<?php\nfunction a{k}($x, $y) {\n  return g($y, [$x, 1]);\n}\nfunction b{k}($p, $q) {\n  $r = a{k}($p, h({k}, $q));\n  return $r;\n}\n"),
+)
+
+
+def _three_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each key, in one of three languages."""
+    name = F.lit(None)
+    body = F.lit(None)
+    for i, (ext, text_) in enumerate(_ARGS):
+        name = F.when(F.col("k") % 3 == i, _text("f{k}." + ext)).otherwise(name)
+        body = F.when(F.col("k") % 3 == i, _text(text_)).otherwise(body)
+    rows = _keys(spark, sf_dir).select(name.cast("string").alias("file_path"), body.cast("string").alias("source"))
+    return corpus.files_of(rows.withColumn("file_type", corpus.detect_type("file_path")))
+
+
+@query(
+    f"""WITH {_K}, e AS (SELECT k, ['py', 'js', 'php'][k % 3 + 1] AS ext, CASE WHEN k % 3 = 2 THEN chr(36) ELSE '' END AS v FROM k)
+    SELECT 'f' || k || '.' || ext AS file, caller || k AS caller, replace(callee, '#', CAST(k AS VARCHAR)) AS callee, CAST(position AS INTEGER) AS position,
+           replace(replace(argument, '#', CAST(k AS VARCHAR)), '$', v) AS argument, CASE WHEN target THEN v || 'r' END AS target
+    FROM e, (VALUES ('a', 'g', 0, '$y', false), ('a', 'g', 1, '[$x, 1]', false), ('b', 'a#', 0, '$p', true), ('b', 'a#', 1, 'h(#, $q)', true), ('b', 'h', 0, '#', false), ('b', 'h', 1, '$q', false))
+      AS c(caller, callee, position, argument, target)"""
+)
+def call_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every call of a line with its arguments, nested ones too, in three languages."""
+    files = _three_languages(spark, sf_dir)
+    found = calls.parts(files, code.ast_nodes(files)).where("what = 'call'")
+    return found.select(F.col("file_path").alias("file"), F.col("function").alias("caller"), "callee", "position", F.col("text").alias("argument"), "target")
+
+
+@query(
+    f"""WITH {_K} SELECT f || k AS function, v AS variable FROM k, (VALUES
+      (0, 'b', 'p'), (0, 'a', 'x'), (1, 'b', 'q')) AS t(odd, f, v) WHERE k % 2 = odd"""
+)
+def tainted_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Taint passes through the position it is in: the first argument taints the callee's first parameter, one within a further call doesn't."""
+    files = _three_languages(spark, sf_dir)
+    start = _keys(spark, sf_dir).select(F.concat(F.lit("b"), F.col("k").cast("string")).alias("function"), F.when(F.col("k") % 2 == 0, "p").otherwise("q").alias("variable"))
+    return calls.tainted_variables(calls.passes(calls.parts(files, code.ast_nodes(files))), start)
+
+
 _GROUPS = f"{_K}, g AS (SELECT k, k // 5 AS g, k % 5 AS p FROM k WHERE k >= 5 AND k < (SELECT max(k) // 5 * 5 FROM k))"
 
 
