@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sieveflow.functions.durable import cut
 from sieveflow.operators import cache as C
-from sieveflow.operators import graph, jsonpath, policy, post, taint, text, tree
+from sieveflow.operators import calls, graph, jsonpath, policy, post, taint, text, tree
 from sieveflow.rules.model import AstPattern, AstQuery, JsonPathEq, JsonPathRegex, Policy, Rule, RuleSet, Taint, TextRegex, TextRegexMulti
 from sieveflow.schemas import FINDINGS
 from sieveflow.sources import code, corpus, readers
@@ -85,7 +85,10 @@ def hits(t: Tables, rules: RuleSet, aliases: bool = True, failed: list[DataFrame
         php = any(r.applies("php") for _, r in found)
         of_php = t.files.where("file_type = 'php'").select("file_path")
         direct = graph.flows_to_names(*(x.join(of_php, "file_path", "left_semi") for x in (points, edges, symbols))) if php else None
-        got = taint.taint_hits(sound(taint.taint_captures(t.files, found, time_limit)), symbols, paths, direct)
+        captures = sound(taint.taint_captures(t.files, found, time_limit))
+        got = taint.taint_hits(captures, symbols, paths, direct)
+        if any(r.interfile for _, r in found):
+            got = got.unionByName(taint.interfile_hits(captures, calls.passes(cut(calls.parts(t.files, t.tree), "call-parts")), found))
         if gate and named(rules):
             got = gated(got, rules, graph.call_edges(t.tree, corpus.lines(t.files)))
         parts.append(got)

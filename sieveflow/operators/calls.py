@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveflow.sources.code import FUNCTION
+
 from .graph import reach
 from .layout import Layout
 
@@ -28,6 +30,7 @@ _ANGLES = re.compile(r"(?<=[\w:])<(?:[\w\s,&\[\]:.?*$']|->|<(?:[\w\s,&\[\]:.?*$'
 _RETURN = re.compile(r"(?<![\w$])return\b[ \t]*([^;\n}]*)")
 _CALLED = re.compile(r"(\$?[A-Za-z_][\w.:>$-]*)\s*$")
 _TARGET = re.compile(r"(\$?[A-Za-z_]\w*)\s*(?::\s*[\w<>\[\]&., ]+)?\s*:?=\s*(?:await\s+|new\s+|&\s*)?$")
+_ASSIGN = re.compile(r"(?m)^[ \t]*(?:(?:let|const|var|final|mut|auto|[A-Z]\w*(?:<[^<>=;\n]*>)?)[ \t]+)*(\$?[A-Za-z_]\w*)[ \t]*(?::[^=\n]*)?[+.:]?=(?![=>~])[ \t]*([^;\n]*)")
 _NAMES = re.compile(r"(?<![\w.>])\$?[A-Za-z_]\w*")
 
 
@@ -85,24 +88,61 @@ def parameter(text: str, language: str) -> str:
     return found[0] if language == "go" else found[-1]
 
 
-def _rows(language: str, source: str, functions: list, calls: list) -> Iterator[tuple]:
-    """(what, function, position, text, line, column, callee, target) of one file."""
+def function_spans(language: str, layout: Layout) -> list[tuple[int, int, str]]:
+    """(start, end, name) of a text's functions: by braces, in Python by indentation, in Ruby by ``end`` at the indentation of ``def``."""
+    text, out = layout.text, []
+    for m in re.finditer(FUNCTION.get(language, r"\bdef\s+(\w+)"), text):
+        start = m.start(1)
+        if language in ("python", "ruby"):
+            indent = re.match(r"[ \t]*", layout.line_before(m.start() + 1))[0]
+            after = re.compile(rf"^[ \t]{{0,{len(indent)}}}(?![ \t])(?=\S)(?![)\]}}#])" if language == "python" else rf"^{indent}end\b", re.M)
+            done = after.search(text, min(len(text), text.find("\n", m.end()) % (len(text) + 1)))
+            end = done.start() if done else len(text)
+        else:
+            opened = text.find("(", start)
+            body = text.find("{", segments(text, opened)[1]) if opened >= 0 else -1
+            end = layout.block_end(body) if body >= 0 else len(text)
+        out.append((start, end, m[1]))
+    return sorted(out, key=lambda x: (x[0], -x[1]))
+
+
+class Scopes:
+    """The innermost function around a place; outside all functions the file itself, as ``@`` and its path."""
+
+    def __init__(self, file: str, language: str, layout: Layout):
+        self.spans = function_spans(language, layout)
+        self.starts = [a for a, _, _ in self.spans]
+        self.file = f"@{file}"
+        self.up: list[int] = []
+        stack: list[int] = []
+        for i, (a, _, _) in enumerate(self.spans):
+            while stack and self.spans[stack[-1]][1] <= a:
+                stack.pop()
+            self.up.append(stack[-1] if stack else -1)
+            stack.append(i)
+
+    def of(self, at: int) -> str:
+        i = bisect_right(self.starts, at) - 1
+        while i >= 0 and self.spans[i][1] <= at:
+            i = self.up[i]
+        return self.spans[i][2] if i >= 0 else self.file
+
+
+def _rows(file: str, language: str, source: str, functions: list, calls: list) -> Iterator[tuple]:
+    """(what, function, position, text, line, column, callee, target) of one file; what is outside all functions is the file's own."""
     layout = Layout(source)
     offset = lambda line, column: layout.line_starts[line - 1] + _chars(source, layout.line_starts[line - 1], column - 1)
-    begins = []
+    scopes = Scopes(file, language, layout)
     for f in functions:
         m = re.compile(rf"\b{re.escape(f['name'])}\s*(?:<[^()]*>)?\s*\(").search(source, layout.line_starts[f["line"] - 1])
         if m:
             parts, _ = segments(source, m.end() - 1)
             for i, p in enumerate(parts):
                 yield ("parameter", f["name"], i, parameter(p, language), f["line"], f["column"], None, None)
-            begins.append((m.start(), f["name"]))
-    begins.sort()
-    places = [b for b, _ in begins]
     for m in _RETURN.finditer(source):
-        i = bisect_right(places, m.start()) - 1
-        if i >= 0:
-            yield ("return", begins[i][1], 0, m[1].strip(), *layout.place(m.start()), None, None)
+        yield ("return", scopes.of(m.start()), 0, m[1].strip(), *layout.place(m.start()), None, None)
+    for m in _ASSIGN.finditer(source):
+        yield ("assign", scopes.of(m.start(1)), 0, m[2].strip(), *layout.place(m.start(1)), None, m[1])
     for c in calls:
         at = offset(c["line"], c["column"])
         opened = source.find("(", at)
@@ -112,7 +152,7 @@ def _rows(language: str, source: str, functions: list, calls: list) -> Iterator[
         target = _TARGET.search(layout.line_before(at))
         callee = source[at:opened].strip().removeprefix("new ").strip()
         for i, p in enumerate(parts or [None]):
-            yield ("call", c["caller"], i, p, c["line"], c["column"], callee, target[1] if target else None)
+            yield ("call", c["caller"] or scopes.file, i, p, c["line"], c["column"], callee, target[1] if target else None)
 
 
 def _chars(source: str, start: int, n_bytes: int) -> int:
@@ -144,7 +184,7 @@ def enclosing_functions(ast_nodes: DataFrame) -> DataFrame:
 
 
 def parts(files: DataFrame, ast_nodes: DataFrame) -> DataFrame:
-    """file_path, what (parameter, return or call), function, position, text, line, column, callee, target.
+    """file_path, what (parameter, return, assign or call), function, position, text, line, column, callee, target.
 
     A call has a row for each argument (one with null text if it has none), with the variable that it is assigned to.
     """
@@ -159,7 +199,7 @@ def parts(files: DataFrame, ast_nodes: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for file, kind, source, fs, cs in zip(b.file_path, b.file_type, b.source, b.functions, b.calls, strict=True):
-                got = _rows(kind, source or "", list(fs) if fs is not None else [], list(cs) if cs is not None else [])
+                got = _rows(file, kind, source or "", list(fs) if fs is not None else [], list(cs) if cs is not None else [])
                 out += [(file, *r) for r in got]
             yield pd.DataFrame(out, columns=["file_path", *names]).astype(object).where(lambda x: x.notna(), None)
 
@@ -181,7 +221,7 @@ def passes(found: DataFrame) -> DataFrame:
     own = own.join(bound, F.col("dst_function") == F.col("method"), "left").select(
         "dst_function", "dst", (F.col("place") - F.col("method").isNotNull().cast("int")).alias("place")
     ).where("place >= 0 and dst != ''")
-    calls = found.where("what = 'call' and function is not null").withColumn("name", last("callee"))
+    calls = found.where("what = 'call'").withColumn("name", last("callee"))
     args = calls.where("text is not null").withColumn("n", names("text"))
     to = args.join(own, (F.col("name") == F.col("dst_function")) & (F.col("position") == F.col("place")))
     direct = to.select(F.col("function").alias("src_function"), F.explode("n.vars").alias("src"), "dst_function", "dst")
@@ -190,13 +230,16 @@ def passes(found: DataFrame) -> DataFrame:
     out = back.select(F.col("function").alias("src_function"), F.explode("n.vars").alias("src"), F.col("function").alias("dst_function"), F.lit(RETURNED).alias("dst"))
     chain = back.select(F.explode("n.called").alias("c"), F.col("function").alias("dst_function")).select(last("c").alias("src_function"), F.lit(RETURNED).alias("src"), "dst_function", F.lit(RETURNED).alias("dst"))
     kept = calls.where("target is not null").select(F.col("name").alias("src_function"), F.lit(RETURNED).alias("src"), F.col("function").alias("dst_function"), F.col("target").alias("dst"))
-    every = direct.unionByName(nested).unionByName(out).unionByName(chain).unionByName(kept)
+    set_ = found.where("what = 'assign'").withColumn("n", names("text")).select(F.col("function").alias("src_function"), F.explode("n.vars").alias("src"), F.col("function").alias("dst_function"), F.col("target").alias("dst"))
+    every = direct.unionByName(nested).unionByName(out).unionByName(chain).unionByName(kept).unionByName(set_)
     plain = lambda c: F.regexp_replace(c, r"^\$", "").alias(c)
     return every.select("src_function", plain("src"), "dst_function", plain("dst")).distinct()
 
 
-def tainted_variables(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """function, variable of all that ``start`` (function, variable) leads to over :func:`passes`."""
+def tainted_variables(edges: DataFrame, start: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """function, variable of all that ``start`` (function, variable) leads to over :func:`passes`; with columns ``keys``, a walk for each of their values."""
     key = lambda f, v: F.concat_ws("\1", f, v)
-    walked = reach(edges.select(key("src_function", "src").alias("src"), key("dst_function", "dst").alias("dst")), start.select(key("function", "variable").alias("node")))
-    return walked.select(F.split("node", "\1")[0].alias("function"), F.split("node", "\1")[1].alias("variable"))
+    walked = reach(
+        edges.select(key("src_function", "src").alias("src"), key("dst_function", "dst").alias("dst")), start.select(*keys, key("function", "variable").alias("node")), key=keys
+    )
+    return walked.select(*keys, F.split("node", "\1")[0].alias("function"), F.split("node", "\1")[1].alias("variable"))

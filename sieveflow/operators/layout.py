@@ -87,6 +87,10 @@ class Layout:
         i = bisect_left(places, at) - 1
         return around[i] if i >= 0 else -1
 
+    def block_end(self, opening: int) -> int:
+        """Where the block that a brace opens is over."""
+        return self._blocks[2].get(opening, len(self.text))
+
     def block(self, opening: int) -> str:
         """The block that a brace opens, from the start of its line; to the end of the text if nothing closes it."""
         first = self.line_starts[bisect_right(self.line_starts, opening) - 1]

@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from sieveflow.rules.model import Rule, Taint, TaintPattern
 from sieveflow.sources.code import SUPERGLOBALS
 
+from .calls import Scopes, tainted_variables
 from .layout import Layout, Ranges
 from .text import ERROR, Clock, find_all, not_in_context, spans
 
 ROLES = ("sources", "sanitizers", "reclass", "sinks")
-CAUGHT = "ord int, file string, file_type string, role string, sym string, line int, `column` int, excerpt string, text string"
+CAUGHT = "ord int, file string, file_type string, role string, sym string, line int, `column` int, excerpt string, text string, function string"
 _LHS = re.compile(r"(\$?[A-Za-z_]\w*)\s*(?::\s*[A-Za-z_]\w*)?\s*=\s*[^=]*\Z")
 
 
@@ -71,6 +72,7 @@ def taint_captures(files: DataFrame, rules: list[tuple[int, Rule]], seconds: flo
             rows = []
             for file, kind, text in zip(b.file_path, b.file_type, b.source, strict=True):
                 layout = Layout(text or "")
+                scopes = Scopes(file, kind, layout)
                 for i, r in rules:
                     if text and r.applies(kind):
                         own, clock = [], Clock(seconds)
@@ -78,15 +80,30 @@ def taint_captures(files: DataFrame, rules: list[tuple[int, Rule]], seconds: flo
                             for role in ROLES:
                                 for p in getattr(r.matcher, role):
                                     for sym, s, e in caught(p, layout, role, kind, clock):
-                                        own.append((i, file, kind, role, sym, *layout.place(s), layout.whole_lines(s, e), text[s:e], None))
+                                        own.append((i, file, kind, role, sym, *layout.place(s), layout.whole_lines(s, e), text[s:e], scopes.of(s), None))
                         except TimeoutError as e:
-                            own = [(i, file, kind, None, None, 0, 0, None, None, f"timeout: {e}")]
+                            own = [(i, file, kind, None, None, 0, 0, None, None, None, f"timeout: {e}")]
                         rows += own
-            yield pd.DataFrame(rows, columns=["ord", "file", "file_type", "role", "sym", "line", "column", "excerpt", "text", "error"])
+            yield pd.DataFrame(rows, columns=["ord", "file", "file_type", "role", "sym", "line", "column", "excerpt", "text", "function", "error"])
 
     return files.select("file_path", "file_type", "source").mapInPandas(run, CAUGHT + ERROR).distinct()
 
 
+def interfile_hits(captures: DataFrame, edges: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
+    """Hits of rules that look over files: sinks that hold a variable to which calls, returns and assignments lead from a source.
+
+    ``edges`` is of the whole corpus (:func:`sieveflow.operators.calls.passes`). A variable is one of its function, whatever the file.
+    """
+    own = captures.where(F.col("ord").isin([i for i, r in rules if r.interfile]))
+    clean = own.where("role = 'sanitizers'").select("ord", "file", "sym").distinct()
+    sources = own.where("role = 'sources' and sym != ''").join(clean, ["ord", "file", "sym"], "left_anti")
+    reached = tainted_variables(edges, sources.select("ord", "function", F.col("sym").alias("variable")).distinct(), ("ord",))
+    names = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z_]\w*"), F.lit(0))))
+    sinks = own.where("role = 'sinks'").select("ord", "file", "line", "column", "excerpt", "function", names.alias("variable"))
+    hit = sinks.join(reached, ["ord", "function", "variable"], "left_semi")
+    return hit.select("ord", "file", "line", "column", "excerpt", F.lit(None).cast("string").alias("severity")).distinct()
+
+
 def taint_hits(captures: DataFrame, symbols: DataFrame, paths: DataFrame, direct: DataFrame | None = None) -> DataFrame:
     """Hits (ord, file, line, column, excerpt, severity) at sinks.
 

@@ -459,6 +459,21 @@ def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.call_edges(code.ast_nodes(f), corpus.lines(f))
 
 
+@query(
+    f"""WITH {_K} SELECT 'i' AS rule_id, 'b' || k || '.py' AS file, 4 AS line, 5 AS "column" FROM k WHERE k % 3 = 0"""
+)
+def interfile_taint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source in one file, a sink in another, joined by an argument's position: only for the rule that looks over files."""
+    k = _keys(spark, sf_dir)
+    a = F.when(F.col("k") % 3 == 0, _text("import b{k}\ndef main{k}():\n    u = input()\n    v = u\n    b{k}.go{k}(1, v)\n")).when(F.col("k") % 3 == 1, _text("import b{k}\ndef main{k}():\n    u = input()\n    b{k}.go{k}(u, 1)\n"))
+    a = a.otherwise(_text("import b{k}\ndef main{k}():\n    u = other()\n    b{k}.go{k}(1, u)\n"))
+    b = _text("import subprocess\ndef go{k}(x, y):\n    z = y\n    subprocess.run(z)\n")
+    rows = k.select(F.explode(F.array(F.struct(_text("a{k}.py").alias("file_path"), a.alias("source")), F.struct(_text("b{k}.py").alias("file_path"), b.alias("source")))).alias("f")).select("f.*")
+    files = corpus.files_of(rows.withColumn("file_type", corpus.detect_type("file_path")))
+    m = Taint((TaintPattern((Scan(r"input\(\)"),)),), (TaintPattern((Scan(r"subprocess\.run\([^)]*\)"),)),))
+    return _found(files, Rule("i", m, interfile=True, languages=("python",)), Rule("o", m, languages=("python",)))
+
+
 _ARGS = (
     ("py", "def a{k}(x, y):\n    return g(y, [x, 1])\n\ndef b{k}(p, q):\n    r = a{k}(p, h({k}, q))\n    return r\n"),
     ("js", "function a{k}(x, y) {\n  return g(y, [x, 1]);\n}\nfunction b{k}(p, q) {\n  const r = a{k}(p, h({k}, q));\n  return r;\n}\n"),

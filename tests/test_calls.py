@@ -54,8 +54,25 @@ def test_methods_skip_their_own_object(spark):
 
 def test_nearest_function_around_a_call(spark):
     rows = found(spark, {"a.py": "def f():\n    def g():\n        a(1)\n    b(2, 3)\nc()\n"}).where("what = 'call'").collect()
-    assert {(r.callee, r.function, r.position, r.text) for r in rows} == {("a", "g", 0, "1"), ("b", "f", 0, "2"), ("b", "f", 1, "3"), ("c", None, 0, None)}
+    assert {(r.callee, r.function, r.position, r.text) for r in rows} == {("a", "g", 0, "1"), ("b", "f", 0, "2"), ("b", "f", 1, "3"), ("c", "@a.py", 0, None)}
 
 
 def test_no_files(spark):
     assert found(spark, {"a.txt": "f(x)"}).collect() == []
+
+
+def test_scopes():
+    py = "x = 1\ndef f(a,\n      b):\n    y\n    def g():\n        z\n\n    w\nend = 2\n"
+    s = calls.Scopes("p", "python", calls.Layout(py))
+    assert [s.of(py.index(c)) for c in ("x", "y", "z", "w", "end")] == ["@p", "f", "g", "f", "@p"]
+    js = "a();\nfunction f(x) { b(); function g() { c(); } d(); }\ne();"
+    s = calls.Scopes("j", "javascript", calls.Layout(js))
+    assert [s.of(js.index(f"{c}()")) for c in "abcde"] == ["@j", "f", "g", "f", "@j"]
+    rb = "def f\n  a\nend\nb\n"
+    s = calls.Scopes("r", "ruby", calls.Layout(rb))
+    assert [s.of(rb.index("a\n")), s.of(rb.index("b\n"))] == ["f", "@r"]
+
+
+def test_assignments_lead_on(spark):
+    src = {"a.py": "def main(t):\n    a = t + 1\n    b = other\n    c = [a]\n    go(c)\n\ndef go(x):\n    y = x\n"}
+    assert walk(spark, src, "main", "t") == {("main", "t"), ("main", "a"), ("main", "c"), ("go", "x"), ("go", "y")}
