@@ -148,6 +148,11 @@ def analyze(files: DataFrame, rules: RuleSet, *, baseline: DataFrame | None = No
         for bad in raw.failed:
             tell(bad, rules, failed)
         raw = gated(raw.findings, rules, raw.calls) if raw.calls is not None else raw.findings
+        over = [i for i, r in rules.of(Taint) if r.interfile]
+        if over:  # what a file gives depends on others, so nothing of it is kept
+            place = F.element_at(F.array(*map(F.lit, over)), F.col("ord") + 1)
+            now = raw_findings(files, RuleSet([rules.rules[i] for i in over]), aliases, failed, time_limit).withColumn("ord", place)
+            raw = raw.where(~F.col("ord").isin(over)).unionByName(now)
     out = raw if baseline is None else post.without_baseline(raw, baseline)
     out = post.without_suppressed(out, files) if suppress else out
     out = post.dedup(out)

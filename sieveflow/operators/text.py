@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sieveflow.functions.scalar import end_of_text
@@ -165,17 +166,53 @@ def occurrence_rows(files: DataFrame, rules: list[tuple[int, Rule]], seconds: fl
 def spans_frame(df: DataFrame, id_col: str, text_col: str, pattern: str) -> DataFrame:
     """id, start, end (code points, end exclusive) of all matches of a text, by built-in functions.
 
-    ``split`` gives the gaps and ``regexp_extract_all`` the matches, whose lengths add up.
+    ``split`` gives the gaps and ``regexp_extract_all`` the matches, whose lengths are summed up along the text.
     """
     t = F.col(text_col)
     gaps, found = F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-    sized = df.where(t.rlike(pattern)).select(F.col(id_col).alias("id"), F.transform(gaps, F.length).alias("g"), F.transform(found, F.length).alias("m"))
-    at = F.expr("transform(m, (x, i) -> named_struct('start', aggregate(slice(g, 1, i + 1), 0, (a, b) -> a + b) + aggregate(slice(m, 1, i), 0, (a, b) -> a + b), 'size', x))")
-    return sized.select("id", F.inline(at)).select("id", "start", (F.col("start") + F.col("size")).alias("end"))
+    sizes = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("size")))
+    texts = df.where(t.rlike(pattern)).select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), sizes.alias("sizes"))
+    rows = texts.select("id", "row", F.posexplode("sizes").alias("pos", "x"))
+    along = W.partitionBy("row").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    end = F.sum(F.col("x.gap") + F.coalesce("x.size", F.lit(0))).over(along).cast("int")
+    ends = rows.select("id", F.col("x.size").alias("size"), end.alias("end")).where("size is not null")
+    return ends.select("id", (F.col("end") - F.col("size")).alias("start"), "end")
 
 
 def contained(matches: DataFrame, ranges: DataFrame, keep: bool = True) -> DataFrame:
     """Matches (id, start, end, ...) that lie within a range of the same id, or with ``keep`` False those that don't."""
-    r = ranges.select(F.col("id").alias("rid"), F.col("start").alias("rs"), F.col("end").alias("re"))
-    on = (F.col("id") == F.col("rid")) & (F.col("start") >= F.col("rs")) & (F.col("end") <= F.col("re"))
-    return matches.join(r, on, "left_semi" if keep else "left_anti")
+    return covered(matches, ranges, "id", ("start", "end"), keep=keep)
+
+
+def covered(rows: DataFrame, ranges: DataFrame, key: str, ends: tuple[str, str], strict: bool = False, keep: bool = True) -> DataFrame:
+    """``rows`` that a range of their key covers: one that starts no later (with ``strict``, earlier) and ends no earlier.
+
+    Rows and ranges of a key are put in order of their starts once; of the ranges before a row only the furthest end
+    matters. So the work is that of a sort, whatever the number of pairs. A key's rows are one task's.
+    """
+    a, b = ends
+    payload = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    kind = payload_type(rows)
+    own = rows.select(F.col(key).alias("_key"), F.col(a).cast("long").alias("_at"), F.lit(0 if strict else 1).alias("_turn"), F.lit(None).cast("long").alias("_end"), payload.alias("_row"))
+    over = ranges.select(F.col(key).alias("_key"), F.col(a).cast("long").alias("_at"), F.lit(1 if strict else 0).alias("_turn"), F.col(b).cast("long").alias("_end"), F.lit(None).cast(kind).alias("_row"))
+    before = W.partitionBy("_key").orderBy("_at", "_turn").rowsBetween(W.unboundedPreceding, W.currentRow)
+    far = own.unionByName(over).withColumn("_far", F.max("_end").over(before)).where("_row is not null")
+    is_ = F.coalesce(F.col("_far") >= F.col("_row").getField(b), F.lit(False))
+    return far.where(is_ if keep else ~is_).select("_row.*")
+
+
+def payload_type(rows: DataFrame) -> str:
+    return rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("x")).schema["x"].dataType.simpleString()
+
+
+def holding(rows: DataFrame, inner: DataFrame, key: str, ends: tuple[str, str], keep: bool = True) -> DataFrame:
+    """``rows`` that have one of ``inner`` within them, by the same order: of those that start no earlier only the nearest end matters."""
+    a, b = ends
+    payload = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    own = rows.select(F.col(key).alias("_key"), F.col(a).cast("long").alias("_at"), F.lit(0).alias("_turn"), F.lit(None).cast("long").alias("_end"), payload.alias("_row"))
+    held = inner.select(F.col(key).alias("_key"), F.col(a).cast("long").alias("_at"), F.lit(1).alias("_turn"), F.col(b).cast("long").alias("_end"), F.lit(None).cast(payload_type(rows)).alias("_row"))
+    # From the last start backwards, which keeps the frame a running one.
+    after = W.partitionBy("_key").orderBy(F.desc("_at"), F.desc("_turn")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    near = own.unionByName(held).withColumn("_near", F.min("_end").over(after)).where("_row is not null")
+    is_ = F.coalesce(F.col("_near") <= F.col("_row").getField(b), F.lit(False))
+    return near.where(is_ if keep else ~is_).select("_row.*")

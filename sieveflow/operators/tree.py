@@ -1,4 +1,4 @@
-"""Tree matchers over nested-set intervals: a descendant is a range predicate, never recursion.
+"""Tree matchers over nested-set intervals: a descendant is a range predicate, never recursion, and is found by one sort of a file's nodes.
 
 ``ast_nodes`` has lo and hi for each node: hi is the greatest lo below it, so n is below a exactly if
 a.lo < n.lo <= a.hi in the same file.
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sieveflow.functions.scalar import end_of_text
 from sieveflow.rules.model import Rule
 
+from . import text
 from .text import applies
 
 #: Nodes of a file that a tree query looks at.
@@ -44,14 +45,18 @@ def query_hits(ast_nodes: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame
 
 def within(nodes: DataFrame, ancestors: DataFrame, keep: str = "left_semi") -> DataFrame:
     """Nodes that have one of ``ancestors`` strictly above them (or with left_anti, none)."""
-    a = ancestors.select(F.col("file_path").alias("af"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"))
+    return text.covered(nodes, ancestors, "file_path", ("lo", "hi"), strict=True, keep=keep == "left_semi")
+
+
+def within_few(nodes: DataFrame, ancestors: DataFrame, keep: str = "left_semi") -> DataFrame:
+    """The same for a bounded number of ancestors, which are broadcast: nodes stay where they are, whatever the size of a tree."""
+    a = F.broadcast(ancestors.select(F.col("file_path").alias("af"), F.col("lo").alias("alo"), F.col("hi").alias("ahi")))
     return nodes.join(a, (F.col("file_path") == F.col("af")) & (F.col("alo") < F.col("lo")) & (F.col("ahi") >= F.col("hi")), keep)
 
 
 def holding(nodes: DataFrame, below: DataFrame, keep: str = "left_semi") -> DataFrame:
     """Nodes that are, or have below them, one of ``below`` (or with left_anti, none)."""
-    d = below.select(F.col("file_path").alias("df"), F.col("lo").alias("dlo"), F.col("hi").alias("dhi"))
-    return nodes.join(d, (F.col("file_path") == F.col("df")) & (F.col("lo") <= F.col("dlo")) & (F.col("hi") >= F.col("dhi")), keep)
+    return text.holding(nodes, below, "file_path", ("lo", "hi"), keep=keep == "left_semi")
 
 
 def pattern_hits(ast_nodes: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:

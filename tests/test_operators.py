@@ -72,6 +72,24 @@ def test_intervals_against_brute_force(spark):
     assert got == {n[0] for n in nodes if not any(b[2] == "b" and n[0] <= b[0] and n[1] >= b[1] for b in nodes)}
 
 
+def test_covered_and_holding_against_all_pairs(spark):
+    """Any intervals, nested or not; repeated rows stay."""
+    rng = random.Random(8)
+    rows = [(k, a := rng.randrange(30), a + rng.randrange(1, 12), i % 90) for i, k in enumerate(rng.choice("xyz") for _ in range(200))]
+    ranges = [(k, a := rng.randrange(30), a + rng.randrange(1, 15)) for k in (rng.choice("xyw") for _ in range(25))]
+    df, rf = spark.createDataFrame(rows, "id string, start int, end int, n int"), spark.createDataFrame(ranges, "id string, start int, end int")
+    got = lambda d: sorted(tuple(r) for r in d.collect())
+    inside = lambda r, strict: any(k == r[0] and (a < r[1] if strict else a <= r[1]) and b >= r[2] for k, a, b in ranges)
+    holds = lambda r: any(k == r[0] and r[1] <= a and b <= r[2] for k, a, b in ranges)
+    for strict in (False, True):
+        for keep in (False, True):
+            assert got(text.covered(df, rf, "id", ("start", "end"), strict, keep)) == sorted(r for r in rows if inside(r, strict) == keep)
+            assert got(text.holding(df, rf, "id", ("start", "end"), keep)) == sorted(r for r in rows if holds(r) == keep)
+    assert got(text.contained(df, rf)) == sorted(r for r in rows if inside(r, False))
+    # No pairs are made: neither joins nor products are in the plan.
+    assert "Join" not in text.contained(df, rf)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_routes(spark):
     f = corpus.from_strings(spark, {"a.js": "function h(req, res) { res.send(req.query.id) }", "b.js": "function h(req, res) { res.send(sanitize(req.query.id)) }", "c.py": "def f(request):\n    return request.args\n"})
     assert {r.file_path for r in tree.unsanitised_routes(tree.with_type(code.ast_nodes(f), f)).collect()} == {"a.js", "c.py"}
