@@ -13,12 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveflow.rules.model import Rule, Taint, TaintPattern
+from sieveflow.rules.model import Rule, Scan, Taint, TaintPattern, TextRegexMulti
 from sieveflow.sources.code import SUPERGLOBALS
 
 from .calls import Scopes, tainted_variables
 from .layout import Layout, Ranges
-from .text import ERROR, Clock, find_all, not_in_context, spans
+from .text import ERROR, Clock, find_all, not_in_context, occurrences, spans
 
 ROLES = ("sources", "sanitizers", "reclass", "sinks")
 CAUGHT = "ord int, file string, file_type string, role string, sym string, line int, `column` int, excerpt string, text string, function string"
@@ -89,6 +89,19 @@ def taint_captures(files: DataFrame, rules: list[tuple[int, Rule]], seconds: flo
     return files.select("file_path", "file_type", "source").mapInPandas(run, CAUGHT + ERROR).distinct()
 
 
+def matches_of(rule: Rule, layout: Layout, language: str, clock: Clock) -> int | None:
+    """How many places a rule over text marks in a file (lines, occurrences, or what its patterns capture); None where its time ran out."""
+    m = rule.matcher
+    try:
+        if isinstance(m, Taint):
+            return sum(len(caught(p, layout, role, language, clock)) for role in ROLES for p in getattr(m, role))
+        if isinstance(m, TextRegexMulti):
+            return len(occurrences(m, layout, clock))
+        return len({layout.place(at)[0] for at, _ in find_all(Scan(m.regex), layout.text, clock)})
+    except TimeoutError:
+        return None
+
+
 def interfile_hits(captures: DataFrame, edges: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
     """Hits of rules that look over files: sinks that hold a variable to which calls, returns and assignments lead from a source.
 

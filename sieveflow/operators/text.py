@@ -14,6 +14,7 @@ from sieveflow.functions.scalar import end_of_text
 from sieveflow.rules.model import Rule, Scan, TaintPattern, TextRegexMulti
 from sieveflow.sources.corpus import lines
 
+from . import literals
 from .layout import Layout, Ranges
 
 #: What a matcher gives: the rule's position, the file, the place and the excerpt.
@@ -43,7 +44,10 @@ def applies(rule: Rule, file_type: str | Column = "file_type") -> Column:
 
 
 def line_hits(files: DataFrame, rules: list[tuple[int, Rule]], text: str = "text") -> DataFrame:
-    """Every (rule, line) whose regex matches, for any number of rules in one scan."""
+    """Every (rule, line) whose regex matches, for any number of rules in one scan; see :mod:`literals` for many."""
+    if text == "text" and "source" in files.columns and len((some := literals.literal_rules(rules))[0]) >= literals.MANY:
+        found = literals.literal_hits(files, some[0])
+        return found.unionByName(line_hits(files, some[1])) if some[1] else found
     src = lines(files)
     tests = [F.when(applies(r) & F.col(text).rlike(end_of_text(r.matcher.regex)), F.lit(i)) for i, r in rules]
     hit = F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull()))

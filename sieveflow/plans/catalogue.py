@@ -100,6 +100,22 @@ def text_regex_multirule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+_MANY = [f"th{a}{b}" for a in "aeinot" for b in "adehinorst"]
+
+
+@query(
+    r"""WITH r AS (SELECT unnest([""" + ", ".join(f"'{x}'" for x in _MANY) + r"""]) AS w), l AS (
+      SELECT doc_id, unnest(generate_series(1, len(parts))) AS line, unnest(parts) AS text
+      FROM (SELECT doc_id, string_split_regex(regexp_replace(text, '\r?\n$', ''), '\r?\n') AS parts FROM documents WHERE length(text) > 0))
+    SELECT w AS rule_id, CAST(doc_id AS VARCHAR) AS file, CAST(line AS INTEGER) AS line FROM l JOIN r ON regexp_matches(text, '\b' || w || '[a-z]*(ed|ing)[ .,]')"""
+)
+def many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixty rules in one pass of an automaton over their literals."""
+    rules = RuleSet([Rule(w, TextRegex(rf"\b{w}[a-z]*(ed|ing)[ .,]")) for w in _MANY])
+    found = post.findings_of(text.line_hits(_docs(spark, sf_dir), rules.of(TextRegex)), rules)
+    return found.select("rule_id", "file", "line")
+
+
 @query(
     r"""WITH p AS (SELECT doc_id, string_split_regex(text, '[0-9]{2,}') AS g, regexp_extract_all(text, '[0-9]{2,}') AS m FROM documents WHERE regexp_matches(text, '[0-9]{2,}')),
     e AS (SELECT doc_id, g, m, unnest(generate_series(1, len(m))) AS i FROM p)

@@ -517,32 +517,40 @@ def tainted_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.tainted_variables(calls.passes(calls.parts(files, code.ast_nodes(files))), start)
 
 
-_GROUPS = f"{_K}, g AS (SELECT k, k // 5 AS g, k % 5 AS p FROM k WHERE k >= 5 AND k < (SELECT max(k) // 5 * 5 FROM k))"
+_GROUPS = f"{_K}, g AS (SELECT k, k // 5 AS g, min(k) OVER w AS low, max(k) OVER w AS high, count(*) OVER w AS n FROM k WINDOW w AS (PARTITION BY k // 5))"
+
+
+def _chains_and_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each five keys are a chain of calls; those of even fives are closed to a ring."""
+    k = _keys(spark, sf_dir).withColumn("g", F.floor(F.col("k") / 5))
+    ends = k.groupBy("g").agg(F.min("k").alias("low"), F.max("k").alias("high"))
+    s = lambda c: F.col(c).cast("string")
+    chain = k.join(ends, "g").where("k < high").select(s("k").alias("src"), (F.col("k") + 1).cast("string").alias("dst"))
+    return chain.unionByName(ends.where("g % 2 = 0").select(s("high").alias("src"), s("low").alias("dst")))
 
 
 @query(
-    f"""WITH {_GROUPS} SELECT CAST(k AS VARCHAR) AS name, g % 2 = 1 AND p = 0 AS entry, g % 2 = 1 AND p = 4 AS leaf, CASE WHEN g % 2 = 1 THEN CAST(p AS INTEGER) END AS depth, g % 2 = 0 AS in_cycle FROM g"""
+    f"""WITH {_GROUPS} SELECT CAST(k AS VARCHAR) AS name, g % 2 = 1 AND k = low AS entry, g % 2 = 1 AND k = high AS leaf,
+    CASE WHEN g % 2 = 1 THEN CAST(k - low AS INTEGER) END AS depth, g % 2 = 0 AS in_cycle FROM g WHERE g % 2 = 0 OR n > 1"""
 )
 def call_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chains of five functions, every second of them closed to a ring."""
-    k = _keys(spark, sf_dir)
-    top = k.agg((F.floor(F.max("k") / 5) * 5).alias("top"))
-    g = k.join(F.broadcast(top), F.col("k") < F.col("top")).where("k >= 5")  # one row
-    s = lambda c: c.cast("string")
-    chain = g.where("k % 5 < 4").select(s(F.col("k")).alias("src"), s(F.col("k") + 1).alias("dst"))
-    ring = g.where("k % 10 = 4").select(s(F.col("k")).alias("src"), s(F.col("k") - 4).alias("dst"))
-    return graph.call_graph_analysis(chain.unionByName(ring)).select("name", "entry", "leaf", "depth", "in_cycle")
+    return graph.call_graph_analysis(_chains_and_rings(spark, sf_dir)).select("name", "entry", "leaf", "depth", "in_cycle")
 
 
-@query(f"WITH {_GROUPS} SELECT count(*) AS functions, count(*) - count(DISTINCT g) + count(DISTINCT CASE WHEN g % 2 = 0 THEN g END) AS edges, 4 AS max_depth FROM g")
+@query(
+    f"""WITH {_GROUPS} SELECT count(*) AS functions, count(*) - count(DISTINCT CASE WHEN g % 2 = 1 THEN g END) AS edges, CAST(max(CASE WHEN g % 2 = 1 THEN k - low END) AS INTEGER) AS max_depth
+    FROM g WHERE g % 2 = 0 OR n > 1"""
+)
 def call_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = _keys(spark, sf_dir)
-    top = k.agg((F.floor(F.max("k") / 5) * 5).alias("top"))
-    g = k.join(F.broadcast(top), F.col("k") < F.col("top")).where("k >= 5")  # one row
-    s = lambda c: c.cast("string")
-    chain = g.where("k % 5 < 4").select(s(F.col("k")).alias("src"), s(F.col("k") + 1).alias("dst"))
-    ring = g.where("k % 10 = 4").select(s(F.col("k")).alias("src"), s(F.col("k") - 4).alias("dst"))
-    return graph.complexity(graph.call_graph_analysis(chain.unionByName(ring))).select("functions", "edges", "max_depth")
+    return graph.complexity(graph.call_graph_analysis(_chains_and_rings(spark, sf_dir))).select("functions", "edges", "max_depth")
+
+
+@query(f"WITH {_K}, n AS (SELECT max(k) AS top FROM k) SELECT 2 * k + i AS node, 2 * k AS component FROM k, (VALUES (0), (1)) AS i(i)")
+def chained_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cycle of two for each key, each leading to the next: as many strong components in a row as there are keys."""
+    k = _keys(spark, sf_dir).select((F.col("k") * 2).alias("a"), (F.col("k") * 2 + 1).alias("b"))
+    ring = k.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(k.select(F.col("b").alias("src"), F.col("a").alias("dst")))
+    return graph.strong_components(ring.unionByName(k.select(F.col("b").alias("src"), (F.col("b") + 1).alias("dst")))).select("node", "component")
 
 
 @query(f"WITH {_K} SELECT 'f' || k || '.py' AS file FROM k WHERE k % 2 = 0")

@@ -272,5 +272,9 @@ def test_one_parse_for_all_tree_patterns(spark):
 
 
 def test_rule_times(spark):
-    files = corpus.from_strings(spark, {"x": "foo\nfoo"})
-    assert [(r.rule_id, r.findings) for r in engine.rule_times(files, RuleSet([Rule("a", TextRegex("foo")), Rule("b", TextRegex("z"))])).collect()] == [("a", 2), ("b", 0)]
+    files = corpus.from_strings(spark, {"x": "foo\nfoo", "y.py": "foo(bar)"})
+    rules = RuleSet([Rule("a", TextRegex("foo")), Rule("b", TextRegex("z"), languages=("python",)), Rule("c", TextRegexMulti((Scan("o+"),))), Rule("q", AstQuery("Call"))])
+    spent = engine.rule_times(files, rules)
+    assert {(r.rule_id, r.file): r.matches for r in spent.collect()} == {("a", "x"): 2, ("a", "y.py"): 1, ("b", "y.py"): 0, ("c", "x"): 2, ("c", "y.py"): 1}
+    assert {r.rule_id: r.matches for r in engine.times_by(spent).collect()} == {"a": 3, "b": 0, "c": 3}
+    assert all(r.seconds >= 0 for r in engine.times_by(spent, "file").collect())
