@@ -179,12 +179,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = cut(gone.groupBy("id", "th").agg(F.collect_set("pos").alias("gone")), "gone-lines")
 
     t = F.col(text_col)
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.xxhash64(t).alias("th"), t.alias("t"))
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.xxhash64(t).alias("th"), F.split(t, "\n").alias("parts"))
     g = gone.select(F.col("id").alias("gid"), F.col("th").alias("gth"), "gone").hint("shuffle_hash")
     out = inner.join(g, F.col("id").eqNullSafe(F.col("gid")) & (F.col("th") == F.col("gth")), "left")
-    parts = F.split("t", "\n")
-    stay = F.filter(parts, lambda x, i: ~F.array_contains("gone", i))
-    text = F.when(F.col("gone").isNull(), F.col("t")).otherwise(F.array_join(stay, "\n"))
+    # Places that stay are told by a hash set, and lines are fetched by their places: linear in the lines.
+    places = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone"))
+    stay = F.transform(places, lambda i: F.get(F.col("parts"), i))
+    own = F.col("row").getField(text_col)
+    text = F.when(F.col("gone").isNull(), own).otherwise(F.array_join(stay, "\n"))
     cols = [text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns]
-    total = F.when(F.col("t").isNull(), 0).otherwise(F.size(parts)).cast("long")
+    total = F.when(F.col("parts").isNull(), 0).otherwise(F.size("parts")).cast("long")
     return out.select(*cols, total.alias(n_lines), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias(n_dropped))

@@ -108,3 +108,14 @@ def test_columns_named_like_the_numbers(spark):
     assert out.columns == [*df.columns, "n_lines_", "n_dropped_"]
     assert {(r.n_lines, r.N_DROPPED) for r in out.collect()} == {("n_lines", "N_DROPPED")}
     assert out.where("n_dropped_ > 0").count() >= 3
+
+
+def test_very_many_dropped_lines_of_one_text(spark):
+    import time
+
+    lines = [f"a line that comes again and again, number {i % 7}" if i % 2 else f"line {i} alone with {i * 7919 % 100003}" for i in range(40_000)]
+    df = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    began = time.perf_counter()
+    r = L.line_dedup(df).first()
+    assert time.perf_counter() - began < 300
+    assert r.n_lines == 40_000 and r.n_dropped >= 19_990 and len(r.text.split("\n")) == r.n_lines - r.n_dropped
