@@ -19,6 +19,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sieveflow.functions.durable import exists
@@ -57,26 +58,16 @@ RULES = BASE + MORE
 VERSION = "1"
 
 
-def spans_of(text: Column, rule: Rule, order: int) -> Column:
-    """array<struct<start, kind_order, end, kind>> of the rule's matches, by start.
+def pieces_of(text: Column, rule: Rule, order: int) -> Column:
+    """array<struct<kind_order, at, gap, size, kept>>: each match of the rule with the gap before it, in order.
 
-    A first look with ``rlike`` spares texts without any match the offsets.
+    A first look with ``rlike`` spares texts without any match the rest.
     """
-    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    pieces = F.split(text, rule.pattern, -1)
-    both = F.arrays_zip(F.transform(pieces, F.length).alias("gap"), F.transform(found, lambda m: m).alias("m"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind_order:int,end:int,kind:string>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + F.coalesce(F.length(x["m"]), F.lit(0))
-        value = F.regexp_extract(x["m"], rule.value, 1) if rule.value else x["m"]
-        span = F.struct(begin.alias("start"), F.lit(order).alias("kind_order"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        kept = x["m"].isNotNull() & (F.length(value) >= rule.least)
-        return F.struct(end.alias("at"), F.when(kept, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
-
-    spans = F.aggregate(both, start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(rule.pattern), spans).otherwise(F.array().cast("array<struct<start:int,kind_order:int,end:int,kind:string>>"))
+    gaps, found = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+    value = (lambda m: F.regexp_extract(m, rule.value, 1)) if rule.value else (lambda m: m)
+    both = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("size"), (F.length(value(m)) >= rule.least).alias("kept")))
+    numbered = F.transform(both, lambda x, i: F.struct(F.lit(order).alias("kind_order"), i.alias("at"), x["gap"].alias("gap"), x["size"].alias("size"), x["kept"].alias("kept")))
+    return F.when(text.rlike(rule.pattern), numbered).otherwise(F.array().cast("array<struct<kind_order:int,at:int,gap:int,size:int,kept:boolean>>"))
 
 
 def listed(spans: Column) -> Column:
@@ -84,14 +75,23 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def scan(texts: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``texts`` with spans (all, sorted) and base (those of base rules, sorted)."""
+def scan(texts: DataFrame, key: str = "blob", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """key, base (spans of base rules, sorted) and spans (all, sorted) of texts in which a rule matches; equal keys have equal texts.
+
+    Only the lengths of gaps and matches leave the text. They are summed up along it by a window, so a text's work is
+    that of sorting its matches, however many there are.
+    """
     t = F.col(text_col)
-    each = {r.kind: spans_of(t, r, i) for i, r in enumerate(rules)}
-    out = texts.withColumns({f"_{k}": v for k, v in each.items()})
-    base = F.array_sort(F.concat(*[F.col(f"_{r.kind}") for r in rules if r.base]))
-    every = F.array_sort(F.concat(*[F.col(f"_{r.kind}") for r in rules]))
-    return out.withColumns({"base": base, "spans": every}).drop(*[f"_{k}" for k in each])
+    every = F.concat(*[pieces_of(t, r, i) for i, r in enumerate(rules)])
+    rows = texts.select(F.col(key).alias("blob"), F.monotonically_increasing_id().alias("row"), every.alias("p"))
+    rows = rows.select("blob", "row", F.inline("p"))
+    along = W.partitionBy("row", "kind_order").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ends = rows.withColumn("end", F.sum(F.col("gap") + F.coalesce("size", F.lit(0))).over(along).cast("int")).where("kept")
+    kinds = F.element_at(F.array(*[F.lit(r.kind) for r in rules]), F.col("kind_order") + 1)
+    span = F.struct((F.col("end") - F.col("size")).alias("start"), "kind_order", "end", kinds.alias("kind"))
+    found = ends.groupBy("blob").agg(F.array_sort(F.collect_set(span)).alias("spans"))
+    is_base = [i for i, r in enumerate(rules) if r.base]
+    return found.select(F.col("blob").alias(key), F.filter("spans", lambda x: x["kind_order"].isin(is_base)).alias("base"), "spans")
 
 
 LEDGER = "blob string, rule_version string, base array<struct<start:int,kind_order:int,end:int,kind:string>>, spans array<struct<start:int,kind_order:int,end:int,kind:string>>"
@@ -128,14 +128,17 @@ def secret_scan(versions: DataFrame, ledger: str | None = None, path_col: str =
     unseen = cut(unseen, "unseen")
     entry = lambda df: df.groupBy("blob").agg(F.first("base").alias("base"), F.first("spans").alias("spans"))
     if not unseen.isEmpty():
-        scanned = scan(unscanned(v, digests, unseen, bound), "text", rules).select("blob", "base", "spans")
-        # Rows repeated with path and all leave one entry.
-        entry(scanned).select("blob", F.lit(rule_version).alias("rule_version"), "base", "spans").write.mode("append").parquet(ledger)
+        scanned = scan(unscanned(v, digests, unseen, bound), "blob", "text", rules)
+        # Blobs in which nothing was found are entries too.
+        noted = unseen.select("blob").join(scanned, "blob", "left").select("blob", F.lit(rule_version).alias("rule_version"), _or_none("base"), _or_none("spans"))
+        noted.write.mode("append").parquet(ledger)
     found = spark.read.schema(LEDGER).parquet(ledger) if exists(spark, ledger) else known
     found = entry(found.where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)))
-    none = F.array().cast("array<struct<start:int,kind_order:int,end:int,kind:string>>")
-    back = digests.join(found, "blob", "left")
-    return back.select("path", "blob", F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"))
+    return digests.join(found, "blob", "left").select("path", "blob", _or_none("base"), _or_none("spans"))
+
+
+def _or_none(spans: str) -> Column:
+    return F.coalesce(spans, F.array().cast("array<struct<start:int,kind_order:int,end:int,kind:string>>")).alias(spans)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -97,3 +97,21 @@ def test_any_way_to_pick_the_new_texts_gives_the_same(spark):
 
 def test_empty(spark):
     assert X.digest(X.secret_scan(empty(spark))).collect() == []
+
+
+def test_very_many_matches_in_one_text(spark):
+    """32,000 matches of one text, and a copy of it: the work is that of sorting them."""
+    import time
+
+    text = " ".join(f"token=abcdef{i} é" for i in range(32_000))
+    df = spark.createDataFrame([(1, text), (2, text), (3, None)], "doc_id long, text string")
+    X.digest(X.secret_scan(df.where("doc_id = 3"))).collect()
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in X.digest(X.secret_scan(df)).collect()}
+    assert time.perf_counter() - began < 300
+    at, want = 0, []
+    for i in range(32_000):
+        word = f"token=abcdef{i}"
+        want.append(f"assign:{at}:{at + len(word)}")
+        at += len(word) + 3
+    assert got[1].n_assign == got[2].n_assign == 32_000 and got[1].spans == got[2].spans == ",".join(want) and got[3].spans == ""
