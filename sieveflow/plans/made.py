@@ -474,6 +474,23 @@ def interfile_taint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(files, Rule("i", m, interfile=True, languages=("python",)), Rule("o", m, languages=("python",)))
 
 
+@query(
+    f"""WITH {_K} SELECT '/p' || k || '/' || a AS src, '/p' || k || '/' || b AS dst FROM k,
+      (VALUES (0, 'index.php', 'lib/one.php'), (0, 'lib/one.php', 'two.php'), (1, 'index.php', 'src/Http/Home.php'), (1, 'src/Http/Home.php', 'src/part.php')) AS e(kind, a, b) WHERE k % 2 = kind"""
+)
+def php_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A project for each key: includes through two folders, or classes by their autoload prefix."""
+    first = (("index.php", "<?php require __DIR__ . '/lib' . \"/one.php\";"), ("lib/one.php", "<?php include dirname(__DIR__) . '/two.php';"), ("two.php", "<?php include $x;"))
+    second = (
+        ("composer.json", '{{"autoload": {{"psr-4": {{"App{k}\\\\": "src/"}}}}}}'), ("index.php", "<?php\nuse App{k}\\Http\\Home;\n"),
+        ("src/Http/Home.php", "<?php include '../part.php';"), ("src/part.php", "<?php use Nothing;"),
+    )
+    made = lambda fs: F.array(*[F.struct(_text("/p{k}/" + p).alias("file_path"), _text(t.replace("{{", "{").replace("}}", "}")).alias("source")) for p, t in fs])
+    rows = _keys(spark, sf_dir).select(F.explode(F.when(F.col("k") % 2 == 0, made(first)).otherwise(made(second))).alias("f")).select("f.*")
+    files = corpus.files_of(rows.withColumn("file_type", corpus.detect_type("file_path")))
+    return project.php_includes(files).unionByName(project.class_files(files))
+
+
 _ARGS = (
     ("py", "def a{k}(x, y):\n    return g(y, [x, 1])\n\ndef b{k}(p, q):\n    r = a{k}(p, h({k}, q))\n    return r\n"),
     ("js", "function a{k}(x, y) {\n  return g(y, [x, 1]);\n}\nfunction b{k}(p, q) {\n  const r = a{k}(p, h({k}, q));\n  return r;\n}\n"),

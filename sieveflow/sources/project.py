@@ -57,11 +57,59 @@ def symbol_roots(symbols: DataFrame) -> DataFrame:
     return r.select(at("name", 0).alias("file_path"), at("name", 1).alias("name"), at("root", 1).alias("root"))
 
 
-def include_closure(nodes: DataFrame, start: DataFrame) -> DataFrame:
-    """Files (node) reached from ``start`` over PHP includes; paths are relative to the including file."""
-    inc = nodes.where((F.col("kind") == "php") & F.col("path").startswith("import."))
-    name = F.regexp_replace("path", r"^import\.", "")
-    folder = F.regexp_replace("file_path", "[^/]*$", "")
-    target = F.when(name.startswith("/"), name).otherwise(F.concat(folder, name))
-    edges = inc.select(F.col("file_path").alias("src"), normalise_path(target).alias("dst"))
-    return reach(edges, start)
+def php_includes(files: DataFrame) -> DataFrame:
+    """src, dst: files that PHP files include. Concatenations of literals, ``__DIR__``, ``dirname(__FILE__)`` and ``dirname(__DIR__)`` are folded.
+
+    A path that doesn't start at the root is relative to the including file. What is left with a variable is no path.
+    """
+    php = files.where("file_type = 'php'").select(F.col("file_path").alias("src"), "source")
+    said = php.select("src", F.explode(F.regexp_extract_all("source", F.lit(r"(?m)(?<![\w$>:])(?:include|require)(?:_once)?\b\s*([^;?]+)"), F.lit(1))).alias("said"))
+    folder = F.regexp_replace("src", "/?[^/]*$", "")
+    above = F.regexp_replace(folder, "/?[^/]*$", "")
+    quoted = lambda c: F.concat(F.lit("'"), F.regexp_replace(c, r"([\\$])", r"\\$1"), F.lit("'"))
+    x = F.regexp_replace(F.trim("said"), '"([^"$]*)"', "'$1'")
+    for rx, put in ((r"dirname\(\s*__DIR__\s*\)", above), (r"dirname\(\s*__FILE__\s*,\s*2\s*\)", above), (r"dirname\(\s*__FILE__\s*\)|__DIR__", folder)):
+        x = F.regexp_replace(x, F.lit(rx), quoted(put))
+    x = F.regexp_replace(x, r"'\s*\.\s*'", "")
+    x = F.regexp_extract(x, r"^\(?\s*'([^']*)'\s*\)?\s*$", 1)
+    found = said.select("src", x.alias("path"), folder.alias("folder")).where("path != ''")
+    absolute = F.col("path").startswith("/") | ((F.col("folder") != "") & F.col("path").startswith(F.concat("folder", F.lit("/")))) | (F.col("path") == F.col("folder"))
+    target = F.when(absolute, F.col("path")).when(F.col("folder") == "", F.col("path")).otherwise(F.concat("folder", F.lit("/"), "path"))
+    return found.select("src", normalise_path(target).alias("dst")).distinct()
+
+
+def autoload_prefixes(files: DataFrame) -> DataFrame:
+    """prefix (with its last backslash), folder: the psr-4 and psr-0 rules of composer.json files."""
+    config = files.where(F.col("file_path").rlike("(^|/)composer\\.json$"))
+    root = F.regexp_replace("file_path", "[^/]*$", "")
+    out = None
+    for section in ("autoload", "autoload-dev"):
+        # A prefix has one folder or a list of them.
+        text = F.get_json_object("source", f"$.{section}.psr-4") if section == "autoload" else F.get_json_object("source", "$['autoload-dev'].psr-4")
+        rules = config.select(root.alias("root"), F.explode(F.map_entries(F.from_json(text, "map<string,string>"))).alias("e"))
+        many = F.when(F.col("e.value").startswith("["), F.from_json("e.value", "array<string>")).otherwise(F.array("e.value"))
+        rules = rules.select("root", F.col("e.key").alias("prefix"), F.explode(many).alias("folder"))
+        rows = rules.select("prefix", normalise_path(F.concat("root", F.regexp_replace("folder", "/*$", ""))).alias("folder"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.distinct()
+
+
+def class_files(files: DataFrame) -> DataFrame:
+    """src, dst: files of the classes that PHP files use, by the longest autoload prefix whose file is there.
+
+    A class meets the prefixes by equality: it goes to the join once for each of its own beginnings.
+    """
+    php = files.where("file_type = 'php'").select(F.col("file_path").alias("src"), "source")
+    used = php.select("src", F.explode(F.regexp_extract_all("source", F.lit(r"(?m)^\s*use\s+\\?([A-Za-z_][\w\\]*)"), F.lit(1))).alias("name")).distinct()
+    steps = F.split("name", r"\\")
+    starts = F.transform(F.sequence(F.lit(0), F.size(steps) - 1), lambda n: F.when(n == 0, "").otherwise(F.concat(F.array_join(F.slice(steps, 1, n), "\\"), F.lit("\\"))))
+    each = used.select("src", "name", F.explode(starts).alias("prefix")).join(autoload_prefixes(files), "prefix")
+    rest = F.replace(F.expr("substring(name, length(prefix) + 1)"), F.lit("\\"), F.lit("/"))
+    where = each.select("src", "name", F.length("prefix").alias("n"), F.concat(F.col("folder"), F.lit("/"), rest, F.lit(".php")).alias("dst"))
+    there = where.join(files.select(F.col("file_path").alias("dst")), "dst", "left_semi")
+    return there.groupBy("src", "name").agg(F.max_by("dst", F.struct("n", "dst")).alias("dst")).select("src", "dst").distinct()
+
+
+def include_closure(files: DataFrame, start: DataFrame) -> DataFrame:
+    """Files (node) reached from ``start`` over PHP includes and autoloaded classes."""
+    return reach(php_includes(files).unionByName(class_files(files)).distinct(), start)

@@ -138,5 +138,27 @@ def test_project(spark):
     roots = project.symbol_roots(code.symbols(corpus.from_strings(spark, {"a.py": "a = f()\nb = a\nc = b\n"}))).collect()
     assert {(r.name, r.root) for r in roots} == {("b", "a"), ("c", "a")}
     php = corpus.from_strings(spark, {"/w/a.php": "<?php include 'lib/b.php';", "/w/lib/b.php": "<?php require '../c.php';", "/w/c.php": "<?php"})
-    got = project.include_closure(readers.nodes(php), spark.createDataFrame([("/w/a.php",)], "node string")).collect()
+    got = project.include_closure(php, spark.createDataFrame([("/w/a.php",)], "node string")).collect()
     assert {r.node for r in got} == {"/w/a.php", "/w/lib/b.php", "/w/c.php"}
+
+
+def test_php_includes_are_folded(spark):
+    src = {
+        "/w/app/a.php": "<?php\nrequire_once __DIR__ . '/sub' . \"/b.php\";\ninclude(dirname(__FILE__) . '/../c.php');\nrequire dirname(__DIR__) . '/d.php';\ninclude $x . '/no.php';\ninclude 'e.php';\n$y->include('f.php');\n",
+        "top.php": "<?php include __DIR__ . '/x/y.php'; include 'z.php';",
+    }
+    got = {(r.src, r.dst) for r in project.php_includes(corpus.from_strings(spark, src)).collect()}
+    assert got == {("/w/app/a.php", f"/w/{x}.php") for x in ("app/sub/b", "c", "d", "app/e")} | {("top.php", "/x/y.php"), ("top.php", "z.php")}
+
+
+def test_classes_by_their_longest_prefix(spark):
+    src = {
+        "/w/composer.json": '{"autoload": {"psr-4": {"App\\\\": "src/", "App\\\\Model\\\\": ["models", "more/"]}}, "autoload-dev": {"psr-4": {"Tests\\\\": "tests"}}}',
+        "/w/index.php": "<?php\nuse App\\Model\\User;\nuse App\\Http\\Home as H;\nuse \\Tests\\Base;\nuse App\\Model\\Deep\\Thing;\nuse Other\\Name;\nuse App\\Gone;\n",
+        "/w/src/Model/User.php": "<?php", "/w/models/User.php": "<?php", "/w/src/Http/Home.php": "<?php include '../part.php';", "/w/tests/Base.php": "<?php", "/w/more/Deep/Thing.php": "<?php", "/w/src/part.php": "<?php",
+    }
+    files = corpus.from_strings(spark, src)
+    assert {(r.prefix, r.folder) for r in project.autoload_prefixes(files).collect()} == {("App\\", "/w/src"), ("App\\Model\\", "/w/models"), ("App\\Model\\", "/w/more"), ("Tests\\", "/w/tests")}
+    assert {r.dst for r in project.class_files(files).collect()} == {"/w/models/User.php", "/w/src/Http/Home.php", "/w/tests/Base.php", "/w/more/Deep/Thing.php"}
+    got = project.include_closure(files, spark.createDataFrame([("/w/index.php",)], "node string"))
+    assert {r.node for r in got.collect()} == {"/w/index.php", "/w/models/User.php", "/w/src/Http/Home.php", "/w/tests/Base.php", "/w/more/Deep/Thing.php", "/w/src/part.php"}
