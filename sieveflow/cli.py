@@ -34,6 +34,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("path")
     s.add_argument("--rules", action="append", required=True)
     s.add_argument("--format", choices=("text", "json", "sarif"), default="text")
+    s.add_argument("--report-dir", metavar="FOLDER", help="write a JSON or SARIF report there in parts, whatever its size, and print none")
     s.add_argument("--fail-on")
     s.add_argument("--threads", type=positive, default=os.cpu_count())
     s.add_argument("--exclude", default="")
@@ -94,7 +95,10 @@ def scan(a: argparse.Namespace, spark: SparkSession) -> int:
         found = engine.analyze(
             files, engine.prune(files, rules), baseline=baseline, cache=a.cache_dir, aliases=not a.no_aliases, failed=failed if a.errors else None, time_limit=limit
         ).cache()
-    print(report.report(found, a.format, {"files": files.count(), "rules": len(rules.rules)} if a.format == "text" else None))
+    if a.report_dir:
+        report.write_report(found, a.report_dir, a.format)
+    else:
+        print(report.report(found, a.format, {"files": files.count(), "rules": len(rules.rules)} if a.format == "text" else None))
     if a.write_baseline:
         with open(a.write_baseline, "w", encoding="utf-8") as f:
             json.dump([r.asDict() for r in found.select("id", "file", "line").distinct().collect()], f, indent=2)

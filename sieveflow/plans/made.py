@@ -299,14 +299,21 @@ def rules_of_taint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.analyze(files, RuleSet(load.yaml_rules(_TAINT_RULE))).select("rule_id", "file", "line")
 
 
-@query("SELECT * FROM (VALUES ('a.yaml', 'unknown severity'), ('c.yaml', 'duplicate rule id')) AS t(file, error)")
+@query(
+    f"""WITH {_K} SELECT 'r' || k || CASE WHEN k % 4 = 3 THEN '.json' ELSE '.yaml' END AS file,
+    CASE k % 4 WHEN 0 THEN 'unknown severity' WHEN 1 THEN 'duplicate rule id: same' ELSE 'has no id' END AS error
+    FROM k WHERE k % 4 = 0 OR k % 4 = 3 OR k % 4 = 1 AND 'r' || k || '.yaml' <> (SELECT min('r' || k || '.yaml') FROM k WHERE k % 4 = 1)"""
+)
 def rule_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    with tempfile.TemporaryDirectory() as folder:
-        for name, body in (("a.yaml", "id: a\nseverity: BOGUS\npattern: x\n"), ("b.yaml", "id: b\npattern: x\n"), ("c.yaml", "id: b\npattern: y\n")):
-            with open(os.path.join(folder, name), "w", encoding="utf-8") as f:
-                f.write(body)
-        found = [(os.path.basename(f), "unknown severity" if "unknown severity" in e else e.partition(":")[0]) for f, e in load.verify(folder)]
-    return spark.createDataFrame(found, "file string, error string")
+    """A rule document for each key: a wrong severity, an id that others have, a sound one, and one without an id."""
+    kinds = ("id: a{k}\nseverity: BOGUS\npattern: x\n", "id: same\npattern: x\n", "id: b{k}\npattern: x\n", '[{"pattern": "x{k}"}]')
+    body = _text(kinds[3])
+    for i in range(3):
+        body = F.when(F.col("k") % 4 == i, _text(kinds[i])).otherwise(body)
+    name = F.when(F.col("k") % 4 == 3, _text("r{k}.json")).otherwise(_text("r{k}.yaml"))
+    said = load.verify_table(_keys(spark, sf_dir).select(name.alias("file"), body.alias("text")))
+    short = F.when(F.col("error").contains("unknown severity"), "unknown severity").when(F.col("error").startswith("duplicate"), F.col("error")).otherwise("has no id")
+    return said.select("file", short.alias("error"))
 
 
 @query("SELECT DISTINCT r AS id FROM documents, (VALUES ('any', NULL), ('en', 'en'), ('cobol', 'cobol')) AS x(r, l) WHERE l IS NULL OR l = lang")
@@ -404,11 +411,17 @@ def metrics_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_K} SELECT count(*) AS total, count(*) AS listed, false AS fails_on_high, true AS fails_on_low FROM k")
 def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report written by all tasks, read back line by line: all but the last finding end in a comma."""
     found = engine.analyze(_files(spark, sf_dir, "f{k}.txt", "a {k}"), RuleSet([Rule("a", TextRegex("a"), "LOW")]))
-    j = report.json_frame(found)
-    listed = F.size(F.from_json(F.get_json_object("report", "$.findings"), "array<struct<id: string>>")).cast("long")
+    folder = fresh_path(spark, "report")
+    report.write_report(found, folder, "json")
+    lines = spark.read.text(f"{folder}/1-findings")
+    ids = F.from_json(F.regexp_replace("value", ",$", ""), "id string")
+    listed = lines.agg(F.countDistinct(ids["id"]).alias("listed"), F.sum((~F.col("value").endswith(",")).cast("int")).alias("ends"))
+    total = spark.read.text(f"{folder}/2-tail").select(F.regexp_extract("value", r"\d+", 0).cast("long").alias("total"))
     high, low = post.fails_on(found, "high"), post.fails_on(found, "low")
-    return j.select(F.get_json_object("report", "$.total").cast("long").alias("total"), listed.alias("listed"), F.lit(high).alias("fails_on_high"), F.lit(low).alias("fails_on_low"))
+    one = total.join(F.broadcast(listed), F.col("ends") == 1)  # one row each
+    return one.select("total", "listed", F.lit(high).alias("fails_on_high"), F.lit(low).alias("fails_on_low"))
 
 
 @query(f"WITH {_K} SELECT 'p' AS rule_id, 'f' || k || '.txt' AS file FROM k WHERE k % 3 <> 0 UNION ALL SELECT 'a', 'f' || k || '.txt' FROM k WHERE k % 2 = 0 AND k % 3 <> 0")

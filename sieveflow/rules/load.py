@@ -1,13 +1,19 @@
-"""Rule documents (YAML in two dialects, JSON) to rules. Runs on the driver: rules are few."""
+"""Rule documents (YAML in two dialects, JSON) to rules. Runs on the driver, as rules are few; tables of documents are verified where they are."""
 
 from __future__ import annotations
 
 import json
 import os
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sieveflow.functions.durable import cut
 from sieveflow.schemas import parse_severity
 from sieveflow.sources.readers import canonical
 
@@ -301,3 +307,27 @@ def verify(path: str) -> list[tuple[str, str]]:
         except Exception as e:  # noqa: BLE001
             errors.append((f, str(e)))
     return errors
+
+
+def verify_table(documents: DataFrame) -> DataFrame:
+    """file, error of a table (file, text) of rule documents in YAML or JSON: what doesn't load, and ids that an earlier document has.
+
+    Documents are read where they are; ids meet by a shuffle, and the first document of each is found by a minimum.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for file, text in zip(b.file, b.text, strict=True):
+                try:
+                    found = json_rules(json.loads(text or ""), file) if file.lower().endswith(".json") else yaml_rules(text or "", file)
+                    rows += [(file, r, None) for r in dict.fromkeys(x.id for x in found)]
+                except Exception as e:  # noqa: BLE001  whatever keeps a document from loading is told
+                    rows.append((file, None, str(e)))
+            yield pd.DataFrame(rows, columns=["file", "rule_id", "error"])
+
+    read = documents.select("file", "text").mapInPandas(run, "file string, rule_id string, error string")
+    read = cut(read, "rule-documents")
+    first = read.where("rule_id is not null").groupBy("rule_id").agg(F.min("file").alias("first"))
+    twice = read.join(first, "rule_id").where("file != first").select("file", F.concat(F.lit("duplicate rule id: "), "rule_id").alias("error"))
+    return read.where("error is not null").select("file", "error").unionByName(twice)

@@ -1,12 +1,15 @@
-"""Reports of findings: text, JSON and SARIF. Findings come to the driver in order, as a report is for reading."""
+"""Reports of findings: text, JSON and SARIF.
+
+A report as one text comes to the driver in order, as it is for reading; :func:`write_report` writes one of any size by tasks."""
 
 from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sieveflow.functions.durable import cut
 from sieveflow.functions.scalar import sarif_level
 
 FIELDS = ("id", "rule_id", "rule_file", "severity", "file", "line", "column", "excerpt", "message", "remediation", "fix")
@@ -31,10 +34,43 @@ def json_report(findings: DataFrame) -> str:
     return json.dumps({"findings": found, "total": len(found)}, indent=2, ensure_ascii=False)
 
 
-def json_frame(findings: DataFrame) -> DataFrame:
-    """The JSON report as a one-row table, made by Spark."""
-    each = F.struct(*[c for c in FIELDS if c in findings.columns])
-    return findings.agg(F.to_json(F.struct(F.array_sort(F.collect_list(each)).alias("findings"), F.count("*").alias("total"))).alias("report"))
+def write_report(findings: DataFrame, folder: str, fmt: str = "json") -> None:
+    """A JSON or SARIF report of any size, written by all tasks: the files of ``folder`` one after the other, in the order of their paths, are the report.
+
+    Findings are sorted over range partitions and each is a line of its own; all but the last of the order end in a comma.
+    """
+    spark = findings.sparkSession
+    if fmt == "json":
+        head, tail, each = ['{"findings": ['], ['], "total": %d}'], _json_line()
+    elif fmt == "sarif":
+        tool = json.dumps({"driver": {"name": TOOL}})
+        head, tail, each = [f'{{"version": "2.1.0", "$schema": "{SARIF_SCHEMA}", "runs": [{{"tool": {tool}, "results": ['], ["]}]}"], _sarif_line()
+    else:
+        raise ValueError(f"unknown format: {fmt}")
+    keys = [c for c in ("file", "ord", "line", "column", "id") if c in findings.columns]
+    place = F.struct(*keys)
+    found = cut(findings.select(*keys, place.alias("place"), each.alias("text")), "report")
+    n, last = found.agg(F.count("*"), F.max("place")).first()
+    write = lambda rows, name: spark.createDataFrame([(r,) for r in rows], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{name}")
+    write(head, "0-head")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    comma = F.lit("") if last is None else F.when(place == F.struct(*[F.lit(last[c]).cast(found.schema[c].dataType).alias(c) for c in keys]), "").otherwise(",")
+    rows_ = found.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    rows_.select(F.concat("text", comma).alias("value")).write.mode("overwrite").text(f"{folder}/1-findings")
+    write([t % n if "%d" in t else t for t in tail], "2-tail")
+
+
+def _json_line() -> Column:
+    """A finding as JSON; without a fix it has no such key."""
+    keep = {"ignoreNullFields": "false"}
+    without = [c for c in FIELDS if c != "fix"]
+    return F.when(F.col("fix").isNull(), F.to_json(F.struct(*without), keep)).otherwise(F.to_json(F.struct(*FIELDS), keep))
+
+
+def _sarif_line() -> Column:
+    region = F.struct(F.col("line").alias("startLine"), F.col("column").alias("startColumn"))
+    location = F.struct(F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
+    return F.to_json(F.struct(F.col("rule_id").alias("ruleId"), sarif_level().alias("level"), F.struct(F.col("message").alias("text")).alias("message"), F.array(location).alias("locations")))
 
 
 def sarif_rows(findings: DataFrame) -> DataFrame:

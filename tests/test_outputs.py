@@ -31,7 +31,21 @@ def test_reports(findings):
     assert t.startswith("+") and "| files: 2 |" in t and t.endswith("Total: 3") and "  > ok é" in t
     with pytest.raises(ValueError):
         report.report(findings, "xml")
-    assert json.loads(report.json_frame(findings).first().report)["total"] == 3
+
+
+def test_reports_written_in_parts(findings, tmp_path):
+    import glob
+
+    def whole(found, fmt):
+        folder = str(tmp_path / f"{fmt}-{found.count()}")
+        report.write_report(found, folder, fmt)
+        return json.loads("\n".join(open(f, encoding="utf-8").read() for f in sorted(glob.glob(f"{folder}/*/part-*"))))
+
+    for found in (findings, findings.limit(1), findings.limit(0)):
+        assert whole(found, "json") == json.loads(report.report(found, "json"))
+        assert whole(found, "sarif") == json.loads(report.report(found, "sarif"))
+    with pytest.raises(ValueError):
+        report.write_report(findings, str(tmp_path / "x"), "xml")
 
 
 def test_metrics_and_errors(spark, findings, tmp_path):
