@@ -389,9 +389,56 @@ def stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _of_nation(post.findings_of(spark.read.schema(hits.schema).parquet(out), _STREAM))
 
 
+@query("SELECT 'key' AS rule_id, CAST(n_nationkey AS BIGINT) AS n, 2 AS line FROM nation WHERE n_nationkey % 3 <> 0 AND n_nationkey % 5 <> 1")
+def stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of four files each, run twice: without suppressed lines, without what a baseline knows, each finding once in the folder itself."""
+    folder, out, state, known = (fresh_path(spark, x) for x in ("folder", "out", "state", "baseline"))
+    mark = F.when(F.col("n_nationkey") % 3 == 0, " sast-ignore").otherwise("")
+    n = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("n"), F.concat(F.lit("nation\nkey "), F.col("n_nationkey").cast("string"), mark).alias("value"))
+    n.repartition(1).write.partitionBy("n").text(folder)
+    rules = RuleSet([Rule("key", TextRegex("^key [0-9]+"), "LOW")])
+    before = corpus.load_corpus(spark, folder).where(F.regexp_extract("file_path", r"/n=(\d+)/", 1).cast("long") % 5 == 1)
+    post.write_baseline(engine.analyze(before, rules), known)
+    for _ in range(2):
+        files = stream.file_stream(spark, folder, files_a_batch=4)
+        stream.analyze_stream(files, rules, out, state, baseline=post.read_baseline(spark, known)).awaitTermination()
+    return _of_nation(spark.read.parquet(out))
+
+
 # After matching
 
 
+@query(f"WITH {_K} SELECT 'f' || k || '.txt' AS file, CAST(1 + k % 2 AS INTEGER) AS line FROM k WHERE k % 3 <> 0")
+def baseline_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of a third of the files are written as a baseline and read back; the others are left."""
+    files, path = _files(spark, sf_dir, "f{k}.txt", "hit {k}\n", "\nhit {k}\n"), fresh_path(spark, "baseline")
+    rules = RuleSet([Rule("a", TextRegex("^hit"))])
+    known = files.where(F.regexp_extract("file_path", r"\d+", 0).cast("long") % 3 == 0)
+    post.write_baseline(engine.analyze(known, rules), path)
+    return engine.analyze(files, rules, baseline=post.read_baseline(spark, path)).select("file", "line")
+
+
+@query(f"WITH {_K} SELECT 'f' || k || '.txt' AS file FROM k WHERE k % 3 = 1")
+def cache_forgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of a cache whose files are still there."""
+    files, rules, cache = _files(spark, sf_dir, "f{k}.txt", "a {k}"), RuleSet([Rule("a", TextRegex("a"))]), fresh_path(spark, "cache")
+    engine.analyze(files, rules, cache=cache)
+    left = files.where(F.regexp_extract("file_path", r"\d+", 0).cast("long") % 3 == 1)
+    return engine.C.forget_missing(spark, cache, left, rules).select("file")
+
+
+@query(
+    f"""WITH {_K} SELECT r AS rule_id, 'f' || k || '.txt' AS file, CAST(CASE r WHEN 'lines' THEN 2 WHEN 'places' THEN 3 ELSE 1 + k % 2 END AS BIGINT) AS matches
+    FROM k, (VALUES ('lines'), ('places'), ('named')) AS x(r)"""
+)
+def times_of_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One job measures each rule over each file and counts what it marks."""
+    rules = RuleSet([
+        Rule("lines", TextRegex("hit")), Rule("places", TextRegexMulti((Scan("hit"),))), Rule("named", Taint((TaintPattern((Scan("(hit)[0-9]+"),), (1,)),), (TaintPattern((Scan("nothing"),)),))),
+    ])
+    return engine.rule_times(_files(spark, sf_dir, "f{k}.txt", "hit hit\nhit{k}\n", "hit1 hit\nhit{k}\n"), rules).select("rule_id", "file", "matches")
+
+
 @query(f"WITH {_K} SELECT 'f' || k || '.txt' AS file, CASE WHEN k % 2 = 0 THEN 'é new(' || k || ') ok' ELSE 'é old(' || k || ') ok' END AS fixed, CAST(k % 2 = 0 AS INTEGER) AS applied, CAST(k % 2 = 1 AS INTEGER) AS skipped FROM k")
 def fix_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fix takes over what is in the parentheses; one whose text isn't where it was found is skipped."""
