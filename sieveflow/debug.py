@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveflow.functions.durable import shuffled
 from sieveflow.operators import graph, tree
 from sieveflow.rules.model import Rule
 from sieveflow.sources import code, corpus
@@ -59,7 +60,7 @@ def likely_taint(files: DataFrame) -> DataFrame:
     a = named.where(F.col("name").isin(*LIKELY_SOURCES)).withColumnRenamed("name", "source")
     b = named.where(F.col("name").isin(*LIKELY_SINKS)).withColumnRenamed("name", "sink")
     severity = F.when(F.col("sink").isin("eval", "exec", "system", "popen", "execute"), "HIGH").otherwise("MEDIUM")
-    return a.join(b, "file_path").select("file_path", "source", "sink", severity.alias("severity"))
+    return a.join(shuffled(b), "file_path").select("file_path", "source", "sink", severity.alias("severity"))
 
 
 class Timeline:

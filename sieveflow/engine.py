@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveflow.functions.durable import cut
+from sieveflow.functions.durable import cut, shuffled
 from sieveflow.operators import cache as C
 from sieveflow.operators import calls, graph, jsonpath, policy, post, taint, text, tree
 from sieveflow.rules.model import AstPattern, AstQuery, JsonPathEq, JsonPathRegex, Policy, Rule, RuleSet, Taint, TextRegex, TextRegexMulti
@@ -36,7 +36,7 @@ class Tables:
 
     @property
     def typed_nodes(self) -> DataFrame:
-        return self.nodes.join(self.files.select("file_path", "file_type"), "file_path")
+        return self.nodes.join(shuffled(self.files.select("file_path", "file_type")), "file_path")
 
     @property
     def tree(self) -> DataFrame:
@@ -87,11 +87,11 @@ def hits(t: Tables, rules: RuleSet, aliases: bool = True, failed: list[DataFrame
         # Only PHP sinks are also joined by the names that a symbol leads to.
         php = any(r.applies("php") for _, r in found)
         of_php = t.files.where("file_type = 'php'").select("file_path")
-        direct = graph.flows_to_names(*(x.join(of_php, "file_path", "left_semi") for x in (points, edges, symbols))) if php else None
+        direct = graph.flows_to_names(*(x.join(shuffled(of_php), "file_path", "left_semi") for x in (points, edges, symbols))) if php else None
         captures = sound(taint.taint_captures(t.files, found, time_limit))
         got = taint.taint_hits(captures, symbols, paths, direct)
         if any(r.interfile for _, r in found):
-            got = got.unionByName(taint.interfile_hits(captures, calls.passes(cut(calls.parts(t.files, t.tree), "call-parts")), found))
+            got = got.unionByName(taint.interfile_hits(captures, calls.passes(calls.parts(t.files, t.tree)), found))
         if gate and named(rules):
             got = gated(got, rules, graph.call_edges(t.tree, corpus.lines(t.files)))
         parts.append(got)

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveflow.functions.batches import in_pieces
+from sieveflow.functions.durable import cut, shuffled
 from sieveflow.sources.code import FUNCTION
 
 from .graph import reach
@@ -163,24 +165,36 @@ def _chars(source: str, start: int, n_bytes: int) -> int:
     return len(line.decode("utf-8", "ignore"))
 
 
+def callers(marks: list[dict]) -> list[dict]:
+    """lo, line, column, caller: each call of a file with the nearest function around it, in one sweep over the file's intervals."""
+    stack: list[tuple[int, str]] = []
+    out = []
+    for m in sorted(marks, key=lambda m: (m["lo"], -m["hi"])):
+        while stack and stack[-1][0] < m["hi"]:
+            stack.pop()
+        if m["is_function"]:
+            stack.append((m["hi"], m["value"]))
+        else:
+            out.append({"lo": m["lo"], "line": m["line"], "column": m["column"], "caller": stack[-1][1] if stack else None})
+    return out
+
+
+def _marks(ast_nodes: DataFrame) -> DataFrame:
+    """file_path, marks: a file's calls and functions in one row, so that its tree is made and shuffled once."""
+    kept = ast_nodes.where(F.col("kind").isin(*CALL_KINDS) | F.col("kind").contains("Function"))
+    mark = F.struct("lo", "hi", "line", "column", F.col("kind").contains("Function").alias("is_function"), "value")
+    return kept.groupBy("file_path").agg(F.collect_list(mark).alias("marks"))
+
+
 def enclosing_functions(ast_nodes: DataFrame) -> DataFrame:
-    """file_path, lo, line, column, caller: each call with the nearest function around it, in one sweep over a file's intervals."""
-    rows = ast_nodes.where(F.col("kind").isin(*CALL_KINDS) | F.col("kind").contains("Function"))
-    rows = rows.select("file_path", "lo", "hi", "line", "column", F.col("kind").contains("Function").alias("is_function"), "value")
-
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        stack: list[tuple[int, str]] = []
-        out = []
-        for r in b.sort_values(["lo", "hi"], ascending=[True, False]).itertuples(index=False):
-            while stack and stack[-1][0] < r.hi:
-                stack.pop()
-            if r.is_function:
-                stack.append((r.hi, r.value))
-            else:
-                out.append((r.file_path, r.lo, r.line, r.column, stack[-1][1] if stack else None))
-        return pd.DataFrame(out, columns=["file_path", "lo", "line", "column", "caller"])
+    """file_path, lo, line, column, caller of all calls: see :func:`callers`."""
 
-    return rows.groupBy("file_path").applyInPandas(run, "file_path string, lo int, line int, column int, caller string")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(file, *c.values()) for file, marks in zip(b.file_path, b.marks, strict=True) for c in callers(marks)]
+            yield pd.DataFrame(rows, columns=["file_path", "lo", "line", "column", "caller"]).astype(object)
+
+    return in_pieces(_marks(ast_nodes), run, "file_path string, lo int, line int, column int, caller string")
 
 
 def parts(files: DataFrame, ast_nodes: DataFrame) -> DataFrame:
@@ -188,22 +202,18 @@ def parts(files: DataFrame, ast_nodes: DataFrame) -> DataFrame:
 
     A call has a row for each argument (one with null text if it has none), with the variable that it is assigned to.
     """
-    functions = ast_nodes.where(F.col("kind").contains("Function") & F.col("value").isNotNull()).groupBy("file_path").agg(
-        F.collect_list(F.struct(F.col("value").alias("name"), "line", "column")).alias("functions")
-    )
-    calls = enclosing_functions(ast_nodes).groupBy("file_path").agg(F.collect_list(F.struct("caller", "line", "column")).alias("calls"))
-    rows = files.select("file_path", "file_type", "source").join(functions, "file_path", "left").join(calls, "file_path", "left").where("functions is not null or calls is not null")
+    rows = files.select("file_path", "file_type", "source").join(shuffled(_marks(ast_nodes)), "file_path")
     names = ["what", "function", "position", "text", "line", "column", "callee", "target"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for file, kind, source, fs, cs in zip(b.file_path, b.file_type, b.source, b.functions, b.calls, strict=True):
-                got = _rows(file, kind, source or "", list(fs) if fs is not None else [], list(cs) if cs is not None else [])
-                out += [(file, *r) for r in got]
+            for file, kind, source, found in zip(b.file_path, b.file_type, b.source, b.marks, strict=True):
+                functions = [m for m in found if m["is_function"] and m["value"] is not None]
+                out += [(file, *r) for r in _rows(file, kind, source or "", [{"name": m["value"], **m} for m in functions], callers(found))]
             yield pd.DataFrame(out, columns=["file_path", *names]).astype(object).where(lambda x: x.notna(), None)
 
-    return rows.mapInPandas(run, "file_path string, what string, function string, position int, text string, line int, column int, callee string, target string")
+    return in_pieces(rows, run, "file_path string, what string, function string, position int, text string, line int, column int, callee string, target string", "source")
 
 
 def passes(found: DataFrame) -> DataFrame:
@@ -213,17 +223,18 @@ def passes(found: DataFrame) -> DataFrame:
     assigned to or is an argument of. Functions are told by their names' last part; a method's first parameter
     (self, cls) is no position of a call by a dotted name.
     """
+    found = cut(found, "call-parts")  # looked at seven times
     schema = "vars array<string>, called array<string>"
     names = F.pandas_udf(lambda s: pd.DataFrame([read_names(t or "") for t in s], columns=["vars", "called"]), schema)
     last = lambda c: F.element_at(F.split(c, r"\.|::|->"), -1)
     own = found.where("what = 'parameter'").select(F.col("function").alias("dst_function"), F.col("position").alias("place"), F.col("text").alias("dst"))
     bound = own.where("place = 0 and dst in ('self', 'cls', '&self', 'this')").select(F.col("dst_function").alias("method")).distinct()
-    own = own.join(bound, F.col("dst_function") == F.col("method"), "left").select(
+    own = own.join(shuffled(bound), F.col("dst_function") == F.col("method"), "left").select(
         "dst_function", "dst", (F.col("place") - F.col("method").isNotNull().cast("int")).alias("place")
     ).where("place >= 0 and dst != ''")
     calls = found.where("what = 'call'").withColumn("name", last("callee"))
     args = calls.where("text is not null").withColumn("n", names("text"))
-    to = args.join(own, (F.col("name") == F.col("dst_function")) & (F.col("position") == F.col("place")))
+    to = args.join(shuffled(own), (F.col("name") == F.col("dst_function")) & (F.col("position") == F.col("place")))
     direct = to.select(F.col("function").alias("src_function"), F.explode("n.vars").alias("src"), "dst_function", "dst")
     nested = to.select(F.explode("n.called").alias("c"), "dst_function", "dst").select(last("c").alias("src_function"), F.lit(RETURNED).alias("src"), "dst_function", "dst")
     back = found.where("what = 'return'").withColumn("n", names("text"))

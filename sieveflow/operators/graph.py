@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveflow.functions.durable import cut
+from sieveflow.functions.durable import cut, shuffled
 
 from .components import strong_components, weak_components
 
@@ -120,7 +120,7 @@ def branch_merge(states: DataFrame, branches: DataFrame, keys: list[str], name:
     ``states``: keys, name, branch, sanitized, def. ``branches``: keys, n_branches.
     """
     g = states.groupBy(*keys, name).agg(F.bool_and("sanitized").alias("all"), F.countDistinct("branch").alias("n"), F.array_sort(F.collect_set("def")).alias("defs"))
-    j = g.join(branches, keys)
+    j = g.join(shuffled(branches), keys)
     return j.select(*keys, name, (F.col("all") & (F.col("n") == F.col("n_branches"))).alias("sanitized"), "defs", (F.size("defs") >= 2).alias("merged"))
 
 
@@ -131,12 +131,11 @@ def call_edges(ast_nodes: DataFrame, lines: DataFrame) -> DataFrame:
 
 def file_call_edges(ast_nodes: DataFrame, lines: DataFrame) -> DataFrame:
     """file_path, src, dst: each call under its nearest enclosing function, the callee read from the call's line after its first ``=``."""
-    fn = ast_nodes.where(F.col("kind").contains("Function")).select(F.col("file_path").alias("ff"), F.col("lo").alias("flo"), F.col("hi").alias("fhi"), F.col("value").alias("src"))
-    calls = ast_nodes.where(F.col("kind").isin("Call", "CallExpression")).select("file_path", "lo", "hi", "line")
-    over = calls.join(fn, (F.col("file_path") == F.col("ff")) & (F.col("flo") < F.col("lo")) & (F.col("fhi") >= F.col("hi")))
-    near = over.groupBy("file_path", "lo", "line").agg(F.max_by("src", "flo").alias("src"))
+    from .calls import enclosing_functions
+
+    near = enclosing_functions(ast_nodes).select("file_path", "line", F.col("caller").alias("src")).where("src is not null").distinct()
     text = F.regexp_replace("text", r"^[^=]*=(?!=)", "")
-    j = near.join(lines.select("file_path", "line", "text"), ["file_path", "line"])
+    j = near.join(shuffled(lines.select("file_path", "line", "text")), ["file_path", "line"])
     callee = F.regexp_extract(text, r"([A-Za-z_][\w.:]*)\s*\(", 1)
     return j.select("file_path", "src", callee.alias("dst")).where("src is not null and dst != ''").distinct()
 
@@ -148,10 +147,10 @@ def call_graph_analysis(edges: DataFrame) -> DataFrame:
     out = e.groupBy(F.col("src").alias("name")).agg(F.array_sort(F.collect_set("dst")).alias("calls"))
     into = e.groupBy(F.col("dst").alias("name")).agg(F.array_sort(F.collect_set("src")).alias("called_by"))
     none = F.array().cast("array<string>")
-    t = names.join(out, "name", "left").join(into, "name", "left").select("name", F.coalesce("calls", none).alias("calls"), F.coalesce("called_by", none).alias("called_by"))
+    t = names.join(shuffled(out), "name", "left").join(shuffled(into), "name", "left").select("name", F.coalesce("calls", none).alias("calls"), F.coalesce("called_by", none).alias("called_by"))
     depth = reach(e, t.where("size(called_by) = 0").select(F.col("name").alias("node"))).select(F.col("node").alias("name"), "depth")
     cyclic = strong_components(e).select(F.col("node").alias("name"), F.lit(True).alias("c"))
-    t = t.join(depth, "name", "left").join(cyclic, "name", "left")
+    t = t.join(shuffled(depth), "name", "left").join(shuffled(cyclic), "name", "left")
     return t.select("name", "calls", "called_by", (F.size("called_by") == 0).alias("entry"), (F.size("calls") == 0).alias("leaf"), "depth", F.coalesce("c", F.lit(False)).alias("in_cycle"))
 
 
@@ -215,7 +214,7 @@ def taint_paths(dfg_nodes: DataFrame, dfg_edges: DataFrame, symbols: DataFrame)
     n = dfg_nodes.groupBy("file_path").agg(F.collect_list(F.struct("id", "name", "kind")).alias("nodes"))
     e = dfg_edges.where("edge_type = 'flow'").groupBy("file_path").agg(F.collect_list(F.struct("src", "dst")).alias("edges"))
     s = symbols.where("sanitized").groupBy("file_path").agg(F.collect_set("name").alias("clean"))
-    g = n.join(e, "file_path", "left").join(s, "file_path", "left")
+    g = n.join(shuffled(e), "file_path", "left").join(shuffled(s), "file_path", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -235,7 +234,7 @@ def flows_to_names(dfg_nodes: DataFrame, dfg_edges: DataFrame, symbols: DataFram
     n = dfg_nodes.groupBy("file_path").agg(F.collect_list(F.struct("id", "name")).alias("nodes"))
     e = dfg_edges.where("edge_type = 'flow'").groupBy("file_path").agg(F.collect_list(F.struct("src", "dst")).alias("edges"))
     s = symbols.where("def is not null").groupBy("file_path").agg(F.collect_list(F.struct("name", "def")).alias("syms"))
-    g = n.join(s, "file_path").join(e, "file_path", "left")
+    g = n.join(shuffled(s), "file_path").join(shuffled(e), "file_path", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -262,7 +261,7 @@ def link_nodes(dfg_nodes: DataFrame, dfg_edges: DataFrame, source: str, target:
     """``dfg_edges`` with an edge from every node named ``source`` to every one named ``target`` of its file."""
     a = dfg_nodes.where(F.col("name") == source).select("file_path", F.col("id").alias("src"))
     b = dfg_nodes.where(F.col("name") == target).select("file_path", F.col("id").alias("dst"))
-    return dfg_edges.unionByName(a.join(b, "file_path").withColumn("edge_type", F.lit("flow"))).distinct()
+    return dfg_edges.unionByName(a.join(shuffled(b), "file_path").withColumn("edge_type", F.lit("flow"))).distinct()
 
 
 def mark_sanitised(df: DataFrame, name: str) -> DataFrame:
@@ -275,7 +274,7 @@ def sanitise_aliases(symbols: DataFrame) -> DataFrame:
     q = lambda c: F.concat_ws("\0", "file_path", c)
     edges = symbols.where("alias_of is not null").select(q("alias_of").alias("src"), q("name").alias("dst"))
     clean = reach(edges, symbols.where("sanitized").select(q("name").alias("node"))).select(F.col("node").alias("k"), F.lit(True).alias("c"))
-    j = symbols.withColumn("k", q("name")).join(clean, "k", "left")
+    j = symbols.withColumn("k", q("name")).join(shuffled(clean), "k", "left")
     return j.select(*[F.coalesce("c", "sanitized").alias(c) if c == "sanitized" else F.col(c) for c in symbols.columns])
 
 
@@ -306,14 +305,14 @@ def to_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """file_path, text: ``{"nodes": [...], "edges": [[src, dst], ...]}`` of each file."""
     n = nodes.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct(*[c for c in nodes.columns if c != "file_path"]))).alias("nodes"))
     e = edges.groupBy("file_path").agg(F.array_sort(F.collect_list(F.array(F.col("src").cast("long"), F.col("dst").cast("long")))).alias("edges"))
-    return n.join(e, "file_path", "left").select("file_path", F.to_json(F.struct("nodes", F.coalesce("edges", F.array().cast("array<array<bigint>>")).alias("edges"))).alias("text"))
+    return n.join(shuffled(e), "file_path", "left").select("file_path", F.to_json(F.struct("nodes", F.coalesce("edges", F.array().cast("array<array<bigint>>")).alias("edges"))).alias("text"))
 
 
 def to_tree(ast_nodes: DataFrame) -> DataFrame:
     """file_path, text: an indented line for each tree node in pre-order (depth from the intervals)."""
     above = ast_nodes.select(F.col("file_path").alias("f"), F.col("lo").alias("l"), F.col("hi").alias("h"))
     on = (F.col("file_path") == F.col("f")) & (F.col("l") < F.col("lo")) & (F.col("h") >= F.col("hi"))
-    deep = ast_nodes.join(above, on, "left").groupBy("file_path", "lo", "kind", "value").agg(F.count("l").cast("int").alias("depth"))
+    deep = ast_nodes.join(shuffled(above), on, "left").groupBy("file_path", "lo", "kind", "value").agg(F.count("l").cast("int").alias("depth"))
     text = F.concat(F.repeat(F.lit("  "), F.col("depth")), F.col("kind"), F.coalesce(F.concat(F.lit(" "), F.col("value")), F.lit("")))
     rows = deep.select("file_path", F.struct("lo", text.alias("t")).alias("x"))
     return _joined(rows, "", "")

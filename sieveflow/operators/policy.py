@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveflow.functions.durable import shuffled
 from sieveflow.rules.model import Rule
 
 from .text import ERROR, HITS, applies
@@ -55,7 +56,7 @@ def policy_hits(files: DataFrame, nodes: DataFrame, rules: list[tuple[int, Rule]
     """A hit for each denial; the excerpt is its message. A policy that fails over a file has a row with an error there."""
     out = None
     for i, r in ((i, r) for i, r in rules if r.matcher.name in TABLES):
-        own = nodes.join(files.where(applies(r)).select("file_path"), "file_path", "left_semi")
+        own = nodes.join(shuffled(files.where(applies(r)).select("file_path")), "file_path", "left_semi")
         hits = TABLES[r.matcher.name](own).select(
             F.lit(i).alias("ord"), F.col("file_path").alias("file"), F.col("line").cast("int").alias("line"), F.col("column").cast("int").alias("column"), F.col("message").alias("excerpt"), F.lit(None).cast("string").alias("error")
         )
@@ -65,7 +66,7 @@ def policy_hits(files: DataFrame, nodes: DataFrame, rules: list[tuple[int, Rule]
         raise KeyError(f"policies that aren't registered: {missing}")
     if plain:
         by_file = nodes.groupBy("file_path").agg(F.collect_list(F.struct("kind", "path", "value_json", "line", "column")).alias("nodes"))
-        inputs = files.select("file_path", "file_type", "source").join(by_file, "file_path", "left")
+        inputs = files.select("file_path", "file_type", "source").join(shuffled(by_file), "file_path", "left")
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sieveflow.functions.durable import shuffled
 from sieveflow.functions.scalar import finding_id
 from sieveflow.rules.model import RuleSet
 from sieveflow.schemas import BASELINE, RANK, parse_severity, severity_rank
@@ -26,13 +27,13 @@ def findings_of(hits: DataFrame, rules: RuleSet) -> DataFrame:
 
 def without_baseline(findings: DataFrame, baseline: DataFrame) -> DataFrame:
     """Findings that the baseline (id, file, line) lacks."""
-    return findings.join(baseline.select("id", "file", "line").distinct(), ["id", "file", "line"], "left_anti")
+    return findings.join(shuffled(baseline.select("id", "file", "line").distinct()), ["id", "file", "line"], "left_anti")
 
 
 def without_suppressed(findings: DataFrame, files: DataFrame) -> DataFrame:
     """Findings not on a line that holds the suppressing comment."""
     marks = files.where(F.size("suppressed") > 0).select(F.col("file_path").alias("file"), F.explode("suppressed").alias("line"))
-    return findings.join(marks, ["file", "line"], "left_anti")
+    return findings.join(shuffled(marks), ["file", "line"], "left_anti")
 
 
 def dedup(findings: DataFrame, order: tuple[str, ...] = ("ord", "file", "line", "column")) -> DataFrame:
@@ -104,7 +105,7 @@ def apply_fixes(files: DataFrame, findings: DataFrame) -> DataFrame:
 
         return pd.DataFrame([fix_source(s, f) for s, f in zip(source, fixes, strict=True)], columns=["fixed", "applied", "skipped"])
 
-    j = files.select("file_path", "source").join(todo, files.file_path == todo.file)
+    j = files.select("file_path", "source").join(shuffled(todo), files.file_path == todo.file)
     return j.select("file_path", fixed("source", "fixes").alias("x")).select("file_path", "x.fixed", "x.applied", "x.skipped")
 
 

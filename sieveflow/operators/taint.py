@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveflow.functions.batches import in_pieces
+from sieveflow.functions.durable import shuffled
 from sieveflow.rules.model import Rule, Scan, Taint, TaintPattern, TextRegexMulti
 from sieveflow.sources.code import SUPERGLOBALS
 
@@ -86,7 +88,7 @@ def taint_captures(files: DataFrame, rules: list[tuple[int, Rule]], seconds: flo
                         rows += own
             yield pd.DataFrame(rows, columns=["ord", "file", "file_type", "role", "sym", "line", "column", "excerpt", "text", "function", "error"])
 
-    return files.select("file_path", "file_type", "source").mapInPandas(run, CAUGHT + ERROR).distinct()
+    return in_pieces(files.select("file_path", "file_type", "source"), run, CAUGHT + ERROR, "source").distinct()
 
 
 def matches_of(rule: Rule, layout: Layout, language: str, clock: Clock) -> int | None:
@@ -109,11 +111,11 @@ def interfile_hits(captures: DataFrame, edges: DataFrame, rules: list[tuple[int,
     """
     own = captures.where(F.col("ord").isin([i for i, r in rules if r.interfile]))
     clean = own.where("role = 'sanitizers'").select("ord", "file", "sym").distinct()
-    sources = own.where("role = 'sources' and sym != ''").join(clean, ["ord", "file", "sym"], "left_anti")
+    sources = own.where("role = 'sources' and sym != ''").join(shuffled(clean), ["ord", "file", "sym"], "left_anti")
     reached = tainted_variables(edges, sources.select("ord", "function", F.col("sym").alias("variable")).distinct(), ("ord",))
     names = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z_]\w*"), F.lit(0))))
     sinks = own.where("role = 'sinks'").select("ord", "file", "line", "column", "excerpt", "function", names.alias("variable"))
-    hit = sinks.join(reached, ["ord", "function", "variable"], "left_semi")
+    hit = sinks.join(shuffled(reached), ["ord", "function", "variable"], "left_semi")
     return hit.select("ord", "file", "line", "column", "excerpt", F.lit(None).cast("string").alias("severity")).distinct()
 
 
@@ -128,9 +130,9 @@ def taint_hits(captures: DataFrame, symbols: DataFrame, paths: DataFrame, direct
     """
     of = lambda role: captures.where(F.col("role") == role)
     sources = of("sources").select("ord", "file", "sym").distinct()
-    sources = sources.join(of("sanitizers").select("ord", "file", "sym").distinct(), ["ord", "file", "sym"], "left_anti")
+    sources = sources.join(shuffled(of("sanitizers").select("ord", "file", "sym").distinct()), ["ord", "file", "sym"], "left_anti")
     low = of("reclass").select("ord", "file", "sym", F.lit(True).alias("low")).distinct()
-    sources = sources.join(low, ["ord", "file", "sym"], "left")
+    sources = sources.join(shuffled(low), ["ord", "file", "sym"], "left")
 
     sinks = of("sinks").select("ord", "file", "file_type", "line", "column", "excerpt", "text")
     names = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\$([A-Za-z0-9_]+)"), F.lit(1)))
@@ -138,18 +140,18 @@ def taint_hits(captures: DataFrame, symbols: DataFrame, paths: DataFrame, direct
     # How many of a sink's variables are sanitised in its file.
     key = ["ord", "file", "line", "column", "text"]
     clean = symbols.where("sanitized").select(F.col("file_path").alias("file"), F.regexp_replace("name", r"^\$", "").alias("var")).distinct()
-    safe = sinks.select(*key, F.explode("vars").alias("var")).join(clean, ["file", "var"], "left_semi").groupBy(*key).agg(F.count("*").alias("n_safe"))
-    sinks = sinks.join(safe, key, "left")
+    safe = sinks.select(*key, F.explode("vars").alias("var")).join(shuffled(clean), ["file", "var"], "left_semi").groupBy(*key).agg(F.count("*").alias("n_safe"))
+    sinks = sinks.join(shuffled(safe), key, "left")
     some = F.size("vars") > 0
     sinks = sinks.where(F.when(some, F.coalesce("n_safe", F.lit(0)) < F.size("vars")).otherwise(F.col("file_type") != "php"))
 
-    j = sinks.join(sources, ["ord", "file"])
+    j = sinks.join(shuffled(sources), ["ord", "file"])
     flagged = paths.select(F.col("file_path").alias("file"), F.lit(True).alias("path")).distinct()
-    j = j.join(flagged, "file", "left")
+    j = j.join(shuffled(flagged), "file", "left")
     named = F.array_contains("vars", F.col("sym"))
     if direct is not None:
         d = direct.select(F.col("file_path").alias("file"), "sym", "var").groupBy("file", "sym").agg(F.collect_set("var").alias("leads"))
-        j = j.join(d, ["file", "sym"], "left")
+        j = j.join(shuffled(d), ["file", "sym"], "left")
         named |= F.coalesce(F.arrays_overlap("leads", "vars"), F.lit(False))
     php = (F.col("file_type") == "php") & named
     j = j.where(F.coalesce("path", F.lit(False)) | php)

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sieveflow.functions.batches import in_pieces
+from sieveflow.functions.durable import shuffled
 from sieveflow.functions.scalar import end_of_text
 from sieveflow.rules.model import Rule, Scan, TaintPattern, TextRegexMulti
 from sieveflow.sources.corpus import lines
@@ -24,6 +26,8 @@ LINE_MATCHES = 1000
 #: Seconds that one rule may take over one file; beyond them the rule is skipped for the file, and that is told.
 TIME_LIMIT = 5.0
 ERROR = ", error string"
+#: Characters of excerpts that a task's Python holds before it hands them on.
+HELD = 4 << 20
 
 
 class Clock:
@@ -79,8 +83,8 @@ def alias_hits(files: DataFrame, rules: list[tuple[int, Rule]], found: DataFrame
         F.concat(F.col("alias"), rest).alias("name"),
     ).where("name != call")
     rx = F.replace(F.col("regex"), quoted(F.col("call")), quoted(F.col("name")))
-    other = other.select("file_path", "ord", rx.alias("rx")).join(found.select(F.col("file").alias("file_path"), "ord").distinct(), ["file_path", "ord"], "left_anti")
-    got = lines(files).join(other, "file_path").where(F.expr("text rlike rx"))
+    other = other.select("file_path", "ord", rx.alias("rx")).join(shuffled(found.select(F.col("file").alias("file_path"), "ord").distinct()), ["file_path", "ord"], "left_anti")
+    got = lines(files).join(shuffled(other), "file_path").where(F.expr("text rlike rx"))
     return got.select("ord", F.col("file_path").alias("file"), "line", F.lit(1).alias("column"), F.col("text").alias("excerpt")).distinct()
 
 
@@ -148,20 +152,30 @@ def occurrence_hits(files: DataFrame, rules: list[tuple[int, Rule]]) -> DataFram
 def occurrence_rows(files: DataFrame, rules: list[tuple[int, Rule]], seconds: float | None = None) -> DataFrame:
     """Hits, and a row with an error for each rule and file that took too long."""
 
+    table = lambda rows: pd.DataFrame(rows, columns=["ord", "file", "line", "column", "excerpt", "error"])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
+            rows, held = [], 0
             for file, kind, text in zip(b.file_path, b.file_type, b.source, strict=True):
                 layout = Layout(text or "")
                 for i, r in rules:
                     if text and r.applies(kind):
                         try:
-                            rows += [(i, file, *layout.place(s), layout.whole_lines(s, e), None) for s, e in occurrences(r.matcher, layout, Clock(seconds))]
+                            found = occurrences(r.matcher, layout, Clock(seconds))
                         except TimeoutError as e:
                             rows.append((i, file, 0, 0, None, f"timeout: {e}"))
-            yield pd.DataFrame(rows, columns=["ord", "file", "line", "column", "excerpt", "error"])
-
-    return files.select("file_path", "file_type", "source").mapInPandas(run, HITS + ERROR)
+                            continue
+                        for s, e in found:
+                            excerpt = layout.whole_lines(s, e)
+                            rows.append((i, file, *layout.place(s), excerpt, None))
+                            held += len(excerpt)
+                            if held > HELD:  # a line is told with each of its matches
+                                yield table(rows)
+                                rows, held = [], 0
+            yield table(rows)
+
+    return in_pieces(files.select("file_path", "file_type", "source"), run, HITS + ERROR, "source")
 
 
 # Ranges as tables

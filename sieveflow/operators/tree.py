@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sieveflow.functions.durable import shuffled
 from sieveflow.functions.scalar import end_of_text
 from sieveflow.rules.model import Rule
 
@@ -26,7 +27,7 @@ def _json_text(value: str = "value"):
 
 
 def with_type(ast_nodes: DataFrame, files: DataFrame) -> DataFrame:
-    return ast_nodes.join(files.select("file_path", "file_type"), "file_path")
+    return ast_nodes.join(shuffled(files.select("file_path", "file_type")), "file_path")
 
 
 def query_hits(ast_nodes: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveflow.functions.durable import cut
+from sieveflow.functions.durable import cut, shuffled
 from sieveflow.schemas import parse_severity
 from sieveflow.sources.readers import canonical
 
@@ -329,5 +329,5 @@ def verify_table(documents: DataFrame) -> DataFrame:
     read = documents.select("file", "text").mapInPandas(run, "file string, rule_id string, error string")
     read = cut(read, "rule-documents")
     first = read.where("rule_id is not null").groupBy("rule_id").agg(F.min("file").alias("first"))
-    twice = read.join(first, "rule_id").where("file != first").select("file", F.concat(F.lit("duplicate rule id: "), "rule_id").alias("error"))
+    twice = read.join(shuffled(first), "rule_id").where("file != first").select("file", F.concat(F.lit("duplicate rule id: "), "rule_id").alias("error"))
     return read.where("error is not null").select("file", "error").unionByName(twice)

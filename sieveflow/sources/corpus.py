@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sieveflow.functions.durable import shuffled
 from sieveflow.functions.scalar import glob_regex
 
 MAX_FILE_SIZE = 5 * 1024 * 1024
@@ -144,7 +145,7 @@ def transformed(files: DataFrame, replaced: DataFrame, comment: str | None = SUP
         F.col("path").alias("file_path"), F.coalesce(F.col("language"), detect_type("path")).alias("file_type"),
         F.decode(F.unbase64("content_b64"), "utf-8").alias("source"),
     )
-    stay = files.join(new.select("file_path"), "file_path", "left_anti")
+    stay = files.join(shuffled(new.select("file_path")), "file_path", "left_anti")
     return stay.unionByName(files_of(new, comment))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveflow.functions.durable import shuffled
 from sieveflow.functions.scalar import module_name, normalise_path
 from sieveflow.operators.graph import reach, resolve_aliases
 
@@ -34,18 +35,18 @@ def import_links(nodes: DataFrame, mods: DataFrame, symbols: DataFrame) -> DataF
     cut = F.substring("full", F.lit(1), F.length("full") - F.length(last))
     imports = imports.select("file_path", "alias", "full", last.alias("member"), F.regexp_replace(cut, r"(\.|::|/)$", "").alias("head"))
     m = mods.select(F.col("file_path").alias("target_file"), "module")
-    whole = imports.join(m, F.col("full") == F.col("module")).select("file_path", "alias", "target_file", F.lit(None).cast("string").alias("name"))
-    part = imports.join(m, F.col("head") == F.col("module")).select("file_path", "alias", "target_file", F.col("member").alias("name"))
+    whole = imports.join(shuffled(m), F.col("full") == F.col("module")).select("file_path", "alias", "target_file", F.lit(None).cast("string").alias("name"))
+    part = imports.join(shuffled(m), F.col("head") == F.col("module")).select("file_path", "alias", "target_file", F.col("member").alias("name"))
     both = whole.unionByName(part)
     s = symbols.select(F.col("file_path").alias("target_file"), F.col("name"), "sanitized")
-    return both.join(s, ["target_file", "name"], "left").select("file_path", "alias", "target_file", "name", "sanitized")
+    return both.join(shuffled(s), ["target_file", "name"], "left").select("file_path", "alias", "target_file", "name", "sanitized")
 
 
 def linked_flow(links: DataFrame, symbols: DataFrame) -> DataFrame:
     """Edges (src_file, src, dst_file, dst) from definitions to the aliases that import them."""
     a = symbols.where("def is not null").select(F.col("file_path").alias("target_file"), "name", F.col("def").alias("src"))
     b = symbols.where("def is not null").select("file_path", F.col("name").alias("alias"), F.col("def").alias("dst"))
-    j = links.where("name is not null").join(a, ["target_file", "name"]).join(b, ["file_path", "alias"])
+    j = links.where("name is not null").join(shuffled(a), ["target_file", "name"]).join(shuffled(b), ["file_path", "alias"])
     return j.select(F.col("target_file").alias("src_file"), "src", F.col("file_path").alias("dst_file"), "dst")
 
 
@@ -103,10 +104,10 @@ def class_files(files: DataFrame) -> DataFrame:
     used = php.select("src", F.explode(F.regexp_extract_all("source", F.lit(r"(?m)^\s*use\s+\\?([A-Za-z_][\w\\]*)"), F.lit(1))).alias("name")).distinct()
     steps = F.split("name", r"\\")
     starts = F.transform(F.sequence(F.lit(0), F.size(steps) - 1), lambda n: F.when(n == 0, "").otherwise(F.concat(F.array_join(F.slice(steps, 1, n), "\\"), F.lit("\\"))))
-    each = used.select("src", "name", F.explode(starts).alias("prefix")).join(autoload_prefixes(files), "prefix")
+    each = used.select("src", "name", F.explode(starts).alias("prefix")).join(shuffled(autoload_prefixes(files)), "prefix")
     rest = F.replace(F.expr("substring(name, length(prefix) + 1)"), F.lit("\\"), F.lit("/"))
     where = each.select("src", "name", F.length("prefix").alias("n"), F.concat(F.col("folder"), F.lit("/"), rest, F.lit(".php")).alias("dst"))
-    there = where.join(files.select(F.col("file_path").alias("dst")), "dst", "left_semi")
+    there = where.join(shuffled(files.select(F.col("file_path").alias("dst"))), "dst", "left_semi")
     return there.groupBy("src", "name").agg(F.max_by("dst", F.struct("n", "dst")).alias("dst")).select("src", "dst").distinct()
 
 
