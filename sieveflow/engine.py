@@ -42,7 +42,7 @@ class Tables:
     def tree(self) -> DataFrame:
         if self._tree is None:
             # Each part of each pattern looks at it: the files are parsed for it once.
-            self._tree = cut(tree.with_type(code.ast_nodes(self.files), self.files), "tree")
+            self._tree = cut(code.typed_nodes(self.files), "tree")
         return self._tree
 
 
@@ -81,13 +81,12 @@ def hits(t: Tables, rules: RuleSet, aliases: bool = True, failed: list[DataFrame
         parts.append(sound(policy.policy_hits(t.files, t.nodes, found)))
     parts = [p.withColumn("severity", F.lit(None).cast("string")) for p in parts]
     if found := rules.of(Taint):
-        symbols = cut(code.symbols(t.files), "symbols")  # joined several times
-        points, edges = code.dfg_nodes(t.files), code.dfg_edges(t.files)
-        paths = graph.taint_paths(points, edges, symbols)
+        flows = cut(graph.file_flows(t.files), "flows")  # joined several times
+        symbols = flows.select("file_path", F.explode("clean").alias("name"), F.lit(True).alias("sanitized"))
+        paths = flows.where("tainted").select("file_path")
         # Only PHP sinks are also joined by the names that a symbol leads to.
         php = any(r.applies("php") for _, r in found)
-        of_php = t.files.where("file_type = 'php'").select("file_path")
-        direct = graph.flows_to_names(*(x.join(shuffled(of_php), "file_path", "left_semi") for x in (points, edges, symbols))) if php else None
+        direct = flows.select("file_path", F.inline("leads")) if php else None
         captures = sound(taint.taint_captures(t.files, found, time_limit))
         got = taint.taint_hits(captures, symbols, paths, direct)
         if any(r.interfile for _, r in found):

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveflow.functions.durable import cut, shuffled
+from sieveflow.sources import code
 
 from .components import strong_components, weak_components
 
@@ -209,6 +210,39 @@ def reaches_any(nodes: list[dict], edges: list[tuple[int, int]], start: int | No
     return False
 
 
+def leads(names: dict[int, str], edges: list[tuple[int, int]], symbols: list[tuple[str, int]]) -> set[tuple[str, str]]:
+    """(sym, var): the names of a file's nodes that a symbol's definition leads to."""
+    ahead: dict[int, list[int]] = {}
+    for a, b in edges:
+        ahead.setdefault(a, []).append(b)
+    found = set()
+    for sym, start in symbols:
+        seen, queue = {start}, deque([start])
+        while queue:
+            for d in ahead.get(queue.popleft(), ()):
+                if d not in seen:
+                    seen.add(d)
+                    queue.append(d)
+        found |= {(sym.lstrip("$"), names[i].lstrip("$")) for i in seen if i in names}
+    return found
+
+
+def file_flows(files: DataFrame) -> DataFrame:
+    """file_path, clean (sanitised names), tainted (whether it has a :func:`taint_path`), leads ((sym, var) of PHP files; see :func:`leads`).
+
+    A file is parsed once for all of them and its graph is walked where it is, so nothing is gathered by file.
+    """
+
+    def rows(p: code.Program) -> list[tuple]:
+        nodes = [{"id": i, "name": x[0], "kind": x[1]} for i, x in sorted(p.flow.items())]
+        flow = sorted((a, b) for a, b, kind in p.edges if kind == "flow")
+        clean = {s.name for s in p.symbols.values() if s.sanitized}
+        to = sorted(leads({n["id"]: n["name"] for n in nodes}, flow, [(s.name, s.defined) for s in p.symbols.values() if s.defined is not None])) if p.language == "php" else []
+        return [(p.path, sorted(clean), taint_path(nodes, flow, clean) is not None, [{"sym": a, "var": b} for a, b in to])]
+
+    return code.table_of(files, rows, "file_path string, clean array<string>, tainted boolean, leads array<struct<sym:string,var:string>>")
+
+
 def taint_paths(dfg_nodes: DataFrame, dfg_edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """file_path, path (ids): a tainted way of each file that has one. A file's graph is gathered in one row."""
     n = dfg_nodes.groupBy("file_path").agg(F.collect_list(F.struct("id", "name", "kind")).alias("nodes"))
@@ -240,18 +274,8 @@ def flows_to_names(dfg_nodes: DataFrame, dfg_edges: DataFrame, symbols: DataFram
         for b in batches:
             rows = []
             for file, nodes, syms, edges in zip(b.file_path, b.nodes, b.syms, b.edges, strict=True):
-                name = {x["id"]: x["name"] for x in nodes}
-                ahead: dict[int, list[int]] = {}
-                for x in edges if edges is not None else ():
-                    ahead.setdefault(x["src"], []).append(x["dst"])
-                for s in syms:
-                    seen, queue = {s["def"]}, deque([s["def"]])
-                    while queue:
-                        for d in ahead.get(queue.popleft(), ()):
-                            if d not in seen:
-                                seen.add(d)
-                                queue.append(d)
-                    rows += {(file, s["name"].lstrip("$"), name[i].lstrip("$")) for i in seen if i in name}
+                pairs = [(x["src"], x["dst"]) for x in edges] if edges is not None else []
+                rows += [(file, *x) for x in leads({x["id"]: x["name"] for x in nodes}, pairs, [(s["name"], s["def"]) for s in syms])]
             yield pd.DataFrame(rows, columns=["file_path", "sym", "var"])
 
     return g.mapInPandas(run, "file_path string, sym string, var string")
