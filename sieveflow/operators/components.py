@@ -3,7 +3,9 @@
 Weak components come from star contractions, whose rounds grow with the logarithm of the longest path. Strong
 components are sought within them: a weak component of at most ``LOCAL_EDGES`` edges is walked in one task (many
 of them one after another, never more at a time than that), so a chain of any number of cycles takes the rounds of
-one cycle. What is larger is split by colours: every node takes the pivot of least hash that leads to it and the
+one cycle. In what is larger, a node that one node alone leads to (or that leads to one alone) is drawn into that
+one, so ways of any length are halved in each round, until a task can walk the rest; then the drawn ones come out
+again, round by round. What doesn't get smaller by that is split by colours: every node takes the pivot of least hash that leads to it and the
 one that it leads to. Two nodes of a strong component have both in common, so all other edges go; and a node whose
 two pivots are one is in that pivot's component. All pivots work at once, hashes are new in each round, and
 pieces that have become small are again walked in tasks.
@@ -142,6 +144,45 @@ def _spread(edges: DataFrame, seed: int) -> DataFrame:
             return label.select("node", F.col("best.pivot").alias("pivot"))
 
 
+def _contracted(edges: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Edges in which nodes that one node alone leads to are drawn into it, and (node, up, dst): the drawn nodes' edges.
+
+    Coins tell who is drawn, so that no node is drawn into one that is drawn itself, and a way is halved at any length.
+    """
+    heads = lambda c: F.xxhash64(c, F.lit(seed)) % 2 == 0
+    one = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"), F.min("src").alias("up")).where("n = 1")
+    drawn = cut(one.where(heads("node") & ~heads("up")).select("node", "up"), "drawn")
+    less = edges.join(drawn.select(F.col("node").alias("dst")), "dst", "left_anti").join(drawn, F.col("src") == F.col("node"), "left")
+    outs = cut(edges.join(drawn, F.col("src") == F.col("node")).select("node", "up", "dst"), "drawn-edges")
+    return cut(less.select(F.coalesce("up", "src").alias("src"), "dst").where("src != dst").distinct(), "cycles"), outs
+
+
+def _drawn_out(found: DataFrame, outs: DataFrame) -> DataFrame:
+    """(node, component) with the nodes that were drawn in: one is in the component that it was drawn into if it leads back there."""
+    of = lambda name, at: found.select(F.col("node").alias(at), F.col("component").alias(name))
+    j = outs.join(of("c_dst", "dst"), "dst", "left").join(of("c_up", "up"), "up", "left")
+    back = j.where(F.coalesce("c_dst", "dst") == F.coalesce("c_up", "up")).select("node", "up", F.coalesce("c_up", "up").alias("component"))
+    return cut(found.unionByName(back.select("node", "component")).unionByName(back.select(F.col("up").alias("node"), "component")).distinct(), "strong")
+
+
+def _by_contraction(edges: DataFrame, local: int) -> DataFrame | None:
+    """node, component (any node of it) of a graph that gets smaller by drawing nodes together, forwards and backwards; None if it doesn't."""
+    turned = lambda e: e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    now, n = cut(edges.where("src != dst").select("src", "dst"), "cycles"), 0
+    sizes, drawn = [now.count()], []
+    while sizes[-1] > local and (len(sizes) < 3 or sizes[-1] < 0.9 * sizes[-3]):
+        now, outs = _contracted(now, n)
+        drawn.append(outs)
+        now, n = turned(now), n + 1
+        sizes.append(now.count())
+    if sizes[-1] > 0.9 * sizes[0]:
+        return None
+    found = strong_components(now, local).select("node", "component")
+    for outs in reversed(drawn):
+        found = _drawn_out(found, outs)
+    return found
+
+
 def strong_components(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
     """node, component (its least node) of the nodes on cycles: strongly connected components of two nodes or more, or with a loop."""
     every = edges.where("src is not null and dst is not null").select("src", "dst")
@@ -157,6 +198,11 @@ def strong_components(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
         big = cut(tagged.where(F.col("n") > local).select("src", "dst"), "cycles")
         if big.isEmpty():
             break
+        short = _by_contraction(big, local)
+        if short is not None:
+            least = short.groupBy("component").agg(F.min("node").alias("least"))
+            parts.append(cut(short.join(least, "component").select("node", F.col("least").alias("component")), "strong"))
+            break
         to = _spread(big, seed)
         back = _spread(big.select(F.col("dst").alias("src"), F.col("src").alias("dst")), seed).withColumnRenamed("pivot", "back")
         colours = cut(to.join(back, "node"), "colours")

@@ -92,3 +92,31 @@ def test_empty_nulls_and_loops(spark):
 def test_many_small_components_in_one_task(spark):
     edges = [(3 * k + i, 3 * k + (i + 1) % 3) for k in range(300) for i in range(3)]
     assert got(C.strong_components(frame(spark, edges).coalesce(1), local=10)) == {n: n - n % 3 for n in range(900)}
+
+
+def test_jobs_of_a_chain_too_large_for_a_task_do_not_grow_with_its_length(spark):
+    def jobs(n):
+        edges = [e for k in range(n) for e in ((2 * k, 2 * k + 1), (2 * k + 1, 2 * k))] + [(2 * k + 1, 2 * k + 2) for k in range(n)]
+        sc = spark.sparkContext
+        sc.setJobGroup(f"long-{n}", "")
+        assert got(C.strong_components(frame(spark, edges), local=n)) == {k: k - k % 2 for k in range(2 * n)}
+        sc.setJobGroup("", "")
+        return len(sc.statusTracker().getJobIdsForGroup(f"long-{n}"))
+
+    few, many = jobs(20), jobs(160)
+    assert many <= 3 * few
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_drawing_together_keeps_components(spark, seed):
+    rng = random.Random(seed)
+    edges = sorted({(rng.randrange(30), rng.randrange(30)) for _ in range(36)})
+    found = C._by_contraction(frame(spark, edges), 5)
+    if found is not None:
+        names = {}
+        for r in found.collect():
+            names.setdefault(r.component, set()).add(r.node)
+        want = {}
+        for node, c in strong(edges).items():
+            want.setdefault(c, set()).add(node)
+        assert {frozenset(x) for x in names.values() if len(x) > 1} == {frozenset(x) for x in want.values() if len(x) > 1}
