@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sieveflow.functions.durable import shuffled
+from sieveflow.functions.durable import cut, shuffled
 from sieveflow.functions.scalar import end_of_text
 from sieveflow.rules.model import Rule
 
@@ -95,6 +95,7 @@ def unsanitised_routes(ast_nodes: DataFrame) -> DataFrame:
 def control_flow(ast_nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of the call sequence of each file: calls in pre-order, each joined to the next."""
     calls = ast_nodes.where(F.col("kind").isin("Call", "CallExpression")).select("file_path", F.col("lo").alias("id"), "line", F.col("value").alias("code"))
+    calls = cut(calls, "calls")  # nodes and edges are joined to each other, and files are parsed once
     after = F.lead("id").over(W.partitionBy("file_path").orderBy("id"))
     edges = calls.select("file_path", F.col("id").alias("src"), after.alias("dst")).where("dst is not null")
     return calls, edges

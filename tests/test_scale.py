@@ -25,6 +25,12 @@ def test_tables_of_files_are_not_broadcast(spark):
         assert "BroadcastHashJoin" not in plan(df) and "BroadcastNestedLoopJoin" not in plan(df)
 
 
+def test_control_flow_parses_once_and_broadcasts_nothing(spark, sf):
+    nodes, edges = tree.control_flow(code.ast_nodes(python_files(spark)))
+    assert "MapInPandas" not in plan(nodes) + plan(edges)
+    assert "BroadcastHashJoin" not in plan(catalogue.queries()["cfg_successor"](spark, sf))
+
+
 def test_calls_are_read_in_one_pass(spark):
     files = python_files(spark)
     assert plan(calls.parts(files, code.ast_nodes(files))).count("ArrowEvalPython") + plan(calls.parts(files, code.ast_nodes(files))).count("MapInPandas") == 2
