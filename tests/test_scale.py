@@ -51,3 +51,13 @@ def test_hours_of_three_digits(spark, tmp_path):
     got = {r.k: r.took for r in catalogue.queries()["scalar_functions"](spark, str(tmp_path)).collect()}
     assert got == {0: "00:00:00", 359_999: "99:59:59", 360_000: "10:00:00", 1_199_999: "33:19:59"}
     assert {r[0] for r in t.select(S.duration("p_partkey")).collect()} == {"00:00:00", "99:59:59", "100:00:00", "333:19:59"}
+
+
+def test_matches_of_long_lines_are_handed_on_in_parts(spark, monkeypatch):
+    from sieveflow.operators import text
+    from sieveflow.rules.model import Rule, Scan, TextRegexMulti
+
+    monkeypatch.setattr(text, "HELD", 500)
+    files = corpus.from_strings(spark, {f"f{k}.txt": "x" * 120 for k in range(4)})
+    got = text.occurrence_rows(files, [(0, Rule("l", TextRegexMulti((Scan("x"),))))]).collect()
+    assert {(r.file, r.column) for r in got} == {(f"f{k}.txt", c) for k in range(4) for c in range(1, 121)} and len(got) == 480
