@@ -37,10 +37,18 @@ def without_suppressed(findings: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def dedup(findings: DataFrame, order: tuple[str, ...] = ("ord", "file", "line", "column")) -> DataFrame:
-    """One finding for each id: the first in rule and place order. The least row is found by a partial aggregate, not a sort."""
+    """One finding for each id: the first in rule and place order. The least row is found by a partial aggregate, not a sort.
+
+    Rows are compared column by column, so the columns before the excerpt are those of the least row cut there: a plan that
+    asks for no excerpt neither shuffles nor sorts excerpts, which are a line for each match in it.
+    """
     rest = [c for c in findings.columns if c != "id" and c not in order]
-    first = F.min(F.struct(*order, *rest)).alias("first")
-    return findings.groupBy("id").agg(first).select("id", *[F.col(f"first.{c}").alias(c) for c in findings.columns if c != "id"])
+    short = rest[: rest.index("excerpt")] if "excerpt" in rest else rest
+    aggs = [F.min(F.struct(*order, *short)).alias("first")]
+    if len(short) < len(rest):
+        aggs.append(F.min(F.struct(*order, *rest)).alias("whole"))
+    of = lambda c: "first" if c in order or c in short else "whole"
+    return findings.groupBy("id").agg(*aggs).select("id", *[F.col(f"{of(c)}.{c}").alias(c) for c in findings.columns if c != "id"])
 
 
 def merge(base: DataFrame, more: DataFrame, files: DataFrame, baseline: DataFrame | None = None) -> DataFrame:

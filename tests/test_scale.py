@@ -61,3 +61,11 @@ def test_matches_of_long_lines_are_handed_on_in_parts(spark, monkeypatch):
     files = corpus.from_strings(spark, {f"f{k}.txt": "x" * 120 for k in range(4)})
     got = text.occurrence_rows(files, [(0, Rule("l", TextRegexMulti((Scan("x"),))))]).collect()
     assert {(r.file, r.column) for r in got} == {(f"f{k}.txt", c) for k in range(4) for c in range(1, 121)} and len(got) == 480
+
+
+def test_dedup_leaves_excerpts_where_they_are(spark):
+    """Of equal ids the least row stays, whole; without a wish for excerpts none is shuffled."""
+    rows = [("a", 1, "f", 1, 1, "r", "HIGH", "x"), ("a", 0, "f", 1, 2, "r", "LOW", "y"), ("a", 0, "f", 1, 2, "r", "LOW", "b"), ("a", 0, "f", 1, 2, "r", "NONE", "a"), ("b", 0, "g", 1, 1, "r", None, None)]
+    found = spark.createDataFrame(rows, "id string, ord int, file string, line int, column int, rule_id string, severity string, excerpt string")
+    assert sorted(map(tuple, post.dedup(found).collect())) == [("a", 0, "f", 1, 2, "r", "LOW", "b"), ("b", 0, "g", 1, 1, "r", None, None)]
+    assert "excerpt" not in plan(post.dedup(found).select("rule_id", "severity", "file", "line", "column")).split("Exchange")[0]
