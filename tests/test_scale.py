@@ -69,3 +69,8 @@ def test_dedup_leaves_excerpts_where_they_are(spark):
     found = spark.createDataFrame(rows, "id string, ord int, file string, line int, column int, rule_id string, severity string, excerpt string")
     assert sorted(map(tuple, post.dedup(found).collect())) == [("a", 0, "f", 1, 2, "r", "LOW", "b"), ("b", 0, "g", 1, 1, "r", None, None)]
     assert "excerpt" not in plan(post.dedup(found).select("rule_id", "severity", "file", "line", "column")).split("Exchange")[0]
+
+
+def test_findings_over_trees_and_lines_broadcast_rules_alone(spark, sf):
+    for name, most in (("tree_query", 1), ("tree_pattern", 0), ("rule_dialects", 1)):
+        assert plan(catalogue.queries()[name](spark, sf)).count("BroadcastHashJoin") <= most
