@@ -12,6 +12,7 @@ import re._constants as sre
 import re._parser as parser
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +25,8 @@ from sieveflow.rules.model import Rule
 MANY, SHORTEST, ALTERNATIVES = 4, 3, 16
 #: What the two kinds of regexes read differently.
 _OTHER = re.compile(r"\\[0vhHRXGzZQE]|\(\?[a-zA-Z]*[ixu]|&&")
+#: Groups other than plain and named ones, and braces other than counts.
+_ODD = re.compile(r"\(\?(?!:|P<)|\{(?!\d+(?:,\d*)?\}|,\d+\})")
 _END = re.compile(r"\r?\n\Z")
 _LINE = re.compile(r"\r?\n")
 
@@ -38,6 +41,42 @@ def required(pattern: str) -> tuple[str, ...]:
         return ()
 
 
+@lru_cache(1024)
+def plain(pattern: str) -> bool:
+    """Whether a regex takes at least a character and looks at nothing around its match but a word's boundary.
+
+    Of such a one, what is found within a line of a text is what is found in the line alone, as long as no match goes over a line's end.
+    """
+    if _OTHER.search(pattern) or _ODD.search(pattern):
+        return False
+    try:
+        items = parser.parse(pattern)
+    except (re.error, OverflowError, RecursionError):
+        return False
+    return items.getwidth()[0] > 0 and _plain(items)
+
+
+def _plain(items) -> bool:
+    for op, value in items:
+        if op is sre.SUBPATTERN:
+            ok = _plain(value[3])
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
+            ok = _plain(value[2])
+        elif op is sre.BRANCH:
+            ok = all(map(_plain, value[1]))
+        else:
+            ok = op in (sre.LITERAL, sre.NOT_LITERAL, sre.ANY, sre.IN) or op is sre.AT and value in (sre.AT_BOUNDARY, sre.AT_NON_BOUNDARY)
+        if not ok:
+            return False
+    return True
+
+
+@lru_cache(1024)
+def held(pattern: str) -> tuple[str, ...]:
+    """:func:`required` of a plain regex, none of others."""
+    return required(pattern) if plain(pattern) else ()
+
+
 def _worth(literals: tuple[str, ...]) -> int:
     return min(map(len, literals)) if literals else 0
 

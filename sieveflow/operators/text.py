@@ -28,6 +28,8 @@ TIME_LIMIT = 5.0
 ERROR = ", error string"
 #: Characters of excerpts that a task's Python holds before it hands them on.
 HELD = 4 << 20
+#: Characters of a text, and seconds, up to which a line scan first tries the whole text at once.
+WHOLE, WHOLE_SECONDS = 1 << 20, 0.5
 
 
 class Clock:
@@ -99,6 +101,9 @@ def find_all(scan: Scan, text: str, clock: Clock | None = None) -> Iterator:
     if scan.unit == "source":
         yield from ((0, m) for m in rx.finditer(text, timeout=clock.left()) if m.end() > m.start())
         return
+    if len(text) <= WHOLE and literals.plain(scan.regex) and (found := _over_lines(rx, text, clock)) is not None:
+        yield from ((0, m) for m in found)
+        return
     at = 0
     for line in text.splitlines(keepends=True) if "\r" not in text else _unix_lines(text):
         for n, m in enumerate(rx.finditer(line, timeout=clock.left())):
@@ -109,13 +114,43 @@ def find_all(scan: Scan, text: str, clock: Clock | None = None) -> Iterator:
         at += len(line)
 
 
+def _over_lines(rx, text: str, clock: Clock) -> list | None:
+    """What a plain regex finds line by line, from one look at the whole text; None if a match goes over a line's end or the look takes long.
+
+    A look in vain isn't taken from the rule's time.
+    """
+    if "\r" not in text and len(text.splitlines()) != text.count("\n") + (text[-1:] not in ("\n", "")):
+        return None  # other ends of lines
+    left, began = clock.left(), time.monotonic()
+    found, end, n = [], -1, 0
+    try:
+        for m in rx.finditer(text, timeout=min(WHOLE_SECONDS, left)):
+            a, b = m.span()
+            if a > end:
+                end, n = text.find("\n", a), 0
+                if end < 0:
+                    end = len(text)
+            if b > end + 1:
+                break
+            n += 1
+            if n <= LINE_MATCHES:
+                found.append(m)
+        else:
+            return found
+    except TimeoutError:
+        pass
+    clock.end += time.monotonic() - began
+    return None
+
+
 def _unix_lines(text: str) -> list[str]:
     parts = text.split("\n")
     return [p + "\n" for p in parts[:-1]] + ([parts[-1]] if parts[-1] else [])
 
 
 def spans(scans: tuple[Scan, ...], text: str, clock: Clock | None = None) -> list[tuple[int, int]]:
-    return sorted({(at + m.start(), at + m.end()) for s in scans for at, m in find_all(s, text, clock)})
+    found = {(at + m.start(), at + m.end()) if at else m.span() for s in scans for at, m in find_all(s, text, clock)}
+    return sorted(found)
 
 
 def not_in_context(m: TextRegexMulti | TaintPattern, layout: Layout, clock: Clock) -> Callable[[int, int], bool]:
@@ -124,11 +159,11 @@ def not_in_context(m: TextRegexMulti | TaintPattern, layout: Layout, clock: Cloc
 
     barred = Ranges(spans(m.not_inside, layout.text, clock))
     deny = regex.compile(m.deny.regex) if m.deny else None
-    in_block = [regex.compile(s.regex) for s in m.not_inside]
+    in_block = [(regex.compile(s.regex), literals.held(s.regex)) for s in m.not_inside]
 
     def test(a: int, b: int) -> bool:
         return bool(
-            deny and deny.search(layout.text[a:b], timeout=clock.left()) or barred.hold((a, b)) or any(layout.block_matches(a, x, clock.left) for x in in_block)
+            deny and deny.search(layout.text[a:b], timeout=clock.left()) or barred.hold((a, b)) or any(layout.block_matches(a, x, clock.left, some) for x, some in in_block)
         )
 
     return test

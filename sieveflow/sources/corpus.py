@@ -157,8 +157,11 @@ def discovered(files: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def lines(files: DataFrame) -> DataFrame:
-    """file_path, file_type, line, text: exploded at once, so nothing downstream carries whole sources."""
-    return files.select("file_path", "file_type", F.posexplode(split_lines("source")).alias("at", "text")).select(
+    """file_path, file_type, line, text: exploded at once, so nothing downstream carries whole sources.
+
+    Not ``posexplode``, for which the optimizer would split all texts once more, before the files are dealt over the cores.
+    """
+    return files.select("file_path", "file_type", F.posexplode_outer(split_lines("source")).alias("at", "text")).where("at is not null").select(
         "file_path", "file_type", (F.col("at") + 1).cast("int").alias("line"), "text"
     )
 

@@ -74,3 +74,41 @@ def test_dedup_leaves_excerpts_where_they_are(spark):
 def test_findings_over_trees_and_lines_broadcast_rules_alone(spark, sf):
     for name, most in (("tree_query", 1), ("tree_pattern", 0), ("rule_dialects", 1)):
         assert plan(catalogue.queries()[name](spark, sf)).count("BroadcastHashJoin") <= most
+
+
+def test_a_look_at_the_whole_text_finds_what_lines_give():
+    import random
+
+    from sieveflow.operators import literals, text
+    from sieveflow.rules.model import Scan
+
+    def by_lines(rx, t):
+        at, out = 0, []
+        for line in t.splitlines(keepends=True):
+            out += [(at + m.start(), at + m.end()) for m in list(rx.finditer(line))[: text.LINE_MATCHES]]
+            at += len(line)
+        return out
+
+    import regex
+
+    draw, whole = random.Random(3), 0
+    for rx in ("[(]a[0-9]+", r"(ab|b)\([^)]*\)", "a|ab", r"\ba+?b*", r"[^b]+", r"\sb", "x", r".a{2,3}"):
+        assert literals.plain(rx)
+        for _ in range(200):
+            t = "".join(draw.choices("ab()0\n \x0b", (6, 6, 4, 4, 3, 3, 2, draw.random() < 0.1), k=draw.randrange(40))) + draw.choice(("", "x" * 1300, "\n"))
+            got = [(at + m.start(), at + m.end()) for at, m in text.find_all(Scan(rx), t)]
+            whole += text._over_lines(regex.compile(rx), t, text.Clock()) is not None
+            assert got == by_lines(regex.compile(rx), t), (rx, t)
+    assert whole > 500
+    assert not any(map(literals.plain, ("^a", "a$", "(?=a)b", "a*", "(?>a)b", "a++b", r"(a)\1", r"a\Z", "(?:ab){e<=1}", "(?i)ab", "(")))
+
+
+def test_texts_are_read_after_files_are_dealt_out(spark, sf):
+    """No filter by what is in a text goes below the exchange that deals a small table's rows over the cores."""
+    from sieveflow.plans import made
+
+    files = made._supplier_files(spark, sf, "f{k}.txt", made.F.repeat(made.F.lit("x"), made.F.lit(9)))
+    found = files.selectExpr("file_path file", "1 line", "'x' id")
+    for df in (post.without_suppressed(found, files), corpus.lines(files)):
+        for scan in plan(df).split("Exchange hashpartitioning(s_suppkey")[1:]:
+            assert "size(" not in scan.split("FileScan")[0]
