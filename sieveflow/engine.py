@@ -90,9 +90,9 @@ def hits(t: Tables, rules: RuleSet, aliases: bool = True, failed: list[DataFrame
         captures = sound(taint.taint_captures(t.files, found, time_limit))
         got = taint.taint_hits(captures, symbols, paths, direct)
         if any(r.interfile for _, r in found):
-            got = got.unionByName(taint.interfile_hits(captures, calls.passes(calls.parts(t.files, t.tree)), found))
+            got = got.unionByName(taint.interfile_hits(captures, calls.passes(calls.parts_of(t.files)), found))
         if gate and named(rules):
-            got = gated(got, rules, graph.call_edges(t.tree, corpus.lines(t.files)))
+            got = gated(got, rules, graph.calls_in(t.files).select("src", "dst").distinct())
         parts.append(got)
     return reduce(DataFrame.unionByName, parts) if parts else None
 
@@ -119,7 +119,7 @@ def gated(rows: DataFrame, rules: RuleSet, call_edges: DataFrame) -> DataFrame:
 
 def file_calls(files: DataFrame) -> DataFrame:
     """file, src, dst: the calls of each file on its own, to be kept with its findings."""
-    return graph.file_call_edges(Tables(files).tree, corpus.lines(files)).withColumnRenamed("file_path", "file")
+    return graph.calls_in(files).withColumnRenamed("file_path", "file")
 
 
 def raw_findings(files: DataFrame, rules: RuleSet, aliases: bool = True, failed: list[DataFrame] | None = None, time_limit: float | None = None, gate: bool = True) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from sieveflow.functions.batches import in_pieces
 from sieveflow.functions.durable import cut, shuffled
-from sieveflow.sources.code import FUNCTION
+from sieveflow.sources.code import FUNCTION, Program, table_of
 
 from .graph import reach
 from .layout import Layout
@@ -197,6 +197,30 @@ def enclosing_functions(ast_nodes: DataFrame) -> DataFrame:
     return in_pieces(_marks(ast_nodes), run, "file_path string, lo int, line int, column int, caller string")
 
 
+def marks_of(p: Program) -> list[dict]:
+    """A parsed file's calls and functions, as in :func:`_marks`."""
+    return [
+        {"lo": lo, "hi": hi, "line": line, "column": column, "is_function": "Function" in kind, "value": value}
+        for _, _, kind, value, line, column, lo, hi in p.tree
+        if kind in CALL_KINDS or "Function" in kind
+    ]
+
+
+PARTS = "file_path string, what string, function string, position int, text string, line int, column int, callee string, target string"
+
+
+def parts_of(files: DataFrame) -> DataFrame:
+    """:func:`parts` of files that are parsed for it where they are: nothing is gathered or shuffled."""
+
+    def rows(p: Program, source: str) -> list[tuple]:
+        if not (found := marks_of(p)):
+            return []
+        functions = [{"name": m["value"], **m} for m in found if m["is_function"] and m["value"] is not None]
+        return [(p.path, *r) for r in _rows(p.path, p.language, source, functions, callers(found))]
+
+    return table_of(files, rows, PARTS, ("tree",), with_source=True)
+
+
 def parts(files: DataFrame, ast_nodes: DataFrame) -> DataFrame:
     """file_path, what (parameter, return, assign or call), function, position, text, line, column, callee, target.
 
@@ -213,7 +237,7 @@ def parts(files: DataFrame, ast_nodes: DataFrame) -> DataFrame:
                 out += [(file, *r) for r in _rows(file, kind, source or "", [{"name": m["value"], **m} for m in functions], callers(found))]
             yield pd.DataFrame(out, columns=["file_path", *names]).astype(object).where(lambda x: x.notna(), None)
 
-    return in_pieces(rows, run, "file_path string, what string, function string, position int, text string, line int, column int, callee string, target string", "source")
+    return in_pieces(rows, run, PARTS, "source")
 
 
 def passes(found: DataFrame) -> DataFrame:

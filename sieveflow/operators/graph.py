@@ -7,6 +7,7 @@ walked by frontier joins, one round a step, each round cut to the shared folder.
 from __future__ import annotations
 
 import itertools
+import re
 from collections import deque
 from collections.abc import Iterator
 
@@ -141,6 +142,21 @@ def file_call_edges(ast_nodes: DataFrame, lines: DataFrame) -> DataFrame:
     return j.select("file_path", "src", callee.alias("dst")).where("src is not null and dst != ''").distinct()
 
 
+def calls_in(files: DataFrame) -> DataFrame:
+    """:func:`file_call_edges` of files that are parsed for it where they are: nothing is gathered or joined by file."""
+    from .calls import callers, marks_of
+
+    left, name, ends = re.compile(r"^[^=]*=(?!=)"), re.compile(r"([A-Za-z_][\w.:]*)\s*\(", re.A), re.compile(r"\r?\n")
+
+    def rows(p: code.Program, source: str) -> list[tuple]:
+        near = {(c["line"], c["caller"]) for c in callers(marks_of(p)) if c["caller"] is not None}
+        lines = ends.split(source)
+        told = ((caller, name.search(left.sub("", lines[line - 1]))) for line, caller in near if line <= len(lines))
+        return [(p.path, *x) for x in sorted({(caller, m[1]) for caller, m in told if m})]
+
+    return code.table_of(files, rows, "file_path string, src string, dst string", ("tree",), with_source=True)
+
+
 def call_graph_analysis(edges: DataFrame) -> DataFrame:
     """name, calls, called_by, entry, leaf, depth (steps from an entry; null in what only cycles reach), in_cycle."""
     e = cut(edges.select("src", "dst").distinct(), "calls")
@@ -240,7 +256,7 @@ def file_flows(files: DataFrame) -> DataFrame:
         to = sorted(leads({n["id"]: n["name"] for n in nodes}, flow, [(s.name, s.defined) for s in p.symbols.values() if s.defined is not None])) if p.language == "php" else []
         return [(p.path, sorted(clean), taint_path(nodes, flow, clean) is not None, [{"sym": a, "var": b} for a, b in to])]
 
-    return code.table_of(files, rows, "file_path string, clean array<string>, tainted boolean, leads array<struct<sym:string,var:string>>")
+    return code.table_of(files, rows, "file_path string, clean array<string>, tainted boolean, leads array<struct<sym:string,var:string>>", ("flow",))
 
 
 def taint_paths(dfg_nodes: DataFrame, dfg_edges: DataFrame, symbols: DataFrame) -> DataFrame:

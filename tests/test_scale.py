@@ -112,3 +112,28 @@ def test_texts_are_read_after_files_are_dealt_out(spark, sf):
     for df in (post.without_suppressed(found, files), corpus.lines(files)):
         for scan in plan(df).split("Exchange hashpartitioning(s_suppkey")[1:]:
             assert "size(" not in scan.split("FileScan")[0]
+
+
+SOURCES = {
+    "a.py": "import os\ndef f(x, y=1):\n    z = g(x, h(y))\n    return z\n\ndef g(a, b):\n    k == m(a)\n    return os.path.join(a, b)\ng(1, 2)\n",
+    "b.js": "function a(x, y) {\n  const r = b(y, [x, 1]);\n  return c(r); }\r\nd(1)\n", "c.php": "<?php\nfunction p($x) {\n  $q = é . r($x, 's(1)');\n  return $q;\n}\n",
+    "d.py": "def broken(", "e.txt": "f(1)", "f.py": "x = 1\n", "g.rb": "def f\n  g(1)\nend\n",
+}
+
+
+def test_calls_of_files_in_one_pass(spark):
+    """The same rows as by trees and lines that are gathered and joined, without either."""
+    files, rows = corpus.from_strings(spark, SOURCES), lambda df: sorted(map(str, df.collect()))
+    assert rows(calls.parts_of(files)) == rows(calls.parts(files, code.ast_nodes(files)))
+    assert rows(graph.calls_in(files)) == rows(graph.file_call_edges(code.ast_nodes(files), corpus.lines(files)))
+    assert "Exchange" not in plan(calls.parts_of(files)) + plan(graph.calls_in(files))
+
+
+def test_only_what_is_asked_of_a_file_is_made():
+    for path, source in SOURCES.items():
+        kind = {"py": "python", "js": "javascript", "php": "php", "rb": "ruby"}.get(path.split(".")[-1])
+        if kind and path != "d.py":
+            whole = code.parse(path, kind, source)
+            nodes, tree_, flow = (code.parse(path, kind, source, want=(w,)) for w in code.PARTS)
+            assert (nodes.nodes, tree_.tree, flow.flow, flow.edges, flow.symbols) == (whole.nodes, whole.tree, whole.flow, whole.edges, whole.symbols)
+            assert not (nodes.tree or nodes.flow or tree_.flow or flow.tree)
