@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveflow.functions.batches import arrow_pieces
 from sieveflow.functions.scalar import end_of_text
 from sieveflow.rules.model import Rule
 
@@ -128,7 +129,7 @@ def literal_hits(files: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
         for literal, of in keys.items():
             automaton.add_word(literal, of)
         automaton.make_automaton()
-        for b in batches:
+        for b in (p for whole in batches for p in arrow_pieces(whole, "source")):
             out: tuple[list, ...] = ([], [], [], [])
             for file, kind, source in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if not source:

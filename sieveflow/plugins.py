@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveflow.functions.batches import in_pieces
 from sieveflow.functions.scalar import finding_id, virtual_path
 from sieveflow.sources import corpus
 
@@ -205,7 +206,7 @@ def _over_files(files: DataFrame, plugin: Plugin, what: str, rows_of: Callable[[
         finally:
             call.close()
 
-    return shown.mapInPandas(run, schema)
+    return in_pieces(shown, run, schema, "source")
 
 
 def discovered(files: DataFrame, plugin: Plugin, params: dict | None = None) -> DataFrame:

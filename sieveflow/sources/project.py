@@ -34,10 +34,10 @@ def import_links(nodes: DataFrame, mods: DataFrame, symbols: DataFrame) -> DataF
     last = F.element_at(F.split("full", r"\.|::|/"), -1)
     cut = F.substring("full", F.lit(1), F.length("full") - F.length(last))
     imports = imports.select("file_path", "alias", "full", last.alias("member"), F.regexp_replace(cut, r"(\.|::|/)$", "").alias("head"))
+    # The module or the member's module: both meet the modules in one join, for which files are parsed once.
+    meant = F.array(F.struct(F.col("full").alias("module"), F.lit(None).cast("string").alias("name")), F.struct(F.col("head").alias("module"), F.col("member").alias("name")))
     m = mods.select(F.col("file_path").alias("target_file"), "module")
-    whole = imports.join(shuffled(m), F.col("full") == F.col("module")).select("file_path", "alias", "target_file", F.lit(None).cast("string").alias("name"))
-    part = imports.join(shuffled(m), F.col("head") == F.col("module")).select("file_path", "alias", "target_file", F.col("member").alias("name"))
-    both = whole.unionByName(part)
+    both = imports.select("file_path", "alias", F.inline(meant)).join(shuffled(m), "module").select("file_path", "alias", "target_file", "name")
     s = symbols.select(F.col("file_path").alias("target_file"), F.col("name"), "sanitized")
     return both.join(shuffled(s), ["target_file", "name"], "left").select("file_path", "alias", "target_file", "name", "sanitized")
 

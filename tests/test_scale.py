@@ -137,3 +137,22 @@ def test_only_what_is_asked_of_a_file_is_made():
             nodes, tree_, flow = (code.parse(path, kind, source, want=(w,)) for w in code.PARTS)
             assert (nodes.nodes, tree_.tree, flow.flow, flow.edges, flow.symbols) == (whole.nodes, whole.tree, whole.flow, whole.edges, whole.symbols)
             assert not (nodes.tree or nodes.flow or tree_.flow or flow.tree)
+
+
+def test_import_links_meet_modules_in_one_join(spark):
+    """A module, a member of one, and what is no file of the project; files are parsed once for imports and once for symbols."""
+    from sieveflow.sources import project, readers
+
+    files = corpus.from_strings(spark, {"p/u.py": "safe = 1\n", "p/v.py": "t = 2\n", "m.py": "import p.v as w\nfrom p.u import safe\nfrom p.u import other as o\nimport os\n"})
+    links = project.import_links(readers.nodes(files), project.modules(files), code.symbols(files))
+    assert plan(links).count("SortMergeJoin") == 2
+    assert sorted((tuple(r)[:4] for r in links.collect()), key=str) == [("m.py", "o", "p/u.py", "other"), ("m.py", "safe", "p/u.py", "safe"), ("m.py", "w", "p/v.py", None)]
+
+
+def test_arrow_batches_are_cut_too():
+    import pyarrow as pa
+    from sieveflow.functions.batches import arrow_pieces
+
+    b = pa.RecordBatch.from_pydict({"t": pa.array(["a" * n for n in (5, 5, 30, 1, 1, 1)] + [None], pa.string()), "k": list(range(7))})
+    assert [p.column(1).to_pylist() for p in arrow_pieces(b, "t", rows=3, chars=10)] == [[0, 1], [2], [3, 4, 5], [6]]
+    assert [p.num_rows for p in arrow_pieces(b.slice(0, 0), "t")] == [0]
