@@ -99,7 +99,7 @@ def matches_of(rule: Rule, layout: Layout, language: str, clock: Clock) -> int |
             return sum(len(caught(p, layout, role, language, clock)) for role in ROLES for p in getattr(m, role))
         if isinstance(m, TextRegexMulti):
             return len(occurrences(m, layout, clock))
-        return len({layout.place(at)[0] for at, _ in find_all(Scan(m.regex), layout.text, clock)})
+        return len({layout.place(at + m_.start())[0] for at, m_ in find_all(Scan(m.regex), layout.text, clock)})
     except TimeoutError:
         return None
 
