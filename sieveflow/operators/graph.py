@@ -33,18 +33,19 @@ def reach(edges: DataFrame, start: DataFrame, blocked: DataFrame | None = None,
     """node, depth of all nodes reached from ``start`` (node) over edges (src, dst), start included; nodes in ``blocked`` are never entered.
 
     With columns ``key`` in ``start``, a walk for each of their values, all in the same rounds.
+
+    Edges may repeat: a round tells its nodes apart, so all edges are never gathered in tasks for that.
     """
     at = [*key, "node"]
-    frontier = start.select(*at).distinct()
     if blocked is not None:
-        frontier = frontier.join(blocked.select("node"), "node", "left_anti")
-        edges = edges.join(blocked.select(F.col("node").alias("dst")), "dst", "left_anti")
-    links = cut(edges.select("src", "dst").distinct(), "links")  # made once, not in each round
-    seen = cut(frontier.select(*at, F.lit(0).alias("depth")), "reach")
+        blocked = cut(blocked.select("node").distinct(), "blocked")
+    entered = lambda nodes: nodes if blocked is None else nodes.join(blocked, "node", "left_anti")
+    links = cut(edges.select("src", "dst"), "links")  # made once, not in each round
+    seen = cut(entered(start.select(*at).distinct()).select(*at, F.lit(0).alias("depth")), "reach")
     frontier = seen
     for depth in itertools.count(1):
         ahead = frontier.join(links, frontier.node == links.src).select(*key, F.col("dst").alias("node")).distinct()
-        frontier = cut(ahead.join(seen, at, "left_anti").select(*at, F.lit(depth).alias("depth")), "reach")
+        frontier = cut(entered(ahead.join(seen, at, "left_anti")).select(*at, F.lit(depth).alias("depth")), "reach")
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)
@@ -81,7 +82,9 @@ def grow(seen: DataFrame, links: DataFrame, new: DataFrame, key: tuple[str, ...]
 
 
 def undirected(edges: DataFrame) -> DataFrame:
-    return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    """Each edge and its reverse, made in one pass; what repeats, or has its reverse there, comes again."""
+    back = F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return edges.select(F.inline(F.array(F.struct("src", "dst"), back)))
 
 
 def has_flow(call_edges: DataFrame, sources: DataFrame, sinks: DataFrame) -> bool:

@@ -296,7 +296,7 @@ def virtual_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def callgraph_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the part of the least key is joined to by parts and suppliers of the same line items."""
-    e = _t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (-F.col("l_suppkey")).alias("dst")).distinct()
+    e = _t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (-F.col("l_suppkey")).alias("dst"))
     start = e.agg(F.min("src").alias("node")).where("node is not null")
     return graph.reach(graph.undirected(e), start).select("node")
 
@@ -312,7 +312,7 @@ def taint_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From parts of size 1 over returned items to suppliers and over accepted ones to parts, past no supplier in debt."""
     li = _t(spark, sf_dir, "lineitem")
     part, supplier = F.col("l_partkey").cast("long"), (-F.col("l_suppkey")).cast("long")
-    e = li.where("l_returnflag = 'R'").select(part.alias("src"), supplier.alias("dst")).unionByName(li.where("l_returnflag = 'A'").select(supplier.alias("src"), part.alias("dst"))).distinct()
+    e = li.where("l_returnflag = 'R'").select(part.alias("src"), supplier.alias("dst")).unionByName(li.where("l_returnflag = 'A'").select(supplier.alias("src"), part.alias("dst")))
     start = _t(spark, sf_dir, "part").where("p_size = 1").select(F.col("p_partkey").cast("long").alias("node"))
     clean = _t(spark, sf_dir, "supplier").where("s_acctbal < 0").select((-F.col("s_suppkey")).cast("long").alias("node"))
     return graph.reach(e, start, clean).select("node")
@@ -346,7 +346,7 @@ def ancestor_within(spark: SparkSession, sf_dir: str) -> DataFrame:
 def call_return_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers that "call" a supplier of a nation are marked with it."""
     j = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    e = j.select(F.col("o_custkey").cast("long").alias("src"), (-F.col("l_suppkey")).cast("long").alias("dst")).distinct()
+    e = j.select(F.col("o_custkey").cast("long").alias("src"), (-F.col("l_suppkey")).cast("long").alias("dst"))
     seeds = _t(spark, sf_dir, "supplier").where("s_nationkey = 3").select((-F.col("s_suppkey")).cast("long").alias("node"))
     return graph.propagate(e, seeds)
 

@@ -57,7 +57,7 @@ class Held:
 
     def released(self, found: DataFrame, batch: DataFrame, number: int) -> DataFrame:
         """A batch's findings, without those that wait, and with those that no longer have to."""
-        calls = self._store(graph.undirected(engine.file_calls(batch)), "calls", number)
+        calls = self._store(graph.undirected(engine.file_calls(batch)).distinct(), "calls", number)
         every = self._before("calls", number, "src string, dst string").unionByName(calls)
         before = self._before("reached", number, "ord int, node string")
         seen = before.unionByName(self.sources).distinct() if number else self.sources.distinct()

@@ -156,3 +156,20 @@ def test_arrow_batches_are_cut_too():
     b = pa.RecordBatch.from_pydict({"t": pa.array(["a" * n for n in (5, 5, 30, 1, 1, 1)] + [None], pa.string()), "k": list(range(7))})
     assert [p.column(1).to_pylist() for p in arrow_pieces(b, "t", rows=3, chars=10)] == [[0, 1], [2], [3, 4, 5], [6]]
     assert [p.num_rows for p in arrow_pieces(b.slice(0, 0), "t")] == [0]
+
+
+def test_edges_of_a_walk_are_not_gathered(spark, sf, monkeypatch):
+    """Edges are written as they come, each way in one pass; repeated ones and blocked nodes leave the walk as it is."""
+    plans = {}
+    kept = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, tag: kept(df, plans.setdefault(tag, plan(df)) and tag))
+    for name in ("callgraph_reach", "taint_reach"):
+        plans.clear()
+        catalogue.queries()[name](spark, sf)
+        assert "Aggregate" not in plans["links"] and "Join" not in plans["links"] and "Exchange" not in plans["links"]
+    e = spark.createDataFrame([(1, 2), (1, 2), (2, 3), (3, 4), (4, 4), (5, 3), (4, None)], "src long, dst long")
+    walk = lambda edges, *blocked: sorted(map(str, graph.reach(edges, spark.createDataFrame([(1,), (1,)], "node long"), *blocked).collect()))
+    stop = spark.createDataFrame([(3,), (3,)], "node int")
+    assert walk(e, stop) == ["Row(node=1, depth=0)", "Row(node=2, depth=1)"] and walk(e, spark.createDataFrame([(1,)], "node int")) == []
+    both = graph.undirected(e.where("dst is not null"))
+    assert both.count() == 12 and walk(both) == walk(both.distinct()) == [f"Row(node={n}, depth={d})" for n, d in ((1, 0), (2, 1), (3, 2), (4, 3), (5, 3))]
