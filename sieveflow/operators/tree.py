@@ -17,9 +17,6 @@ from sieveflow.rules.model import Rule
 from . import text
 from .text import applies
 
-#: Nodes of a file that a tree query looks at.
-NODE_CAP = 10_000
-
 
 def _json_text(value: str = "value"):
     j = F.to_json(F.array(value))
@@ -31,7 +28,7 @@ def with_type(ast_nodes: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def query_hits(ast_nodes: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
-    """Nodes (with file_type) whose kind and value match the regexes of a rule."""
+    """Nodes (with file_type) whose kind and value match the regexes of a rule; all nodes of a file, however many."""
     tests = []
     for i, r in rules:
         m = r.matcher
@@ -39,9 +36,8 @@ def query_hits(ast_nodes: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame
         if m.value is not None:
             hit &= F.coalesce(F.col("value").rlike(end_of_text(m.value)), F.lit(False))
         tests.append(F.when(hit, F.lit(i)))
-    seen = ast_nodes.where(F.col("lo") < NODE_CAP)
     hit = F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull()))
-    return seen.select(hit.alias("ord"), F.col("file_path").alias("file"), "line", "column", _json_text().alias("excerpt"))
+    return ast_nodes.select(hit.alias("ord"), F.col("file_path").alias("file"), "line", "column", _json_text().alias("excerpt"))
 
 
 def within(nodes: DataFrame, ancestors: DataFrame, keep: str = "left_semi") -> DataFrame:

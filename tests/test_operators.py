@@ -271,6 +271,14 @@ def test_one_parse_for_all_tree_patterns(spark):
     assert engine.analyze(files, rules).count() == 5
 
 
+def test_tree_queries_look_at_all_nodes_of_a_file(spark):
+    """The call after more than 10,000 nodes is found as the one before them is."""
+    sources = {"a.py": "system(0)\n" + "f(1)\n" * 6000 + "system(2)\n", "b.js": "system(0);\n" + "f(x);\n" * 6000 + "system(2);\n"}
+    nodes = {r.file_path: r.n for r in code.ast_nodes(corpus.from_strings(spark, sources)).groupBy("file_path").agg(F.max("lo").alias("n")).collect()}
+    assert min(nodes.values()) > 10_000
+    assert found(spark, sources, Rule("q", AstQuery("^(Call|CallExpression)$", "^system$"))) == [("q", f, n, 1) for f in sources for n in (1, 6002)]
+
+
 def test_rule_times(spark):
     files = corpus.from_strings(spark, {"x": "foo\nfoo", "y.py": "foo(bar)"})
     rules = RuleSet([Rule("a", TextRegex("foo")), Rule("b", TextRegex("z"), languages=("python",)), Rule("c", TextRegexMulti((Scan("o+"),))), Rule("q", AstQuery("Call"))])
