@@ -212,12 +212,14 @@ def strong_components(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
         of = lambda end: colours.where("pivot != back").select(F.col("node").alias(end), F.col("pivot").alias(f"p_{end}"), F.col("back").alias(f"b_{end}"))
         inner = big.join(of("src"), "src").join(of("dst"), "dst").where("p_src = p_dst and b_src = b_dst")
         rest = trimmed(cut(inner.select("src", "dst"), "cycles"))
+    # A loop is a component wherever its node was looked for: drawing together and colours tell of two nodes or more.
+    loops = every.where("src = dst").select(F.col("src").alias("node")).distinct()
     if not parts:
-        return every.limit(0).select(F.col("src").alias("node"), F.col("src").alias("component"))
+        return loops.select("node", F.col("node").alias("component"))
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
     size = found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
-    loops = every.where("src = dst").select(F.col("src").alias("node")).distinct()
-    alone = found.where("node = component").join(size, "component", "left_anti").join(loops, "node", "left_semi")
-    return found.join(size, "component", "left_semi").select("node", "component").unionByName(alone.select("node", "component"))
+    many = found.join(size, "component", "left_semi").select("node", "component")
+    alone = loops.join(many, "node", "left_anti").select("node", F.col("node").alias("component"))
+    return many.unionByName(alone)

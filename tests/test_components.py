@@ -89,6 +89,12 @@ def test_empty_nulls_and_loops(spark):
     assert got(C.weak_components(frame(spark, [(1, 1), (2, 3), (3, 3), (None, 4)]))) == {1: 1, 2: 2, 3: 2}
 
 
+def test_loops_on_a_way_that_is_drawn_together(spark):
+    way = [(k, k + 1) for k in range(1, 14)]
+    assert got(C.strong_components(frame(spark, [(1, 1), *way, (14, 14)]), local=1)) == {1: 1, 14: 14}
+    assert got(C.strong_components(frame(spark, [(1, 1), *way, (14, 14), (5, 4), (5, 5)]), local=1)) == {1: 1, 4: 4, 5: 4, 14: 14}
+
+
 def test_many_small_components_in_one_task(spark):
     edges = [(3 * k + i, 3 * k + (i + 1) % 3) for k in range(300) for i in range(3)]
     assert got(C.strong_components(frame(spark, edges).coalesce(1), local=10)) == {n: n - n % 3 for n in range(900)}
