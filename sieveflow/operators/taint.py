@@ -36,7 +36,7 @@ def caught(p: TaintPattern, text: str | Layout, role: str, language: str, clock:
     """
     layout, clock = text if isinstance(text, Layout) else Layout(text), clock or Clock()
     text = layout.text
-    inside = Ranges(spans(p.inside, text, clock))
+    inside = Ranges(spans(p.inside, layout, clock))
     if p.inside and not inside.starts and role in ("sources", "sinks"):
         return []
     out = not_in_context(p, layout, clock)

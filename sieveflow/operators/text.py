@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from itertools import chain
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sieveflow.functions.batches import in_pieces
+from sieveflow.functions.batches import arrow_pieces
 from sieveflow.functions.durable import shuffled
 from sieveflow.functions.scalar import end_of_text
 from sieveflow.rules.model import Rule, Scan, TaintPattern, TextRegexMulti
@@ -26,6 +28,7 @@ LINE_MATCHES = 1000
 #: Seconds that one rule may take over one file; beyond them the rule is skipped for the file, and that is told.
 TIME_LIMIT = 5.0
 ERROR = ", error string"
+NAMES = ["ord", "file", "line", "column", "excerpt", "error"]
 #: Characters of excerpts that a task's Python holds before it hands them on.
 HELD = 4 << 20
 #: Characters of a text, and seconds, up to which a line scan first tries the whole text at once.
@@ -93,15 +96,15 @@ def alias_hits(files: DataFrame, rules: list[tuple[int, Rule]], found: DataFrame
 # Occurrences
 
 
-def find_all(scan: Scan, text: str, clock: Clock | None = None) -> Iterator:
-    """Matches in order; line scans see one line at a time (with its end) and stop at ``LINE_MATCHES`` in each."""
+def find_all(scan: Scan, text: str, clock: Clock | None = None, whole: bool = True) -> Iterator:
+    """Matches in order; line scans see one line at a time (with its end) and stop at ``LINE_MATCHES`` in each. ``whole``: try the text at once first."""
     import regex
 
     rx, clock = regex.compile(scan.regex), clock or Clock()
     if scan.unit == "source":
         yield from ((0, m) for m in rx.finditer(text, timeout=clock.left()) if m.end() > m.start())
         return
-    if len(text) <= WHOLE and literals.plain(scan.regex) and (found := _over_lines(rx, text, clock)) is not None:
+    if whole and len(text) <= WHOLE and literals.plain(scan.regex) and (found := _over_lines(rx, text, clock)) is not None:
         yield from ((0, m) for m in found)
         return
     at = 0
@@ -148,16 +151,54 @@ def _unix_lines(text: str) -> list[str]:
     return [p + "\n" for p in parts[:-1]] + ([parts[-1]] if parts[-1] else [])
 
 
-def spans(scans: tuple[Scan, ...], text: str, clock: Clock | None = None) -> list[tuple[int, int]]:
-    found = {(at + m.start(), at + m.end()) if at else m.span() for s in scans for at, m in find_all(s, text, clock)}
-    return sorted(found)
+def spans(scans: tuple[Scan, ...], text: str | Layout, clock: Clock | None = None) -> list[tuple[int, int]]:
+    return list(map(tuple, spans_table(scans, text if isinstance(text, Layout) else Layout(text), clock).tolist()))
+
+
+def spans_table(scans: tuple[Scan, ...], layout: Layout, clock: Clock | None = None) -> np.ndarray:
+    """Rows of start and end, in order, each once."""
+    parts = []
+    for s in scans:
+        if (got := _spans_over_lines(s, layout, clock)) is None:
+            got = np.array([(at + m.start(), at + m.end()) for at, m in find_all(s, layout.text, clock, False)], np.int64).reshape(-1, 2)
+        parts.append(got)
+    if len(parts) == 1 and (len(parts[0]) < 2 or (np.diff(parts[0][:, 0]) > 0).all()):
+        return parts[0]
+    return _in_order(parts)
+
+
+def _in_order(parts: list[np.ndarray]) -> np.ndarray:
+    found = np.concatenate([np.empty((0, 2), np.int64), *parts])
+    found = found[np.lexsort((found[:, 1], found[:, 0]))]
+    return found[np.concatenate(([True], (np.diff(found, axis=0) != 0).any(axis=1)))] if len(found) else found
+
+
+def _spans_over_lines(scan: Scan, layout: Layout, clock: Clock | None) -> np.ndarray | None:
+    """Places of :func:`_over_lines`, told for all matches at once; None where it has to be told otherwise."""
+    import regex
+
+    if scan.unit != "line" or len(layout.text) > WHOLE or not literals.plain(scan.regex) or "\r" not in layout.text and layout.other_ends:
+        return None
+    clock = clock or Clock()
+    left, began = clock.left(), time.monotonic()
+    try:
+        rows = regex.compile(scan.regex).finditer(layout.text, timeout=min(WHOLE_SECONDS, left), concurrent=False)
+        found = np.fromiter(chain.from_iterable(m.span() for m in rows), np.int64).reshape(-1, 2)
+    except TimeoutError:
+        found = None
+    if found is not None:
+        line = np.searchsorted(layout.newlines, found[:, 0])
+        if (found[:, 1] <= np.append(layout.newlines, len(layout.text))[line] + 1).all():
+            return found[np.arange(len(found)) - np.searchsorted(line, line) < LINE_MATCHES]
+    clock.end += time.monotonic() - began
+    return None
 
 
 def not_in_context(m: TextRegexMulti | TaintPattern, layout: Layout, clock: Clock) -> Callable[[int, int], bool]:
     """A test of spans: denied, within a barred range, or in a block that holds what bars it."""
     import regex
 
-    barred = Ranges(spans(m.not_inside, layout.text, clock))
+    barred = Ranges(spans(m.not_inside, layout, clock))
     deny = regex.compile(m.deny.regex) if m.deny else None
     in_block = [(regex.compile(s.regex), literals.held(s.regex)) for s in m.not_inside]
 
@@ -171,12 +212,26 @@ def not_in_context(m: TextRegexMulti | TaintPattern, layout: Layout, clock: Cloc
 
 def occurrences(m: TextRegexMulti, text: str | Layout, clock: Clock | None = None) -> list[tuple[int, int]]:
     """Spans of the matcher's occurrences in a text."""
-    layout, clock = text if isinstance(text, Layout) else Layout(text), clock or Clock()
-    inside = Ranges(spans(m.inside, layout.text, clock))
-    if m.inside and not inside.starts:
-        return []
-    out = not_in_context(m, layout, clock)
-    return [(a, b) for a, b in spans(m.allow, layout.text, clock) if not (m.inside and not inside.hold((a, b)) or out(a, b))]
+    return list(map(tuple, occurrence_table(m, text if isinstance(text, Layout) else Layout(text), clock or Clock()).tolist()))
+
+
+def occurrence_table(m: TextRegexMulti, layout: Layout, clock: Clock) -> np.ndarray:
+    """Rows of start and end: :func:`not_in_context`, with what ranges and blocks say told for all matches at once."""
+    import regex
+
+    inside = Ranges(spans_table(m.inside, layout, clock))
+    if m.inside and not len(inside.table):
+        return np.empty((0, 2), np.int64)
+    bars = [spans_table((s,), layout, clock) for s in m.not_inside]
+    barred = Ranges(bars[0] if len(bars) == 1 else _in_order(bars))
+    found = spans_table(m.allow, layout, clock)
+    found = found[~barred.held(found) & (inside.held(found) if m.inside else True)]
+    if m.deny:
+        deny = regex.compile(m.deny.regex)
+        found = found[np.array([not deny.search(layout.text[a:b], timeout=clock.left()) for a, b in found.tolist()], bool)]
+    for s, known in zip(m.not_inside, bars, strict=True):
+        found = found[~layout.blocks_matched(found[:, 0], regex.compile(s.regex), clock.left, literals.held(s.regex), known)]
+    return found
 
 
 def occurrence_hits(files: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
@@ -187,30 +242,45 @@ def occurrence_hits(files: DataFrame, rules: list[tuple[int, Rule]]) -> DataFram
 def occurrence_rows(files: DataFrame, rules: list[tuple[int, Rule]], seconds: float | None = None) -> DataFrame:
     """Hits, and a row with an error for each rule and file that took too long."""
 
-    table = lambda rows: pd.DataFrame(rows, columns=["ord", "file", "line", "column", "excerpt", "error"])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows, held = [], 0
-            for file, kind, text in zip(b.file_path, b.file_type, b.source, strict=True):
-                layout = Layout(text or "")
-                for i, r in rules:
-                    if text and r.applies(kind):
-                        try:
-                            found = occurrences(r.matcher, layout, Clock(seconds))
-                        except TimeoutError as e:
-                            rows.append((i, file, 0, 0, None, f"timeout: {e}"))
-                            continue
-                        for s, e in found:
-                            excerpt = layout.whole_lines(s, e)
-                            rows.append((i, file, *layout.place(s), excerpt, None))
-                            held += len(excerpt)
-                            if held > HELD:  # a line is told with each of its matches
-                                yield table(rows)
-                                rows, held = [], 0
-            yield table(rows)
-
-    return in_pieces(files.select("file_path", "file_type", "source"), run, HITS + ERROR, "source")
+    def of(layout: Layout, found: np.ndarray) -> Iterator[tuple]:
+        """Lines, columns, excerpts of what was found, in parts of bounded size: a line is told with each of its matches."""
+        first, last = layout.bounds(found)
+        part = np.cumsum(last - first) // HELD
+        for x in np.split(np.arange(len(found)), np.flatnonzero(np.diff(part)) + 1):
+            yield *layout.places(found[x, 0]), [layout.text[a:b].rstrip("\r\n") for a, b in zip(first[x].tolist(), last[x].tolist(), strict=True)]
+
+    def rows(b: pa.RecordBatch) -> Iterator[tuple]:
+        """Rule, file, lines, columns, excerpts, error."""
+        for file, kind, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            layout = Layout(text or "")
+            for i, r in rules:
+                if text and r.applies(kind or ""):
+                    try:
+                        found = occurrence_table(r.matcher, layout, Clock(seconds))
+                    except TimeoutError as e:
+                        yield i, file, np.zeros(1, int), np.zeros(1, int), [None], f"timeout: {e}"
+                        continue
+                    if len(found):
+                        yield from ((i, file, *x, None) for x in of(layout, found))
+
+    def table(parts: list[tuple]) -> pa.RecordBatch:
+        each = lambda k: pa.array([x for p in parts for x in [p[k]] * len(p[4])], pa.int32() if k == 0 else pa.string())
+        whole = lambda k: pa.array(np.concatenate([p[k] for p in parts]).astype(np.int32))
+        return pa.RecordBatch.from_arrays([each(0), each(1), whole(2), whole(3), pa.array([x for p in parts for x in p[4]], pa.string()), each(5)], NAMES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (p for whole in batches for p in arrow_pieces(whole, "source")):
+            parts, held = [], 0
+            for p in rows(b):
+                parts.append(p)
+                held += sum(map(len, p[4])) if p[5] is None else 0
+                if held > HELD:
+                    yield table(parts)
+                    parts, held = [], 0
+            if parts:
+                yield table(parts)
+
+    return files.select("file_path", "file_type", "source").mapInArrow(run, HITS + ERROR)
 
 
 # Ranges as tables

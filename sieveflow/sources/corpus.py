@@ -87,8 +87,9 @@ def is_excluded(path: str | Column, patterns: Sequence[Exclude], size: Column |
 
 def suppressed_lines(source: str | Column = "source", comment: str = SUPPRESS_COMMENT) -> Column:
     """Numbers of the lines that hold the comment."""
-    found = F.transform(split_lines(source), lambda x, i: F.when(x.contains(comment), (i + 1).cast("int")))
-    return F.filter(found, lambda x: x.isNotNull())
+    s = F.col(source) if isinstance(source, str) else source
+    found = F.transform(split_lines(s), lambda x, i: F.when(x.contains(comment), (i + 1).cast("int")))
+    return F.when(s.contains(comment), F.filter(found, lambda x: x.isNotNull())).otherwise(F.array().cast("array<int>"))  # other texts aren't split
 
 
 def split_lines(source: str | Column = "source") -> Column:

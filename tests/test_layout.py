@@ -94,3 +94,23 @@ def test_skipped_rules_are_told_without_being_asked(spark):
         failed = []
         engine.analyze(files, rules, time_limit=0.3, failed=failed)
     assert engine.rule_errors(failed, rules).count() == 1
+
+
+def test_all_matches_at_once_are_those_one_by_one():
+    """What is told of a text's matches by arrays against looks at single places."""
+    rng = random.Random(5)
+    some = ["hit[0-9]+", r"(use|skip)\([^)]*\)", r"skip\([^)]*\)", "safe", "aaa", r"saf\b", "a+", "^h", r"h\d$", r"u[^}]*\}", "aa|aaa", "(?i)hit", "[^x]{3,9}"]
+    words = ["hit1", "hit22", "h3", "(", ")", "{", "}", "\n", "use(", "skip(", "safe", "aaa", "a", " ", "x"]
+    draw = lambda k: tuple(Scan(rng.choice(some), rng.choice(["line", "line", "source"])) for _ in range(k))
+    for n in range(800):
+        text = "".join(rng.choices([*words, "é" if n % 3 else "y", "\r\n" if n % 5 == 0 else "\n", "\x0b" if n % 11 == 0 else "z"], k=rng.randrange(60))) + "a" * (1100 if n % 50 == 0 else 0)
+        m = TextRegexMulti(draw(rng.randrange(1, 3)), (*draw(rng.randrange(2)), None)[0], draw(rng.choice([0, 0, 1])), draw(rng.choice([0, 1, 2])))
+        layout, clock = Layout(text), T.Clock(60)
+        inside, out = Ranges(T.spans(m.inside, text)), T.not_in_context(m, Layout(text), clock)
+        spans = sorted({(at + x.start(), at + x.end()) for s in m.allow for at, x in T.find_all(s, text, clock)})
+        want = [(a, b) for a, b in spans if not (m.inside and not inside.hold((a, b)) or out(a, b))]
+        found = T.occurrence_table(m, layout, clock)
+        assert list(map(tuple, found.tolist())) == want
+        if want:
+            assert list(zip(*(x.tolist() for x in layout.places(found[:, 0])), strict=True)) == [layout.place(a) for a, _ in want]
+            assert [text[a:b].rstrip("\r\n") for a, b in zip(*(x.tolist() for x in layout.bounds(found)), strict=True)] == [lines_around(text, *x) for x in want]

@@ -173,3 +173,46 @@ def test_edges_of_a_walk_are_not_gathered(spark, sf, monkeypatch):
     assert walk(e, stop) == ["Row(node=1, depth=0)", "Row(node=2, depth=1)"] and walk(e, spark.createDataFrame([(1,)], "node int")) == []
     both = graph.undirected(e.where("dst is not null"))
     assert both.count() == 12 and walk(both) == walk(both.distinct()) == [f"Row(node={n}, depth={d})" for n, d in ((1, 0), (2, 1), (3, 2), (4, 3), (5, 3))]
+
+
+def test_findings_are_dealt_once_and_without_ids(spark, sf):
+    """What asks for places alone hands no ids, no rule columns and no excerpts on, and joins no lines where none is suppressed."""
+    p = plan(catalogue.queries()["many_matches"](spark, sf))
+    assert "sha2" not in p and "SortMergeJoin" not in p and "excerpt" not in p
+    assert p.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(file" in p
+
+
+def test_findings_told_apart_by_place_are_those_told_apart_by_id(spark):
+    import random
+
+    from sieveflow import engine
+    from sieveflow.rules.model import Rule, RuleSet, TextRegex
+
+    draw = random.Random(8)
+    rules = RuleSet([Rule(i, TextRegex(i), s, f"m{k}", fix=f"x{k}") for k, (i, s) in enumerate((("a", "LOW"), ("b", "HIGH"), ("a", "HIGH"), ("c", "LOW"), ("b", "HIGH")))])
+    rows = [(draw.randrange(5), draw.choice(["f", "g:1", None]), draw.randrange(1, 4), draw.randrange(1, 3), draw.choice(["x", "y", None]), draw.choice(["INFO", "HIGH", None])) for _ in range(300)]
+    for columns in (6, 5):
+        hits = spark.createDataFrame([r[:columns] for r in rows], "ord int, file string, line int, `column` int, excerpt string, severity string".rsplit(", ", 6 - columns)[0])
+        want = post.dedup(post.findings_of(hits, rules))
+        got = post.findings_of(post.firsts(hits, rules), rules)
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    # Ids that a colon makes one are told apart by id.
+    mixed = RuleSet([Rule("a", TextRegex("x")), Rule("a:b", TextRegex("x"))])
+    assert post.firsts(hits, mixed) is None
+    files = corpus.from_strings(spark, {"b:c": "x", "c": "x\n"})
+    assert engine.analyze(files, mixed).count() == 3
+
+
+def test_suppressed_lines_few_many_and_none(spark, monkeypatch):
+    from sieveflow import engine
+    from sieveflow.rules.model import Rule, RuleSet, TextRegex
+
+    files = corpus.from_strings(spark, {"a": "x\nx # sast-ignore\nx", "b": "x", "c": "", "d": "x sast-ignore\r\nx\r\n"})
+    rules = RuleSet([Rule("r", TextRegex("x"))])
+    for most in (post.MARKS, 1):
+        monkeypatch.setattr(post, "MARKS", most)
+        out = engine.analyze(files, rules)
+        assert ("SortMergeJoin" in plan(out)) == (most == 1)
+        assert sorted((r.file, r.line) for r in out.collect()) == [("a", 1), ("a", 3), ("b", 1), ("d", 2)]
+    assert {r.file_path: r.suppressed for r in files.collect()} == {"a": [2], "b": [], "c": [], "d": [1]}
+    assert "Join" not in plan(post.without_suppressed(engine.raw_findings(files.where("file_path = 'b'"), rules).drop("rule_id"), files.where("file_path = 'b'"))).replace("BroadcastHashJoin [ord", "")
