@@ -22,9 +22,10 @@ from sieveflow.sources import code, corpus, readers
 
 @dataclass
 class Tables:
-    """Tables derived from files, each built when a rule first needs it."""
+    """Tables derived from files, each built when a rule first needs it; ``known``: matches that are written."""
 
     files: DataFrame
+    known: int = 0
     _nodes: DataFrame | None = None
     _tree: DataFrame | None = None
 
@@ -61,6 +62,7 @@ def hits(t: Tables, rules: RuleSet, aliases: bool = True, failed: list[DataFrame
 
     def sound(rows: DataFrame) -> DataFrame:
         rows = cut(rows, "matched")
+        t.known += rows.count()
         tell(rows.where("error is not null").select("ord", "file", "error"), rules, failed)
         return rows.where("error is null").drop("error")
 
@@ -148,8 +150,9 @@ def analyze(files: DataFrame, rules: RuleSet, *, baseline: DataFrame | None = No
     """
     first = None
     if cache is None:
-        got = hits(Tables(files), rules, aliases, failed, time_limit)
-        first = None if got is None else post.firsts(got, rules)
+        t = Tables(files)
+        got = hits(t, rules, aliases, failed, time_limit)
+        first = None if got is None else post.firsts(got, rules, t.known)
         raw = _findings(files, got if first is None else first, rules)
     else:
         raw = C.cached(files, rules, cache, lambda f, bad: raw_findings(f, rules, aliases, bad, time_limit, gate=False), file_calls if named(rules) else None)
